@@ -1,0 +1 @@
+"""Plans of the burst analytics engine."""
