@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import byte_bpe, token_counts
+from pulsegrid.llm import byte_bpe, language_id, mixing, token_counts
 from pulsegrid.llm.common import table
 
 
@@ -15,6 +15,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     encoded = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern)
@@ -22,9 +27,19 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    remainder = F.crc32(F.col("doc_id").cast("string")) % 4
+    model = language_id.fit(docs, learns=remainder != 2)
+    rows = docs.select("doc_id", "text", (remainder == 2).alias("held_out"))
+    return language_id.predict(rows, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES = {
     "op2_token_counts": op2_token_counts,
+    "op4_mixing": op4_mixing,
     "op7_byte_bpe": op7_byte_bpe,
+    "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.ORACLE}
