@@ -6,7 +6,7 @@ above. That fixed point is the level L (the highest at which the next source is
 running sum over the sources, ordered by the level at which each is full.
 
 Every document of a source expects target / source size copies. Documents of a source stand in the order of their size
-class (powers of two) and then of a digest of their id; expected copies are summed along that order, the source's
+class (eighths of a power of two) and then of a digest of their id; expected copies are summed along that order, the source's
 random offset is added, and a document gets a copy for each integer that its stretch crosses. Classes keep the words
 taken near the target though sizes differ. A place in that order is a row number within a slice of a source plus the
 number of rows in the slices before it, so a source of any share of the rows is spread over many tasks.
@@ -60,7 +60,7 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str
     made = {"size", "source_size", "target", "copies", "taken"}
     kept = [c for c in docs.columns if c.lower() not in made]
     rows = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(kept)], _key(F.col(source).cast("string")).alias("source"), n_words(F.col(text)).alias("size"), F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).alias("digest"))
-    rows = rows.withColumn("size_class", F.when(F.col("size") > 0, F.length(F.bin("size"))).otherwise(0))
+    rows = rows.withColumn("size_class", F.expr("length(bin(size)) * 8 + (shiftright(size, greatest(length(bin(size)) - 4, 0)) & 7)"))
     keyed = rows.select("source", "size", "size_class", "digest")
     counted = keyed.agg(F.count("*")).first()[0]
     digits = 1
@@ -90,7 +90,7 @@ def emit(mixed: DataFrame, columns: list[str]) -> DataFrame:
 
 ORACLE = rf"""
 WITH d AS (SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '')) AS digest, len(regexp_extract_all(coalesce(text, ''), '{WORD_PATTERN}'))::BIGINT AS size FROM documents),
-c AS (SELECT *, CASE WHEN size > 0 THEN length(bin(size)) ELSE 0 END AS size_class FROM d),
+c AS (SELECT *, length(bin(size)) * 8 + ((size >> greatest(length(bin(size)) - 4, 0)) & 7) AS size_class FROM d),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM c GROUP BY source),
 w AS (SELECT source, source_size, ((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::BIGINT AS weight, source_size * 3.0::DOUBLE AS full_size FROM s),
 l AS (SELECT *, full_size / weight AS full_at, ((sum(source_size) OVER ())::BIGINT - coalesce(sum(full_size) OVER (ORDER BY full_size / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)) / (sum(weight) OVER (ORDER BY full_size / weight, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS level FROM w),
