@@ -18,10 +18,15 @@ import regex
 #: Largest piece, in bytes, that goes through the batched trees.
 BATCHED_BYTES = 64
 #: Pieces remembered by a task before it forgets them all.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 _NEVER = np.int32(2**31 - 1)
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as lines:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+
+
 class Vocabulary:
     """Ranks of byte strings, as read from a rank file: one base64 string and its rank a line."""
 
@@ -32,8 +37,7 @@ class Vocabulary:
         for token, rank in ranks.items():
             self.tokens[rank] = token
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        self.pairs = self._pairs()
-        keys = np.array(sorted((a * self.size + b, r) for (a, b), r in self.pairs.items()), dtype=np.int64).reshape(-1, 2)
+        keys = self._pairs()
         bits = max(4, int(len(keys) * 2).bit_length())
         self._shift = np.uint64(64 - bits)
         self._table = self._hashed(keys, bits)
@@ -41,13 +45,14 @@ class Vocabulary:
     @classmethod
     def read(cls, path: str, limit: int | None = None) -> Vocabulary:
         """limit: take ranks below it only; as merges build on earlier ones, a prefix of the ranks is a vocabulary too."""
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        ranks = read_ranks(path)
         return cls(ranks if limit is None else {t: r for t, r in ranks.items() if r < limit})
 
-    def _pairs(self) -> dict[tuple[int, int], int]:
-        """Every way to put a token together from two tokens: adjacent parts merge if their bytes make a token."""
-        return {(self.ranks[a], self.ranks[b]): r for t, r in self.ranks.items() for i in range(1, len(t)) if (a := t[:i]) in self.ranks and (b := t[i:]) in self.ranks}
+    def _pairs(self) -> np.ndarray:
+        """Every way to put a token together from two tokens, as (key of the pair, rank): adjacent parts merge if their bytes make a token."""
+        ranks = self.ranks
+        made = ((ranks[a] * self.size + ranks[b], r) for t, r in ranks.items() for i in range(1, len(t)) if (a := t[:i]) in ranks and (b := t[i:]) in ranks)
+        return np.array(sorted(made), dtype=np.int64).reshape(-1, 2)
 
     def _hashed(self, keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, int]:
         """Open addressing over pair keys: slots of keys and of ranks, and the longest way from a key's first slot."""
@@ -84,22 +89,25 @@ class Vocabulary:
             open_ = open_[~hit & (there >= 0)]
         return found
 
+    def _joined(self, left: int, right: int) -> int | None:
+        return self.ranks.get(self.tokens[left] + self.tokens[right])
+
     def merge_one(self, piece: bytes) -> list[int]:
         """The ids of one piece of any length."""
         n = len(piece)
         width = 1 << max(1, (n - 1).bit_length())
         ids, right, left = [int(self.byte_ids[b]) for b in piece], list(range(1, n + 1)), list(range(-1, n - 1))
-        pairs, never = self.pairs, (self.size, n)
+        never = (self.size, n)
         tree = [never] * (2 * width)
         for i in range(n - 1):
-            if (r := pairs.get((ids[i], ids[i + 1]))) is not None:
+            if (r := self._joined(ids[i], ids[i + 1])) is not None:
                 tree[width + i] = (r, i)
         for k in range(width - 1, 0, -1):
             tree[k] = min(tree[2 * k], tree[2 * k + 1])
 
         def renew(i: int) -> None:
             j = right[i] if ids[i] >= 0 else n
-            r = pairs.get((ids[i], ids[j])) if j < n else None
+            r = self._joined(ids[i], ids[j]) if j < n else None
             k = width + i
             tree[k] = never if r is None else (r, i)
             while k > 1:
@@ -220,10 +228,6 @@ class Encoder:
             out += [b"".join(map(get, found)) for found in split]
         return out
 
-    def decode(self, ids: Iterable[bytes]) -> list[bytes]:
-        get = self.vocabulary.tokens.__getitem__
-        return [b"".join(map(get, np.frombuffer(x, dtype="<u4").tolist())) for x in ids]
-
 
 def pieces(pattern: str) -> Callable[[str], list[str]]:
     """Finds a pattern's matches."""
@@ -248,3 +252,13 @@ def portions(texts: list[str], chars: int = 1_500_000) -> Iterator[list[str]]:
 def encoder(path: str, pattern: str, limit: int | None = None) -> Encoder:
     """One for each Python worker: workers outlive tasks, so the tables are built once and pieces stay remembered."""
     return Encoder(Vocabulary.read(path, limit), pattern)
+
+
+@lru_cache(maxsize=4)
+def token_bytes(path: str) -> list[bytes]:
+    """What each id stands for."""
+    ranks = read_ranks(path)
+    out = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        out[rank] = token
+    return out

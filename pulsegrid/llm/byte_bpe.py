@@ -9,12 +9,13 @@ each for itself; an empty table gives an empty table. Other columns are kept, bu
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsegrid.llm.bpe import encoder
+from pulsegrid.llm.bpe import encoder, token_bytes
 from pulsegrid.llm.common import add_columns
 
 _IDS = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
@@ -31,10 +32,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -
     return add_columns(docs, {"text": F.coalesce(F.col(text), F.lit(""))}, _IDS, run)
 
 
-def decode(encoded: DataFrame, ranks_path: str, pattern: str, ids: str = "ids") -> DataFrame:
+def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:
     """encoded with decoded: the bytes that its ids stand for. Null ids count as none."""
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
-        return [pa.array(encoder(ranks_path, pattern).decode(batch.column(0).to_pylist()), pa.binary())]
+        get = token_bytes(ranks_path).__getitem__
+        return [pa.array([b"".join(map(get, np.frombuffer(x, dtype="<u4").tolist())) for x in batch.column(0).to_pylist()], pa.binary())]
 
     return add_columns(encoded, {"ids": F.coalesce(F.col(ids), F.lit(b""))}, _DECODED, run)

@@ -46,6 +46,13 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def slices(batch: pa.RecordBatch, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in runs of about so many bytes, which keeps what a worker makes of a run small."""
+    rows = max(1, int(batch.num_rows * size / max(size, batch.nbytes)))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def add_columns(df: DataFrame, inputs: dict[str, Column], made: T.StructType, function, keep: list[str] | None = None) -> DataFrame:
     """Runs function(iterator of record batches) over df's rows and appends the columns it makes.
 
@@ -59,7 +66,7 @@ def add_columns(df: DataFrame, inputs: dict[str, Column], made: T.StructType, fu
     width, wanted, seen_names = len(names), [f.name for f in made], list(inputs)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             seen = pa.RecordBatch.from_arrays(batch.columns[width:], names=seen_names)
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], *function(seen)], names=[*(f"k{i}" for i in range(width)), *wanted])
 
