@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import byte_bpe, language_id, mixing, token_counts
+from pulsegrid.llm import byte_bpe, language_id, line_dedup, minhash, mixing, token_counts
 from pulsegrid.llm.common import table
 
 
@@ -27,6 +27,16 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the text that is left, and what went: characters, spans and their original offsets."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.remove_repeats(docs).select("doc_id", "text", "n_removed", F.size("removed_spans").alias("n_spans"), "removed_spans")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     remainder = F.crc32(F.col("doc_id").cast("string")) % 4
@@ -38,7 +48,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op4_mixing": op4_mixing,
+    "op5_line_dedup": op5_line_dedup,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_minhash": op8_minhash,
     "op10_language_id": op10_language_id,
 }
 
