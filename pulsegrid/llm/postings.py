@@ -23,9 +23,11 @@ BLOCK_DOCS, BLOCK_CHARS = 32_768, 40_000_000
 MANY = 64
 ROWS = 20_000
 
-SCHEMA = T.StructType([T.StructField("block", T.LongType()), T.StructField("term", T.StringType()), T.StructField("salt", T.LongType()), T.StructField("docs", T.BinaryType()), T.StructField("times", T.BinaryType())])
-_ARROW = pa.schema([("block", pa.int64()), ("term", pa.string()), ("salt", pa.int64()), ("docs", pa.binary()), ("times", pa.binary())])
-VALUED = T.StructType([T.StructField("block", T.LongType()), T.StructField("value", T.DoubleType()), T.StructField("docs", T.BinaryType()), T.StructField("times", T.BinaryType())])
+SCHEMA = T.StructType([T.StructField("block", T.LongType()), T.StructField("term", T.StringType()), T.StructField("held", T.BinaryType())])
+_ARROW = pa.schema([("block", pa.int64()), ("term", pa.string()), ("held", pa.binary())])
+VALUED = T.StructType([T.StructField("block", T.LongType()), T.StructField("value", T.DoubleType()), T.StructField("held", T.BinaryType())])
+#: A document of the block and how often it holds the term, 255 at most; more often takes more postings.
+POSTING = np.dtype([("doc", "<u2"), ("times", "u1")])
 
 
 class Block:
@@ -58,20 +60,18 @@ class Block:
         """One row with the heads and no term, then one row a term."""
         if not self.head:
             return
-        yield pa.RecordBatch.from_arrays([pa.array([self.name]), pa.array([None], pa.string()), pa.array([self.name]), pa.array([np.array(self.head, dtype="<i8").tobytes()]), pa.array([b""])], schema=_ARROW)
+        yield pa.RecordBatch.from_arrays([pa.array([self.name]), pa.array([None], pa.string()), pa.array([np.array(self.head, dtype="<i8").tobytes()])], schema=_ARROW)
         code = np.array(self.code, dtype=np.int32)
         order = np.argsort(code, kind="stable")
-        docs = np.repeat(np.arange(len(self.per), dtype="<u2"), self.per)[order]
-        times = np.array(self.time, dtype=np.uint8)[order]
-        many = np.bincount(code, minlength=len(self.codes))
-        ends = np.concatenate([[0], np.cumsum(many)])
+        held = np.empty(len(code), dtype=POSTING)
+        held["doc"] = np.repeat(np.arange(len(self.per), dtype="<u2"), self.per)[order]
+        held["times"] = np.array(self.time, dtype=np.uint8)[order]
+        ends = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(self.codes)))])
         terms = list(self.codes)
         for a in range(0, len(terms), ROWS):
             b = min(a + ROWS, len(terms))
-            cuts = (ends[a : b + 1] - ends[a]).astype(np.int32)
-            part = slice(ends[a], ends[b])
-            salt = np.where(many[a:b] >= MANY, self.name, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, self.name)), pa.array(terms[a:b], pa.string()), pa.array(salt), _binary(cuts * 2, docs[part].tobytes()), _binary(cuts, times[part].tobytes())], schema=_ARROW)
+            cuts = (ends[a : b + 1] - ends[a]) * POSTING.itemsize
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, self.name)), pa.array(terms[a:b], pa.string()), _binary(cuts, held[ends[a] : ends[b]].tobytes())], schema=_ARROW)
 
 
 def _binary(ends: np.ndarray, data: bytes) -> pa.Array:
@@ -110,9 +110,10 @@ def value(postings: DataFrame, valued: Callable[[list[str]], list[float]]) -> Da
             if terms:
                 last, last_value = terms[-1], known[terms[-1]]
             of = pa.array([known[t] for t in terms], pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), of.take(coded.indices), batch.column(3), batch.column(4)], names=VALUED.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), of.take(coded.indices), batch.column(2)], names=VALUED.names)
 
-    dealt = postings.repartition("term", "salt").sortWithinPartitions("term")
+    many = F.when(F.col("term").isNull() | (F.length("held") >= MANY * POSTING.itemsize), F.col("block"))
+    dealt = postings.repartition("term", many).sortWithinPartitions("term")
     return dealt.mapInArrow(run, VALUED)
 
 
@@ -125,23 +126,21 @@ def total(valued: DataFrame, width: int, finish: Callable[[np.ndarray, list[np.n
     names = schema.names
 
     def run(group: pa.Table) -> pa.Table:
-        docs, times, values = group.column("docs").combine_chunks(), group.column("times").combine_chunks(), group.column("value").combine_chunks()
-        is_head = values.is_null()
-        head = np.frombuffer(docs.filter(is_head)[0].as_py(), dtype="<i8").reshape(-1, width)
-        rest = values.is_valid()
-        docs, times, values = docs.filter(rest), times.filter(rest), values.filter(rest)
-        at, n = _joined(docs, "<u2"), _joined(times, np.uint8)
-        many = np.diff(np.frombuffer(times.buffers()[1], dtype=np.int32, count=times.offset + len(times) + 1)[times.offset :]) if len(times) else np.zeros(0, dtype=np.int32)
-        spread = np.repeat(values.to_numpy(zero_copy_only=False), many)
+        held, values = group.column("held").combine_chunks(), group.column("value").combine_chunks()
+        head = np.frombuffer(held.filter(values.is_null())[0].as_py(), dtype="<i8").reshape(-1, width)
+        held, values = held.filter(values.is_valid()), values.filter(values.is_valid())
+        ends, data = _parts(held)
+        spread = np.repeat(values.to_numpy(zero_copy_only=False), np.diff(ends) // POSTING.itemsize)
+        at, n = data["doc"], data["times"]
         added = [np.bincount(at, weights=w, minlength=len(head)) for w in sums(spread, n)]
         return pa.Table.from_arrays(finish(head, added), names=names)
 
     return valued.groupBy("block").applyInArrow(run, schema)
 
 
-def _joined(column: pa.Array, kind: str | type) -> np.ndarray:
-    """The bytes of all values of a binary column as one array."""
+def _parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where the values of a binary column begin and end, and all their postings as one array."""
     if not len(column):
-        return np.zeros(0, dtype=kind)
-    ends = np.frombuffer(column.buffers()[1], dtype=np.int32, count=column.offset + len(column) + 1)
-    return np.frombuffer(column.buffers()[2], dtype=np.uint8)[ends[column.offset] : ends[-1]].view(kind)
+        return np.zeros(1, dtype=np.int32), np.zeros(0, dtype=POSTING)
+    ends = np.frombuffer(column.buffers()[1], dtype=np.int32, count=column.offset + len(column) + 1)[column.offset :]
+    return ends, np.frombuffer(column.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]].view(POSTING)
