@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import byte_bpe, language_id, line_dedup, minhash, mixing, token_counts
+from pulsegrid.llm import byte_bpe, gif, language_id, line_dedup, minhash, mixing, token_counts
 from pulsegrid.llm.common import table
 
 
@@ -37,6 +37,18 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_repeats(docs).select("doc_id", "text", "n_removed", F.size("removed_spans").alias("n_spans"), "removed_spans")
 
 
+def op9_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    utf8 = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    n = F.octet_length(utf8)
+    payload = F.concat(utf8, F.unhex(F.repeat(F.lit("00"), F.when(n == 0, 64).otherwise(F.pmod(-n, F.lit(64))).cast("int"))))
+    stored = gif.store(docs.select("doc_id", F.octet_length(utf8).cast("long").alias("n_bytes"), payload.alias("bytes")), F.col("bytes"))
+    back = gif.read_back(stored.drop("bytes"))
+    size = F.octet_length("payload").cast("long")
+    feature = F.concat(F.lit("frames="), F.col("n_frames"), F.lit(";ms="), F.col("duration_ms"), F.lit(";hist="), F.array_join(F.col("histogram").cast("array<string>"), ","))
+    return back.select("doc_id", "n_bytes", size.alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     remainder = F.crc32(F.col("doc_id").cast("string")) % 4
@@ -51,6 +63,7 @@ QUERIES = {
     "op5_line_dedup": op5_line_dedup,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_minhash": op8_minhash,
+    "op9_gif": op9_gif,
     "op10_language_id": op10_language_id,
 }
 
