@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 
 from pulsegrid.llm.common import add_columns, written
 from pulsegrid.llm.components import components
+from pulsegrid.llm.groups import key_runs
 
 WORDS, HASHES, BANDS, STEP = 5, 128, 32, 16
 MISS = 1e-6
@@ -155,7 +156,7 @@ def _block_pairs(members: DataFrame, threshold: float) -> DataFrame:
         return np.maximum(a, b), np.minimum(a, b)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _runs(batches, ["bucket", "i", "j"]):
+        for group in key_runs(batches, ["bucket", "i", "j"]):
             sig = np.frombuffer(b"".join(group.column("signature").to_pylist()), dtype="<u2").reshape(-1, HASHES)
             own, node, label = (group.column(c).to_numpy() for c in ("own", "node", "label"))
             a, b = pairs_of(own, node, label, sig, group.column("i")[0].as_py(), group.column("j")[0].as_py())
@@ -166,27 +167,6 @@ def _block_pairs(members: DataFrame, threshold: float) -> DataFrame:
     return dealt.mapInArrow(run, _PAIR).distinct()
 
 
-def _runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Rows in a row that agree in their keys, as one table."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(k).to_numpy() for k in keys]
-        change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
-        cuts = [0, *change.tolist(), batch.num_rows]
-        for start, end in zip(cuts, cuts[1:], strict=False):
-            now = tuple(c[start] for c in columns)
-            if held and now != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(start, end - start))
-            last = now
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """The pairs whose full sets have at least the threshold's similarity. docs: doc_id, text."""
     ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()

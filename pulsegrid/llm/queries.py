@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import byte_bpe, gif, language_id, line_dedup, minhash, mixing, token_counts
+from pulsegrid.llm import byte_bpe, gif, language_id, line_dedup, minhash, mixing, pivots, token_counts
 from pulsegrid.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op3_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.links(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -59,6 +63,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_token_counts": op2_token_counts,
+    "op3_pivots": op3_pivots,
     "op4_mixing": op4_mixing,
     "op5_line_dedup": op5_line_dedup,
     "op7_byte_bpe": op7_byte_bpe,
