@@ -42,13 +42,13 @@ def shared_folder(spark: SparkSession) -> str:
     return path.toString()
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """df as a table in the shared folder, which cuts its lineage: lost executors cost no more than reading it again.
 
     A checkpoint() would run the plan a second time to write it.
     """
     path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -24,7 +24,7 @@ MANY = 64
 ROWS = 20_000
 
 SCHEMA = T.StructType([T.StructField("block", T.LongType()), T.StructField("term", T.StringType()), T.StructField("held", T.BinaryType())])
-_ARROW = pa.schema([("block", pa.int64()), ("term", pa.string()), ("held", pa.binary())])
+COUNTED = T.StructType([*SCHEMA, T.StructField("n", T.LongType())])
 VALUED = T.StructType([T.StructField("block", T.LongType()), T.StructField("value", T.DoubleType()), T.StructField("held", T.BinaryType())])
 #: A document of the block and how often it holds the term, 255 at most; more often takes more postings.
 POSTING = np.dtype([("doc", "<u2"), ("times", "u1")])
@@ -56,30 +56,41 @@ class Block:
     def full(self) -> bool:
         return len(self.head) >= BLOCK_DOCS or self.chars >= BLOCK_CHARS
 
-    def batches(self) -> Iterator[pa.RecordBatch]:
-        """One row with the heads and no term, then one row a term."""
+    def batches(self, counted: int | None = None) -> Iterator[pa.RecordBatch]:
+        """One row with the heads and no term, then one row a term.
+
+        counted: the place in the heads of a number by which a document's frequencies count in the sum of a term's row.
+        """
         if not self.head:
             return
-        yield pa.RecordBatch.from_arrays([pa.array([self.name]), pa.array([None], pa.string()), pa.array([np.array(self.head, dtype="<i8").tobytes()])], schema=_ARROW)
+        names = SCHEMA.names if counted is None else COUNTED.names
+        none = [] if counted is None else [pa.array([0])]
+        yield pa.RecordBatch.from_arrays([pa.array([self.name]), pa.array([None], pa.string()), pa.array([np.array(self.head, dtype="<i8").tobytes()]), *none], names=names)
         code = np.array(self.code, dtype=np.int32)
         order = np.argsort(code, kind="stable")
         held = np.empty(len(code), dtype=POSTING)
         held["doc"] = np.repeat(np.arange(len(self.per), dtype="<u2"), self.per)[order]
         held["times"] = np.array(self.time, dtype=np.uint8)[order]
         ends = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(self.codes)))])
-        terms = list(self.codes)
+        terms = pa.array(list(self.codes))
+        terms = terms.cast(pa.string())
+        sums = []
+        if counted is not None:
+            by_doc = np.array([h[counted] for h in self.head], dtype=np.int64)
+            running = np.concatenate([[0], np.cumsum(held["times"] * by_doc[held["doc"]])])
+            sums = [running[ends[1:]] - running[ends[:-1]]]
         for a in range(0, len(terms), ROWS):
             b = min(a + ROWS, len(terms))
             cuts = (ends[a : b + 1] - ends[a]) * POSTING.itemsize
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, self.name)), pa.array(terms[a:b], pa.string()), _binary(cuts, held[ends[a] : ends[b]].tobytes())], schema=_ARROW)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, self.name)), terms[a:b], _binary(cuts, held[ends[a] : ends[b]].tobytes()), *(pa.array(x[a:b]) for x in sums)], names=names)
 
 
 def _binary(ends: np.ndarray, data: bytes) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(data)])
 
 
-def gather(rows: DataFrame, read: Callable[[pa.RecordBatch], Iterable[tuple[tuple[int, ...], Iterable[tuple[str, int]], int]]]) -> DataFrame:
-    """Rows of SCHEMA. read gives, for each row of a batch, its head, its terms with their frequencies, and its characters."""
+def gather(rows: DataFrame, read: Callable[[pa.RecordBatch], Iterable[tuple[tuple[int, ...], Iterable[tuple[str | bytes, int]], int]]], counted: int | None = None) -> DataFrame:
+    """Rows of SCHEMA (COUNTED, if a place in the heads is counted). read gives, for each row of a batch, its head, its terms with their frequencies, and its characters."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
@@ -87,13 +98,13 @@ def gather(rows: DataFrame, read: Callable[[pa.RecordBatch], Iterable[tuple[tupl
         for batch in batches:
             for head, frequencies, chars in read(batch):
                 if block.head and (block.full() or block.chars + chars > 2 * BLOCK_CHARS):
-                    yield from block.batches()
+                    yield from block.batches(counted)
                     seq += 1
                     block = Block((part << 32) + seq)
                 block.add(head, frequencies, chars)
-        yield from block.batches()
+        yield from block.batches(counted)
 
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(run, SCHEMA if counted is None else COUNTED)
 
 
 def value(postings: DataFrame, valued: Callable[[list[str]], list[float]]) -> DataFrame:

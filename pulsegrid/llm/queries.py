@@ -6,10 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import byte_bpe, gif, language_id, line_dedup, minhash, mixing, pivots, token_counts
+from pulsegrid.llm import byte_bpe, gif, language_id, line_dedup, lm_scoring, minhash, mixing, pivots, token_counts
 from pulsegrid.llm.common import table
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 10 == 0
+    return lm_scoring.scores(docs, held_out, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
@@ -62,6 +68,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_token_counts": op2_token_counts,
     "op3_pivots": op3_pivots,
     "op4_mixing": op4_mixing,
