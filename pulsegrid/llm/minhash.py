@@ -62,7 +62,7 @@ def shingles(text: str | None) -> np.ndarray:
         return np.zeros(0, dtype=np.uint64)
     if len(_memo) > _REMEMBERED:
         _memo.clear()
-    for w in set(words) - _memo.keys():
+    for w in set(words).difference(_memo):
         _memo[w] = xxhash.xxh3_64_intdigest(w)
     hashed = np.fromiter(map(_memo.__getitem__, words), dtype=np.uint64, count=len(words))
     width = min(WORDS, len(words))
