@@ -220,7 +220,7 @@ class Encoder:
         out: list[bytes] = []
         for some in portions(texts):
             split = [self._find(t) for t in some]
-            new = list(set().union(*split) - self._seen.keys())
+            new = list(set().union(*split).difference(self._seen))
             if len(self._seen) + len(new) > REMEMBERED:
                 self._seen, new = {}, list(set().union(*split))
             self._seen.update(zip(new, self.vocabulary.merge_many([p.encode() for p in new]), strict=True))

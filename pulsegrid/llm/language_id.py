@@ -71,7 +71,7 @@ class Model:
         out: list[tuple[str, float]] = []
         for some in portions(texts):
             split = [_WORDS(t.lower()) for t in some]
-            new = set().union(*split) - self.memo.keys()
+            new = set().union(*split).difference(self.memo)
             if self.rows is None or len(self.memo) + len(new) > REMEMBERED:
                 self.memo, new = {}, set().union(*split)
                 self.rows = np.zeros((0, len(self.labels)), dtype=np.float32)
