@@ -49,22 +49,37 @@ def grams(word: str, order: int) -> list[str]:
 
 @dataclass
 class Model:
-    """labels; for each order (0: words) the log frequency of each gram in each label."""
+    """labels; for each order (0: words) the row of each gram it knows; rows of log frequencies in each label."""
 
     labels: list[str]
-    tables: list[dict[str, np.ndarray]]
+    tables: list[dict[str, int]]
+    known: np.ndarray
     memo: dict[str, int] = field(default_factory=dict)
     rows: np.ndarray | None = None
 
-    def word(self, word: str) -> np.ndarray:
-        if (known := self.tables[0].get(word)) is not None:
-            return known
+    def found(self, word: str) -> list[int]:
+        """The rows whose mean scores a word: its own, or those of its longest known n-grams; none if nothing is known."""
+        own = self.tables[0].get(word)
+        if own is not None:
+            return [own]
         for order in range(MAX_ORDER, 0, -1):
-            table = self.tables[order]
-            found = [v for g in grams(word, order) if (v := table.get(g)) is not None]
-            if found:
-                return sum(found[1:], found[0]) / len(found)
-        return np.zeros(len(self.labels), dtype=np.float32)
+            get = self.tables[order].get
+            some = [r for g in grams(word, order) if (r := get(g)) is not None]
+            if some:
+                return some
+        return []
+
+    def scored(self, words: list[str]) -> np.ndarray:
+        """The scores of words in each label."""
+        found = [self.found(w) for w in words]
+        many = np.array([len(f) for f in found])
+        flat = self.known[np.array([r for f in found for r in f], dtype=np.int64)]
+        out = np.zeros((len(words), len(self.labels)), dtype=np.float32)
+        some = many > 0
+        if some.any():
+            starts = (np.cumsum(many) - many)[some]
+            out[some] = np.add.reduceat(flat, starts, axis=0) / many[some, None]
+        return out
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
         """The likeliest label of each text and its posterior under equal priors."""
@@ -79,10 +94,9 @@ class Model:
                 at = len(self.memo)
                 if at + len(new) > len(self.rows):
                     self.rows = np.concatenate([self.rows[:at], np.zeros((at + 2 * len(new), len(self.labels)), dtype=np.float32)])
-                for word in new:
-                    self.memo[word] = at
-                    self.rows[at] = self.word(word)
-                    at += 1
+                words = list(new)
+                self.rows[at : at + len(words)] = self.scored(words)
+                self.memo.update(zip(words, range(at, at + len(words)), strict=True))
             for words in split:
                 if not words or not self.labels:
                     out.append((UNKNOWN, 0.0))
@@ -127,12 +141,14 @@ def fit(docs: DataFrame, learns: Column, label: str = "lang", text: str = "text"
     rows = words.unionByName(others).collect()
     totals = {(r["gram_order"], r["label"]): r["n"] for r in counts.groupBy("gram_order", "label").agg(F.sum("n").alias("n")).collect()}
     labels = sorted({x for _, x in totals})
-    tables: list[dict[str, np.ndarray]] = [{} for _ in range(MAX_ORDER + 1)]
+    tables: list[dict[str, int]] = [{} for _ in range(MAX_ORDER + 1)]
+    known = np.zeros((len(rows), len(labels)), dtype=np.float32)
     distinct = Counter(r["gram_order"] for r in rows)
-    for r in rows:
+    for i, r in enumerate(rows):
         order = r["gram_order"]
-        tables[order][r["gram"]] = np.array([math.log((r["by_label"].get(x, 0) + 0.5) / (totals.get((order, x), 0) + 0.5 * (distinct[order] + 1))) for x in labels], dtype=np.float32)
-    return Model(labels, tables)
+        tables[order][r["gram"]] = i
+        known[i] = [math.log((r["by_label"].get(x, 0) + 0.5) / (totals.get((order, x), 0) + 0.5 * (distinct[order] + 1))) for x in labels]
+    return Model(labels, tables, known)
 
 
 @lru_cache(maxsize=2)
@@ -142,7 +158,7 @@ def _loaded(packed: bytes) -> Model:
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with lang_pred and score (the posterior of lang_pred, 0 to 1)."""
-    packed = docs.sparkSession.sparkContext.broadcast(zlib.compress(pickle.dumps(Model(model.labels, model.tables)), 3))
+    packed = docs.sparkSession.sparkContext.broadcast(zlib.compress(pickle.dumps(Model(model.labels, model.tables, model.known)), 3))
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
         found = _loaded(packed.value).predict(batch.column(0).to_pylist())
