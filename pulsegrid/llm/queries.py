@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import byte_bpe, gif, language_id, line_dedup, lm_scoring, minhash, mixing, pivots, token_counts
+from pulsegrid.llm import byte_bpe, gif, language_id, line_dedup, lm_scoring, minhash, mixing, pivots, suffix_dedup, token_counts
 from pulsegrid.llm.common import table
 
 
@@ -47,6 +47,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_repeats(docs).select("doc_id", "text", "n_removed", F.size("removed_spans").alias("n_spans"), "removed_spans")
 
 
+def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     utf8 = F.coalesce(F.col("text"), F.lit("")).cast("binary")
@@ -73,6 +78,7 @@ QUERIES = {
     "op3_pivots": op3_pivots,
     "op4_mixing": op4_mixing,
     "op5_line_dedup": op5_line_dedup,
+    "op6_suffix_array": op6_suffix_array,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_minhash": op8_minhash,
     "op9_gif": op9_gif,
