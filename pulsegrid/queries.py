@@ -13,6 +13,8 @@ from pulsegrid.config import DetectorConfig
 from pulsegrid.functions import cards
 from pulsegrid.operators import attempts, clips, episodes, messages, monitors, readings, roster, study
 from pulsegrid.sources import contract, logs
+from pulsegrid.streaming import detector
+from pulsegrid.streaming import sources as streams
 
 CFG = DetectorConfig(window=o.W, baseline=o.B, k=o.K, hold_cap=o.CAP, cooldown=o.COOLDOWN, fraction=o.FRACTION, bucket_seconds=o.HOUR)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -569,3 +571,32 @@ def attempt_schedule(spark, sf_dir):
 def outcome_apply(spark, sf_dir):
     log = _log(spark, sf_dir)
     return attempts.applied(attempts.outcomes(log), log.groupBy("anomaly_id").agg(F.min("key").alias("key")))[2]
+
+
+# streams, run over all input there is
+
+
+def _stream(spark, sf_dir) -> DataFrame:
+    rows = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return rows.select("event_type", F.timestamp_millis(messages.epoch_ms(F.col("ts"))).alias("at"))
+
+
+_CLOSED = f"(SELECT max(second) FROM c WHERE (second + 1) * {o.HOUR * 1000} <= (SELECT max(epoch_us(ts)) // 1000 - 5000 FROM events))"
+
+
+@query(_R + f"SELECT key, second, n FROM c WHERE second <= {_CLOSED}")
+def stream_counts(spark, sf_dir):
+    closed = detector.bucket_counts(_stream(spark, sf_dir), "event_type", "at", CFG)
+    return streams.drained(closed.select("key", F.floor(F.unix_seconds("window.start") / o.HOUR).alias("second"), "n"), "stream_counts")
+
+
+@query(_e() + f"SELECT {_EPISODE} FROM episodes WHERE fired_at <= {_CLOSED}")
+def stream_anomalies(spark, sf_dir):
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store, None)
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        rows = streams.drained(detector.episodes(detector.bucket_counts(_stream(spark, sf_dir), "event_type", "at", CFG), CFG), "stream_anomalies")
+    finally:
+        spark.conf.set(store, before) if before else spark.conf.unset(store)
+    return rounded(rows, *_DOUBLES)
