@@ -9,9 +9,10 @@
 4. What is left is verified on the full sets of shingles.
 
 Components need not be told every link within them. So the first pass compares each class with the smallest of its band
-bucket only. The second pass takes the buckets whose classes are then still of different components and compares all
-their pairs of different components, a block of 256 x 256 a group, within tasks. Every candidate pair is thus either
-compared or already joined; nothing is capped, and no bucket meets in one task.
+bucket only, and the next ones with the member that has most links so far, as copies of a text are most alike to the text
+itself. The last pass takes the buckets whose classes are then still of different components and compares all their pairs
+of different components, a block of 256 x 256 a group, within tasks. Every candidate pair is thus either compared or
+already joined; nothing is capped, and no bucket meets in one task.
 
 Null or empty text, or text without words, has no shingles and links with nothing. Fewer than five words make one shingle
 of the whole sequence. Rows that share a doc_id count as one document; a null doc_id links with nothing and is kept.
@@ -36,6 +37,8 @@ from pulsegrid.llm.groups import key_runs
 
 WORDS, HASHES, BANDS, STEP = 5, 128, 32, 16
 MISS = 1e-6
+#: Passes over hubs before the blocks.
+HUBS = 3
 BLOCK = 256
 _REMEMBERED = 200_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -137,6 +140,23 @@ def _compared(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFra
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, _PAIR)
 
 
+def _marked(inside: DataFrame, links: DataFrame) -> DataFrame:
+    """The members of buckets that hold several components so far, each with its component as label."""
+    found = components(links)
+    labelled = written(inside.join(found, "node", "left").select("bucket", "n", "node", F.coalesce("component", "node").alias("label")))
+    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("bucket")
+    return labelled.join(mixed, "bucket", "left_semi")
+
+
+def _to_hubs(marked: DataFrame, links: DataFrame) -> DataFrame:
+    """Pairs of each member with the member of its bucket that has most links, if they are of different components."""
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    known = written(marked.join(degree, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0))))
+    best = known.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("node")).alias("minus"), "label")).alias("hub"))
+    far = known.join(best, "bucket").filter("label != hub.label").withColumn("hub_node", -F.col("hub.minus"))
+    return far.select(F.greatest("node", "hub_node").alias("a"), F.least("node", "hub_node").alias("b")).distinct()
+
+
 def _block_pairs(members: DataFrame, threshold: float) -> DataFrame:
     """members: bucket, n, node, label, signature. Pairs of a bucket with different labels that comparison leaves."""
     blocks = F.ceil(F.col("n") / BLOCK)
@@ -201,16 +221,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     with_first = inside.filter("node != first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
     rows = named.filter("doc_id IS NOT NULL")
     links = written(_verified(_compared(with_first, classes, threshold), rows, threshold))
-    labels = components(links)
-
-    def labelled(some: DataFrame) -> DataFrame:
-        return some.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-
-    marked = written(labelled(inside.filter("n > 2")))
-    mixed = marked.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("bucket")
-    members = marked.join(mixed, "bucket", "left_semi").join(classes.select("node", "signature"), "node").select("bucket", "n", "node", "label", "signature")
-    more = written(_block_pairs(members, threshold))
-    links = links.unionByName(_verified(more, rows, threshold))
+    inside = inside.filter("n > 2").select("bucket", "n", "node")  # pairs are done
+    for _ in range(HUBS):
+        more = written(_verified(_compared(written(_to_hubs(_marked(inside, links), links)), classes, threshold), rows, threshold))
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+    members = _marked(inside, links).join(classes.select("node", "signature"), "node").select("bucket", "n", "node", "label", "signature")
+    links = links.unionByName(_verified(written(_block_pairs(members, threshold)), rows, threshold))
     # rows of one document under several digests hold together by their doc_id; classes by their digest
     of_class = whole.select("doc_id", "digest").join(classes.select("digest", "node"), "digest").filter("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     found = components(links.unionByName(of_class))
