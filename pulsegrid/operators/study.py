@@ -31,7 +31,7 @@ def trigger_sweep(read: DataFrame, cfg: DetectorConfig, ks: list[float]) -> Data
     totals = found.groupBy("k").agg(F.count("*").alias("episodes"), F.percentile(ratio, F.lit(0.5)).alias("median_ratio"))
     out = by_k.join(totals, "k", "left").join(busiest, "k", "left").withColumn("episodes", F.coalesce("episodes", F.lit(0)))
     span = F.col("_width") * hours
-    return out.select("k", (F.col("_high") / F.col("_rows")).alias("share"), "episodes", (F.col("episodes") / (F.col("_rows") * hours)).alias("per_key_hour"), (F.col("episodes") / span * 24).alias("per_day"), "median_ratio", (F.coalesce("firing_keys", F.lit(0)) / F.col("_keys")).alias("firing_share"), (F.col("_most") / F.col("episodes")).alias("busiest_share"))
+    return out.select("k", F.try_divide("_high", "_rows").alias("share"), "episodes", F.try_divide("episodes", F.col("_rows") * hours).alias("per_key_hour"), (F.try_divide("episodes", span) * 24).alias("per_day"), "median_ratio", F.try_divide(F.coalesce("firing_keys", F.lit(0)), "_keys").alias("firing_share"), F.try_divide("_most", "episodes").alias("busiest_share"))
 
 
 def cap_sweep(read: DataFrame, cfg: DetectorConfig, caps: list[int]) -> DataFrame:
@@ -50,7 +50,7 @@ def cooldown_sweep(read: DataFrame, cfg: DetectorConfig, cooldowns: list[int]) -
     """For each cooldown: episodes, how many fewer than without one, and that as a share."""
     found = sweep(read, params(read.sparkSession, cfg, cooldown=sorted({0, *cooldowns}))).groupBy("cooldown").agg(F.count("*").alias("episodes"))
     none = F.max(F.when(F.col("cooldown") == 0, F.col("episodes"))).over(Window.partitionBy())
-    return found.withColumn("suppressed", none - F.col("episodes")).withColumn("share", F.col("suppressed") / none)
+    return found.withColumn("suppressed", none - F.col("episodes")).withColumn("share", F.try_divide("suppressed", none))
 
 
 def recovery_curve(read: DataFrame, found: DataFrame, cfg: DetectorConfig, offsets: list[int]) -> DataFrame:
@@ -89,7 +89,7 @@ def gate_sweep(read: DataFrame, cfg: DetectorConfig, fractions: list[float]) ->
     blocked = low.select("n", rows.alias("_r")).select("n", "_r.*")
     missed = never.select(F.posexplode(F.array(*never.columns)).alias("i", "never"))
     found = sweep(read, params(read.sparkSession, cfg, gate=sorted({*gates.values()}))).groupBy("gate").agg(F.count("*").alias("episodes"), F.max("peak_intensity").alias("max_peak"))
-    return blocked.join(missed, "i").join(found, "gate", "left").select("fraction", "gate", "blocked", (F.col("blocked") / F.col("n")).alias("blocked_share"), F.col("never").alias("never_clear"), F.coalesce("episodes", F.lit(0)).alias("episodes"), "max_peak")
+    return blocked.join(missed, "i").join(found, "gate", "left").select("fraction", "gate", "blocked", F.try_divide("blocked", "n").alias("blocked_share"), F.col("never").alias("never_clear"), F.coalesce("episodes", F.lit(0)).alias("episodes"), "max_peak")
 
 
 def admitted_profile(read: DataFrame, gate: int, reference_gate: int) -> DataFrame:

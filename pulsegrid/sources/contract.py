@@ -16,7 +16,7 @@ def report(lines: DataFrame, line: str = "line") -> DataFrame:
     """One row: lines read, shares of lines that are no message or have no sent_at, and the ingest lag in ms."""
     m = lines.select(F.from_json(line, MESSAGE).alias("m")).select("m.*")
     lag = F.col("timestamp") - F.col("sent_at")
-    share = lambda c: F.coalesce(F.count_if(c) / F.count("*"), F.lit(0.0))
+    share = lambda c: F.coalesce(F.try_divide(F.count_if(c), F.count("*")), F.lit(0.0))
     return m.agg(F.count("*").alias("rows_read"), share(F.col("broadcaster_id").isNull()).alias("unparsed_share"), share(F.col("sent_at").isNull()).alias("no_sent_at_share"), F.min(lag).alias("lag_min"), F.percentile(lag, F.lit(0.5)).alias("lag_p50"), F.max(lag).alias("lag_max"))
 
 
