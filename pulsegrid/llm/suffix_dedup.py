@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from pulsegrid.llm.suffix_array import DEPTH, least_by_string, load64, merge, strings
 
-PART, BLOCK_BYTES, LIST_BYTES, SHARD_BYTES = 16, 8_000_000, 32_000_000, 1_500_000
+PART, BLOCK_BYTES, LIST_BYTES, SHARD_BYTES = 16, 4_000_000, 32_000_000, 800_000
 SPREAD = DEPTH - PART + 1
 _PLACE = np.uint64((1 << 27) - 1)
 
