@@ -35,7 +35,7 @@ def _large(edges: DataFrame) -> DataFrame:
     both = edges.select(F.col("b").alias("node"), F.col("a").alias("other")).unionByName(edges.select(F.col("a").alias("node"), F.col("b").alias("other")))
     least = both.groupBy("node").agg(F.min("other").alias("low"))
     up = edges.select(F.col("b").alias("node"), F.col("a").alias("other"))
-    return up.join(least, "node").select(F.col("other").alias("a"), F.least("node", "low").alias("b")).distinct()
+    return up.join(least, "node").select(F.col("other").alias("a"), F.least("node", "low").alias("b"))
 
 
 def _small(edges: DataFrame) -> DataFrame:

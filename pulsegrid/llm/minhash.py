@@ -9,8 +9,8 @@
 4. What is left is verified on the full sets of shingles.
 
 Components need not be told every link within them. So the first pass compares each class with the smallest of its band
-bucket only, and the next ones with the member that has most links so far, as copies of a text are most alike to the text
-itself. The last pass takes the buckets whose classes are then still of different components and compares all their pairs
+bucket only, and the next one with the member that has most links so far, as copies of a text are most alike to the text itself.
+The last pass takes the buckets whose classes are then still of different components and compares all their pairs
 of different components, a block of 256 x 256 a group, within tasks. Every candidate pair is thus either compared or
 already joined; nothing is capped, and no bucket meets in one task.
 
@@ -37,8 +37,6 @@ from pulsegrid.llm.groups import key_runs
 
 WORDS, HASHES, BANDS, STEP = 5, 128, 32, 16
 MISS = 1e-6
-#: Passes over hubs before the blocks.
-HUBS = 3
 BLOCK = 256
 _REMEMBERED = 200_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -145,13 +143,13 @@ def _marked(inside: DataFrame, links: DataFrame) -> DataFrame:
     found = components(links)
     labelled = written(inside.join(found, "node", "left").select("bucket", "n", "node", F.coalesce("component", "node").alias("label")))
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("bucket")
-    return labelled.join(mixed, "bucket", "left_semi")
+    return written(labelled.join(mixed, "bucket", "left_semi"))
 
 
 def _to_hubs(marked: DataFrame, links: DataFrame) -> DataFrame:
     """Pairs of each member with the member of its bucket that has most links, if they are of different components."""
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-    known = written(marked.join(degree, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0))))
+    known = marked.join(degree, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
     best = known.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("node")).alias("minus"), "label")).alias("hub"))
     far = known.join(best, "bucket").filter("label != hub.label").withColumn("hub_node", -F.col("hub.minus"))
     return far.select(F.greatest("node", "hub_node").alias("a"), F.least("node", "hub_node").alias("b")).distinct()
@@ -187,15 +185,19 @@ def _block_pairs(members: DataFrame, threshold: float) -> DataFrame:
     return dealt.mapInArrow(run, _PAIR).distinct()
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose full sets have at least the threshold's similarity. docs: doc_id, text."""
-    ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and its full set, of the documents that any pair can hold: made once, read by every pass."""
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
         return [pa.array([shingles(t).tobytes() for t in batch.column(0).to_pylist()], pa.binary())]
 
-    sets = written(add_columns(docs.join(ends, "doc_id", "left_semi"), {"text": F.col("text")}, _SET, run, keep=["doc_id"]))
-    left, right = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
+    rows = docs.withColumnRenamed("doc_id", "node").join(nodes, "node", "left_semi")
+    return written(add_columns(rows, {"text": F.col("text")}, _SET, run, keep=["node"]))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose full sets have at least the threshold's similarity."""
+    left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
 
     def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,16 +221,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     shared = written(bands.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1"))
     inside = written(bands.join(shared, "bucket"))
     with_first = inside.filter("node != first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
-    rows = named.filter("doc_id IS NOT NULL")
-    links = written(_verified(_compared(with_first, classes, threshold), rows, threshold))
+    sets = _sets(named.filter("doc_id IS NOT NULL"), inside.select("node").distinct())
+    links = written(_verified(_compared(with_first, classes, threshold), sets, threshold))
     inside = inside.filter("n > 2").select("bucket", "n", "node")  # pairs are done
-    for _ in range(HUBS):
-        more = written(_verified(_compared(written(_to_hubs(_marked(inside, links), links)), classes, threshold), rows, threshold))
-        if more.isEmpty():
-            break
-        links = links.unionByName(more)
-    members = _marked(inside, links).join(classes.select("node", "signature"), "node").select("bucket", "n", "node", "label", "signature")
-    links = links.unionByName(_verified(written(_block_pairs(members, threshold)), rows, threshold))
+    marked = _marked(inside, links)
+    links = written(links.unionByName(_verified(_compared(_to_hubs(marked, links), classes, threshold), sets, threshold)))
+    members = _marked(marked.select("bucket", "n", "node"), links).join(classes.select("node", "signature"), "node").select("bucket", "n", "node", "label", "signature")
+    links = links.unionByName(_verified(_block_pairs(members, threshold), sets, threshold))
     # rows of one document under several digests hold together by their doc_id; classes by their digest
     of_class = whole.select("doc_id", "digest").join(classes.select("digest", "node"), "digest").filter("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     found = components(links.unionByName(of_class))
