@@ -20,34 +20,44 @@ other. An empty table gives an empty table. Other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulsegrid.llm.suffix_array import DEPTH, least_by_string, load64, merge, strings
 
-PART, BLOCK_BYTES, LIST_BYTES, SHARD_BYTES = 16, 4_000_000, 32_000_000, 800_000
+PART, BLOCK_BYTES, LIST_BYTES, SHARD_BYTES = 16, 4_000_000, 12_000_000, 800_000
 SPREAD = DEPTH - PART + 1
 _PLACE = np.uint64((1 << 27) - 1)
 
 _LISTS = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("block", T.LongType()), T.StructField("once", T.BinaryType()), T.StructField("more", T.BinaryType())])
-_NOTES = T.StructType([T.StructField("block", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("hashes", T.BinaryType()), T.StructField("doc_id", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())])
+_NOTES = T.StructType([T.StructField("block", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("hashes", T.BinaryType()), T.StructField("doc_id", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType()), T.StructField("digest", T.StringType())])
 _STRETCH = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("bytes", T.BinaryType()), T.StructField("docs", T.BinaryType()), T.StructField("starts", T.BinaryType())])
 _SPAN = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())])
 _RESULT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("kept", T.BinaryType())])
 
 
+def _rows(docs: pa.Table, notes: pa.Table) -> Iterator[tuple[int | None, bytes, bool]]:
+    """doc_id, text and whether it is a whole copy of an earlier one, as the notes with a digest say."""
+    copies = {d: x for d, x in zip(notes.column("doc_id").to_pylist(), notes.column("digest").to_pylist(), strict=True) if x is not None} if notes.num_rows else {}
+    for d, text in zip(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist(), strict=True):
+        digest = copies.get(d) if d is not None else None
+        yield d, text, digest is not None and digest == hashlib.sha256(text).hexdigest()
+
+
 class _Texts:
     """The texts of a block in a row, but for whole copies, with the anchor of each 50-byte string."""
 
-    def __init__(self, docs: pa.Table):
-        use = [(i, d, t) for i, d, t, copy in zip(range(docs.num_rows), docs.column("doc_id").to_pylist(), docs.column("text").to_pylist(), docs.column("copy").to_pylist(), strict=True) if d is not None and not copy and len(t) >= DEPTH]
-        raw = [t for _, _, t in use]
-        self.doc_ids = np.array([d for _, d, _ in use], dtype=np.int64)
+    def __init__(self, docs: pa.Table, notes: pa.Table):
+        use = [(d, t) for d, t, copy in _rows(docs, notes) if d is not None and not copy and len(t) >= DEPTH]
+        raw = [t for _, t in use]
+        self.doc_ids = np.array([d for d, _ in use], dtype=np.int64)
         self.ends = np.cumsum([len(t) for t in raw], dtype=np.int64)
         self.begins = self.ends - np.array([len(t) for t in raw], dtype=np.int64)
         self.data = np.frombuffer(b"".join(raw), dtype=np.uint8)
@@ -91,9 +101,10 @@ def _part(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
 
 
-def _lists(docs: pa.Table, block: int, parts: int) -> pa.Table:
+def _lists(docs: pa.Table, notes: pa.Table, parts: int) -> pa.Table:
     """The block's anchors, split by hash: those of one document of the block, and those of several."""
-    texts = _Texts(docs)
+    texts = _Texts(docs, notes)
+    block = docs.column("block")[0].as_py() if docs.num_rows else 0
     first, _ = texts.runs()
     place = texts.anchor[first]
     h, doc = texts.hash[place], texts.doc_of(place)
@@ -115,15 +126,15 @@ def _repeated(lists: pa.Table) -> pa.Table:
     twice = every[1:][every[1:] == every[:-1]]
     rows = [(b, found.tobytes()) for b, x, y in own if len(found := np.intersect1d(np.concatenate([x, y]), twice))]
     n = len(rows)
-    return pa.Table.from_arrays([pa.array([b for b, _ in rows], pa.int64()), pa.array([part] * n, pa.int32()), pa.array([h for _, h in rows], pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32())], names=_NOTES.names)
+    return pa.Table.from_arrays([pa.array([b for b, _ in rows], pa.int64()), pa.array([part] * n, pa.int32()), pa.array([h for _, h in rows], pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())], names=_NOTES.names)
 
 
 def _stretches(docs: pa.Table, notes: pa.Table, parts: int) -> pa.Table:
     """The block's strings whose anchor is repeated, in stretches; equal stretches once, with all places."""
-    texts = _Texts(docs)
+    texts = _Texts(docs, notes)
     first, end = texts.runs()
     h = texts.hash[texts.anchor[first]]
-    wanted = [np.frombuffer(x, dtype=np.uint32).astype(np.uint64) | np.uint64(p << 32) for p, x in zip(notes.column("part").to_pylist(), notes.column("hashes").to_pylist(), strict=True)]
+    wanted = [np.frombuffer(x, dtype=np.uint32).astype(np.uint64) | np.uint64(p << 32) for p, x in zip(notes.column("part").to_pylist(), notes.column("hashes").to_pylist(), strict=True) if p is not None]
     wanted = np.concatenate(wanted) if wanted else np.zeros(0, dtype=np.uint64)
     some = np.flatnonzero(np.isin((_part(h, parts).astype(np.uint64) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF)), wanted))
     begin, stop = texts.starts[first[some]], texts.starts[end[some] - 1] + DEPTH
@@ -224,12 +235,13 @@ def _shards(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _cut(docs: pa.Table, notes: pa.Table) -> pa.Table:
     """Each text without the bytes of its spans."""
-    order = np.argsort(notes.column("doc_id").to_numpy(), kind="stable")
-    ids, start, stop = (notes.column(c).to_numpy()[order] for c in ("doc_id", "start", "stop"))
+    spans = notes.filter(pc.is_valid(notes.column("start")))
+    order = np.argsort(spans.column("doc_id").to_numpy(), kind="stable")
+    ids, start, stop = (spans.column(c).to_numpy()[order] for c in ("doc_id", "start", "stop"))
     rows = []
     own = np.array([-1 if d is None else d for d in docs.column("doc_id").to_pylist()], dtype=np.int64)
     low, high = np.searchsorted(ids, own, side="left").tolist(), np.searchsorted(ids, own, side="right").tolist()
-    for d, text, copy, a, b in zip(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist(), docs.column("copy").to_pylist(), low, high, strict=True):
+    for (d, text, copy), a, b in zip(_rows(docs, notes), low, high, strict=True):
         cover = np.zeros(len(text) + 1, dtype=np.int64)
         if copy and len(text) >= DEPTH:
             cover[0], cover[-1] = 1, -1
@@ -251,21 +263,26 @@ def remove_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks, parts = max(1, -(-total // BLOCK_BYTES)), max(1, -(-total // LIST_BYTES))
-    block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("long")
-    marks = rows.filter(f"doc_id IS NOT NULL AND octet_length(text) >= {DEPTH}").select("doc_id", F.sha2("text", 256).alias("digest"))
-    first = marks.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    copies = marks.join(first, "digest").filter("doc_id > first").select("doc_id", "digest").distinct()
-    held = rows.withColumn("digest", F.when(F.octet_length("text") >= DEPTH, F.sha2("text", 256))).join(copies.withColumn("copy", F.lit(True)), ["doc_id", "digest"], "left")
-    texts = held.select(block.alias("block"), "doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"))
-
-    def lists(key: tuple, group: pa.Table) -> pa.Table:
-        return _lists(group, key[0].as_py(), parts)
+    block_of = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("long")
+    marks = rows.filter(f"doc_id IS NOT NULL AND octet_length(text) >= {DEPTH}").select(F.col("doc_id").alias("marked"), F.sha2("text", 256).alias("digest"))
+    first = marks.groupBy("digest").agg(F.min("marked").alias("first"), F.count("*").alias("n")).filter("n > 1").select(F.col("digest").alias("same"), "first")
+    nothing = {"part": "int", "hashes": "binary", "start": "int", "stop": "int", "digest": "string"}
+    none = lambda *names: [F.lit(None).cast(nothing[n]).alias(n) for n in names]
+    copies = marks.join(first, F.col("digest") == F.col("same")).filter("marked > first").select("marked", "same").distinct()
+    copied = copies.select(block_of("marked").alias("block"), *none("part", "hashes"), F.col("marked").alias("doc_id"), *none("start", "stop"), F.col("same").alias("digest"))
+    texts = rows.select(block_of("doc_id").alias("block"), "doc_id", "text")
+
+    def lists(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _lists(left, right, parts)
 
     def stretches(left: pa.Table, right: pa.Table) -> pa.Table:
         return _stretches(left, right, parts)
 
-    repeated = texts.groupBy("block").applyInArrow(lists, _LISTS).groupBy("part").applyInArrow(_repeated, _NOTES)
-    found = texts.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(stretches, _STRETCH)
+    def by_block(notes: DataFrame, function, schema: T.StructType) -> DataFrame:
+        return texts.groupBy("block").cogroup(notes.groupBy("block")).applyInArrow(function, schema)
+
+    repeated = by_block(copied, lists, _LISTS).groupBy("part").applyInArrow(_repeated, _NOTES)
+    found = by_block(repeated.unionByName(copied), stretches, _STRETCH)
     spans = found.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shards, _SPAN)
-    told = spans.select(block.alias("block"), F.lit(None).cast("int").alias("part"), F.lit(None).cast("binary").alias("hashes"), "doc_id", "start", "stop")
-    return texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_cut, _RESULT)
+    told = spans.select(block_of("doc_id").alias("block"), *none("part", "hashes"), "doc_id", "start", "stop", *none("digest"))
+    return by_block(told.unionByName(copied), _cut, _RESULT)
