@@ -121,7 +121,7 @@ def sketch(docs: DataFrame, text: str = "text") -> DataFrame:
 def _band_rows(classes: DataFrame) -> DataFrame:
     width = 2 * HASHES // BANDS
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(F.substring(F.col("signature"), i * width + 1, F.lit(width)), i))
-    return classes.select("node", F.explode(keys).alias("bucket"))
+    return classes.select("node", F.posexplode(keys).alias("band", "bucket"))
 
 
 def _compared(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
@@ -141,7 +141,7 @@ def _compared(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFra
 def _marked(inside: DataFrame, links: DataFrame) -> DataFrame:
     """The members of buckets that hold several components so far, each with its component as label."""
     found = components(links)
-    labelled = written(inside.join(found, "node", "left").select("bucket", "n", "node", F.coalesce("component", "node").alias("label")))
+    labelled = written(inside.join(found, "node", "left").select("bucket", "band", "n", "node", F.coalesce("component", "node").alias("label")))
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("bucket")
     return written(labelled.join(mixed, "bucket", "left_semi"))
 
@@ -155,34 +155,64 @@ def _to_hubs(marked: DataFrame, links: DataFrame) -> DataFrame:
     return far.select(F.greatest("node", "hub_node").alias("a"), F.least("node", "hub_node").alias("b")).distinct()
 
 
-def _block_pairs(members: DataFrame, threshold: float) -> DataFrame:
-    """members: bucket, n, node, label, signature. Pairs of a bucket with different labels that comparison leaves."""
+def _alike(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
+    both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
+    return len(x) > 0 and both >= threshold * (len(x) + len(y) - both) - 1e-9
+
+
+def _block_links(members: DataFrame, threshold: float) -> DataFrame:
+    """members: bucket, band, n, node, label, signature, shingles. Verified links that join different labels of a bucket.
+
+    A pair is taken in the first band that it shares, and left out once its block has joined its labels; so no row is
+    made for a pair that is only compared.
+    """
     blocks = F.ceil(F.col("n") / BLOCK)
     own = F.pmod(F.xxhash64("node", F.lit(7)), blocks)
     spread = members.withColumn("own", own).withColumn("far", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = spread.select("bucket", F.least("own", "far").alias("i"), F.greatest("own", "far").alias("j"), "own", "node", "label", "signature")
+    rows = spread.select("bucket", F.least("own", "far").alias("i"), F.greatest("own", "far").alias("j"), "own", "band", "node", "label", "signature", "shingles")
 
-    def pairs_of(own: np.ndarray, node: np.ndarray, label: np.ndarray, sig: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+    def links_of(group: pa.Table) -> list[tuple[int, int]]:
+        sig = np.frombuffer(b"".join(group.column("signature").to_pylist()), dtype="<u2").reshape(-1, HASHES)
+        own, node, label = (group.column(c).to_numpy() for c in ("own", "node", "label"))
+        i, j, band = (group.column(c)[0].as_py() for c in ("i", "j", "band"))
         x = np.flatnonzero(own == i)
         y = x if i == j else np.flatnonzero(own == j)
         a, b = (g.ravel() for g in np.meshgrid(x, y, indexing="ij"))
         wanted = label[a] != label[b]
-        wanted &= node[a] > node[b] if i == j else node[a] != node[b]
+        if i == j:
+            wanted &= node[a] > node[b]
         a, b = a[wanted], b[wanted]
         stay = _stay(lambda step, of: (sig[a[of], step * STEP : (step + 1) * STEP] == sig[b[of], step * STEP : (step + 1) * STEP]).sum(axis=1), len(a), threshold)
-        a, b = node[a[stay]], node[b[stay]]
-        return np.maximum(a, b), np.minimum(a, b)
+        a, b = a[stay], b[stay]
+        parent, out = {k: k for k in label.tolist()}, []
+
+        def root(k: int) -> int:
+            while parent[k] != k:
+                parent[k] = parent[parent[k]]
+                k = parent[k]
+            return k
+
+        sets: dict[int, np.ndarray] = {}
+        held = group.column("shingles")
+        for p, q in zip(a.tolist(), b.tolist(), strict=True):
+            one, two = root(int(label[p])), root(int(label[q]))
+            if one == two or int((sig[p] == sig[q]).reshape(BANDS, -1).all(axis=1).argmax()) != band:
+                continue
+            for k in (p, q):
+                if k not in sets:
+                    sets[k] = np.frombuffer(held[k].as_py(), dtype=np.uint64)
+            if _alike(sets[p], sets[q], threshold):
+                parent[max(one, two)] = min(one, two)
+                out.append((max(int(node[p]), int(node[q])), min(int(node[p]), int(node[q]))))
+        return out
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in key_runs(batches, ["bucket", "i", "j"]):
-            sig = np.frombuffer(b"".join(group.column("signature").to_pylist()), dtype="<u2").reshape(-1, HASHES)
-            own, node, label = (group.column(c).to_numpy() for c in ("own", "node", "label"))
-            a, b = pairs_of(own, node, label, sig, group.column("i")[0].as_py(), group.column("j")[0].as_py())
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            if found := links_of(group):
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found]), pa.array([q for _, q in found])], names=["a", "b"])
 
     dealt = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return dealt.mapInArrow(run, _PAIR).distinct()
+    return dealt.mapInArrow(run, _PAIR)
 
 
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -201,11 +231,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
     def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = (np.frombuffer(z.as_buffer(), dtype=np.uint64) for z in (x, y))
-                both = len(p) + len(q) - len(np.unique(np.concatenate([p, q])))
-                good.append(len(p) > 0 and both >= threshold * (len(p) + len(q) - both) - 1e-9)
+            good = [_alike(*(np.frombuffer(z.as_buffer(), dtype=np.uint64) for z in pair), threshold) for pair in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     return pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(check, _PAIR)
@@ -223,11 +249,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     with_first = inside.filter("node != first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
     sets = _sets(named.filter("doc_id IS NOT NULL"), inside.select("node").distinct())
     links = written(_verified(_compared(with_first, classes, threshold), sets, threshold))
-    inside = inside.filter("n > 2").select("bucket", "n", "node")  # pairs are done
+    inside = inside.filter("n > 2").select("bucket", "band", "n", "node")  # pairs are done
     marked = _marked(inside, links)
     links = written(links.unionByName(_verified(_compared(_to_hubs(marked, links), classes, threshold), sets, threshold)))
-    members = _marked(marked.select("bucket", "n", "node"), links).join(classes.select("node", "signature"), "node").select("bucket", "n", "node", "label", "signature")
-    links = links.unionByName(_verified(_block_pairs(members, threshold), sets, threshold))
+    members = _marked(marked.select("bucket", "band", "n", "node"), links).join(classes.select("node", "signature"), "node").join(sets, "node")
+    links = links.unionByName(_block_links(members, threshold))
     # rows of one document under several digests hold together by their doc_id; classes by their digest
     of_class = whole.select("doc_id", "digest").join(classes.select("digest", "node"), "digest").filter("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     found = components(links.unionByName(of_class))
