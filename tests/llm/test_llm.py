@@ -76,6 +76,22 @@ def test_lm_scores(spark):
     assert lm_scoring.scores(frame(spark, []), held, MULTI, steps=5).count() == 0
 
 
+def test_lm_learns_all_of_a_long_text(spark):
+    """Each subword and the end of a long text is a target once in what a task learns; the start draws on it all."""
+    text = " ".join(f"{'abcdefgh'[i % 8]}{i}" for i in range(3000))
+    docs = [(1, text), (2, ""), (3, "Short one")]
+    ids = [lm_scoring._subwords(MULTI).ids(lm_scoring.words_of(t)).tolist() for _, t in docs]
+    batch = frame(spark, [(d, t, None, None, 0) for d, t in docs]).select("doc_id", "text").toArrow().to_batches()
+    targets = Counter()
+    for _, _, t in lm_scoring.all_lessons(batch, MULTI):
+        targets.update(t[t >= 0].tolist())
+    assert targets == Counter(i for x in ids for i in [*x, attention.END])
+    first = spark.createDataFrame(docs, "order long, text string")
+    assert lm_scoring.first_lessons(first, MULTI).count() == sum(-(-(len(x) + 1) // attention.SCORED) for x in ids) > 100
+    least = lm_scoring.first_lessons(first.coalesce(1), MULTI, 10).collect()
+    assert sorted(r["order"] for r in least) == sorted(np.concatenate([lm_scoring._marks(d, -(-(len(x) + 1) // attention.SCORED)) for (d, _), x in zip(docs, ids, strict=True)]).tolist())[:10]
+
+
 # 2
 
 
