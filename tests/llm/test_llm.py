@@ -92,6 +92,17 @@ def test_lm_learns_all_of_a_long_text(spark):
     assert sorted(r["order"] for r in least) == sorted(np.concatenate([lm_scoring._marks(d, -(-(len(x) + 1) // attention.SCORED)) for (d, _), x in zip(docs, ids, strict=True)]).tolist())[:10]
 
 
+@pytest.mark.parametrize("text", ["\u8a9e\u8a00\u6a21\u578b" * 400, "QUJD" * 500, "x" * 501, "", " \n"])
+def test_lm_learns_text_without_white_space(text):
+    """Such text is learned like any other; END is a target once, after the last subword, and follows END in empty text only."""
+    ids = lm_scoring._subwords(MULTI).ids(lm_scoring.words_of(text))
+    inputs, _, targets = (np.concatenate(x) for x in zip(*attention.lessons(ids), strict=True))
+    learned = targets[targets >= 0].tolist()
+    assert learned == [*ids.tolist(), attention.END]
+    own = inputs[:, attention.CONTEXT :][targets >= 0].tolist()
+    assert own == [attention.END, *ids.tolist()]
+
+
 # 2
 
 
