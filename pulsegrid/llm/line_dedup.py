@@ -1,9 +1,15 @@
-"""Removal of repeated lines, and of repeated sentences within other lines.
+"""Removal of repeated lines, sentences, and runs of short lines or sentences.
 
-A unit is a line of at least `LINE_WORDS` words or a sentence of at least `SENTENCE_WORDS`: sentences catch passages that
-were put into the middle of a line. Units are normalised (A-Z lower-cased, runs of white space made one space, ends
-trimmed) and digested; digests are grouped globally. Of units with one digest, the first by (doc_id, text digest, offset)
-stays where it is, all others go. Text that is left is joined; removed_spans are character offsets in the original text.
+A unit is a line of at least `LINE_WORDS` words or a run of sentences of at least `SENTENCE_WORDS`. From each sentence a
+run takes as many as it needs, mostly that one; sentences end at a line's end, and are taken once more across lines, up
+to a blank line. So passages are found in the middle of lines, wrapped into short or other lines, and in short
+sentences. Where words are not parted by spaces, their number is estimated from characters. Text without sentence ends
+that is wrapped differently, or lies within other such text of a line, has no unit in common.
+
+Units are normalised (A-Z lower-cased, runs of white space made one space, ends trimmed) and digested, whatever their
+kind; digests are grouped globally. Of units with one digest, the first by (doc_id, text digest, offset) stays where it
+is unless it lies in another that goes; all others go. A unit that overlaps an earlier one of the same digest in its text
+is none. Text that is left is joined; removed_spans are character offsets in the original text.
 
 Only digests travel for the grouping; a digest that is very frequent is counted where it is found before it travels.
 
@@ -26,28 +32,81 @@ from pyspark.sql import types as T
 from pulsegrid.llm.common import add_columns, slices
 
 LINE_WORDS, SENTENCE_WORDS = 5, 8
-_SENTENCE = re.compile(r"[^.!?]+[.!?]*[ \t]*|[.!?]+[ \t]*")
+#: Scripts without spaces: those of about two characters a word, and those of about four, which part phrases by spaces.
+_IDEOGRAPHS = re.compile("[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+_LETTERS = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff"
+_UNSPACED = re.compile(f"[{_LETTERS}]")
+#: So many characters count as a word at least, as in very long tokens.
+_LONG = 12
+_END = re.compile(f"[.!?\u3002\uff01\uff1f\uff61\u0964\u061f\u06d4]+[ \\t]*|(?<=[{_LETTERS}])[ \\t]+(?=[{_LETTERS}])")
+_Piece = tuple[bytes, int, int, int]
 _UNITS = T.StructType([T.StructField("rank", T.LongType()), T.StructField("same", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())])
 _MADE = T.StructType([T.StructField("left_text", T.StringType()), T.StructField("n_removed", T.LongType()), T.StructField("removed_spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())])))])
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
 
+def _piece(text: str, start: int) -> _Piece:
+    """What is digested of a text, its size in words, start and end."""
+    words = text.encode().lower().split()
+    size = max(len(words), len(text.strip()) // _LONG) if words else 0
+    if words and not text.isascii():
+        size = max(size, len(_IDEOGRAPHS.findall(text)) // 2, len(_UNSPACED.findall(text)) // 4)
+    return b" ".join(words), size, start, start + len(text)
+
+
+def _runs(pieces: list[_Piece]) -> Iterator[tuple[int, int, bytes]]:
+    """From each piece, as many as make `SENTENCE_WORDS` words."""
+    for i, (normal, size, start, stop) in enumerate(pieces):
+        j = i + 1
+        if size < SENTENCE_WORDS:
+            while j < len(pieces) and size < SENTENCE_WORDS:
+                size += pieces[j][1]
+                j += 1
+            normal, stop = b" ".join(p[0] for p in pieces[i:j]), pieces[j - 1][3]
+        if size >= SENTENCE_WORDS:
+            yield start, stop, normal
+
+
 def units(text: str) -> Iterator[tuple[bytes, int, int]]:
-    """(digest, start, end) of a text's lines (with their line end) and sentences."""
+    """(digest, start, end) of a text's lines (with their line end) and runs of sentences, by start."""
+    found: list[tuple[int, int, bytes]] = []
+    pieces: list[_Piece] = []
+    sentences: list[_Piece] = []
+    group: list[_Piece] = []
+
+    def close() -> None:
+        if group:
+            sentences.append((b" ".join(p[0] for p in group), sum(p[1] for p in group), group[0][2], group[-1][3]))
+            group.clear()
+
     at = 0
     for line in text.split("\n"):
-        words = line.encode().lower().split()
-        if len(words) >= LINE_WORDS:
-            yield xxhash.xxh3_128_digest(b"L" + b" ".join(words)), at, min(at + len(line) + 1, len(text))
-        if len(words) >= SENTENCE_WORDS:
-            found = _SENTENCE.findall(line)
-            start = at
-            for sentence in found if len(found) > 1 else ():
-                some = sentence.encode().lower().split()
-                if len(some) >= SENTENCE_WORDS:
-                    yield xxhash.xxh3_128_digest(b"S" + b" ".join(some)), start, start + len(sentence)
-                start += len(sentence)
+        whole = _piece(line, at)
+        if whole[1] >= LINE_WORDS:
+            found.append((at, min(at + len(line) + 1, len(text)), whole[0]))
+        if not whole[1]:
+            close()
+        else:
+            ends = [m.end() for m in _END.finditer(line)]
+            cuts = [0, *ends] if ends and ends[-1] == len(line) else [0, *ends, len(line)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                piece = whole if len(cuts) == 2 else _piece(line[a:b], at + a)
+                if piece[1]:
+                    pieces.append(piece)
+                    group.append(piece)
+                if b in ends[-1:] or b < len(line):
+                    close()
         at += len(line) + 1
+    close()
+    found += _runs(pieces)
+    if len(sentences) < len(pieces):
+        found += _runs(sentences)
+    last: dict[bytes, int] = {}
+    for start, stop, normal in sorted(found, key=lambda f: (f[0], -f[1])):
+        digest = xxhash.xxh3_128_digest(normal)
+        if start >= last.get(digest, 0):
+            last[digest] = stop
+            yield digest, start, stop
 
 
 def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -219,6 +219,48 @@ def test_line_dedup_catches_passages_within_lines(spark):
     assert got[2] == "Another start. And more of it." and got[3].startswith("Clean text") and "together" in got[1]
 
 
+def test_line_dedup_matches_across_lines_and_scripts(spark):
+    alone = "This sentence stands alone on a line of its own today."
+    wrapped = "\n".join(f"short {w} line" for w in "abcdefghijklmnopqrstu")
+    brief = " ".join(f"He saw {w}." for w in ("one", "two", "three", "four", "five", "six", "seven", "eight"))
+    folded = "It was on the third day of the long march that they came to the river and saw no bridge."
+    chinese, thai = "\u8fd9\u662f\u4e00\u4e2a\u6ca1\u6709\u7a7a\u683c\u7684\u91cd\u590d\u53e5\u5b50\u5728\u6b64\u51fa\u73b0\u3002", "\u0e20\u0e32\u0e29\u0e32\u0e44\u0e17\u0e22\u0e44\u0e21\u0e48\u0e21\u0e35\u0e0a\u0e48\u0e2d\u0e07\u0e27\u0e48\u0e32\u0e07\u0e23\u0e30\u0e2b\u0e27\u0e48\u0e32\u0e07\u0e04\u0e33"
+    pairs = [
+        (alone, f"Before it. {alone} After it."),
+        (f"own a\n{wrapped}\nown b", f"other c\n{wrapped}\nother d"),
+        (f"Left. {brief} Right.", f"Up now. {brief} Down now."),
+        (folded, folded.replace("long ", "long\n").replace("came ", "came\n")),
+        (f"\u7532\u3002{chinese}\u4e59\u3002", f"\u4e19\u3002{chinese}\u4e01\u3002"),
+        (thai, f"\u0e01\n{thai}\n\u0e02"),
+    ]
+    rows = [(2 * i + k, t, None, None, 0) for i, pair in enumerate(pairs) for k, t in enumerate(pair)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.remove_repeats(frame(spark, rows)).collect()}
+    assert all(got[2 * i] == a for i, (a, _) in enumerate(pairs))
+    assert [got[2 * i + 1].split() for i in range(len(pairs))] == [["Before", "it.", "After", "it."], ["other", "c", "other", "d"], ["Up", "now.", "Down", "now."], [], ["\u4e19\u3002\u4e01\u3002"], ["\u0e01", "\u0e02"]]
+
+
+def test_line_dedup_leaves_no_fifty_words_twice(spark):
+    """An own matcher of 50 words finds nothing in what is left, however sentences and lines of passages are cut."""
+    draw = random.Random(5)
+    words = ["".join(draw.choice("abcdefghij") for _ in range(draw.randint(2, 8))) for _ in range(2000)]
+    say = lambda n: " ".join(draw.choice(words) for _ in range(n))
+    passages = [sep.join(say(size) + end for _ in range(-(-70 // size))) for size in (1, 2, 3, 5, 9) for sep, end in ((" ", "."), ("\n", ""), ("\n\n", ""))]
+    rows = [(d, f"{say(draw.randint(1, 30))}.{draw.choice(' \n')}{draw.choice(passages)}{draw.choice(' \n')}{say(draw.randint(1, 30))}.", None, None, 0) for d in range(90)]
+    repeated = lambda texts: sum(c - 1 for c in Counter(tuple(w[i : i + 50]) for t in texts for w in [t.split()] for i in range(len(w) - 49)).values())
+    assert repeated(r[1] for r in rows) > 1000
+    left = line_dedup.remove_repeats(frame(spark, rows)).collect()
+    assert repeated(r["text"] for r in left) == 0
+    # what stays of each passage: its first occurrence
+    assert all(any(say_.split()[10:-10] == t[i : i + len(say_.split()) - 20] for r in left for t in [r["text"].split()] for i in range(len(t))) for say_ in passages if any(say_ in r[1] for r in rows))
+
+
+def test_line_dedup_keeps_the_first_of_overlapping_repeats(spark):
+    text = "Ha. " * 20
+    got = line_dedup.remove_repeats(frame(spark, [(1, text, None, None, 0), (2, text, None, None, 0)])).collect()
+    left = {r["doc_id"]: r["text"] for r in got}
+    assert left[1].startswith("Ha. " * 8) and len(left[2]) < len("Ha. " * 8)
+
+
 # 6
 
 
