@@ -15,10 +15,10 @@ from functools import lru_cache
 import numpy as np
 import regex
 
+from pulsegrid.llm.common import Remembered
+
 #: Largest piece, in bytes, that goes through the batched trees.
 BATCHED_BYTES = 64
-#: Pieces remembered by a task before it forgets them all.
-REMEMBERED = 250_000
 _NEVER = np.int32(2**31 - 1)
 
 
@@ -214,20 +214,19 @@ class Encoder:
     """Texts to ids; remembers the ids of the pieces it has seen."""
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
-        self.vocabulary, self._find, self._seen = vocabulary, pieces(pattern), {}
+        self.vocabulary, self._find, self._seen = vocabulary, pieces(pattern), Remembered()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for some in portions(texts):
             split = [self._find(t) for t in some]
-            new = list(set().union(*split).difference(self._seen))
-            if len(self._seen) + len(new) > REMEMBERED:
-                self._seen, new = {}, list(set().union(*split))
-            self._seen.update(zip(new, self.vocabulary.merge_many([p.encode() for p in new]), strict=True))
-            get = self._seen.__getitem__
+            get = self._seen.filled(set().union(*split), self._ids).__getitem__
             out += [b"".join(map(get, found)) for found in split]
         return out
 
+    def _ids(self, new: list[str]) -> list[bytes]:
+        return self.vocabulary.merge_many([p.encode() for p in new])
+
 
 def pieces(pattern: str) -> Callable[[str], list[str]]:
     """Finds a pattern's matches."""

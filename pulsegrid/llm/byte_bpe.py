@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding of whole texts.
 
 Each match of the split pattern is encoded by itself, with the segment tree of `bpe`. There is no shuffle: every task
-encodes its own documents, and each Python worker remembers the pieces it has met.
+encodes its own documents, and remembers the pieces it has met within a bound.
 
 Null text counts as empty; an empty text has no ids. Texts of any length are encoded whole. Repeated rows are encoded
 each for itself; an empty table gives an empty table. Other columns are kept, but for those named like a made column.
@@ -12,7 +12,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulsegrid.llm.bpe import encoder, token_bytes
@@ -22,14 +21,14 @@ _IDS = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids
 _DECODED = T.StructType([T.StructField("decoded", T.BinaryType())])
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
-    """docs with n_tokens and ids: little-endian unsigned 32-bit integers, one after another."""
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """docs (or its columns `keep`) with n_tokens and ids: little-endian unsigned 32-bit integers, one after another."""
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
-        ids = encoder(ranks_path, pattern).encode(batch.column(0).to_pylist())
+        ids = encoder(ranks_path, pattern).encode([t or "" for t in batch.column(0).to_pylist()])
         return [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
 
-    return add_columns(docs, {"text": F.coalesce(F.col(text), F.lit(""))}, _IDS, run)
+    return add_columns(docs, {"text": text}, _IDS, run, keep)
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:
@@ -37,6 +36,6 @@ def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
         get = token_bytes(ranks_path).__getitem__
-        return [pa.array([b"".join(map(get, np.frombuffer(x, dtype="<u4").tolist())) for x in batch.column(0).to_pylist()], pa.binary())]
+        return [pa.array([b"".join(map(get, np.frombuffer(x or b"", dtype="<u4").tolist())) for x in batch.column(0).to_pylist()], pa.binary())]
 
-    return add_columns(encoded, {"ids": F.coalesce(F.col(ids), F.lit(b""))}, _DECODED, run)
+    return add_columns(encoded, {"ids": ids}, _DECODED, run)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,10 +27,10 @@ def ascii_lower(text: Column) -> Column:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the shared folder that the cluster names; sets one only where none is set, as in tests."""
+    """Uses the shared folder that the cluster names; where none is set, as in tests, one in the warehouse, which is shared too."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pulsegrid-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -60,6 +60,54 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+_BATCH_KEY, _BATCH_DEFAULT, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Has rows handed to Python a few megabytes at a time, unless the session has a bound of its own.
+
+    By default a batch holds 64 MB, of which an executor has several at once for each core, beside its heap.
+    """
+    if spark.conf.get(_BATCH_KEY, None) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_KEY, _BATCH_BYTES)
+
+
+class Remembered:
+    """What a worker has worked out for keys, in two generations of about `most` bytes each.
+
+    When the young one is full it becomes the old one, whose entries come back as they are asked for: frequent keys stay,
+    and memory does not grow with the keys that are met.
+    """
+
+    _all: list[Remembered] = []
+
+    def __init__(self, most: int = 12_000_000):
+        self.most, self.young, self.old, self.size = most, {}, {}, 0
+        self._all.append(self)
+
+    def filled(self, wanted: set, make: Callable[[list], Iterable[Any]]) -> dict:
+        """A dictionary with (at least) the wanted keys; make gives the values of those that are not known."""
+        new = wanted.difference(self.young)
+        if new and self.size > self.most:
+            self.young, self.old, self.size = {}, self.young, 0
+            new = wanted
+        if new:
+            young, old = self.young, self.old
+            unknown = [k for k in new if k not in old]
+            young.update((k, old[k]) for k in new if k in old)
+            before = len(young)
+            young.update(zip(unknown, make(unknown), strict=True))
+            assert len(young) == before + len(unknown)
+            self.size += sum(map(len, new)) + 150 * len(new)
+        return self.young
+
+    @classmethod
+    def forget(cls) -> None:
+        """Empties all of this worker's; called at a task's end, as workers outlive tasks, stages and queries."""
+        for one in cls._all:
+            one.young, one.old, one.size = {}, {}, 0
+
+
 def slices(batch: pa.RecordBatch, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """The rows of a batch in runs of about so many bytes, which keeps what a worker makes of a run small."""
     rows = max(1, int(batch.num_rows * size / max(size, batch.nbytes)))
@@ -67,22 +115,29 @@ def slices(batch: pa.RecordBatch, size: int = 4_000_000) -> Iterator[pa.RecordBa
         yield batch.slice(at, rows)
 
 
-def add_columns(df: DataFrame, inputs: dict[str, Column], made: T.StructType, function, keep: list[str] | None = None) -> DataFrame:
-    """Runs function(iterator of record batches) over df's rows and appends the columns it makes.
+def add_columns(df: DataFrame, inputs: dict[str, Column | str], made: T.StructType, function, keep: list[str] | None = None) -> DataFrame:
+    """Runs function(record batch) over df's rows and appends the columns it makes.
 
-    inputs: name seen by function -> expression. function gets batches with those columns and yields, for each batch,
-    a list of Arrow arrays, one per field of `made`, as long as the batch. Columns of df with a made name give way.
+    inputs: name seen by function -> expression, or the name of a column, which travels once if it is kept as well.
+    function gets batches with those columns and gives a list of Arrow arrays, one per field of `made`, as long as the
+    batch. Columns of df with a made name give way. What workers remember is forgotten at each task's end.
     """
+    small_batches(df.sparkSession)
     names = [c for c in (df.columns if keep is None else keep) if c.lower() not in {f.name.lower() for f in made}]
     kinds = {f.name: f for f in df.schema}
-    feed = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(names)], *[e.alias(f"in_{n}") for n, e in inputs.items()])
+    own = {n: e for n, e in inputs.items() if not (isinstance(e, str) and e in names)}
+    feed = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(names)], *[(F.col(f"`{e}`") if isinstance(e, str) else e).alias(f"in_{n}") for n, e in own.items()])
     schema = T.StructType([T.StructField(f"k{i}", kinds[c].dataType) for i, c in enumerate(names)] + list(made))
     width, wanted, seen_names = len(names), [f.name for f in made], list(inputs)
+    places = [width + list(own).index(n) if n in own else names.index(e) for n, e in inputs.items()]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole)):
-            seen = pa.RecordBatch.from_arrays(batch.columns[width:], names=seen_names)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *function(seen)], names=[*(f"k{i}" for i in range(width)), *wanted])
+        try:
+            for batch in (part for whole in batches for part in slices(whole)):
+                seen = pa.RecordBatch.from_arrays([batch.column(k) for k in places], names=seen_names)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:width], *function(seen)], names=[*(f"k{i}" for i in range(width)), *wanted])
+        finally:
+            Remembered.forget()
 
     out = feed.mapInArrow(run, schema)
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(names)], *wanted)

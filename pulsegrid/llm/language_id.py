@@ -4,23 +4,22 @@ A word that the model knows adds its log frequency in each language. A word it d
 n-grams of which the model knows any, the mean of their log frequencies standing for the word. Texts are whole; a word
 is a run of letters, lower-cased.
 
-The model is fitted on a bounded sample: of each label about `per_label` rows, chosen by a hash of their id, and of what
-they hold the `max_words` most frequent words and `max_grams` most frequent n-grams. So the model has a fixed largest
-size, and is sent to the workers whole. Prediction covers every row.
+The model is fitted on a bounded sample of labelled rows: of each label about `per_label`, chosen by a hash of their id.
+It knows all words and n-grams that these hold, and is sent to the workers whole. Prediction covers every row.
 
-Null text, or text without a letter, gives `und` with score 0. Rows without a label, text or id do not teach. Repeated
-rows are predicted each for itself and alike. With no rows to learn from, every text is `und`; an empty table gives an
-empty table. Other columns are kept, but for those named like a made column.
+Null text, or text without a letter, gives `und` with score 0. Of languages with equal scores, as for a text of which
+nothing is known, the first by code point is predicted. Rows without a label, text or id do not teach. Repeated rows are
+predicted each for itself and alike; so are very long texts, which are whole. With no rows to learn from, every text is
+`und`; an empty table gives an empty table. Other columns are kept, but for those named like a made column.
 """
 
 from __future__ import annotations
 
-import math
 import pickle
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -31,11 +30,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulsegrid.llm.bpe import portions
-from pulsegrid.llm.common import add_columns
+from pulsegrid.llm.common import Remembered, add_columns, small_batches, written
 
 UNKNOWN = "und"
 MAX_ORDER = 5
-REMEMBERED = 300_000
+#: Labels up to which their shares are broadcast.
+MANY_LABELS = 10_000
+_seen = Remembered()
 _WORDS = regex.compile(r"\p{L}+").findall
 _MADE = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 _COUNTS = T.StructType([T.StructField("label", T.StringType()), T.StructField("gram_order", T.IntegerType()), T.StructField("gram", T.StringType()), T.StructField("n", T.LongType())])
@@ -54,8 +55,6 @@ class Model:
     labels: list[str]
     tables: list[dict[str, int]]
     known: np.ndarray
-    memo: dict[str, int] = field(default_factory=dict)
-    rows: np.ndarray | None = None
 
     def found(self, word: str) -> list[int]:
         """The rows whose mean scores a word: its own, or those of its longest known n-grams; none if nothing is known."""
@@ -69,8 +68,8 @@ class Model:
                 return some
         return []
 
-    def scored(self, words: list[str]) -> np.ndarray:
-        """The scores of words in each label."""
+    def scored(self, words: list[str]) -> list[bytes]:
+        """The scores of words in each label, as 32-bit numbers one after another."""
         found = [self.found(w) for w in words]
         many = np.array([len(f) for f in found])
         flat = self.known[np.array([r for f in found for r in f], dtype=np.int64)]
@@ -79,29 +78,20 @@ class Model:
         if some.any():
             starts = (np.cumsum(many) - many)[some]
             out[some] = np.add.reduceat(flat, starts, axis=0) / many[some, None]
-        return out
+        packed, width = out.tobytes(), 4 * len(self.labels)
+        return [packed[k : k + width] for k in range(0, len(packed), width)]
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
         """The likeliest label of each text and its posterior under equal priors."""
         out: list[tuple[str, float]] = []
         for some in portions(texts):
             split = [_WORDS(t.lower()) for t in some]
-            new = set().union(*split).difference(self.memo)
-            if self.rows is None or len(self.memo) + len(new) > REMEMBERED:
-                self.memo, new = {}, set().union(*split)
-                self.rows = np.zeros((0, len(self.labels)), dtype=np.float32)
-            if new and self.labels:
-                at = len(self.memo)
-                if at + len(new) > len(self.rows):
-                    self.rows = np.concatenate([self.rows[:at], np.zeros((at + 2 * len(new), len(self.labels)), dtype=np.float32)])
-                words = list(new)
-                self.rows[at : at + len(words)] = self.scored(words)
-                self.memo.update(zip(words, range(at, at + len(words)), strict=True))
+            get = _seen.filled(set().union(*split) if self.labels else set(), self.scored).__getitem__
             for words in split:
                 if not words or not self.labels:
                     out.append((UNKNOWN, 0.0))
                     continue
-                total = self.rows[np.fromiter(map(self.memo.__getitem__, words), dtype=np.int64, count=len(words))].sum(axis=0, dtype=np.float64)
+                total = np.frombuffer(b"".join(map(get, words)), dtype=np.float32).reshape(-1, len(self.labels)).sum(axis=0, dtype=np.float64)
                 best = int(total.argmax())
                 out.append((self.labels[best], float(1 / np.exp(total - total[best]).sum())))
         return out
@@ -110,10 +100,9 @@ class Model:
 def _sample(training: DataFrame, per_label: int, key: Column) -> DataFrame:
     """About per_label rows of each label, by a hash of their id: the same rows in any run."""
     counted = training.groupBy("label").count().collect()
-    share = F.lit(0.0)
-    for row in counted:
-        share = F.when(F.col("label") == row["label"], F.lit(min(1.0, per_label / row["count"]))).otherwise(share)
-    return training.filter(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < share * float(1 << 30)).select("label", "text")
+    shares = training.sparkSession.createDataFrame([(r["label"], min(1.0, per_label / r["count"])) for r in counted], "label string, share double")
+    known = training.join(F.broadcast(shares) if len(counted) <= MANY_LABELS else shares, "label")
+    return known.filter(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < F.col("share") * float(1 << 30)).select("label", "text")
 
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,37 +120,43 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([label] * len(found), pa.string()), pa.array([order] * len(found), pa.int32()), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=_COUNTS.names)
 
 
-def fit(docs: DataFrame, learns: Column, label: str = "lang", text: str = "text", doc_id: str = "doc_id", per_label: int = 2000, max_words: int = 60_000, max_grams: int = 60_000) -> Model:
+def fit(docs: DataFrame, learns: Column, label: str = "lang", text: str = "text", doc_id: str = "doc_id", per_label: int = 500) -> Model:
     """Fits a model on the rows of docs for which `learns` holds."""
     training = docs.filter(learns & F.col(label).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(label).cast("string").alias("label"), F.col(text).alias("text"), F.col(doc_id).alias("doc_id"))
+    small_batches(docs.sparkSession)
     counts = _sample(training, per_label, F.col("doc_id")).mapInArrow(_count, _COUNTS).groupBy("gram_order", "gram", "label").agg(F.sum("n").alias("n"))
-    whole = counts.groupBy("gram_order", "gram").agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("by_label"), F.sum("n").alias("n"))
-    words = whole.filter("gram_order = 0 and n > 1").orderBy(F.desc("n"), "gram").limit(max_words)
-    others = whole.filter("gram_order > 0 and n > 1").orderBy(F.desc("n"), "gram_order", "gram").limit(max_grams)
-    rows = words.unionByName(others).collect()
-    totals = {(r["gram_order"], r["label"]): r["n"] for r in counts.groupBy("gram_order", "label").agg(F.sum("n").alias("n")).collect()}
-    labels = sorted({x for _, x in totals})
+    found = written(counts).toArrow()
+    order, label, n = found["gram_order"].to_numpy(), found["label"].combine_chunks().dictionary_encode(), found["n"].to_numpy()
+    names = label.dictionary.to_pylist()
+    labels = sorted(names)
+    place = np.array([labels.index(x) for x in names], dtype=np.int64)[label.indices.to_numpy()]
     tables: list[dict[str, int]] = [{} for _ in range(MAX_ORDER + 1)]
-    known = np.zeros((len(rows), len(labels)), dtype=np.float32)
-    distinct = Counter(r["gram_order"] for r in rows)
-    for i, r in enumerate(rows):
-        order = r["gram_order"]
-        tables[order][r["gram"]] = i
-        known[i] = [math.log((r["by_label"].get(x, 0) + 0.5) / (totals.get((order, x), 0) + 0.5 * (distinct[order] + 1))) for x in labels]
-    return Model(labels, tables, known)
-
-
-@lru_cache(maxsize=2)
+    row = np.zeros(len(n), dtype=np.int64)
+    many = 0
+    for i, (o, gram) in enumerate(zip(order.tolist(), found["gram"].to_pylist(), strict=True)):
+        row[i] = tables[o].setdefault(gram, many)
+        many += row[i] == many
+    known = np.full((many, len(labels)), 0.5, dtype=np.float64)
+    np.add.at(known, (row, place), n)
+    of = np.zeros(many, dtype=np.int64)
+    of[row] = order
+    totals = np.zeros((MAX_ORDER + 1, len(labels)))
+    np.add.at(totals, (order, place), n)
+    totals += 0.5 * (np.array([len(t) for t in tables]) + 1)[:, None]
+    return Model(labels, tables, np.log(known / totals[of]).astype(np.float32))
+
+
+@lru_cache(maxsize=1)
 def _loaded(packed: bytes) -> Model:
     return pickle.loads(zlib.decompress(packed))
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score (the posterior of lang_pred, 0 to 1)."""
+def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """docs (or its columns `keep`) with lang_pred and score (the posterior of lang_pred, 0 to 1)."""
     packed = docs.sparkSession.sparkContext.broadcast(zlib.compress(pickle.dumps(Model(model.labels, model.tables, model.known)), 3))
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
-        found = _loaded(packed.value).predict(batch.column(0).to_pylist())
+        found = _loaded(packed.value).predict([t or "" for t in batch.column(0).to_pylist()])
         return [pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
 
-    return add_columns(docs, {"text": F.coalesce(F.col(text), F.lit(""))}, _MADE, run)
+    return add_columns(docs, {"text": text}, _MADE, run, keep)

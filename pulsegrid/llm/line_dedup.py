@@ -164,5 +164,5 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             removed.append(sum(b - a for a, b in cut))
         return [pa.array(texts, pa.string()), pa.array(removed, pa.int64()), pa.array(spans, _SPANS)]
 
-    out = add_columns(marked, {"text": F.col(text), "spans": F.col("_spans")}, _MADE, run, keep=[c for c in kept if c != text])
+    out = add_columns(marked, {"text": text, "spans": "_spans"}, _MADE, run, keep=[c for c in kept if c != text])
     return out.select(*[F.col("left_text").alias(c) if c == text else F.col(f"`{c}`") for c in kept], "n_removed", "removed_spans")

@@ -31,14 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsegrid.llm.common import add_columns, written
+from pulsegrid.llm.common import Remembered, add_columns, small_batches, written
 from pulsegrid.llm.components import components
 from pulsegrid.llm.groups import key_runs
 
 WORDS, HASHES, BANDS, STEP = 5, 128, 32, 16
 MISS = 1e-6
 BLOCK = 256
-_REMEMBERED = 200_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 _SKETCH = T.StructType([T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("signature", T.BinaryType())])
@@ -47,7 +46,7 @@ _PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.Lon
 
 _seeds = np.random.default_rng(20_240_501).integers(0, 2**64, size=(2, HASHES), dtype=np.uint64)
 _FLIP, _TIMES = _seeds[0], _seeds[1] | np.uint64(1)
-_memo: dict[bytes, int] = {}
+_memo = Remembered()
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -61,11 +60,8 @@ def shingles(text: str | None) -> np.ndarray:
     words = text.encode().lower().split() if text else []
     if not words:
         return np.zeros(0, dtype=np.uint64)
-    if len(_memo) > _REMEMBERED:
-        _memo.clear()
-    for w in set(words).difference(_memo):
-        _memo[w] = xxhash.xxh3_64_intdigest(w)
-    hashed = np.fromiter(map(_memo.__getitem__, words), dtype=np.uint64, count=len(words))
+    known = _memo.filled(set(words), lambda new: map(xxhash.xxh3_64_intdigest, new))
+    hashed = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
     width = min(WORDS, len(words))
     rolled = np.full(len(words) - width + 1, width, dtype=np.uint64)
     for i in range(width):
@@ -108,14 +104,14 @@ def _stay(equal, pairs: int, threshold: float) -> np.ndarray:
     return left
 
 
-def sketch(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with n_shingles, a digest of the set and its signature (both null without shingles)."""
+def sketch(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """docs (or its columns `keep`) with n_shingles, a digest of the set and its signature (both null without shingles)."""
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
         sets = [shingles(t) for t in batch.column(0).to_pylist()]
         return [pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary())]
 
-    return add_columns(docs, {"text": F.col(text)}, _SKETCH, run)
+    return add_columns(docs, {"text": text}, _SKETCH, run, keep)
 
 
 def _band_rows(classes: DataFrame) -> DataFrame:
@@ -222,7 +218,7 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         return [pa.array([shingles(t).tobytes() for t in batch.column(0).to_pylist()], pa.binary())]
 
     rows = docs.withColumnRenamed("doc_id", "node").join(nodes, "node", "left_semi")
-    return written(add_columns(rows, {"text": F.col("text")}, _SET, run, keep=["node"]))
+    return written(add_columns(rows, {"text": "text"}, _SET, run, keep=["node"]))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -239,8 +235,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.75) -> DataFrame:
     """For each row of docs: doc_id, n_shingles, component_id (smallest doc_id reached over links), kept (it is that one)."""
+    small_batches(docs.sparkSession)
     named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sketched = written(sketch(named).select("doc_id", "n_shingles", "digest", "signature"))
+    sketched = written(sketch(named, keep=["doc_id"]))
     whole = sketched.filter("digest IS NOT NULL AND doc_id IS NOT NULL")
     classes = written(whole.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature")))
     bands = _band_rows(classes)

@@ -32,8 +32,8 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern)
-    decoded = byte_bpe.decode(encoded.drop("text"), path)
+    encoded = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern, keep=["doc_id"])
+    decoded = byte_bpe.decode(encoded, path)
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -68,8 +68,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     remainder = F.crc32(F.col("doc_id").cast("string")) % 4
     model = language_id.fit(docs, learns=remainder != 2)
-    rows = docs.select("doc_id", "text", (remainder == 2).alias("held_out"))
-    return language_id.predict(rows, model).select("doc_id", "held_out", "lang_pred", "score")
+    rows = docs.select("doc_id", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"), "text")
+    return language_id.predict(rows, model, keep=["doc_id", "held_out"])
 
 
 QUERIES = {
