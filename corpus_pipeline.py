@@ -46,8 +46,9 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids (little-endian unsigned 32-bit) and whether they decode to the text."""
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     digest = F.xxhash64(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    encoded = byte_bpe.encode(docs.select("doc_id", "lang", "source", "text", digest.alias("text_hash")), path, pattern)
-    decoded = byte_bpe.decode(encoded.drop("text"), path)
+    kept = ["doc_id", "lang", "source", "text_hash"]
+    encoded = byte_bpe.encode(docs.select("doc_id", "lang", "source", "text", digest.alias("text_hash")), path, pattern, keep=kept)
+    decoded = byte_bpe.decode(encoded, path)
     return decoded.select("doc_id", "lang", "source", "n_tokens", "ids", (F.xxhash64("decoded") == F.col("text_hash")).alias("round_trip"))
 
 
