@@ -60,16 +60,19 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-_BATCH_KEY, _BATCH_DEFAULT, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"
+#: Setting, its default, and what texts want: bytes of a batch for Python, rows that a scan decodes at a time.
+_BATCHES = (("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "1m"), ("spark.sql.parquet.columnarReaderBatchSize", "4096", "256"))
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Has rows handed to Python a few megabytes at a time, unless the session has a bound of its own.
+    """Has whole texts read and handed to Python about a megabyte at a time, where the session has Spark's defaults.
 
-    By default a batch holds 64 MB, of which an executor has several at once for each core, beside its heap.
+    These suit narrow rows: with texts, a scan makes arrays of tens of megabytes and a batch holds 64, several at once
+    for each core, beside and within the heap.
     """
-    if spark.conf.get(_BATCH_KEY, None) == _BATCH_DEFAULT:
-        spark.conf.set(_BATCH_KEY, _BATCH_BYTES)
+    for key, default, value in _BATCHES:
+        if spark.conf.get(key, None) == default:
+            spark.conf.set(key, value)
 
 
 class Remembered:
