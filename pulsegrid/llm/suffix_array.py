@@ -1,9 +1,10 @@
-"""Suffix arrays of a shard in numpy, to a fixed depth; common prefixes; and the merging of shards.
+"""Suffix arrays of a shard in numpy, common prefixes, and the merging of shards.
 
 A shard is a row of short stretches of bytes. Its positions are sorted by their first eight bytes; groups that are still
 equal are refined by the rank of the position as far ahead as the ranks already reach, which doubles that reach, until all
-are told apart (Larsson and Sadakane). Strings of `DEPTH` bytes start where they lie within a stretch. Prefixes common to neighbours follow by Kasai's rule, that a suffix shares at least one byte less than the one
-before it in the text did; all stretches advance together, a byte of each a step.
+are told apart (Larsson and Sadakane); positions that are alone are not touched again. Strings of `DEPTH` bytes start
+where they lie within a stretch. Prefixes common to neighbours follow by Kasai's rule, that a suffix shares at least one
+byte less than the one before it in the text did; all stretches advance together, a byte of each a step.
 """
 
 from __future__ import annotations
@@ -25,50 +26,38 @@ def load64(data: np.ndarray, order: str = "<") -> np.ndarray:
     return out
 
 
-def _ranked(key: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """For keys in sorted order, the rank of each: where its group begins."""
-    new = np.concatenate([[True], key[order[1:]] != key[order[:-1]]])
-    rank = np.empty(len(order), dtype=np.int64)
-    rank[order] = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-    return rank
-
-
-def _refined(rank: np.ndarray, ahead: int) -> np.ndarray | None:
-    """Ranks of positions by (their rank, the rank of the position `ahead`); those alone in their group stay as they are.
+def suffix_array(data: np.ndarray) -> np.ndarray:
+    """All positions in the order of what follows them.
 
-    None if every position is alone.
+    A position's rank is the first place of its group in the order. Only groups of several positions are sorted again, by
+    the rank of the position as far ahead as ranks reach; a suffix that ends before that comes first, the shorter the
+    earlier.
     """
-    n = len(rank)
-    size = np.bincount(rank, minlength=n)
-    open_ = np.flatnonzero(size[rank] > 1)
-    if not len(open_):
-        return None
-    next_ = np.zeros(len(open_), dtype=np.int64)
-    inside = open_ + ahead < n
-    next_[inside] = rank[open_[inside] + ahead] + 1
-    key = rank[open_] * (n + 1) + next_
-    order = np.argsort(key, kind="stable")
-    sorted_key, group = key[order], rank[open_][order]
-    at = np.arange(len(order))
-    begin = np.maximum.accumulate(np.where(np.concatenate([[True], group[1:] != group[:-1]]), at, 0))
-    first = np.maximum.accumulate(np.where(np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]]), at, 0))
-    out = rank.copy()
-    out[open_[order]] = group + first - begin
-    return out
-
-
-def suffix_array(data: np.ndarray) -> np.ndarray:
-    """All positions in the order of what follows them."""
-    if not len(data):
-        return np.zeros(0, dtype=np.int64)
+    n = len(data)
     key = load64(data, ">")
-    rank = _ranked(key, np.argsort(key, kind="stable"))
-    reach = 8
-    while (now := _refined(rank, reach)) is not None:
-        rank, reach = now, reach * 2
-    out = np.empty(len(data), dtype=np.int64)
-    out[rank] = np.arange(len(data))
-    return out
+    order = np.argsort(key)
+    new = _changes(key[order])
+    first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    rank = np.empty(n, dtype=np.int64)
+    rank[order] = first
+    place = np.flatnonzero(~(new & np.append(new[1:], True)))
+    position, group, reach = order[place], first[place], 8
+    while len(place):
+        ahead = position + reach
+        later = np.where(ahead < n, rank.take(ahead, mode="clip") + reach + 1, n - position)
+        key = (group.astype(np.uint64) << np.uint64(32)) | later.astype(np.uint64)
+        turn = np.argsort(key)
+        position, new = position[turn], _changes(key[turn])
+        group = np.maximum.accumulate(np.where(new, place, 0))
+        order[place], rank[position] = position, group
+        several = ~(new & np.append(new[1:], True))
+        place, position, group, reach = place[several], position[several], group[several], reach * 2
+    return order
+
+
+def _changes(x: np.ndarray) -> np.ndarray:
+    """Where a value differs from the one before it; the first does."""
+    return np.concatenate([np.ones(min(1, len(x)), dtype=bool), x[1:] != x[:-1]])
 
 
 def common(data: np.ndarray, order: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -76,23 +65,26 @@ def common(data: np.ndarray, order: np.ndarray, begin: np.ndarray, length: np.nd
 
     begin, length: the stretches that data is a row of.
     """
-    n = len(data)
+    n, words = len(data), np.append(load64(data), np.zeros(1, dtype=np.uint64))
     before = np.full(n, -1, dtype=np.int64)
     before[order[1:]] = order[:-1]
     shared = np.zeros(n, dtype=np.int64)
+    longest = np.argsort(-length)
+    first, live = begin[longest], len(begin) - np.cumsum(np.bincount(length, minlength=1))
     run = np.zeros(len(begin), dtype=np.int64)
-    for step in range(int(length.max(initial=0))):
-        live = np.flatnonzero(length > step)
-        i = begin[live] + step
-        j = before[i]
-        h = np.where(j < 0, 0, np.maximum(run[live] - 1, 0))
-        more = np.flatnonzero(j >= 0)
+    for step, many in enumerate(live.tolist()):
+        i = first[:many] + step
+        j = before.take(i)
+        most = np.where(j < 0, 0, np.minimum(n - np.maximum(i, j), DEPTH))
+        h = np.clip(run[:many] - 1, 0, most)
+        more = np.flatnonzero(h < most)
         while len(more):
-            more = more[(h[more] < DEPTH) & (np.maximum(i[more], j[more]) + h[more] < n)]
-            more = more[data[i[more] + h[more]] == data[j[more] + h[more]]]
-            h[more] += 1
-        run[live] = h
-        shared[i] = h
+            at = h[more]
+            differ = words.take(i[more] + at) ^ words.take(j[more] + at)
+            same = (np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)) >> 3).astype(np.int64)
+            h[more] = np.minimum(at + same, most[more])
+            more = more[(same == 8) & (h[more] < most[more])]
+        run[:many] = shared[i] = h
     return shared[order]
 
 

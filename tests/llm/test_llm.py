@@ -9,6 +9,8 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -289,6 +291,34 @@ def test_suffix_dedup(spark):
     assert suffix_dedup.remove_repeated(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize(("shard_bytes", "frequent"), [(10**6, 10**6), (300, 10**6), (300, 1), (10**6, 1)])
+def test_suffix_dedup_splits_large_shards_and_frequent_anchors(monkeypatch, shard_bytes, frequent):
+    """A hot phrase, and shards that hold many suffix arrays: the stages by hand, as many blocks, against brute force."""
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", shard_bytes)
+    monkeypatch.setattr(suffix_dedup, "FREQUENT", frequent)
+    draw = random.Random(11)
+    say = lambda n: "".join(draw.choice("ab \0") for _ in range(n))
+    phrase, shared = "It was the phrase that all of them knew by heart.", [say(draw.randint(40, 200)) for _ in range(8)]
+    docs = [(d, (say(draw.randint(0, 60)) + phrase + draw.choice(shared) + say(draw.randint(0, 40)) + "\0" * draw.randint(0, 80)).encode()) for d in range(60)]
+    blocks = {b: pa.table({"block": [b] * 6, "doc_id": pa.array([d for d, _ in docs[6 * b : 6 * b + 6]], pa.int64()), "text": pa.array([t for _, t in docs[6 * b : 6 * b + 6]], pa.binary())}) for b in range(10)}
+    kinds = {"block": pa.int64(), "part": pa.int32(), "hashes": pa.binary(), "frequent": pa.binary(), "doc_id": pa.int64(), "start": pa.int32(), "stop": pa.int32(), "digest": pa.string()}
+    none = pa.table({k: pa.array([], v) for k, v in kinds.items()})
+    lists = pa.concat_tables([suffix_dedup._lists(t, none, 3) for t in blocks.values()])
+    notes = pa.concat_tables([suffix_dedup._repeated(lists.filter(pc.equal(lists["part"], p))) for p in range(3)])
+    found = pa.concat_tables([suffix_dedup._stretches(t, notes.filter(pc.equal(notes["block"], b)), 3, 2) for b, t in blocks.items()]).sort_by("shard")
+    spans = pa.Table.from_batches(list(suffix_dedup._shards(found.to_batches(max_chunksize=7))))
+    told = pa.table({k: spans[k] if k in spans.column_names else pa.nulls(len(spans), v) for k, v in kinds.items()})
+    got = [tuple(r.values()) for t in blocks.values() for r in suffix_dedup._cut(t, told).select(["doc_id", "n_removed", "n_spans", "kept"]).to_pylist()]
+    first: dict[bytes, int] = {}
+    for d, t in docs:
+        for i in range(len(t) - 49):
+            first.setdefault(t[i : i + 50], d)
+    for (d, t), (e, removed, n, kept) in zip(docs, got, strict=True):
+        gone = [any(first[t[i : i + 50]] < d for i in range(max(0, k - 49), min(k, len(t) - 50) + 1)) for k in range(len(t))]
+        assert (d, bytes(c for c, g in zip(t, gone, strict=True) if not g)) == (e, kept) and removed == sum(gone)
+        assert n == sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_suffix_array_and_common_prefixes(seed):
     draw = random.Random(seed)
