@@ -233,7 +233,7 @@ def pieces(pattern: str) -> Callable[[str], list[str]]:
     return regex.compile(pattern).findall
 
 
-def portions(texts: list[str], chars: int = 1_500_000) -> Iterator[list[str]]:
+def portions(texts: list[str], chars: int = 400_000) -> Iterator[list[str]]:
     """Runs of whole texts of about so many characters together, so that what is made of them stays small."""
     some: list[str] = []
     size = 0

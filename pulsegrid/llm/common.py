@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
@@ -84,7 +86,7 @@ class Remembered:
 
     _all: list[Remembered] = []
 
-    def __init__(self, most: int = 12_000_000):
+    def __init__(self, most: int = 8_000_000):
         self.most, self.young, self.old, self.size = most, {}, {}, 0
         self._all.append(self)
 
@@ -106,9 +108,19 @@ class Remembered:
 
     @classmethod
     def forget(cls) -> None:
-        """Empties all of this worker's; called at a task's end, as workers outlive tasks, stages and queries."""
+        """Empties all of this worker's and gives free memory back; called at a task's end, as workers outlive tasks, stages and queries."""
         for one in cls._all:
             one.young, one.old, one.size = {}, {}, 0
+        for clear in at_task_end:
+            clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+
+#: Further things that a worker drops then.
+at_task_end: list[Callable[[], Any]] = []
 
 
 def slices(batch: pa.RecordBatch, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:

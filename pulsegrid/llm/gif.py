@@ -4,9 +4,10 @@
 timed frame of any GIF column. The reader takes LZW code streams of any code size, global and local palettes, interlaced
 rows, transparency and the four ways of disposal.
 
-Null text counts as empty; the payload is then 64 zero bytes. Long payloads take several frames. A null or damaged GIF has
-no frames in `frames` and null results in `read_back`. Repeated rows are treated each for itself; an empty table gives an
-empty table. Other columns are kept, but for those named like a made column.
+Null text counts as empty; the payload is then 64 zero bytes. Long payloads take several frames. A null or damaged GIF, or
+one whose screen has more than `MOST_PIXELS`, has no frames in `frames` and null results in `read_back`; blocks that end
+early are damage. Frames are shown one after another, so memory holds a screen or two. Repeated rows are treated each for
+itself; an empty table gives an empty table. Other columns are kept, but for those named like a made column.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from pulsegrid.llm.common import add_columns, slices
 
 WIDTH, HEIGHT, DELAY = 64, 1024, 10
 BINS = 16
+#: Pixels of a screen that is drawn, 3 bytes each: a file of a few bytes can ask for 4 billion.
+MOST_PIXELS = 1 << 26
 FULL = 4096
 
 _STORED = T.StructType([T.StructField("media", T.BinaryType())])
@@ -169,6 +172,8 @@ def read(data: bytes) -> Iterator[Frame]:
     if r.take(6) not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     width, height, flags, background, _ = r.unpack("<HHBBB")
+    if width * height > MOST_PIXELS:
+        raise ValueError("a screen that is too large")
     common = r.palette(flags)
     ground = common[background] if common is not None and background < len(common) else np.zeros(3, dtype=np.uint8)
     canvas = np.empty((height, width, 3), dtype=np.uint8)
@@ -178,6 +183,8 @@ def read(data: bytes) -> Iterator[Frame]:
         if kind == b"\x21":
             label, body = r.take(1), r.blocks()
             if label == b"\xf9":
+                if len(body) < 4:
+                    raise ValueError("a control block that is too short")
                 how, ticks, index = struct.unpack("<BHB", body[:4])
                 delay, disposal, clear = ticks * 10, how >> 2 & 7, index if how & 1 else None
             continue
@@ -226,18 +233,32 @@ def read_back(stored: DataFrame, media: str = "media") -> DataFrame:
 
     def one(data: bytes | None) -> tuple:
         try:
-            shown = list(read(data or b""))
+            samples, time, counts = [], 0, np.zeros(BINS, dtype=np.int64)
+            for f in read(data or b""):
+                some = f.canvas[f.box[1] : f.box[3], f.box[0] : f.box[2], 0]
+                samples.append(some.tobytes())
+                time += f.delay_ms
+                counts += histogram(some)
         except ValueError:
             return None, None, None, None
-        samples = [f.canvas[f.box[1] : f.box[3], f.box[0] : f.box[2], 0] for f in shown]
-        return b"".join(s.tobytes() for s in samples), len(shown), sum(f.delay_ms for f in shown), sum((histogram(s) for s in samples), np.zeros(BINS, dtype=np.int64)).tolist()
+        return b"".join(samples), len(samples), time, counts.tolist()
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
         rows = [one(x) for x in batch.column(0).to_pylist()]
         kinds = (pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
         return [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
 
-    return add_columns(stored, {"media": F.col(media)}, _READ, run)
+    return add_columns(stored, {"media": media}, _READ, run)
+
+
+def _sound(data: bytes | None) -> bool:
+    """Whether a file can be read to its end."""
+    try:
+        for _ in read(data or b""):
+            pass
+    except ValueError:
+        return False
+    return True
 
 
 def frames(stored: DataFrame, key: str, media: str = "media") -> DataFrame:
@@ -247,15 +268,13 @@ def frames(stored: DataFrame, key: str, media: str = "media") -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole)):
             for name, data in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                rows, start = [], 0
-                try:
-                    for i, f in enumerate(read(data or b"")):
-                        rows.append({key: name.as_py(), "frame": i, "start_ms": start, "duration_ms": f.delay_ms, "width": f.canvas.shape[1], "height": f.canvas.shape[0], "rgb": f.canvas.tobytes(), **{f"hist_{c}": histogram(f.canvas[..., k]).tolist() for k, c in enumerate(("red", "green", "blue"))}})
-                        start += f.delay_ms
-                except ValueError:
-                    rows = []
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=_arrow(batch.schema.field(0).type, key))
+                start = 0
+                for i, f in enumerate(read(data) if _sound(data) else ()):
+                    height, width, _ = f.canvas.shape
+                    hists = {f"hist_{c}": histogram(f.canvas[..., k]).tolist() for k, c in enumerate(("red", "green", "blue"))}
+                    row = {key: name.as_py(), "frame": i, "start_ms": start, "duration_ms": f.delay_ms, "width": width, "height": height, "rgb": f.canvas.tobytes()} | hists
+                    start += f.delay_ms
+                    yield pa.RecordBatch.from_pylist([row], schema=_arrow(batch.schema.field(0).type, key))
 
     return stored.select(key, media).mapInArrow(run, schema)
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulsegrid.llm.bpe import portions
-from pulsegrid.llm.common import Remembered, add_columns, small_batches, written
+from pulsegrid.llm.common import Remembered, add_columns, at_task_end, small_batches, written
 
 UNKNOWN = "und"
 MAX_ORDER = 5
@@ -151,6 +151,9 @@ def _loaded(packed: bytes) -> Model:
     return pickle.loads(zlib.decompress(packed))
 
 
+at_task_end.append(_loaded.cache_clear)
+
+
 def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """docs (or its columns `keep`) with lang_pred and score (the posterior of lang_pred, 0 to 1)."""
     packed = docs.sparkSession.sparkContext.broadcast(zlib.compress(pickle.dumps(Model(model.labels, model.tables, model.known)), 3))

@@ -365,6 +365,13 @@ def test_long_pieces_equal_short_ones():
             assert vocabulary.merge_many([piece])[0] == ids.tobytes()
 
 
+def test_bpe_decodes_as_it_encodes(spark):
+    both = byte_bpe.encode(frame(spark, ROWS), MULTI, public_tokenizers.PATTERN, keep=["doc_id"], decoded=True)
+    apart = byte_bpe.decode(byte_bpe.encode(frame(spark, ROWS), MULTI, public_tokenizers.PATTERN, keep=["doc_id"]), MULTI)
+    assert both.columns == apart.columns and by_row(both.collect()) == by_row(apart.collect())
+    assert Counter(bytes(r["decoded"]) for r in both.collect()) == Counter((t or "").encode() for _, t, *_ in ROWS)
+
+
 # 8
 
 
@@ -418,6 +425,27 @@ def test_gif_round_trip(spark):
     assert [r["start_ms"] for r in shown] == [0, 100, 200, 300] and sum(shown[0]["hist_red"]) == 64 * 1024
 
 
+def test_gif_damage_is_null(spark):
+    """Short control blocks, huge screens and any changed byte give null or some result, and never stop a job."""
+    sound = gif.write(bytes(range(256)) * 4)
+    at = sound.index(b"\x21\xf9\x04")
+    short = sound[:at] + b"\x21\xf9\x01\x04\x00" + sound[at + 8 :]
+    huge = b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0, 0, 0) + b"\x3b"
+    rows = [(1, bytearray(sound)), (2, bytearray(short)), (3, bytearray(huge)), (4, bytearray(b"")), (5, None), (6, bytearray(sound[:-9]))]
+    df = spark.createDataFrame(rows, "doc_id long, media binary")
+    got = {r["doc_id"]: r for r in gif.read_back(df).collect()}
+    assert bytes(got[1]["payload"]) == bytes(range(256)) * 4 and all(got[i]["payload"] is None and got[i]["n_frames"] is None for i in (2, 3, 4, 5, 6))
+    assert [r["doc_id"] for r in gif.frames(df, "doc_id").collect()] == [1]
+    empty = spark.createDataFrame([], "doc_id long, bytes binary")
+    assert gif.read_back(gif.store(empty, F.col("bytes"))).count() == 0 and gif.frames(df.limit(0), "doc_id").count() == 0
+    draw = random.Random(3)
+    for _ in range(2000):
+        some = bytearray(sound[: 13 + 40] if draw.random() < 0.1 else sound)
+        for _ in range(draw.randint(1, 4)):
+            some[draw.choice([draw.randrange(13), draw.randrange(len(some)), min(len(some) - 1, 781 + draw.randrange(40))])] = draw.randrange(256)
+        assert gif._sound(bytes(some)) in (True, False)
+
+
 def test_gif_transparency_disposal_and_palettes():
     def image(left, top, w, h, index, how, clear=0, palette=b"", flags=0):
         control = b"\x21\xf9\x04" + struct.pack("<BHB", how, 7, clear) + b"\0"
