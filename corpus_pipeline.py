@@ -47,9 +47,8 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     digest = F.xxhash64(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     kept = ["doc_id", "lang", "source", "text_hash"]
-    encoded = byte_bpe.encode(docs.select("doc_id", "lang", "source", "text", digest.alias("text_hash")), path, pattern, keep=kept)
-    decoded = byte_bpe.decode(encoded, path)
-    return decoded.select("doc_id", "lang", "source", "n_tokens", "ids", (F.xxhash64("decoded") == F.col("text_hash")).alias("round_trip"))
+    encoded = byte_bpe.encode(docs.select("doc_id", "lang", "source", "text", digest.alias("text_hash")), path, pattern, keep=kept, decoded=True)
+    return encoded.select("doc_id", "lang", "source", "n_tokens", "ids", (F.xxhash64("decoded") == F.col("text_hash")).alias("round_trip"))
 
 
 STAGES = [
