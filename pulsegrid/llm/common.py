@@ -100,9 +100,8 @@ class Remembered:
             young, old = self.young, self.old
             unknown = [k for k in new if k not in old]
             young.update((k, old[k]) for k in new if k in old)
-            before = len(young)
-            young.update(zip(unknown, make(unknown), strict=True))
-            assert len(young) == before + len(unknown)
+            if unknown:
+                young.update(zip(unknown, make(unknown), strict=True))
             self.size += sum(map(len, new)) + 150 * len(new)
         return self.young
 

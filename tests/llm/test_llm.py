@@ -90,8 +90,21 @@ def test_lm_learns_all_of_a_long_text(spark):
     assert targets == Counter(i for x in ids for i in [*x, attention.END])
     first = spark.createDataFrame(docs, "order long, text string")
     assert lm_scoring.first_lessons(first, MULTI).count() == sum(-(-(len(x) + 1) // attention.SCORED) for x in ids) > 100
-    least = lm_scoring.first_lessons(first.coalesce(1), MULTI, 10).collect()
-    assert sorted(r["order"] for r in least) == sorted(np.concatenate([lm_scoring._marks(d, -(-(len(x) + 1) // attention.SCORED)) for (d, _), x in zip(docs, ids, strict=True)]).tolist())[:10]
+    marks = np.concatenate([lm_scoring._marks(d, -(-(len(x) + 1) // attention.SCORED)) for (d, _), x in zip(docs, ids, strict=True)])
+    some = lm_scoring.first_lessons(first, MULTI, 0.1).collect()
+    assert sorted(r["order"] for r in some) == sorted(marks[marks <= 2**63 * 0.1].tolist()) and 0 < len(some) < len(marks) / 4
+    share = [t[t >= 0] for _, _, t in lm_scoring.all_lessons(batch, MULTI, 8)]
+    assert sum(map(len, share)) >= attention.SCORED * ((marks % 8 == 0).sum() - 3) > 0
+
+
+def test_lm_subwords_of_words_together():
+    """Words that are encoded together have the ids that each has alone."""
+    words = [t.encode().lower() for t in ("the", "th\u00e8\u00e0tre", "\u00a0x", "\u3042\u3044", "!", "a" * 300, "the")]
+    own = lm_scoring.Subwords(MULTI)
+    assert own.ids(words).tolist() == [i for w in words for i in lm_scoring.Subwords(MULTI).ids([w]).tolist()]
+    ranks = {t: r for t, r in bpe.read_ranks(MULTI).items() if r < attention.END}
+    vocabulary = bpe.Vocabulary(ranks)
+    assert own.ids(words).tolist() == [i for w in words for i in vocabulary.merge_one(b" " + w)]
 
 
 @pytest.mark.parametrize("text", ["\u8a9e\u8a00\u6a21\u578b" * 400, "QUJD" * 500, "x" * 501, "", " \n"])
