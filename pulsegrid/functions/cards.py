@@ -44,6 +44,16 @@ def embed_url(url: Column, host: str) -> Column:
     return F.concat(url, F.lit(f"&parent={host}"))
 
 
+def card_login(login: Column, short: bool = False) -> Column:
+    """The name a card shows; short: where the channel is named in passing."""
+    return F.coalesce(login, F.lit("Unknown" if short else "Unknown Streamer"))
+
+
+def card_thumbnail(url: Column, fallback: str) -> Column:
+    """The picture of a card; a missing or blank address takes the fallback."""
+    return F.when(F.trim(url) != "", url).otherwise(F.lit(fallback))
+
+
 def escape_attribute(text: Column) -> Column:
     out = F.coalesce(text, F.lit(""))
     for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):

@@ -33,28 +33,33 @@ class Hold(NamedTuple):
 
 
 class State(NamedTuple):
+    """regressed: how often a bucket before the peak of its hold was given, which changes nothing else."""
+
     hold: Hold | None = None
     last_fire: int | None = None
+    regressed: int = 0
 
 
 def advance(state: State, second: int, count: int, mean: float, std: float, intensity: float | None, k: float, cap: int, cooldown: int) -> tuple[State, tuple | None]:
     """The state after one bucket, and the report it makes, if any. intensity: None if the bucket cannot be measured."""
-    hold, last = state
+    hold, last, regressed = state
+    if hold is not None and hold.peak_at > second:
+        return state._replace(regressed=regressed + 1), None
     if hold is not None and second - hold.peak_at > cap:
         hold = None
     if intensity is None:
-        return State(hold, last), None
+        return State(hold, last, regressed), None
     if intensity < k:
-        return (State(hold, last), None) if hold is None else (State(None, second), _report(hold, second, False))
+        return (State(hold, last, regressed), None) if hold is None else (State(None, second, regressed), _report(hold, second, False))
     if hold is None:
         if last is not None and second - last <= cooldown:
-            return State(None, last), None
+            return State(None, last, regressed), None
         hold = Hold(second, mean, std, second, intensity, count, mean, std)
     elif intensity > hold.peak_intensity:
         hold = hold._replace(peak_at=second, peak_intensity=intensity, peak_count=count, peak_mean=mean, peak_std=std)
     if second - hold.started_at >= cap:
-        return State(None, second), _report(hold, second, True)
-    return State(hold, last), None
+        return State(None, second, regressed), _report(hold, second, True)
+    return State(hold, last, regressed), None
 
 
 def _report(hold: Hold, second: int, capped: bool) -> tuple:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Fixed value: what a command looks like.
 COMMAND = "^![a-zA-Z0-9]+"
 TOLERANCE_MS = 5000
 

@@ -361,7 +361,7 @@ coalesce(streamer_login, 'Unknown Streamer') AS login, 'https://clips.example/'
 def clip_cards(spark, sf_dir):
     rows = clip_rows(spark, sf_dir).join(streamers(spark, sf_dir).withColumnRenamed("streamer_id", "broadcaster_id"), "broadcaster_id", "left")
     text = F.col("clip_id").cast("string")
-    return rows.select("clip_id", cards.intensity_label(F.col("intensity")).alias("label"), cards.intensity_threshold(F.col("intensity")).alias("threshold"), cards.relative_time(F.col("detected_at"), _NOW).alias("age"), F.coalesce("streamer_login", F.lit("Unknown Streamer")).alias("login"), cards.embed_url(F.concat(F.lit("https://clips.example/"), text, F.lit("?v=1")), "localhost").alias("embed"), cards.escape_attribute(F.concat(F.lit("<b>"), text, F.lit("</b>"))).alias("escaped"), cards.iso_utc(F.col("detected_at")).alias("detected"))
+    return rows.select("clip_id", cards.intensity_label(F.col("intensity")).alias("label"), cards.intensity_threshold(F.col("intensity")).alias("threshold"), cards.relative_time(F.col("detected_at"), _NOW).alias("age"), cards.card_login(F.col("streamer_login")).alias("login"), cards.embed_url(F.concat(F.lit("https://clips.example/"), text, F.lit("?v=1")), "localhost").alias("embed"), cards.escape_attribute(F.concat(F.lit("<b>"), text, F.lit("</b>"))).alias("escaped"), cards.iso_utc(F.col("detected_at")).alias("detected"))
 
 
 @query(f"WITH {_CLIPS} SELECT level, n, n || CASE WHEN n = 1 THEN ' clip at ' ELSE ' clips at ' END || level::INTEGER || CASE WHEN level < 11 THEN ' or higher' ELSE '' END AS label FROM (SELECT level, (SELECT count(*) FROM cl WHERE intensity >= level) AS n FROM (VALUES (11.0::DOUBLE), (9.0), (7.0)) t(level))")
@@ -499,9 +499,9 @@ def failure_ratio(spark, sf_dir):
     return rounded(monitors.failure_ratio(_counted(spark, sf_dir), _H, 6 * _H, "error", "purchase"), "ratio")
 
 
-@query(f"WITH {_COUNTED}, q AS (SELECT tick, sum(signup) OVER w AS a, sum(view) OVER w AS m FROM sp WINDOW w AS (ORDER BY tick RANGE BETWEEN {3 * _H - 1} PRECEDING AND CURRENT ROW)), " + _lasting("q", "a = 0 AND m > 0", 0))
+@query(f"WITH {_COUNTED}, q AS (SELECT tick, sum(signup) OVER w AS a, sum(view) OVER w AS m FROM sp WINDOW w AS (ORDER BY tick RANGE BETWEEN {_H - 1} PRECEDING AND CURRENT ROW)), " + _lasting("q", "a = 0 AND m > 0", 0))
 def stalled(spark, sf_dir):
-    return monitors.stalled(_counted(spark, sf_dir), _H, 3 * _H, 0, "signup", "view")
+    return monitors.stalled(_counted(spark, sf_dir), _H, _H, 0, "signup", "view")
 
 
 @query(f"WITH k AS (SELECT (floor((epoch_us(ts) // 1000) / 86400000.0)::BIGINT + 1) * 86400 AS tick, user_id, count(*) FILTER (WHERE event_type = 'signup') AS a, count(*) FILTER (WHERE event_type = 'purchase') AS p FROM events GROUP BY ALL) SELECT tick, count(*) AS firing, round(count(*) FILTER (WHERE p = 0) / count(*), 6) AS without_success FROM k WHERE a > 0 GROUP BY tick")
@@ -592,11 +592,96 @@ def stream_counts(spark, sf_dir):
 
 @query(_e() + f"SELECT {_EPISODE} FROM episodes WHERE fired_at <= {_CLOSED}")
 def stream_anomalies(spark, sf_dir):
+    rows = detector.episodes(detector.bucket_counts(_stream(spark, sf_dir), "event_type", "at", CFG), CFG)
+    return rounded(_drained_with_state(spark, rows, "stream_anomalies"), *_DOUBLES)
+
+
+def _drained_with_state(spark, stream: DataFrame, name: str) -> DataFrame:
+    """drained(), with the state store that keyed state needs."""
     store = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(store, None)
     spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        rows = streams.drained(detector.episodes(detector.bucket_counts(_stream(spark, sf_dir), "event_type", "at", CFG), CFG), "stream_anomalies")
+        return streams.drained(stream, name)
     finally:
         spark.conf.set(store, before) if before else spark.conf.unset(store)
-    return rounded(rows, *_DOUBLES)
+
+
+_PARTS = 5
+
+
+@query(_e() + f"SELECT count(*) AS episodes, 0::BIGINT AS only_stream, 0::BIGINT AS only_batch, 0::BIGINT AS other_peak FROM episodes WHERE fired_at <= {_CLOSED}")
+def stream_equals_batch(spark, sf_dir):
+    """Episodes of a stream of several batches against those of the batch form; differences are counted."""
+    folder, rows = streams.shared_folder(spark), table(spark, sf_dir, "events").select("event_type", F.timestamp_millis(messages.epoch_ms(F.col("ts"))).alias("at"))
+    ends = rows.agg(F.min(F.unix_millis("at")), F.max(F.unix_millis("at"))).first()
+    share = F.least(F.lit(_PARTS - 1), F.floor((F.unix_millis("at") - ends[0]) * _PARTS / (ends[1] - ends[0] + 1)))
+    for part in range(_PARTS):  # one after another, as files are read by age
+        rows.filter(share == part).coalesce(1).write.mode("append").parquet(folder)
+    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    streamed = _drained_with_state(spark, detector.episodes(detector.bucket_counts(arriving, "event_type", "at", CFG), CFG), "stream_equals_batch")
+    closed = F.floor((F.lit(ends[1]) - 5000) / (o.HOUR * 1000)) - 1
+    whole = found(spark, sf_dir).filter(F.col("fired_at") <= closed)
+    odd = episodes.parity(streamed, whole, 1e-9).select("side").unionByName(streamed.select(F.lit("any").alias("side")))
+    count = lambda side: F.count_if(F.col("side") == side)
+    return odd.agg(count("any").alias("episodes"), count("left").alias("only_stream"), count("right").alias("only_batch"), count("both").alias("other_peak"))
+
+
+# readings and reports as they are stored and told
+
+
+@query(_R + "SELECT key, second, observed, status, window_count, round(mean, 6) AS mean, round(std, 6) AS std, round(intensity, 6) AS intensity FROM readings")
+def readings_stored(spark, sf_dir):
+    """Readings written by parts and read again."""
+    path = streams.shared_folder(spark)
+    streams.write_readings(read(spark, sf_dir), path)
+    return rounded(spark.read.parquet(path).select("key", "second", "observed", "status", "window_count", "mean", "std", "intensity"), "mean", "std", "intensity")
+
+
+@query(_R + "SELECT key, second, observed, status, window_count, round(mean, 6) AS mean, round(std, 6) AS std, round(intensity, 6) AS intensity FROM readings")
+def readings_text(spark, sf_dir):
+    """Readings written as tab-separated text and read again."""
+    path = streams.shared_folder(spark)
+    streams.write_readings_text(read(spark, sf_dir), path, {"window": CFG.window, "baseline": CFG.baseline})
+    return rounded(streams.read_readings_text(spark, path, "string"), "mean", "std", "intensity")
+
+
+@query(_R + f"SELECT key, second, observed FROM readings WHERE observed >= {o.GATE + 5}")
+def gate_again(spark, sf_dir):
+    return readings.gate_again(read(spark, sf_dir), CFG, o.GATE + 5).select("key", "second", "observed")
+
+
+@query(_e() + """SELECT r.second, r.key, CASE WHEN e.key IS NULL THEN r.second || ' ' || r.key || ' no-spike'
+ELSE r.second || ' ' || r.key || ' SPIKE peak_at=' || e.peak_at || ' count=' || e.peak_count || printf(' mean=%.4f std=%.4f intensity=%.4f', e.peak_mean, e.peak_std, e.peak_intensity) END AS line
+FROM readings r LEFT JOIN episodes e ON e.key = r.key AND e.fired_at = r.second ORDER BY r.second, r.key""")
+def replay_lines(spark, sf_dir):
+    """A line for each evaluated bucket, by (second, key)."""
+    own = read(spark, sf_dir)
+    reports = episodes.episodes(own, CFG).select("key", F.col("fired_at").alias("second"), "peak_at", "peak_count", "peak_mean", "peak_std", "peak_intensity")
+    decided = own.select("key", "second").join(reports, ["key", "second"], "left")
+    return messages.replay_lines(decided).select("second", "key", "line").orderBy("second", "key")
+
+
+@query(f"""WITH {_RANKS}, g AS (SELECT *, lag(poll_ms) OVER (PARTITION BY streamer_id ORDER BY poll_ms) AS prev FROM rk)
+SELECT g.streamer_id::VARCHAR AS key, '{{"event_type":"online","broadcaster_id":' || g.streamer_id || CASE WHEN streamer_login IS NULL THEN '' ELSE ',"broadcaster_login":"' || streamer_login || '"' END || ',"rank":' || rank || ',"timestamp":' || poll_ms // 1000 || '}}' AS value
+FROM g LEFT JOIN sr ON sr.streamer_id = g.streamer_id WHERE (prev IS NULL OR poll_ms - prev >= {2 * _DAY}) AND rank <= 15""")
+def lifecycle_payload(spark, sf_dir):
+    """Online events as a keyed sink takes them."""
+    return messages.keyed(roster.online_events(_ranks(spark, sf_dir), ttl_ms=2 * _DAY), "broadcaster_id")
+
+
+@query(_M + "SELECT event_id, event_id % 5 AS first, 2 + (ms % 3 = 0)::INTEGER AS n, event_id % 5 + ms % 11 + CASE WHEN ms % 3 = 0 THEN 7 ELSE 0 END AS total FROM m")
+def delay_lists(spark, sf_dir):
+    """Lists of delays with blanks, as text."""
+    text = F.concat_ws(",", F.col("event_id") % 5, F.lit(" "), F.col("ms") % 11, F.when(F.col("ms") % 3 == 0, " 7 ").otherwise(""))
+    delays = chat(spark, sf_dir).select("event_id", cards.delay_list(text).alias("d"))
+    return delays.select("event_id", F.col("d")[0].cast("long").alias("first"), F.size("d").alias("n"), F.aggregate("d", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query(f"WITH {_CLIPS}, {_STREAMERS} SELECT clip_id, coalesce(streamer_login, 'Unknown Streamer') AS login, coalesce(streamer_login, 'Unknown') AS short_login, CASE WHEN clip_id % 3 = 0 THEN 'https://img.example/' || clip_id ELSE '/static/none.svg' END AS thumbnail FROM cl LEFT JOIN sr ON broadcaster_id = streamer_id AND streamer_id % 2 = 0")
+def card_defaults(spark, sf_dir):
+    known = streamers(spark, sf_dir).filter("streamer_id % 2 = 0").withColumnRenamed("streamer_id", "broadcaster_id")
+    rows = clip_rows(spark, sf_dir).join(known, "broadcaster_id", "left")
+    url = F.when(F.col("clip_id") % 3 == 0, F.concat(F.lit("https://img.example/"), "clip_id")).when(F.col("clip_id") % 3 == 1, F.lit(" "))
+    login = F.col("streamer_login")
+    return rows.select("clip_id", cards.card_login(login).alias("login"), cards.card_login(login, short=True).alias("short_login"), cards.card_thumbnail(url, "/static/none.svg").alias("thumbnail"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from pulsegrid.operators.clips import new_clips
 from pulsegrid.operators.messages import MESSAGE
 
 
-def kafka_lines(spark: SparkSession, servers: str, topic: str = "chat-messages", group: str = "clip-detector") -> DataFrame:
+def kafka_lines(spark: SparkSession, servers: str, topic: str, group: str) -> DataFrame:
     """Lines of a topic from its latest offset on; needs the Kafka connector."""
     rows = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("kafka.group.id", group).option("startingOffsets", "latest").load()
     return rows.select(F.col("value").cast("string").alias("line"), "partition", "offset", F.unix_millis("timestamp").alias("record_ms"))
@@ -37,6 +39,14 @@ def drained(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
+def late_rows(query) -> int:
+    """Of a stream that has run: rows that came behind the watermark and were dropped, as its progress counts them.
+
+    An aggregate counts them after its partial sums, so at most one for each key, bucket and task of a batch.
+    """
+    return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
+
+
 def capture(messages: DataFrame, path: str, checkpoint: str):
     """Appends messages to files; goes on where it stopped, and never truncates."""
     return messages.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
@@ -63,10 +73,30 @@ def write_readings(read: DataFrame, path: str, parts: int = 16) -> None:
     read.withColumn("part", F.pmod(F.hash("key"), F.lit(parts))).write.partitionBy("part").mode("overwrite").parquet(path)
 
 
-def read_readings_text(spark: SparkSession, path: str) -> DataFrame:
+def write_readings_text(read: DataFrame, path: str, settings: dict) -> None:
+    """Readings as tab-separated text: the settings as JSON in a '#' line, a header, and a row for each bucket.
+
+    Each task writes a file of its own, with settings and header.
+    """
+    columns = ["key", "second", "observed", "status", "window_count", "mean", "std", "intensity"]
+    head = [f"# {json.dumps(settings)}", "\t".join(columns)]
+    rows = read.select(F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]).alias("value"))
+
+    def headed(batches):
+        first = True
+        for batch in batches:
+            if first:
+                yield pa.RecordBatch.from_arrays([pa.array(head, batch.schema.field(0).type)], schema=batch.schema)
+                first = False
+            yield batch
+
+    rows.mapInArrow(headed, "value string").write.mode("overwrite").text(path)
+
+
+def read_readings_text(spark: SparkSession, path: str, key: str = "long") -> DataFrame:
     """Readings from tab-separated text with a '#' line of JSON settings first; refused without one."""
     first = spark.read.text(path).filter(F.col("value").startswith("#")).limit(1).collect()
     if not first:
         raise ValueError("the readings have no line of settings")
-    schema = "key long, second long, observed int, status string, window_count int, mean double, std double, intensity double"
+    schema = f"key {key}, second long, observed int, status string, window_count int, mean double, std double, intensity double"
     return spark.read.schema(schema).option("sep", "\t").option("comment", "#").option("header", True).csv(path)
