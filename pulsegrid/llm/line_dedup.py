@@ -11,7 +11,8 @@ kind; digests are grouped globally. Of units with one digest, the first by (doc_
 is unless it lies in another that goes; all others go. A unit that overlaps an earlier one of the same digest in its text
 is none. Text that is left is joined; removed_spans are character offsets in the original text.
 
-Only digests travel for the grouping; a digest that is very frequent is counted where it is found before it travels.
+Only digests travel; a digest that is very frequent is counted where it is found before it travels, and where its
+occurrences meet its first one, adaptive execution splits them over tasks. A very long text is whole, in one task.
 
 Null text stays null and has no spans; text without such units stays as it is. A null doc_id ranks last. Rows that repeat
 a doc_id and its text are one document and are treated alike. An empty table gives an empty table. Other columns are
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsegrid.llm.common import add_columns, slices
+from pulsegrid.llm.common import add_columns, slices, small_batches, written
 
 LINE_WORDS, SENTENCE_WORDS = 5, 8
 #: Scripts without spaces: those of about two characters a word, and those of about four, which part phrases by spaces.
@@ -138,10 +139,12 @@ def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """rank, same and spans of each document that has units to remove."""
+    small_batches(docs.sparkSession)
     rows = docs.filter(F.col(text).isNotNull()).select(_rank(doc_id).alias("rank"), F.xxhash64(F.col(text)).alias("same"), F.col(text).alias("text"))
     found = rows.mapInArrow(_read, _UNITS)
     place = F.struct("rank", "same", "start")
-    repeated = found.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
+    # as a table, so that both sides of the join are dealt for it alone and a very frequent digest's rows can be split
+    repeated = written(found.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first"))
     gone = found.join(repeated, "digest").filter(place != F.col("first"))
     return gone.groupBy("rank", "same").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 

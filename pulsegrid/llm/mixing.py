@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import WORD_PATTERN
+from pulsegrid.llm.common import WORD_PATTERN, written
 
 MOST = 3.0
 SEED = "mix-1"
@@ -67,7 +67,8 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str
     while counted > SLICE_ROWS * 16**digits and digits < 8:
         digits += 1
     piece = F.substring("digest", 1, digits).alias("slice")
-    slices = keyed.groupBy("source", "size_class", piece).agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+    # as a table: it is read twice, and texts are not to be counted again for that
+    slices = written(keyed.groupBy("source", "size_class", piece).agg(F.count("*").alias("n"), F.sum("size").alias("words")))
     sources = slices.groupBy("source").agg(F.sum("words").alias("source_size"))
     order = Window.partitionBy("source").orderBy("size_class", "slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = slices.select("source", "size_class", "slice", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("start"))
