@@ -90,6 +90,14 @@ def ingest_lag(messages: DataFrame) -> DataFrame:
     return messages.withColumn("lag_ms", F.col("timestamp") - F.col("sent_at"))
 
 
+def arrival_chunk(messages: DataFrame, arrival: str, least: int = 1000) -> Column:
+    """A number for stretches of arrival numbers, about as many as a stretch has rows: both grow as the root of the rows."""
+    rows, low, high = messages.agg(F.count("*"), F.min(arrival), F.max(arrival)).first()
+    stretches = max(1, int((rows / max(least, rows**0.5)) + 0.5))
+    width = max(1.0, ((high or 0) - (low or 0) + 1) / stretches)
+    return F.floor((F.col(arrival) - (low or 0)) / F.lit(float(width)))
+
+
 def late_rows(messages: DataFrame, arrival: str, event_ms: str, chunk: Column, tolerance_ms: int = TOLERANCE_MS) -> DataFrame:
     """Adds watermark_ms and late: the largest event time that came before, less the tolerance and 1 ms.
 

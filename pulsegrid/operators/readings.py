@@ -37,6 +37,11 @@ def dense_grid(counts: DataFrame, cfg: DetectorConfig, last: int | Column | None
 
 def readings(counts: DataFrame, cfg: DetectorConfig, last: int | Column | None = None) -> DataFrame:
     """key, second, observed, status (warmup, flat or ok), window_count, mean, std, intensity (null unless ok)."""
+    return scored(moments(counts, cfg, last), cfg)
+
+
+def moments(counts: DataFrame, cfg: DetectorConfig, last: int | Column | None = None) -> DataFrame:
+    """key, second, window_count, observed, and the integer moments s1, s2 of the baseline, by running totals."""
     w, b, retained = cfg.window, cfg.baseline, cfg.retained
     length = STRETCH * retained
     grid = dense_grid(counts, cfg, last)
@@ -74,8 +79,8 @@ def readings(counts: DataFrame, cfg: DetectorConfig, last: int | Column | None =
     first_of_baseline = F.col("second") - (w + b - 1)
     oldest = F.when(F.col("_f.at") == first_of_baseline, F.col("_f.value")).otherwise(F.col("_start"))
     observed = F.when(oldest <= F.col("second") - w, F.col("second") - w + 1 - oldest).otherwise(F.lit(0))
-    out = base.filter(F.col("_part") == F.col("_own")).select("key", "second", window_count.alias("window_count"), s1.alias("s1"), s2.alias("s2"), observed.alias("observed"))
-    return scored(out, cfg)
+    out = base.filter(F.col("_part") == F.col("_own"))
+    return out.select("key", "second", window_count.alias("window_count"), s1.alias("s1"), s2.alias("s2"), observed.alias("observed"))
 
 
 def scored(sums: DataFrame, cfg: DetectorConfig) -> DataFrame:

@@ -22,21 +22,28 @@ def ranked(polls: DataFrame, leave: int = LEAVE) -> DataFrame:
     return polls.withColumn("rank", F.row_number().over(line)).filter(F.col("rank") <= leave)
 
 
-def _grid(ranks: DataFrame, times: DataFrame) -> DataFrame:
-    """Each channel in each poll from its first on, with its rank or null. A channel is a few bytes a poll."""
-    every = times.select("poll_ms").distinct().groupBy().agg(F.sort_array(F.collect_set("poll_ms")).alias("_all"))
-    first = ranks.groupBy("streamer_id").agg(F.min("poll_ms").alias("_first"))
-    # the list of polls is one row, as long as there are polls
-    listed = first.join(F.broadcast(every), F.lit(True))
-    grid = listed.select("streamer_id", F.explode(F.filter("_all", lambda t: t >= F.col("_first"))).alias("poll_ms"))
-    return grid.join(ranks.select("streamer_id", "poll_ms", "rank"), ["streamer_id", "poll_ms"], "left")
+def _missed(ranks: DataFrame, times: DataFrame) -> DataFrame:
+    """The first poll without a rank after each run of polls with one: streamer_id and poll_ms. Later ones change nothing.
+
+    The windows run over polls, a row each, and over the sightings of a channel.
+    """
+    following = F.lead("poll_ms").over(Window.orderBy("poll_ms"))
+    polls = times.select("poll_ms").distinct().withColumn("_next", following)
+    again = F.lead("poll_ms").over(Window.partitionBy("streamer_id").orderBy("poll_ms"))
+    seen = ranks.join(polls, "poll_ms").withColumn("_again", again)
+    gone = seen.filter("_next IS NOT NULL AND (_again IS NULL OR _again > _next)")
+    return gone.select("streamer_id", F.col("_next").alias("poll_ms"), F.lit(None).cast("int").alias("rank"))
 
 
 def roster(ranks: DataFrame, times: DataFrame, join: int = JOIN, leave: int = LEAVE) -> DataFrame:
-    """streamer_id, poll_ms, rank (null: not among the first `leave`), joined: whether it is followed after the poll."""
+    """streamer_id, poll_ms, rank (null: not among the first `leave`), joined: whether it is followed after the poll.
+
+    There is a row for each rank and for the first poll that a channel misses; after that it is not followed.
+    """
     signal = F.when(F.col("rank") <= join, 1).when(F.col("rank").isNull() | (F.col("rank") > leave), 0)
     line = Window.partitionBy("streamer_id").orderBy("poll_ms").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return _grid(ranks, times).withColumn("joined", F.coalesce(F.last(signal, ignorenulls=True).over(line), F.lit(0)) == 1)
+    rows = ranks.select("streamer_id", "poll_ms", "rank").unionByName(_missed(ranks, times))
+    return rows.withColumn("joined", F.coalesce(F.last(signal, ignorenulls=True).over(line), F.lit(0)) == 1)
 
 
 def changes(followed: DataFrame, disabled: DataFrame) -> DataFrame:
@@ -69,5 +76,5 @@ def offline_events(followed: DataFrame, ttl_ms: int = TTL_MS) -> DataFrame:
 
 
 def active_gauge(followed: DataFrame) -> DataFrame:
-    """poll_ms, active: how many channels are followed."""
+    """poll_ms, active: how many channels are followed; a channel that is followed after a poll has a rank in it."""
     return followed.groupBy("poll_ms").agg(F.count_if("joined").alias("active"))

@@ -159,12 +159,12 @@ def dense_grid(spark, sf_dir):
 
 @query(_R + "SELECT key, second, wc AS window_count FROM sums")
 def window_total(spark, sf_dir):
-    return readings.window_sums(counts(spark, sf_dir), CFG).select("key", "second", "window_count")
+    return readings.moments(counts(spark, sf_dir), CFG).select("key", "second", "window_count")
 
 
 @query(_R + f"SELECT key, second, s1, s2, round(s1 / {o.B}.0, 6) AS mean, round(sqrt(({o.B} * s2 - s1 * s1) / {o.B * (o.B - 1)}.0), 6) AS std FROM sums")
 def baseline_stats(spark, sf_dir):
-    rows = readings.window_sums(counts(spark, sf_dir), CFG)
+    rows = readings.moments(counts(spark, sf_dir), CFG)
     return rounded(rows.select("key", "second", "s1", "s2", (F.col("s1") / float(o.B)).alias("mean"), F.sqrt((o.B * F.col("s2") - F.col("s1") * F.col("s1")) / float(o.B * (o.B - 1))).alias("std")), "mean", "std")
 
 
@@ -209,7 +209,7 @@ _LATE_MS = "CASE WHEN event_type = 'click' THEN ms - 7200000 ELSE ms END"
 @query(_M + f", e AS (SELECT event_id, {_LATE_MS} AS event_ms FROM m), w AS (SELECT *, max(event_ms) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 5001 AS watermark_ms FROM e) SELECT event_id, event_ms, watermark_ms, coalesce(event_ms <= watermark_ms, false) AS late FROM w")
 def late_audit(spark, sf_dir):
     rows = chat(spark, sf_dir).select("event_id", F.when(F.col("event_type") == "click", F.col("ms") - 7_200_000).otherwise(F.col("ms")).alias("event_ms"))
-    return messages.late_rows(rows, "event_id", "event_ms", F.floor(F.col("event_id") / 1000))
+    return messages.late_rows(rows, "event_id", "event_ms", messages.arrival_chunk(rows, "event_id"))
 
 
 # episodes and studies
@@ -425,7 +425,7 @@ def poll_rank(spark, sf_dir):
     return _ranks(spark, sf_dir).select("poll_ms", "streamer_id", "rank")
 
 
-@query(f"WITH {_ROSTER} SELECT streamer_id, poll_ms, rank::INTEGER AS rank, joined FROM ro")
+@query(f"WITH {_ROSTER} SELECT streamer_id, poll_ms, rank::INTEGER AS rank, joined FROM (SELECT *, lag(rank) OVER (PARTITION BY streamer_id ORDER BY poll_ms) AS before FROM ro) WHERE rank IS NOT NULL OR before IS NOT NULL")
 def roster_state(spark, sf_dir):
     return _followed(spark, sf_dir)
 
