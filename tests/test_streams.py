@@ -1,6 +1,8 @@
 """Streams over several batches: watermarks, late rows, state that ends, and sinks."""
 
 import json
+import math
+import random
 
 from pyspark.sql import functions as F
 
@@ -101,3 +103,41 @@ def test_capture_goes_on_where_it_stopped(spark, tmp_path):
         (tmp_path / "in" / f"{n}.json").write_text(json.dumps(line | {"timestamp": 1000 * n}))
         sources.capture(sources.json_messages(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/c").awaitTermination()
     assert spark.read.json(f"{tmp_path}/out").count() == 2
+
+
+def test_walk_in_steps_equals_a_plain_fold():
+    """Reports of a key that is walked in random steps, against every bucket measured and folded by itself."""
+    draw = random.Random(8)
+    cfg = DetectorConfig(window=2, baseline=8, k=1.5, hold_cap=3, cooldown=4, fraction=0.5)
+    total = 0
+    for _ in range(60):
+        counts, second = {}, 100
+        for _ in range(draw.randint(5, 80)):
+            second += draw.choice([1, 1, 1, 1, 2, 3, 30])
+            counts[second] = draw.choice([1, 2, 2, 3, 3, 9, 15])
+        state, want, end = episodes.State(), [], second + 40
+        for now in range(100, end + 1):
+            if not any(now - cfg.retained <= s <= now for s in counts):
+                continue
+            low, high = now - cfg.window + 1 - cfg.baseline, now - cfg.window
+            values = [counts.get(s, 0) for s in range(low, high + 1)]
+            there = [s for s in counts if low <= s <= high]
+            observed = now - cfg.window + 1 - min(there) if there else 0
+            window = sum(counts.get(s, 0) for s in range(now - cfg.window + 1, now + 1))
+            spread = len(values) * sum(v * v for v in values) - sum(values) ** 2
+            ok = observed >= cfg.gate and spread > 0
+            mean, std = sum(values) / len(values), math.sqrt(spread / (len(values) * (len(values) - 1)))
+            level = (window / cfg.window - mean) / std if ok else None
+            state, report = episodes.advance(state, now, window, mean, std, level, cfg.k, cfg.hold_cap, cfg.cooldown)
+            want += [report[:5]] if report else []
+        walk, got, due, left = detector._Walk(None), [], 99, sorted(counts)
+        while due < end:
+            due = min(end, due + draw.randint(1, 25))
+            while left and left[0] <= due:
+                walk.add(left[0], counts[left.pop(0)])
+            got += walk.to(due, cfg)
+            walk = detector._Walk(walk.kept())
+        assert [g[:3] for g in got] == [w[:3] for w in want] and [g[4] for g in got] == [w[4] for w in want]
+        assert walk.over(end + 40, cfg) or walk.state.hold
+        total += len(want)
+    assert total > 50
