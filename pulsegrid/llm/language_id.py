@@ -36,7 +36,7 @@ UNKNOWN = "und"
 MAX_ORDER = 5
 #: Labels up to which their shares are broadcast.
 MANY_LABELS = 10_000
-_seen = Remembered()
+_seen = Remembered(30_000_000)
 _WORDS = regex.compile(r"\p{L}+").findall
 _MADE = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 _COUNTS = T.StructType([T.StructField("label", T.StringType()), T.StructField("gram_order", T.IntegerType()), T.StructField("gram", T.StringType()), T.StructField("n", T.LongType())])

@@ -1,11 +1,12 @@
 """Links between near-duplicate embeddings by a pivot-permutation index.
 
-Pivots are vectors of a bounded sample (`SAMPLE` rows, by a hash of their id), taken in turn unless they lie close to one
+Pivots are vectors of a bounded sample (about `SAMPLE` rows, by a hash of their id), taken in turn unless they lie close to one
 taken before, so that a large group of near copies does not take them all. Every vector is described by the ordered
 nearest of them, `near` in number. An inverted list is kept for each pair of pivots; a vector stands in the lists of all
 pairs among its nearest. So vectors that meet share two pivots at least; they are compared in the list of the two
 smallest pivots they share and in no other, once the shared pivots are counted. Similarity is then taken exactly, in
-double precision. The number of pivots follows the square root of the number of vectors, which keeps lists short.
+double precision. The number of pivots follows the square root of the number of vectors, which keeps lists short, up to 2,048;
+beyond some 20 million vectors lists, and the pairs that are compared for a vector, grow with the table.
 
 A list is compared in blocks of 256 x 256, each a group of its own; a block returns how many links each vector has there
 and the smallest vector it reaches, so no row is made for a pair. Equal vectors are one class with a weight throughout.
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsegrid.llm.common import written
+from pulsegrid.llm.common import small_batches, written
 from pulsegrid.llm.components import components
 from pulsegrid.llm.groups import key_runs
 
@@ -135,12 +136,17 @@ def _block_links(table: pa.Table, i: int, j: int, low: int, high: int, threshold
 
 def links(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = 0.95) -> DataFrame:
     """For each row: vec_id, n_links (other vectors at least that similar), component_id, kept (vec_id is its component's)."""
+    small_batches(vectors.sparkSession)
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"))
     good = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda v: F.coalesce(F.abs(v) < float("inf"), F.lit(False))) & F.exists("embedding", lambda v: v != 0)
     able = rows.filter(F.coalesce(good, F.lit(False)))
     classes = written(able.groupBy("embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("n")).select("node", "n", "embedding"))
-    many, near = shape(classes.count())
-    sample = [np.array(r["embedding"]) for r in classes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("embedding").collect()]
+    size = classes.count()
+    many, near = shape(size)
+    low = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) <= int((1 << 30) * min(1.0, SAMPLE / max(1, size)))
+    drawn = classes.filter(low).select("node", "embedding").limit(2 * SAMPLE).collect()
+    drawn = drawn or classes.select("node", "embedding").limit(1).collect()
+    sample = [np.array(r["embedding"]) for r in sorted(drawn, key=lambda r: r["node"])]
     base = rows.join(classes.select("embedding", "node", "n"), "embedding", "left") if sample else rows.withColumns({"node": F.lit(None).cast("long"), "n": F.lit(None).cast("long")})
     base = base.withColumn("node", F.when(good, F.col("node"))).select("vec_id", "node", "n")
     if sample:
