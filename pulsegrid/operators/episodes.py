@@ -84,17 +84,23 @@ def sweep(read: DataFrame, params: DataFrame) -> DataFrame:
     kept = segments.select("key", *names, "segment", "second", F.col("window_count").cast("long").alias("window_count"), "mean", "std", "intensity")
     schema = T.StructType([kept.schema["key"], *[kept.schema[n] for n in names], *[T.StructField(n, t) for n, t in _FIELDS]])
 
-    def fold(group: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(parts).sort_values("second")
-        own = dict(zip(["key", *names], group, strict=False))
-        state, out = State(), []
-        for r in rows.itertuples(index=False):
-            state, report = advance(state, r.second, r.window_count, r.mean, r.std, r.intensity, own["k"], own["cap"], own["cooldown"])
-            if report:
-                out.append((*group[:-1], *report))
-        yield pd.DataFrame(out, columns=schema.names)
-
-    return kept.groupBy("key", *names, "segment").applyInPandas(fold, schema)
+    by = ["key", *names, "segment"]
+
+    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Segments in a row, each from a new state; one may reach over parts."""
+        state, last = State(), None
+        for part in parts:
+            out = []
+            for r in part.itertuples(index=False):
+                if r[: len(by)] != last:
+                    state, last = State(), r[: len(by)]
+                state, report = advance(state, r.second, r.window_count, r.mean, r.std, r.intensity, r.k, r.cap, r.cooldown)
+                if report:
+                    out.append((*last[:-1], *report))
+            yield pd.DataFrame(out, columns=schema.names)
+
+    # a task folds many segments: most have a few rows, and a group of its own for each would cost more than its rows
+    return kept.repartition(*by).sortWithinPartitions(*by, "second").mapInPandas(fold, schema)
 
 
 def one_setting(spark, cfg: DetectorConfig) -> DataFrame:

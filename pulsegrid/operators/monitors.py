@@ -16,9 +16,9 @@ def tumbling(events: DataFrame, width: int, *kinds: str) -> DataFrame:
 
 
 def steps(counted: DataFrame, width: int, *kinds: str) -> DataFrame:
-    """counted with rows of zeros for the steps between first and last that have none."""
-    ends = counted.agg(F.min("tick").alias("_a"), F.max("tick").alias("_b")).filter("_a IS NOT NULL")
-    every = ends.select(F.explode(F.sequence("_a", "_b", F.lit(width))).alias("tick"))
+    """counted with rows of zeros for the steps between first and last that have none; steps are made by many tasks."""
+    first, last = counted.agg(F.min("tick"), F.max("tick")).first()
+    every = counted.sparkSession.range(first or 0, 0 if last is None else last + 1, width).withColumnRenamed("id", "tick")
     return every.join(counted, "tick", "left").select("tick", *[F.coalesce(k, F.lit(0)).alias(k) for k in kinds])
 
 
