@@ -45,5 +45,12 @@ class DetectorConfig:
     def from_environment(cls, env: dict[str, str] | None = None) -> DetectorConfig:
         """Defaults, with what DETECTION_* variables say instead."""
         env = dict(os.environ) if env is None else env
-        names = {"window": ("DETECTION_WINDOW_SECONDS", int), "baseline": ("DETECTION_BASELINE_SECONDS", int), "k": ("DETECTION_K", float), "hold_cap": ("DETECTION_HOLD_CAP_SECONDS", int), "cooldown": ("DETECTION_COOLDOWN_SECONDS", int), "fraction": ("DETECTION_MIN_BASELINE_FRACTION", float)}
+        names = {
+            "window": ("DETECTION_WINDOW_SECONDS", int),
+            "baseline": ("DETECTION_BASELINE_SECONDS", int),
+            "k": ("DETECTION_K", float),
+            "hold_cap": ("DETECTION_HOLD_CAP_SECONDS", int),
+            "cooldown": ("DETECTION_COOLDOWN_SECONDS", int),
+            "fraction": ("DETECTION_MIN_BASELINE_FRACTION", float),
+        }
         return cls(**{field: kind(env[name]) for field, (name, kind) in names.items() if env.get(name)})

@@ -37,7 +37,12 @@ def relative_time(then_ms: Column, now_ms: Column | int) -> Column:
 
 def count_label(n: Column, level: Column, top: float = LEVELS[0][0]) -> Column:
     """N clips at L or higher; the top level has nothing above it."""
-    return F.concat(n.cast("string"), F.when(n == 1, " clip at ").otherwise(" clips at "), level.cast("int").cast("string"), F.when(level < top, " or higher").otherwise(""))
+    return F.concat(
+        n.cast("string"),
+        F.when(n == 1, " clip at ").otherwise(" clips at "),
+        level.cast("int").cast("string"),
+        F.when(level < top, " or higher").otherwise(""),
+    )
 
 
 def embed_url(url: Column, host: str) -> Column:

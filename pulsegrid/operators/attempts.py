@@ -34,7 +34,13 @@ def outcomes(log: DataFrame) -> DataFrame:
     )
     clip = F.col("clip_id").isNotNull()
     reason = F.when(clip & ~F.col("found"), "metadata_fetch").when(~clip, F.when(F.col("_error"), "api_error").otherwise("max_retries"))
-    return found.select("anomaly_id", "clip_id", (clip & F.col("found")).alias("found"), reason.alias("reason"), (~clip & F.coalesce(F.col("_last") == 403, F.lit(False))).alias("disabled"))
+    return found.select(
+        "anomaly_id",
+        "clip_id",
+        (clip & F.col("found")).alias("found"),
+        reason.alias("reason"),
+        (~clip & F.coalesce(F.col("_last") == 403, F.lit(False))).alias("disabled"),
+    )
 
 
 def schedule(anomalies: DataFrame, initial: int = INITIAL, create: list[int] = CREATE, metadata: list[int] = METADATA) -> DataFrame:
@@ -46,7 +52,12 @@ def schedule(anomalies: DataFrame, initial: int = INITIAL, create: list[int] = C
         for i, wait in enumerate(waits):
             now += wait
             plan.append(F.struct(F.lit(phase).alias("phase"), F.lit(i + 1).alias("attempt_no"), F.lit(now).alias("after")))
-    return anomalies.withColumn("_p", F.explode(F.array(*plan))).select("anomaly_id", "_p.phase", "_p.attempt_no", (F.col("at") + F.col("_p.after")).alias("planned_at"))
+    return anomalies.withColumn("_p", F.explode(F.array(*plan))).select(
+        "anomaly_id",
+        "_p.phase",
+        "_p.attempt_no",
+        (F.col("at") + F.col("_p.after")).alias("planned_at"),
+    )
 
 
 def applied(found: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -10,7 +10,11 @@ from pulsegrid.functions.cards import LEVELS
 LEAST_INTENSITY, PAGE, MOST = 9.0, 24, 100
 
 
-def page_arguments(min_intensity: str | float | None = None, limit: str | int | None = None, offset: str | int | None = None) -> tuple[float, int, int]:
+def page_arguments(
+    min_intensity: str | float | None = None,
+    limit: str | int | None = None,
+    offset: str | int | None = None,
+) -> tuple[float, int, int]:
     """Blank or missing values take the defaults; limits are put into 1 to 100; what is no number raises ValueError."""
     blank = lambda v: v is None or (isinstance(v, str) and not v.strip())
     least = LEAST_INTENSITY if blank(min_intensity) else float(min_intensity)
@@ -45,7 +49,9 @@ def page_summary(clips: DataFrame, min_intensity=None, limit=None, offset=None)
 def level_counts(clips: DataFrame) -> DataFrame:
     """level, n: clips at that level or higher, in one pass."""
     sums = clips.agg(*[F.count_if(F.col("intensity") >= level).alias(f"n{i}") for i, (level, _) in enumerate(LEVELS)])
-    return sums.select(F.explode(F.array(*[F.struct(F.lit(level).alias("level"), F.col(f"n{i}").alias("n")) for i, (level, _) in enumerate(LEVELS)])).alias("_r")).select("_r.*")
+    return sums.select(
+        F.explode(F.array(*[F.struct(F.lit(level).alias("level"), F.col(f"n{i}").alias("n")) for i, (level, _) in enumerate(LEVELS)])).alias("_r")
+    ).select("_r.*")
 
 
 def key_counters(rows: DataFrame, *by: str) -> DataFrame:
@@ -62,7 +68,11 @@ def new_clips(arrived: DataFrame, stored: DataFrame) -> DataFrame:
 
 def insert_counts(arrived: DataFrame, stored: DataFrame) -> DataFrame:
     """inserted and conflicts of an insert of clips that are not there yet."""
-    marked = arrived.groupBy("clip_id").agg(F.count("*").alias("_n")).join(stored.select("clip_id").distinct().withColumn("_there", F.lit(True)), "clip_id", "left")
+    marked = arrived.groupBy("clip_id").agg(F.count("*").alias("_n")).join(
+        stored.select("clip_id").distinct().withColumn("_there", F.lit(True)),
+        "clip_id",
+        "left",
+    )
     inserted = F.count_if(F.col("_there").isNull())
     return marked.agg(inserted.alias("inserted"), (F.coalesce(F.sum("_n"), F.lit(0)) - inserted).alias("conflicts"))
 
@@ -70,11 +80,25 @@ def insert_counts(arrived: DataFrame, stored: DataFrame) -> DataFrame:
 def upsert_streamers(stored: DataFrame, seen: DataFrame) -> DataFrame:
     """stored with every sighting (streamer_id, login, seen_ms): the first time stays, the last time and login are renewed."""
     old = stored.select("streamer_id", "streamer_login", "allows_clipping", "first_seen_ms", "last_seen_ms")
-    new = seen.select("streamer_id", F.col("login").alias("streamer_login"), F.lit(None).cast("boolean").alias("allows_clipping"), F.col("seen_ms").alias("first_seen_ms"), F.col("seen_ms").alias("last_seen_ms"))
-    return old.unionByName(new).groupBy("streamer_id").agg(F.max_by("streamer_login", F.struct("last_seen_ms", "streamer_login")).alias("streamer_login"), F.coalesce(F.bool_and("allows_clipping"), F.lit(True)).alias("allows_clipping"), F.min("first_seen_ms").alias("first_seen_ms"), F.max("last_seen_ms").alias("last_seen_ms"))
+    new = seen.select(
+        "streamer_id",
+        F.col("login").alias("streamer_login"),
+        F.lit(None).cast("boolean").alias("allows_clipping"),
+        F.col("seen_ms").alias("first_seen_ms"),
+        F.col("seen_ms").alias("last_seen_ms"),
+    )
+    return old.unionByName(new).groupBy("streamer_id").agg(
+        F.max_by("streamer_login", F.struct("last_seen_ms", "streamer_login")).alias("streamer_login"),
+        F.coalesce(F.bool_and("allows_clipping"), F.lit(True)).alias("allows_clipping"),
+        F.min("first_seen_ms").alias("first_seen_ms"),
+        F.max("last_seen_ms").alias("last_seen_ms"),
+    )
 
 
 def disable_clipping(streamers: DataFrame, disabled: DataFrame) -> DataFrame:
     """allows_clipping is false for the ids in disabled; ids that are not known do nothing."""
     off = disabled.select("streamer_id").distinct().withColumn("_off", F.lit(True))
-    return streamers.join(off, "streamer_id", "left").withColumn("allows_clipping", F.when(F.col("_off"), False).otherwise(F.col("allows_clipping"))).drop("_off")
+    return streamers.join(off, "streamer_id", "left").withColumn(
+        "allows_clipping",
+        F.when(F.col("_off"), False).otherwise(F.col("allows_clipping")),
+    ).drop("_off")

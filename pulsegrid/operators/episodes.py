@@ -18,7 +18,18 @@ from pyspark.sql import types as T
 from pulsegrid.config import DetectorConfig
 
 PARAMS = ["k", "cap", "cooldown"]
-_FIELDS = [("started_at", T.LongType()), ("fired_at", T.LongType()), ("peak_at", T.LongType()), ("peak_intensity", T.DoubleType()), ("peak_count", T.LongType()), ("peak_mean", T.DoubleType()), ("peak_std", T.DoubleType()), ("start_mean", T.DoubleType()), ("start_std", T.DoubleType()), ("capped", T.BooleanType())]
+_FIELDS = [
+    ("started_at", T.LongType()),
+    ("fired_at", T.LongType()),
+    ("peak_at", T.LongType()),
+    ("peak_intensity", T.DoubleType()),
+    ("peak_count", T.LongType()),
+    ("peak_mean", T.DoubleType()),
+    ("peak_std", T.DoubleType()),
+    ("start_mean", T.DoubleType()),
+    ("start_std", T.DoubleType()),
+    ("capped", T.BooleanType()),
+]
 
 
 class Hold(NamedTuple):
@@ -40,7 +51,17 @@ class State(NamedTuple):
     regressed: int = 0
 
 
-def advance(state: State, second: int, count: int, mean: float, std: float, intensity: float | None, k: float, cap: int, cooldown: int) -> tuple[State, tuple | None]:
+def advance(
+    state: State,
+    second: int,
+    count: int,
+    mean: float,
+    std: float,
+    intensity: float | None,
+    k: float,
+    cap: int,
+    cooldown: int,
+) -> tuple[State, tuple | None]:
     """The state after one bucket, and the report it makes, if any. intensity: None if the bucket cannot be measured."""
     hold, last, regressed = state
     if hold is not None and hold.peak_at > second:
@@ -72,8 +93,19 @@ def sweep(read: DataFrame, params: DataFrame) -> DataFrame:
     names = [*PARAMS, *(["gate"] if has_gate else [])]
     measured = read.filter(F.col("intensity").isNotNull())
     # a few settings for each reading, not a product of two large sides
-    settings = F.array(*[F.struct(*[F.lit(r[n]).cast("double" if n == "k" else "long").alias(n) for n in names]) for r in params.select(*names).distinct().collect()])
-    rows = measured.withColumn("_p", F.explode(settings)).select("key", "second", "observed", "window_count", "mean", "std", "intensity", *[F.col(f"_p.{n}").alias(n) for n in names])
+    settings = F.array(
+        *[F.struct(*[F.lit(r[n]).cast("double" if n == "k" else "long").alias(n) for n in names]) for r in params.select(*names).distinct().collect()]
+    )
+    rows = measured.withColumn("_p", F.explode(settings)).select(
+        "key",
+        "second",
+        "observed",
+        "window_count",
+        "mean",
+        "std",
+        "intensity",
+        *[F.col(f"_p.{n}").alias(n) for n in names],
+    )
     if has_gate:
         rows = rows.filter(F.col("observed") >= F.col("gate"))
     line = Window.partitionBy("key", *names).orderBy("second")
@@ -114,7 +146,14 @@ def episodes(read: DataFrame, cfg: DetectorConfig) -> DataFrame:
 
 def anomalies(found: DataFrame, bucket_seconds: int = 1) -> DataFrame:
     """The event of each report, at its peak, in milliseconds."""
-    return found.select("key", (F.col("peak_at") * bucket_seconds * 1000).alias("detected_at"), F.col("peak_count").alias("message_count"), F.col("peak_mean").alias("baseline_mean"), F.col("peak_std").alias("baseline_std"), F.col("peak_intensity").alias("intensity"))
+    return found.select(
+        "key",
+        (F.col("peak_at") * bucket_seconds * 1000).alias("detected_at"),
+        F.col("peak_count").alias("message_count"),
+        F.col("peak_mean").alias("baseline_mean"),
+        F.col("peak_std").alias("baseline_std"),
+        F.col("peak_intensity").alias("intensity"),
+    )
 
 
 def next_start(found: DataFrame, *by: str) -> Column:

@@ -21,7 +21,17 @@ MESSAGE = T.StructType(
         T.StructField("text", T.StringType()),
         T.StructField("user_id", T.LongType()),
         T.StructField("user_name", T.StringType()),
-        T.StructField("metadata", T.StructType([T.StructField("emotes", T.MapType(T.StringType(), T.StringType())), T.StructField("badges", T.MapType(T.StringType(), T.StringType())), T.StructField("is_subscriber", T.BooleanType()), T.StructField("is_mod", T.BooleanType())])),
+        T.StructField(
+            "metadata",
+            T.StructType(
+                [
+                    T.StructField("emotes", T.MapType(T.StringType(), T.StringType())),
+                    T.StructField("badges", T.MapType(T.StringType(), T.StringType())),
+                    T.StructField("is_subscriber", T.BooleanType()),
+                    T.StructField("is_mod", T.BooleanType()),
+                ]
+            ),
+        ),
     ]
 )
 
@@ -77,8 +87,22 @@ def payload(raw: DataFrame) -> DataFrame:
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
     badges = F.coalesce("badges", none) if "badges" in raw.columns else none
     message_id = F.col("message_id") if "message_id" in raw.columns else F.expr("uuid()")
-    meta = F.struct(none.alias("emotes"), badges.alias("badges"), has("is_subscriber", "boolean", F.lit(False)).alias("is_subscriber"), has("is_mod", "boolean", F.lit(False)).alias("is_mod"))
-    return raw.select(F.col("channel_id").alias("broadcaster_id"), F.col("ingest_ms").alias("timestamp"), F.col("sent_ms").alias("sent_at"), message_id.alias("message_id"), "text", has("user_id", "bigint", F.lit(0).cast("long")).alias("user_id"), has("user_name", "string", F.lit("")).alias("user_name"), meta.alias("metadata"))
+    meta = F.struct(
+        none.alias("emotes"),
+        badges.alias("badges"),
+        has("is_subscriber", "boolean", F.lit(False)).alias("is_subscriber"),
+        has("is_mod", "boolean", F.lit(False)).alias("is_mod"),
+    )
+    return raw.select(
+        F.col("channel_id").alias("broadcaster_id"),
+        F.col("ingest_ms").alias("timestamp"),
+        F.col("sent_ms").alias("sent_at"),
+        message_id.alias("message_id"),
+        "text",
+        has("user_id", "bigint", F.lit(0).cast("long")).alias("user_id"),
+        has("user_name", "string", F.lit("")).alias("user_name"),
+        meta.alias("metadata"),
+    )
 
 
 def keyed(records: DataFrame, key: str) -> DataFrame:
@@ -110,10 +134,22 @@ def late_rows(messages: DataFrame, arrival: str, event_ms: str, chunk: Column, t
     inside = Window.partitionBy("_chunk").orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
     run = rows.withColumn("_run", F.max(event_ms).over(inside)).join(tops, "_chunk")
     mark = F.greatest("_run", "_earlier") - tolerance_ms - 1
-    return run.withColumn("watermark_ms", mark).withColumn("late", F.coalesce(F.col(event_ms) <= mark, F.lit(False))).drop("_run", "_earlier", "_chunk")
+    return run.withColumn("watermark_ms", mark).withColumn(
+        "late",
+        F.coalesce(F.col(event_ms) <= mark, F.lit(False)),
+    ).drop("_run", "_earlier", "_chunk")
 
 
 def replay_lines(decided: DataFrame) -> DataFrame:
     """A line for each evaluated second: second, key, and peak_at, count, mean, std, intensity where it reports."""
-    report = F.format_string("%d %s SPIKE peak_at=%d count=%d mean=%.4f std=%.4f intensity=%.4f", "second", "key", "peak_at", "peak_count", "peak_mean", "peak_std", "peak_intensity")
+    report = F.format_string(
+        "%d %s SPIKE peak_at=%d count=%d mean=%.4f std=%.4f intensity=%.4f",
+        "second",
+        "key",
+        "peak_at",
+        "peak_count",
+        "peak_mean",
+        "peak_std",
+        "peak_intensity",
+    )
     return decided.withColumn("line", F.when(F.col("peak_at").isNotNull(), report).otherwise(F.format_string("%d %s no-spike", "second", "key")))

@@ -58,7 +58,10 @@ def stalled(counted: DataFrame, width: int, window: int, lasts: int, anomaly: st
 def success_share(events: DataFrame, width: int, anomaly: str, ok: str) -> DataFrame:
     """For each window: keys with an anomaly, and the share of them without a success."""
     step = (F.floor(F.col("tick") / width) + 1) * width
-    by_key = events.groupBy(step.alias("tick"), "key").agg(F.count_if(F.col("kind") == anomaly).alias("_a"), F.count_if(F.col("kind") == ok).alias("_o")).filter("_a > 0")
+    by_key = events.groupBy(step.alias("tick"), "key").agg(
+        F.count_if(F.col("kind") == anomaly).alias("_a"),
+        F.count_if(F.col("kind") == ok).alias("_o"),
+    ).filter("_a > 0")
     return by_key.groupBy("tick").agg(F.count("*").alias("firing"), (F.count_if(F.col("_o") == 0) / F.count("*")).alias("without_success"))
 
 
@@ -85,4 +88,7 @@ def roll_up(alerts: DataFrame, repeat: dict[str, int], default: int) -> DataFram
     # time is dealt into repeat intervals from the group's first alert on; the first alert of an interval is sent
     first = F.min("tick").over(Window.partitionBy("name", "severity"))
     slot = F.floor((F.col("tick") - first) / wait)
-    return each.withColumn("_slot", slot).withColumn("_new", F.coalesce(F.lag("_slot").over(line) != F.col("_slot"), F.lit(True))).filter("_new").select("name", "severity", "tick", "n")
+    return each.withColumn("_slot", slot).withColumn(
+        "_new",
+        F.coalesce(F.lag("_slot").over(line) != F.col("_slot"), F.lit(True)),
+    ).filter("_new").select("name", "severity", "tick", "n")

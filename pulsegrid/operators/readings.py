@@ -20,7 +20,10 @@ STRETCH = 64
 
 def bucket_counts(messages: DataFrame, key: str, event_ms: str, cfg: DetectorConfig) -> DataFrame:
     """key, second (the bucket's number) and n. Rows without key or time are left out."""
-    return messages.filter(F.col(key).isNotNull() & F.col(event_ms).isNotNull()).groupBy(F.col(key).alias("key"), bucket(F.col(event_ms), cfg.bucket_seconds).alias("second")).agg(F.count("*").alias("n"))
+    return messages.filter(F.col(key).isNotNull() & F.col(event_ms).isNotNull()).groupBy(
+        F.col(key).alias("key"),
+        bucket(F.col(event_ms), cfg.bucket_seconds).alias("second"),
+    ).agg(F.count("*").alias("n"))
 
 
 def dense_grid(counts: DataFrame, cfg: DetectorConfig, last: int | Column | None = None) -> DataFrame:
@@ -53,7 +56,10 @@ def moments(counts: DataFrame, cfg: DetectorConfig, last: int | Column | None =
     so_far = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     to_come = line.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     base = spread.withColumn("_c", F.sum("n").over(so_far)).withColumn("_q", F.sum(F.col("n") * F.col("n")).over(so_far))
-    base = base.withColumn("_place", F.row_number().over(line)).withColumn("_filled", F.first(F.when(F.col("n") > 0, F.col("second")), ignorenulls=True).over(to_come))
+    base = base.withColumn("_place", F.row_number().over(line)).withColumn(
+        "_filled",
+        F.first(F.when(F.col("n") > 0, F.col("second")), ignorenulls=True).over(to_come),
+    )
 
     def total(column: str, back: int) -> Column:
         """The running total `back` buckets ago. Buckets are rows within an appearance; between appearances nothing that is
@@ -62,7 +68,9 @@ def moments(counts: DataFrame, cfg: DetectorConfig, last: int | Column | None =
         value = F.lag(column, back).over(line)
         return F.struct(at.alias("at"), value.alias("value"))
 
-    base = base.withColumns({"_w": total("_c", w), "_b": total("_c", w + b), "_bq": total("_q", w + b), "_wq": total("_q", w), "_f": total("_filled", w + b - 1)})
+    base = base.withColumns(
+        {"_w": total("_c", w), "_b": total("_c", w + b), "_bq": total("_q", w + b), "_wq": total("_q", w), "_f": total("_filled", w + b - 1)}
+    )
     appearance_start = F.max(F.when(F.coalesce(F.col("second") - F.lag("second").over(line) > 1, F.lit(True)), F.col("second"))).over(so_far)
     base = base.withColumn("_start", appearance_start)
     before = F.sum("n").over(line.rowsBetween(Window.unboundedPreceding, -1))
@@ -90,7 +98,16 @@ def scored(sums: DataFrame, cfg: DetectorConfig) -> DataFrame:
     status = F.when(F.col("observed") < cfg.gate, "warmup").when(spread <= 0, "flat").otherwise("ok")
     ok = status == "ok"
     mean, std = F.col("s1") / F.lit(float(b)), F.sqrt(spread / F.lit(float(b * (b - 1))))
-    return sums.select("key", "second", "observed", status.alias("status"), F.when(ok, F.col("window_count")).alias("window_count"), F.when(ok, mean).alias("mean"), F.when(ok, std).alias("std"), F.when(ok, (F.col("window_count") / F.lit(float(cfg.window)) - mean) / std).alias("intensity"))
+    return sums.select(
+        "key",
+        "second",
+        "observed",
+        status.alias("status"),
+        F.when(ok, F.col("window_count")).alias("window_count"),
+        F.when(ok, mean).alias("mean"),
+        F.when(ok, std).alias("std"),
+        F.when(ok, (F.col("window_count") / F.lit(float(cfg.window)) - mean) / std).alias("intensity"),
+    )
 
 
 def window_sums(counts: DataFrame, cfg: DetectorConfig) -> DataFrame:
@@ -100,7 +117,14 @@ def window_sums(counts: DataFrame, cfg: DetectorConfig) -> DataFrame:
     near, far = line.rangeBetween(-(w - 1), 0), line.rangeBetween(-(w + b - 1), -w)
     filled = F.when(F.col("n") > 0, F.col("second"))
     grid = dense_grid(counts, cfg)
-    found = grid.select("key", "second", F.sum("n").over(near).alias("window_count"), F.coalesce(F.sum("n").over(far), F.lit(0)).alias("s1"), F.coalesce(F.sum(F.col("n") * F.col("n")).over(far), F.lit(0)).alias("s2"), F.min(filled).over(far).alias("oldest"))
+    found = grid.select(
+        "key",
+        "second",
+        F.sum("n").over(near).alias("window_count"),
+        F.coalesce(F.sum("n").over(far), F.lit(0)).alias("s1"),
+        F.coalesce(F.sum(F.col("n") * F.col("n")).over(far), F.lit(0)).alias("s2"),
+        F.min(filled).over(far).alias("oldest"),
+    )
     return found.withColumn("observed", F.coalesce(F.col("second") - w + 1 - F.col("oldest"), F.lit(0)))
 
 
@@ -118,7 +142,11 @@ def gate_again(read: DataFrame, cfg: DetectorConfig, gate: int) -> DataFrame:
 
 def span(read: DataFrame, bucket_seconds: int = 1) -> DataFrame:
     """hours from first to last bucket, hours of all keys together, and the number of keys."""
-    return read.agg(((F.max("second") - F.min("second")) * bucket_seconds / 3600.0).alias("hours"), (F.count("*") * bucket_seconds / 3600.0).alias("key_hours"), F.count_distinct("key").alias("keys"))
+    return read.agg(
+        ((F.max("second") - F.min("second")) * bucket_seconds / 3600.0).alias("hours"),
+        (F.count("*") * bucket_seconds / 3600.0).alias("key_hours"),
+        F.count_distinct("key").alias("keys"),
+    )
 
 
 def islands(rows: DataFrame, *extra: str) -> DataFrame:
@@ -135,12 +163,19 @@ def appearances(read: DataFrame) -> DataFrame:
 def elevated_runs(read: DataFrame, k: float) -> DataFrame:
     """key, start, end, peak of each run of measured buckets of intensity k or more; an unmeasured bucket ends a run."""
     high = read.filter(F.col("intensity") >= k).select("key", "second", "intensity")
-    return islands(high).groupBy("key", "_run").agg(F.min("second").alias("start"), F.max("second").alias("end"), F.max("intensity").alias("peak")).drop("_run")
+    return islands(high).groupBy("key", "_run").agg(
+        F.min("second").alias("start"),
+        F.max("second").alias("end"),
+        F.max("intensity").alias("peak"),
+    ).drop("_run")
 
 
 def quantiles(rows: DataFrame, value: Column, points: dict[str, float], *by: str) -> DataFrame:
     """Exact quantiles with linear interpolation, a column each."""
-    return rows.groupBy(*by).agg(F.percentile(value, F.array(*[F.lit(p) for p in points.values()])).alias("_q"), F.count("*").alias("n")).select(*by, "n", *[F.col("_q")[i].alias(name) for i, name in enumerate(points)])
+    return rows.groupBy(*by).agg(
+        F.percentile(value, F.array(*[F.lit(p) for p in points.values()])).alias("_q"),
+        F.count("*").alias("n"),
+    ).select(*by, "n", *[F.col("_q")[i].alias(name) for i, name in enumerate(points)])
 
 
 RUN_POINTS = {"min": 0.0, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99, "max": 1.0}

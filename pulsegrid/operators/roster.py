@@ -52,7 +52,12 @@ def changes(followed: DataFrame, disabled: DataFrame) -> DataFrame:
     was = F.coalesce(F.lag("joined").over(line), F.lit(False))
     off = disabled.select("streamer_id").distinct().withColumn("_off", F.lit(True))
     moved = followed.withColumn("_was", was).filter("joined != _was").join(off, "streamer_id", "left")
-    return moved.select("streamer_id", "poll_ms", F.when(F.col("joined"), "join").otherwise("leave").alias("change"), F.when(~F.col("joined"), F.when(F.col("_off"), "disabled").otherwise("exited")).alias("reason"))
+    return moved.select(
+        "streamer_id",
+        "poll_ms",
+        F.when(F.col("joined"), "join").otherwise("leave").alias("change"),
+        F.when(~F.col("joined"), F.when(F.col("_off"), "disabled").otherwise("exited")).alias("reason"),
+    )
 
 
 def _gap(time: Column, before: Column, ttl_ms: int) -> Column:
@@ -63,7 +68,13 @@ def online_events(ranks: DataFrame, join: int = JOIN, ttl_ms: int = TTL_MS) -> D
     """A channel at rank `join` or better that was not seen among the ranks within the time to live."""
     line = Window.partitionBy("streamer_id").orderBy("poll_ms")
     gone = _gap(F.col("poll_ms"), F.lag("poll_ms").over(line), ttl_ms)
-    return ranks.withColumn("_gone", gone).filter(F.col("_gone") & (F.col("rank") <= join)).select(F.lit("online").alias("event_type"), F.col("streamer_id").alias("broadcaster_id"), F.col("login").alias("broadcaster_login"), "rank", F.floor(F.col("poll_ms") / 1000).alias("timestamp"))
+    return ranks.withColumn("_gone", gone).filter(F.col("_gone") & (F.col("rank") <= join)).select(
+        F.lit("online").alias("event_type"),
+        F.col("streamer_id").alias("broadcaster_id"),
+        F.col("login").alias("broadcaster_login"),
+        "rank",
+        F.floor(F.col("poll_ms") / 1000).alias("timestamp"),
+    )
 
 
 def offline_events(followed: DataFrame, ttl_ms: int = TTL_MS) -> DataFrame:
@@ -72,7 +83,12 @@ def offline_events(followed: DataFrame, ttl_ms: int = TTL_MS) -> DataFrame:
     seen = F.last(F.when(F.col("rank").isNotNull(), F.col("poll_ms")), ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1))
     was = F.coalesce(F.lag("joined").over(line), F.lit(False))
     rows = followed.withColumn("_seen", seen).withColumn("_was", was)
-    return rows.filter(F.col("_was") & F.col("rank").isNull() & (F.col("poll_ms") - F.col("_seen") >= ttl_ms)).select(F.lit("offline").alias("event_type"), F.col("streamer_id").alias("broadcaster_id"), F.lit(0).alias("rank"), F.floor(F.col("poll_ms") / 1000).alias("timestamp"))
+    return rows.filter(F.col("_was") & F.col("rank").isNull() & (F.col("poll_ms") - F.col("_seen") >= ttl_ms)).select(
+        F.lit("offline").alias("event_type"),
+        F.col("streamer_id").alias("broadcaster_id"),
+        F.lit(0).alias("rank"),
+        F.floor(F.col("poll_ms") / 1000).alias("timestamp"),
+    )
 
 
 def active_gauge(followed: DataFrame) -> DataFrame:

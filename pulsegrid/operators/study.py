@@ -24,14 +24,31 @@ def trigger_sweep(read: DataFrame, cfg: DetectorConfig, ks: list[float]) -> Data
     spark = read.sparkSession
     found = sweep(read, params(spark, cfg, k=ks))
     hours = F.lit(cfg.bucket_seconds / 3600.0)
-    whole = read.agg(F.count("*").alias("_rows"), (F.max("second") - F.min("second")).alias("_width"), F.count_distinct("key").alias("_keys"), *[F.count_if(F.col("intensity") >= k).alias(f"_at{i}") for i, k in enumerate(ks)])
-    by_k = whole.select("*", F.posexplode(F.array(*[F.lit(float(k)) for k in ks])).alias("_i", "k")).withColumn("_high", F.element_at(F.array(*[f"_at{i}" for i in range(len(ks))]), F.col("_i") + 1))
+    whole = read.agg(
+        F.count("*").alias("_rows"),
+        (F.max("second") - F.min("second")).alias("_width"),
+        F.count_distinct("key").alias("_keys"),
+        *[F.count_if(F.col("intensity") >= k).alias(f"_at{i}") for i, k in enumerate(ks)],
+    )
+    by_k = whole.select("*", F.posexplode(F.array(*[F.lit(float(k)) for k in ks])).alias("_i", "k")).withColumn(
+        "_high",
+        F.element_at(F.array(*[f"_at{i}" for i in range(len(ks))]), F.col("_i") + 1),
+    )
     busiest = found.groupBy("k", "key").agg(F.count("*").alias("_n")).groupBy("k").agg(F.max("_n").alias("_most"), F.count("*").alias("firing_keys"))
     ratio = F.when(F.col("start_mean") > 0, (F.col("peak_count") / cfg.window) / F.col("start_mean"))
     totals = found.groupBy("k").agg(F.count("*").alias("episodes"), F.percentile(ratio, F.lit(0.5)).alias("median_ratio"))
     out = by_k.join(totals, "k", "left").join(busiest, "k", "left").withColumn("episodes", F.coalesce("episodes", F.lit(0)))
     span = F.col("_width") * hours
-    return out.select("k", F.try_divide("_high", "_rows").alias("share"), "episodes", F.try_divide("episodes", F.col("_rows") * hours).alias("per_key_hour"), (F.try_divide("episodes", span) * 24).alias("per_day"), "median_ratio", F.try_divide(F.coalesce("firing_keys", F.lit(0)), "_keys").alias("firing_share"), F.try_divide("_most", "episodes").alias("busiest_share"))
+    return out.select(
+        "k",
+        F.try_divide("_high", "_rows").alias("share"),
+        "episodes",
+        F.try_divide("episodes", F.col("_rows") * hours).alias("per_key_hour"),
+        (F.try_divide("episodes", span) * 24).alias("per_day"),
+        "median_ratio",
+        F.try_divide(F.coalesce("firing_keys", F.lit(0)), "_keys").alias("firing_share"),
+        F.try_divide("_most", "episodes").alias("busiest_share"),
+    )
 
 
 def cap_sweep(read: DataFrame, cfg: DetectorConfig, caps: list[int]) -> DataFrame:
@@ -43,7 +60,14 @@ def cap_sweep(read: DataFrame, cfg: DetectorConfig, caps: list[int]) -> DataFram
     onward = runs.select("key", F.col("second").alias("started_at"), F.max("intensity").over(later).alias("full_peak"))
     joined = found.join(onward, ["key", "started_at"], "left")
     loss = F.when(F.col("capped"), (F.col("full_peak") - F.col("peak_intensity")) / F.col("full_peak"))
-    return joined.groupBy("cap").agg(F.count("*").alias("episodes"), F.count_if("capped").alias("capped"), F.percentile(loss, F.array(F.lit(0.5), F.lit(0.95))).alias("_q")).select("cap", "episodes", "capped", (F.col("capped") / F.col("episodes")).alias("capped_share"), F.col("_q")[0].alias("median_loss"), F.col("_q")[1].alias("p95_loss"))
+    return joined.groupBy("cap").agg(F.count("*").alias("episodes"), F.count_if("capped").alias("capped"), F.percentile(loss, F.array(F.lit(0.5), F.lit(0.95))).alias("_q")).select(
+        "cap",
+        "episodes",
+        "capped",
+        (F.col("capped") / F.col("episodes")).alias("capped_share"),
+        F.col("_q")[0].alias("median_loss"),
+        F.col("_q")[1].alias("p95_loss"),
+    )
 
 
 def cooldown_sweep(read: DataFrame, cfg: DetectorConfig, cooldowns: list[int]) -> DataFrame:
@@ -57,11 +81,30 @@ def recovery_curve(read: DataFrame, found: DataFrame, cfg: DetectorConfig, offse
     """For each offset after the report of an isolated episode, medians of baseline mean, deviation and relative spread
     against those at its start, and of sensitivity (start deviation / deviation now), with its 10th percentile."""
     alone = isolated(found, max(offsets))
-    wanted = alone.withColumn("offset", F.explode(F.array(*map(F.lit, offsets)))).withColumn("second", F.col("fired_at") + F.col("offset")).select("key", "second", "offset", "start_mean", "start_std")
+    wanted = alone.withColumn("offset", F.explode(F.array(*map(F.lit, offsets)))).withColumn("second", F.col("fired_at") + F.col("offset")).select(
+        "key",
+        "second",
+        "offset",
+        "start_mean",
+        "start_std",
+    )
     rows = wanted.join(read.filter("intensity IS NOT NULL").select("key", "second", "mean", "std"), ["key", "second"])
-    rows = rows.select("offset", (F.col("mean") / F.nullif("start_mean", F.lit(0.0))).alias("m"), (F.col("std") / F.col("start_std")).alias("s"), ((F.col("std") / F.nullif("mean", F.lit(0.0))) / F.nullif(F.col("start_std") / F.nullif("start_mean", F.lit(0.0)), F.lit(0.0))).alias("r"), (F.col("start_std") / F.col("std")).alias("t"))
+    rows = rows.select(
+        "offset",
+        (F.col("mean") / F.nullif("start_mean", F.lit(0.0))).alias("m"),
+        (F.col("std") / F.col("start_std")).alias("s"),
+        ((F.col("std") / F.nullif("mean", F.lit(0.0))) / F.nullif(F.col("start_std") / F.nullif("start_mean", F.lit(0.0)), F.lit(0.0))).alias("r"),
+        (F.col("start_std") / F.col("std")).alias("t"),
+    )
     half = lambda c, p=0.5: F.percentile(c, F.lit(p))
-    return rows.groupBy("offset").agg(F.count("*").alias("n"), half("m").alias("mean_ratio"), half("s").alias("std_ratio"), half("r").alias("spread_ratio"), half("t").alias("sensitivity"), half("t", 0.1).alias("sensitivity_p10"))
+    return rows.groupBy("offset").agg(
+        F.count("*").alias("n"),
+        half("m").alias("mean_ratio"),
+        half("s").alias("std_ratio"),
+        half("r").alias("spread_ratio"),
+        half("t").alias("sensitivity"),
+        half("t", 0.1).alias("sensitivity_p10"),
+    )
 
 
 def swallowed(read: DataFrame, found: DataFrame, cfg: DetectorConfig) -> DataFrame:
@@ -69,13 +112,32 @@ def swallowed(read: DataFrame, found: DataFrame, cfg: DetectorConfig) -> DataFra
     buckets and runs of buckets that would have been elevated but were not: variant, seconds, runs."""
     horizon = cfg.retained
     alone = isolated(found, horizon)
-    near = alone.withColumn("second", F.explode(F.sequence(F.col("fired_at") + cfg.cooldown + 1, F.col("fired_at") + horizon))).select("key", "fired_at", "start_mean", "start_std", "second")
+    near = alone.withColumn(
+        "second",
+        F.explode(F.sequence(F.col("fired_at") + cfg.cooldown + 1, F.col("fired_at") + horizon)),
+    ).select("key", "fired_at", "start_mean", "start_std", "second")
     rows = near.join(read.filter("intensity IS NOT NULL"), ["key", "second"])
     level = F.col("window_count") / F.lit(float(cfg.window))
-    variants = {"frozen": (level - F.col("start_mean")) / F.col("start_std"), "spread": (level - F.col("mean")) / F.col("start_std"), "excess": F.when(F.col("start_mean") > 0, (level - F.col("mean")) / F.nullif(F.col("start_std") * F.col("mean") / F.nullif("start_mean", F.lit(0.0)), F.lit(0.0)))}
-    split = rows.select("key", "fired_at", "second", "intensity", F.explode(F.array(*[F.struct(F.lit(n).alias("variant"), e.alias("value")) for n, e in variants.items()])).alias("_v")).select("key", "fired_at", "second", "intensity", "_v.*")
+    variants = {
+        "frozen": (level - F.col("start_mean")) / F.col("start_std"),
+        "spread": (level - F.col("mean")) / F.col("start_std"),
+        "excess": F.when(
+            F.col("start_mean") > 0,
+            (level - F.col("mean")) / F.nullif(F.col("start_std") * F.col("mean") / F.nullif("start_mean", F.lit(0.0)), F.lit(0.0)),
+        ),
+    }
+    split = rows.select(
+        "key",
+        "fired_at",
+        "second",
+        "intensity",
+        F.explode(F.array(*[F.struct(F.lit(n).alias("variant"), e.alias("value")) for n, e in variants.items()])).alias("_v"),
+    ).select("key", "fired_at", "second", "intensity", "_v.*")
     hits = islands(split.filter((F.col("intensity") < cfg.k) & (F.col("value") >= cfg.k)), "fired_at", "variant")
-    return hits.groupBy("variant", "key", "fired_at", "_run").agg(F.count("*").alias("n")).groupBy("variant").agg(F.sum("n").alias("seconds"), F.count("*").alias("runs"))
+    return hits.groupBy("variant", "key", "fired_at", "_run").agg(F.count("*").alias("n")).groupBy("variant").agg(
+        F.sum("n").alias("seconds"),
+        F.count("*").alias("runs"),
+    )
 
 
 def gate_sweep(read: DataFrame, cfg: DetectorConfig, fractions: list[float]) -> DataFrame:
@@ -85,11 +147,29 @@ def gate_sweep(read: DataFrame, cfg: DetectorConfig, fractions: list[float]) ->
     long = islands(read.select("key", "second", "observed")).groupBy("key", "_run").agg(F.max("observed").alias("most"))
     low = read.agg(F.count("*").alias("n"), *[F.count_if(F.col("observed") < g).alias(f"b{i}") for i, g in enumerate(gates.values())])
     never = long.agg(*[F.count_if(F.col("most") < g).alias(f"a{i}") for i, g in enumerate(gates.values())])
-    rows = F.explode(F.array(*[F.struct(F.lit(f).alias("fraction"), F.lit(g).cast("long").alias("gate"), F.col(f"b{i}").alias("blocked"), F.lit(i).alias("i")) for i, (f, g) in enumerate(gates.items())]))
+    rows = F.explode(
+        F.array(
+            *[
+                F.struct(F.lit(f).alias("fraction"), F.lit(g).cast("long").alias("gate"), F.col(f"b{i}").alias("blocked"), F.lit(i).alias("i")) for i,
+                (f, g) in enumerate(gates.items())
+            ]
+        )
+    )
     blocked = low.select("n", rows.alias("_r")).select("n", "_r.*")
     missed = never.select(F.posexplode(F.array(*never.columns)).alias("i", "never"))
-    found = sweep(read, params(read.sparkSession, cfg, gate=sorted({*gates.values()}))).groupBy("gate").agg(F.count("*").alias("episodes"), F.max("peak_intensity").alias("max_peak"))
-    return blocked.join(missed, "i").join(found, "gate", "left").select("fraction", "gate", "blocked", F.try_divide("blocked", "n").alias("blocked_share"), F.col("never").alias("never_clear"), F.coalesce("episodes", F.lit(0)).alias("episodes"), "max_peak")
+    found = sweep(read, params(read.sparkSession, cfg, gate=sorted({*gates.values()}))).groupBy("gate").agg(
+        F.count("*").alias("episodes"),
+        F.max("peak_intensity").alias("max_peak"),
+    )
+    return blocked.join(missed, "i").join(found, "gate", "left").select(
+        "fraction",
+        "gate",
+        "blocked",
+        F.try_divide("blocked", "n").alias("blocked_share"),
+        F.col("never").alias("never_clear"),
+        F.coalesce("episodes", F.lit(0)).alias("episodes"),
+        "max_peak",
+    )
 
 
 def admitted_profile(read: DataFrame, gate: int, reference_gate: int) -> DataFrame:
@@ -98,7 +178,15 @@ def admitted_profile(read: DataFrame, gate: int, reference_gate: int) -> DataFra
     return quantiles(some, F.col("intensity"), {"p50": 0.5, "p999": 0.999, "max": 1.0})
 
 
-def contained(peak_at: Column, fired_at: Column, delay: Column, watermark: float = 5.0, transport: float = 0.1, before: float = 25.0, after: float = 5.0) -> Column:
+def contained(
+    peak_at: Column,
+    fired_at: Column,
+    delay: Column,
+    watermark: float = 5.0,
+    transport: float = 0.1,
+    before: float = 25.0,
+    after: float = 5.0,
+) -> Column:
     """Whether a clip asked for `delay` seconds after a report shows the peak."""
     call = fired_at + F.lit(watermark + transport) + delay
     return (peak_at >= call - before) & (peak_at <= call + after)
@@ -111,4 +199,8 @@ def clip_coverage(found: DataFrame, delays: list[float], bucket_seconds: int = 1
     rows = found.withColumn("delay", F.explode(F.array(*[F.lit(float(d)) for d in delays])))
     peak = F.col("peak_at") * bucket_seconds
     inside = contained(peak, F.col("fired_at") * bucket_seconds, F.col("delay"), **clip)
-    return rows.groupBy("delay").agg(F.count("*").alias("episodes"), (F.count_if(inside) / F.count("*")).alias("share"), F.percentile((peak - (call - before)) / (before + after), F.lit(0.5)).alias("median_position"))
+    return rows.groupBy("delay").agg(
+        F.count("*").alias("episodes"),
+        (F.count_if(inside) / F.count("*")).alias("share"),
+        F.percentile((peak - (call - before)) / (before + after), F.lit(0.5)).alias("median_position"),
+    )

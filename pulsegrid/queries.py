@@ -38,11 +38,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as messages."""
     text = F.concat(F.when(F.col("event_type") == "error", "!").otherwise(""), F.col("event_type"))
-    return table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", messages.epoch_ms(F.col("ts")).alias("ms"), text.alias("text"))
+    return table(spark, sf_dir, "events").select(
+        "event_id",
+        "user_id",
+        "event_type",
+        "value",
+        messages.epoch_ms(F.col("ts")).alias("ms"),
+        text.alias("text"),
+    )
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    record = F.struct(F.col("user_id").alias("broadcaster_id"), (F.col("ms") + F.col("event_id") % 7).alias("timestamp"), F.col("ms").alias("sent_at"), F.col("event_id").cast("string").alias("message_id"), F.col("text").alias("text"), F.col("event_type").alias("user_name"))
+    record = F.struct(
+        F.col("user_id").alias("broadcaster_id"),
+        (F.col("ms") + F.col("event_id") % 7).alias("timestamp"),
+        F.col("ms").alias("sent_at"),
+        F.col("event_id").cast("string").alias("message_id"),
+        F.col("text").alias("text"),
+        F.col("event_type").alias("user_name"),
+    )
     return chat(spark, sf_dir).select("event_id", F.to_json(record).alias("line"))
 
 
@@ -59,16 +73,27 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clip_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat(spark, sf_dir).select(F.col("event_id").alias("clip_id"), F.col("user_id").alias("broadcaster_id"), F.col("ms").alias("detected_at"), (F.col("value") / 10).alias("intensity"))
+    return chat(spark, sf_dir).select(
+        F.col("event_id").alias("clip_id"),
+        F.col("user_id").alias("broadcaster_id"),
+        F.col("ms").alias("detected_at"),
+        (F.col("value") / 10).alias("intensity"),
+    )
 
 
 def streamers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("streamer_id"), F.col("c_name").alias("streamer_login"), (F.col("c_acctbal") >= 0).alias("allows_clipping"))
+    return table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("streamer_id"),
+        F.col("c_name").alias("streamer_login"),
+        (F.col("c_acctbal") >= 0).alias("allows_clipping"),
+    )
 
 
 def polls(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.floor(F.col("ms") / 86_400_000) * 86_400_000
-    daily = chat(spark, sf_dir).groupBy(day.alias("poll_ms"), F.col("user_id").alias("streamer_id")).agg(F.sum(F.round(F.col("value") * 100).cast("long")).alias("viewers"))
+    daily = chat(spark, sf_dir).groupBy(day.alias("poll_ms"), F.col("user_id").alias("streamer_id")).agg(
+        F.sum(F.round(F.col("value") * 100).cast("long")).alias("viewers")
+    )
     return daily.join(streamers(spark, sf_dir).select("streamer_id", F.col("streamer_login").alias("login")), "streamer_id", "left")
 
 
@@ -86,7 +111,9 @@ def top_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _M = f"WITH {o.MESSAGES} "
 
 
-@query(_M + "SELECT event_id, user_id AS broadcaster_id, ms + event_id % 7 AS timestamp, ms AS sent_at, event_id::VARCHAR AS message_id, text, event_type AS user_name FROM m")
+@query(
+    _M + "SELECT event_id, user_id AS broadcaster_id, ms + event_id % 7 AS timestamp, ms AS sent_at, event_id::VARCHAR AS message_id, text, event_type AS user_name FROM m"
+)
 def parse_messages(spark, sf_dir):
     return messages.parse(lines(spark, sf_dir)).drop("user_id", "metadata")
 
@@ -98,13 +125,22 @@ def drop_commands(spark, sf_dir):
 
 @query(_M + "SELECT event_id, CASE WHEN event_type = 'view' THEN ms + 1000 ELSE ms END AS event_ms FROM m")
 def event_time(spark, sf_dir):
-    rows = chat(spark, sf_dir).select("event_id", (F.col("ms") + 1000).alias("record_ms"), F.when(F.col("event_type") != "view", F.col("ms").cast("string")).otherwise("unknown").alias("sent_at"))
+    rows = chat(spark, sf_dir).select(
+        "event_id",
+        (F.col("ms") + 1000).alias("record_ms"),
+        F.when(F.col("event_type") != "view", F.col("ms").cast("string")).otherwise("unknown").alias("sent_at"),
+    )
     return messages.event_time(rows, "record_ms").select("event_id", "event_ms")
 
 
 @query(_M + "SELECT event_id, ms FROM m WHERE ms >= epoch_ms(TIMESTAMP '2024-01-05 00:00:00') AND ms < epoch_ms(TIMESTAMP '2024-01-12 12:00:00')")
 def time_slice(spark, sf_dir):
-    return messages.time_slice(chat(spark, sf_dir), datetime(2024, 1, 5, tzinfo=UTC), datetime(2024, 1, 12, 12, tzinfo=UTC), "ms").select("event_id", "ms")
+    return messages.time_slice(
+        chat(spark, sf_dir),
+        datetime(2024, 1, 5, tzinfo=UTC),
+        datetime(2024, 1, 12, 12, tzinfo=UTC),
+        "ms",
+    ).select("event_id", "ms")
 
 
 @query(_M + "SELECT event_id, text FROM m ORDER BY event_id LIMIT 500")
@@ -119,9 +155,18 @@ def channel_enrich(spark, sf_dir):
     return messages.enrich(rows, channels)
 
 
-@query(_M + "SELECT user_id::VARCHAR AS key, concat('{\"broadcaster_id\":', user_id, ',\"timestamp\":', ms + 1, ',\"sent_at\":', ms, ',\"message_id\":\"', event_id, '\",\"text\":\"', text, '\",\"user_id\":0,\"user_name\":\"', event_type, '\",\"metadata\":{\"emotes\":{},\"badges\":{},\"is_subscriber\":false,\"is_mod\":false}}') AS value FROM m")
+@query(
+    _M + "SELECT user_id::VARCHAR AS key, concat('{\"broadcaster_id\":', user_id, ',\"timestamp\":', ms + 1, ',\"sent_at\":', ms, ',\"message_id\":\"', event_id, '\",\"text\":\"', text, '\",\"user_id\":0,\"user_name\":\"', event_type, '\",\"metadata\":{\"emotes\":{},\"badges\":{},\"is_subscriber\":false,\"is_mod\":false}}') AS value FROM m"
+)
 def message_payload(spark, sf_dir):
-    raw = chat(spark, sf_dir).select(F.col("user_id").alias("channel_id"), (F.col("ms") + 1).alias("ingest_ms"), F.col("ms").alias("sent_ms"), F.col("event_id").cast("string").alias("message_id"), "text", F.col("event_type").alias("user_name"))
+    raw = chat(spark, sf_dir).select(
+        F.col("user_id").alias("channel_id"),
+        (F.col("ms") + 1).alias("ingest_ms"),
+        F.col("ms").alias("sent_ms"),
+        F.col("event_id").cast("string").alias("message_id"),
+        "text",
+        F.col("event_type").alias("user_name"),
+    )
     return messages.keyed(messages.payload(raw), "broadcaster_id")
 
 
@@ -130,16 +175,32 @@ def ingest_lag(spark, sf_dir):
     return messages.ingest_lag(messages.parse(lines(spark, sf_dir))).select("event_id", "lag_ms")
 
 
-@query(_M + "SELECT count(*) AS rows_read, 0.0::DOUBLE AS unparsed_share, 0.0::DOUBLE AS no_sent_at_share, min(event_id % 7)::BIGINT AS lag_min, quantile_cont(event_id % 7, 0.5)::DOUBLE AS lag_p50, max(event_id % 7)::BIGINT AS lag_max FROM m")
+@query(
+    _M + "SELECT count(*) AS rows_read, 0.0::DOUBLE AS unparsed_share, 0.0::DOUBLE AS no_sent_at_share, min(event_id % 7)::BIGINT AS lag_min, quantile_cont(event_id % 7, 0.5)::DOUBLE AS lag_p50, max(event_id % 7)::BIGINT AS lag_max FROM m"
+)
 def source_contract(spark, sf_dir):
     return contract.report(lines(spark, sf_dir), "line")
 
 
-@query("SELECT event_id, concat('pulse-', event_type) AS container_name, event_type AS log, 'stdout' AS stream, json_extract_string(props, '$.k')::INTEGER AS k FROM events")
+@query(
+    "SELECT event_id, concat('pulse-', event_type) AS container_name, event_type AS log, 'stdout' AS stream, json_extract_string(props, '$.k')::INTEGER AS k FROM events"
+)
 def log_fields(spark, sf_dir):
     rows = table(spark, sf_dir, "events")
-    line = F.to_json(F.struct(F.col("event_type").alias("log"), F.lit("stdout").alias("stream"), F.struct(F.concat(F.lit("image|pulse-"), F.col("event_type"), F.lit("|1")).alias("tag")).alias("attrs")))
-    return logs.fields(rows.withColumn("line", line), "line", r"^[^|]*\|([^|]*)\|").select("event_id", "container_name", "log", "stream", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    line = F.to_json(
+        F.struct(
+            F.col("event_type").alias("log"),
+            F.lit("stdout").alias("stream"),
+            F.struct(F.concat(F.lit("image|pulse-"), F.col("event_type"), F.lit("|1")).alias("tag")).alias("attrs"),
+        )
+    )
+    return logs.fields(rows.withColumn("line", line), "line", r"^[^|]*\|([^|]*)\|").select(
+        "event_id",
+        "container_name",
+        "log",
+        "stream",
+        F.get_json_object("props", "$.k").cast("int").alias("k"),
+    )
 
 
 # counts and readings
@@ -162,10 +223,23 @@ def window_total(spark, sf_dir):
     return readings.moments(counts(spark, sf_dir), CFG).select("key", "second", "window_count")
 
 
-@query(_R + f"SELECT key, second, s1, s2, round(s1 / {o.B}.0, 6) AS mean, round(sqrt(({o.B} * s2 - s1 * s1) / {o.B * (o.B - 1)}.0), 6) AS std FROM sums")
+@query(
+    _R + f"SELECT key, second, s1, s2, round(s1 / {o.B}.0, 6) AS mean, round(sqrt(({o.B} * s2 - s1 * s1) / {o.B * (o.B - 1)}.0), 6) AS std FROM sums"
+)
 def baseline_stats(spark, sf_dir):
     rows = readings.moments(counts(spark, sf_dir), CFG)
-    return rounded(rows.select("key", "second", "s1", "s2", (F.col("s1") / float(o.B)).alias("mean"), F.sqrt((o.B * F.col("s2") - F.col("s1") * F.col("s1")) / float(o.B * (o.B - 1))).alias("std")), "mean", "std")
+    return rounded(
+        rows.select(
+            "key",
+            "second",
+            "s1",
+            "s2",
+            (F.col("s1") / float(o.B)).alias("mean"),
+            F.sqrt((o.B * F.col("s2") - F.col("s1") * F.col("s1")) / float(o.B * (o.B - 1))).alias("std"),
+        ),
+        "mean",
+        "std",
+    )
 
 
 @query(_R + "SELECT key, second, observed FROM sums")
@@ -173,7 +247,9 @@ def observed_seconds(spark, sf_dir):
     return read(spark, sf_dir).select("key", "second", F.col("observed").cast("long").alias("observed"))
 
 
-@query(_R + "SELECT key, second, observed, status, window_count, round(mean, 6) AS mean, round(std, 6) AS std, round(intensity, 6) AS intensity FROM readings")
+@query(
+    _R + "SELECT key, second, observed, status, window_count, round(mean, 6) AS mean, round(std, 6) AS std, round(intensity, 6) AS intensity FROM readings"
+)
 def readings_table(spark, sf_dir):
     return rounded(read(spark, sf_dir).withColumn("observed", F.col("observed").cast("long")), "mean", "std", "intensity")
 
@@ -183,12 +259,20 @@ def reading_status(spark, sf_dir):
     return rounded(readings.status_totals(read(spark, sf_dir)), "share")
 
 
-@query(_R + f"SELECT round((max(second) - min(second)) * {o.HOUR} / 3600.0, 6) AS hours, round(count(*) * {o.HOUR} / 3600.0, 6) AS key_hours, count(DISTINCT key) AS keys FROM readings")
+@query(
+    _R + f"SELECT round((max(second) - min(second)) * {o.HOUR} / 3600.0, 6) AS hours, round(count(*) * {o.HOUR} / 3600.0, 6) AS key_hours, count(DISTINCT key) AS keys FROM readings"
+)
 def span_hours(spark, sf_dir):
-    return rounded(readings.span(read(spark, sf_dir), o.HOUR).withColumns({c: F.col(c).cast("double") for c in ("hours", "key_hours")}), "hours", "key_hours")
+    return rounded(
+        readings.span(read(spark, sf_dir), o.HOUR).withColumns({c: F.col(c).cast("double") for c in ("hours", "key_hours")}),
+        "hours",
+        "key_hours",
+    )
 
 
-@query(_R + """SELECT key, min(second) AS start, max(second) AS "end" FROM (SELECT *, second - row_number() OVER (PARTITION BY key ORDER BY second) AS run FROM readings) GROUP BY key, run""")
+@query(
+    _R + """SELECT key, min(second) AS start, max(second) AS "end" FROM (SELECT *, second - row_number() OVER (PARTITION BY key ORDER BY second) AS run FROM readings) GROUP BY key, run"""
+)
 def appearances(spark, sf_dir):
     return readings.appearances(read(spark, sf_dir))
 
@@ -198,7 +282,12 @@ def elevated_runs(spark, sf_dir):
     return rounded(readings.elevated_runs(read(spark, sf_dir), o.K), "peak")
 
 
-@query(_R + "," + o.RUNS + ", n AS (SELECT (\"end\" - start + 1)::DOUBLE AS x FROM runs) SELECT count(*) AS n, " + ", ".join(f"round(quantile_cont(x, {q}), 6) AS {name}" for name, q in readings.RUN_POINTS.items()) + " FROM n")
+@query(
+    _R + "," + o.RUNS + ", n AS (SELECT (\"end\" - start + 1)::DOUBLE AS x FROM runs) SELECT count(*) AS n, " + ", ".join(
+        f"round(quantile_cont(x, {q}), 6) AS {name}" for name,
+        q in readings.RUN_POINTS.items()
+    ) + " FROM n"
+)
 def run_quantiles(spark, sf_dir):
     return rounded(readings.run_quantiles(readings.elevated_runs(read(spark, sf_dir), o.K)), *readings.RUN_POINTS)
 
@@ -206,9 +295,14 @@ def run_quantiles(spark, sf_dir):
 _LATE_MS = "CASE WHEN event_type = 'click' THEN ms - 7200000 ELSE ms END"
 
 
-@query(_M + f", e AS (SELECT event_id, {_LATE_MS} AS event_ms FROM m), w AS (SELECT *, max(event_ms) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 5001 AS watermark_ms FROM e) SELECT event_id, event_ms, watermark_ms, coalesce(event_ms <= watermark_ms, false) AS late FROM w")
+@query(
+    _M + f", e AS (SELECT event_id, {_LATE_MS} AS event_ms FROM m), w AS (SELECT *, max(event_ms) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 5001 AS watermark_ms FROM e) SELECT event_id, event_ms, watermark_ms, coalesce(event_ms <= watermark_ms, false) AS late FROM w"
+)
 def late_audit(spark, sf_dir):
-    rows = chat(spark, sf_dir).select("event_id", F.when(F.col("event_type") == "click", F.col("ms") - 7_200_000).otherwise(F.col("ms")).alias("event_ms"))
+    rows = chat(spark, sf_dir).select(
+        "event_id",
+        F.when(F.col("event_type") == "click", F.col("ms") - 7_200_000).otherwise(F.col("ms")).alias("event_ms"),
+    )
     return messages.late_rows(rows, "event_id", "event_ms", messages.arrival_chunk(rows, "event_id"))
 
 
@@ -228,18 +322,30 @@ def episode_table(spark, sf_dir):
     return rounded(found(spark, sf_dir), *_DOUBLES)
 
 
-@query(_e() + f"SELECT key, peak_at * {o.HOUR * 1000} AS detected_at, peak_count AS message_count, round(peak_mean, 6) AS baseline_mean, round(peak_std, 6) AS baseline_std, round(peak_intensity, 6) AS intensity FROM episodes")
+@query(
+    _e() + f"SELECT key, peak_at * {o.HOUR * 1000} AS detected_at, peak_count AS message_count, round(peak_mean, 6) AS baseline_mean, round(peak_std, 6) AS baseline_std, round(peak_intensity, 6) AS intensity FROM episodes"
+)
 def anomalies(spark, sf_dir):
     return rounded(episodes.anomalies(found(spark, sf_dir), o.HOUR), "baseline_mean", "baseline_std", "intensity")
 
 
-_BAND = "CASE " + " ".join(f"WHEN gap >= {a} AND gap < {b} THEN '{a}-{b}'" for a, b in zip(episodes.BANDS, episodes.BANDS[1:], strict=False)) + " WHEN gap >= 300 THEN '300+' END"
+_BAND = "CASE " + " ".join(
+    f"WHEN gap >= {a} AND gap < {b} THEN '{a}-{b}'" for a,
+    b in zip(episodes.BANDS, episodes.BANDS[1:], strict=False)
+) + " WHEN gap >= 300 THEN '300+' END"
 
 
-@query(_e(cooldown=(0,)) + f", ga AS (SELECT lead(started_at) OVER (PARTITION BY key ORDER BY started_at) - fired_at AS gap FROM episodes) SELECT {_BAND} AS band, count(*) AS n, min(gap) AS shortest, max(gap) AS longest, round(quantile_cont(gap::DOUBLE, 0.5), 6) AS median FROM ga WHERE gap IS NOT NULL GROUP BY band")
+@query(
+    _e(cooldown=(0,)) + f", ga AS (SELECT lead(started_at) OVER (PARTITION BY key ORDER BY started_at) - fired_at AS gap FROM episodes) SELECT {_BAND} AS band, count(*) AS n, min(gap) AS shortest, max(gap) AS longest, round(quantile_cont(gap::DOUBLE, 0.5), 6) AS median FROM ga WHERE gap IS NOT NULL GROUP BY band"
+)
 def episode_gaps(spark, sf_dir):
     none = episodes.sweep(read(spark, sf_dir), study.params(spark, CFG, cooldown=[0]))
-    return episodes.gaps(none).groupBy("band").agg(F.count("*").alias("n"), F.min("gap").alias("shortest"), F.max("gap").alias("longest"), F.round(F.percentile(F.col("gap").cast("double"), F.lit(0.5)), 6).alias("median"))
+    return episodes.gaps(none).groupBy("band").agg(
+        F.count("*").alias("n"),
+        F.min("gap").alias("shortest"),
+        F.max("gap").alias("longest"),
+        F.round(F.percentile(F.col("gap").cast("double"), F.lit(0.5)), 6).alias("median"),
+    )
 
 
 _ALONE = ", nx AS (SELECT *, lead(started_at) OVER (PARTITION BY key ORDER BY started_at) AS nxt FROM episodes), alone AS (SELECT * FROM nx WHERE (nxt IS NULL OR nxt > fired_at + {h}) AND start_std > 0)"
@@ -250,7 +356,9 @@ def isolated_episodes(spark, sf_dir):
     return episodes.isolated(found(spark, sf_dir), 24).select("key", "started_at", "fired_at")
 
 
-@query(_e(k=(o.K, 1.7)) + ", a AS (SELECT * FROM episodes WHERE k = 1.5), b AS (SELECT * FROM episodes WHERE k = 1.7) SELECT CASE WHEN b.key IS NULL THEN 'left' WHEN a.key IS NULL THEN 'right' ELSE 'both' END AS side, coalesce(a.key, b.key) AS key, coalesce(a.fired_at, b.fired_at) AS fired_at, coalesce(a.peak_at, b.peak_at) AS peak_at, round(a.peak_intensity - b.peak_intensity, 6) AS difference FROM a FULL JOIN b ON a.key = b.key AND a.fired_at = b.fired_at AND a.peak_at = b.peak_at WHERE a.key IS NULL OR b.key IS NULL OR abs(a.peak_intensity - b.peak_intensity) > 0.001")
+@query(
+    _e(k=(o.K, 1.7)) + ", a AS (SELECT * FROM episodes WHERE k = 1.5), b AS (SELECT * FROM episodes WHERE k = 1.7) SELECT CASE WHEN b.key IS NULL THEN 'left' WHEN a.key IS NULL THEN 'right' ELSE 'both' END AS side, coalesce(a.key, b.key) AS key, coalesce(a.fired_at, b.fired_at) AS fired_at, coalesce(a.peak_at, b.peak_at) AS peak_at, round(a.peak_intensity - b.peak_intensity, 6) AS difference FROM a FULL JOIN b ON a.key = b.key AND a.fired_at = b.fired_at AND a.peak_at = b.peak_at WHERE a.key IS NULL OR b.key IS NULL OR abs(a.peak_intensity - b.peak_intensity) > 0.001"
+)
 def parity_diff(spark, sf_dir):
     both = episodes.sweep(read(spark, sf_dir), study.params(spark, CFG, k=[o.K, 1.7]))
     return rounded(episodes.parity(both.filter("k = 1.5"), both.filter("k = 1.7")), "difference")
@@ -265,7 +373,15 @@ e AS (SELECT k, count(*) AS episodes, quantile_cont(CASE WHEN start_mean > 0 THE
 b AS (SELECT k, max(n) AS most, count(*) AS firing FROM (SELECT k, key, count(*) AS n FROM episodes GROUP BY k, key) GROUP BY k)
 SELECT h.k, round(high / n, 6) AS share, coalesce(episodes, 0) AS episodes, round(coalesce(episodes, 0) / n::DOUBLE, 6) AS per_key_hour, round(coalesce(episodes, 0) / width::DOUBLE * 24, 6) AS per_day, round(ratio, 6) AS median_ratio, round(coalesce(firing, 0) / keys, 6) AS firing_share, round(most / episodes, 6) AS busiest_share FROM h CROSS JOIN t LEFT JOIN e ON e.k = h.k LEFT JOIN b ON b.k = h.k""")
 def trigger_sweep(spark, sf_dir):
-    return rounded(study.trigger_sweep(read(spark, sf_dir), CFG, list(_KS)), "share", "per_key_hour", "per_day", "median_ratio", "firing_share", "busiest_share")
+    return rounded(
+        study.trigger_sweep(read(spark, sf_dir), CFG, list(_KS)),
+        "share",
+        "per_key_hour",
+        "per_day",
+        "median_ratio",
+        "firing_share",
+        "busiest_share",
+    )
 
 
 _CAPS = (0, 2, 4, 8)
@@ -279,7 +395,9 @@ def cap_sweep(spark, sf_dir):
     return rounded(study.cap_sweep(read(spark, sf_dir), CFG, list(_CAPS)), "capped_share", "median_loss", "p95_loss")
 
 
-@query(_e(cooldown=(0, 3, 6, 24)) + ", n AS (SELECT cooldown::BIGINT AS cooldown, count(*) AS episodes FROM episodes GROUP BY cooldown) SELECT cooldown, episodes, (SELECT episodes FROM n WHERE cooldown = 0) - episodes AS suppressed, round(((SELECT episodes FROM n WHERE cooldown = 0) - episodes) / (SELECT episodes FROM n WHERE cooldown = 0), 6) AS share FROM n")
+@query(
+    _e(cooldown=(0, 3, 6, 24)) + ", n AS (SELECT cooldown::BIGINT AS cooldown, count(*) AS episodes FROM episodes GROUP BY cooldown) SELECT cooldown, episodes, (SELECT episodes FROM n WHERE cooldown = 0) - episodes AS suppressed, round(((SELECT episodes FROM n WHERE cooldown = 0) - episodes) / (SELECT episodes FROM n WHERE cooldown = 0), 6) AS share FROM n"
+)
 def cooldown_sweep(spark, sf_dir):
     return rounded(study.cooldown_sweep(read(spark, sf_dir), CFG, [3, 6, 24]), "share")
 
@@ -291,7 +409,14 @@ _OFFSETS = (6, 12, 24, 48)
 SELECT "offset", count(*) AS n, round(quantile_cont(mean / nullif(start_mean, 0), 0.5), 6) AS mean_ratio, round(quantile_cont(std / start_std, 0.5), 6) AS std_ratio, round(quantile_cont((std / nullif(mean, 0)) / nullif(start_std / nullif(start_mean, 0), 0), 0.5), 6) AS spread_ratio, round(quantile_cont(start_std / std, 0.5), 6) AS sensitivity, round(quantile_cont(start_std / std, 0.1), 6) AS sensitivity_p10 FROM w GROUP BY "offset" """)
 def recovery_curve(spark, sf_dir):
     rows = read(spark, sf_dir)
-    return rounded(study.recovery_curve(rows, episodes.episodes(rows, CFG), CFG, list(_OFFSETS)), "mean_ratio", "std_ratio", "spread_ratio", "sensitivity", "sensitivity_p10")
+    return rounded(
+        study.recovery_curve(rows, episodes.episodes(rows, CFG), CFG, list(_OFFSETS)),
+        "mean_ratio",
+        "std_ratio",
+        "spread_ratio",
+        "sensitivity",
+        "sensitivity_p10",
+    )
 
 
 @query(_e() + _ALONE.format(h=o.RETAINED) + f""", w AS (SELECT a.key, a.fired_at, r.second, r.intensity, r.window_count / {o.W}.0::DOUBLE AS level, r.mean, a.start_mean, a.start_std FROM alone a JOIN readings r ON r.key = a.key AND r.second > a.fired_at + {o.COOLDOWN} AND r.second <= a.fired_at + {o.RETAINED} WHERE r.intensity < {o.K}),
@@ -313,7 +438,9 @@ def gate_sweep(spark, sf_dir):
     return rounded(study.gate_sweep(read(spark, sf_dir), CFG, list(_FRACTIONS)), "blocked_share", "max_peak")
 
 
-@query(_R + f"SELECT count(*) AS n, round(quantile_cont(intensity, 0.5), 6) AS p50, round(quantile_cont(intensity, 0.999), 6) AS p999, round(max(intensity), 6) AS max FROM readings WHERE status = 'ok' AND observed >= {o.GATE} AND observed < 45")
+@query(
+    _R + f"SELECT count(*) AS n, round(quantile_cont(intensity, 0.5), 6) AS p50, round(quantile_cont(intensity, 0.999), 6) AS p999, round(max(intensity), 6) AS max FROM readings WHERE status = 'ok' AND observed >= {o.GATE} AND observed < 45"
+)
 def admitted_profile(spark, sf_dir):
     return rounded(study.admitted_profile(read(spark, sf_dir), o.GATE, 45), "p50", "p999", "max")
 
@@ -333,12 +460,16 @@ _CLIPS = "cl AS (SELECT event_id AS clip_id, user_id AS broadcaster_id, (epoch_u
 _STREAMERS = "sr AS (SELECT c_custkey AS streamer_id, c_name AS streamer_login, c_acctbal >= 0 AS allows_clipping FROM customer)"
 
 
-@query(f"WITH {_CLIPS}, {_STREAMERS}, p AS (SELECT * FROM cl WHERE intensity >= 9.0 ORDER BY detected_at DESC, clip_id DESC LIMIT 24 OFFSET 24) SELECT clip_id, broadcaster_id, detected_at, round(intensity, 6) AS intensity, streamer_login FROM p LEFT JOIN sr ON broadcaster_id = streamer_id")
+@query(
+    f"WITH {_CLIPS}, {_STREAMERS}, p AS (SELECT * FROM cl WHERE intensity >= 9.0 ORDER BY detected_at DESC, clip_id DESC LIMIT 24 OFFSET 24) SELECT clip_id, broadcaster_id, detected_at, round(intensity, 6) AS intensity, streamer_login FROM p LEFT JOIN sr ON broadcaster_id = streamer_id"
+)
 def clip_page(spark, sf_dir):
     return rounded(clips.clip_page(clip_rows(spark, sf_dir), streamers(spark, sf_dir), offset=24), "intensity")
 
 
-@query(f"WITH {_CLIPS} SELECT greatest(0, least(24, count(*) - 24))::BIGINT AS count, count(*) AS total_count, 24 + greatest(0, least(24, count(*) - 24)) < count(*) AS has_more FROM cl WHERE intensity >= 9.0")
+@query(
+    f"WITH {_CLIPS} SELECT greatest(0, least(24, count(*) - 24))::BIGINT AS count, count(*) AS total_count, 24 + greatest(0, least(24, count(*) - 24)) < count(*) AS has_more FROM cl WHERE intensity >= 9.0"
+)
 def clip_page_summary(spark, sf_dir):
     return clips.page_summary(clip_rows(spark, sf_dir), offset=24)
 
@@ -361,27 +492,44 @@ coalesce(streamer_login, 'Unknown Streamer') AS login, 'https://clips.example/'
 def clip_cards(spark, sf_dir):
     rows = clip_rows(spark, sf_dir).join(streamers(spark, sf_dir).withColumnRenamed("streamer_id", "broadcaster_id"), "broadcaster_id", "left")
     text = F.col("clip_id").cast("string")
-    return rows.select("clip_id", cards.intensity_label(F.col("intensity")).alias("label"), cards.intensity_threshold(F.col("intensity")).alias("threshold"), cards.relative_time(F.col("detected_at"), _NOW).alias("age"), cards.card_login(F.col("streamer_login")).alias("login"), cards.embed_url(F.concat(F.lit("https://clips.example/"), text, F.lit("?v=1")), "localhost").alias("embed"), cards.escape_attribute(F.concat(F.lit("<b>"), text, F.lit("</b>"))).alias("escaped"), cards.iso_utc(F.col("detected_at")).alias("detected"))
-
-
-@query(f"WITH {_CLIPS} SELECT level, n, n || CASE WHEN n = 1 THEN ' clip at ' ELSE ' clips at ' END || level::INTEGER || CASE WHEN level < 11 THEN ' or higher' ELSE '' END AS label FROM (SELECT level, (SELECT count(*) FROM cl WHERE intensity >= level) AS n FROM (VALUES (11.0::DOUBLE), (9.0), (7.0)) t(level))")
+    return rows.select(
+        "clip_id",
+        cards.intensity_label(F.col("intensity")).alias("label"),
+        cards.intensity_threshold(F.col("intensity")).alias("threshold"),
+        cards.relative_time(F.col("detected_at"), _NOW).alias("age"),
+        cards.card_login(F.col("streamer_login")).alias("login"),
+        cards.embed_url(F.concat(F.lit("https://clips.example/"), text, F.lit("?v=1")), "localhost").alias("embed"),
+        cards.escape_attribute(F.concat(F.lit("<b>"), text, F.lit("</b>"))).alias("escaped"),
+        cards.iso_utc(F.col("detected_at")).alias("detected"),
+    )
+
+
+@query(
+    f"WITH {_CLIPS} SELECT level, n, n || CASE WHEN n = 1 THEN ' clip at ' ELSE ' clips at ' END || level::INTEGER || CASE WHEN level < 11 THEN ' or higher' ELSE '' END AS label FROM (SELECT level, (SELECT count(*) FROM cl WHERE intensity >= level) AS n FROM (VALUES (11.0::DOUBLE), (9.0), (7.0)) t(level))"
+)
 def count_labels(spark, sf_dir):
     return clips.level_counts(clip_rows(spark, sf_dir)).withColumn("label", cards.count_label(F.col("n"), F.col("level")))
 
 
-@query(f"WITH {_CLIPS}, s AS (SELECT * FROM cl WHERE intensity < 5) SELECT * FROM (SELECT clip_id, broadcaster_id, detected_at FROM cl WHERE clip_id NOT IN (SELECT clip_id FROM s))")
+@query(
+    f"WITH {_CLIPS}, s AS (SELECT * FROM cl WHERE intensity < 5) SELECT * FROM (SELECT clip_id, broadcaster_id, detected_at FROM cl WHERE clip_id NOT IN (SELECT clip_id FROM s))"
+)
 def insert_absent(spark, sf_dir):
     rows = clip_rows(spark, sf_dir)
     return clips.new_clips(rows.unionByName(rows), rows.filter("intensity < 5")).select("clip_id", "broadcaster_id", "detected_at")
 
 
-@query(f"WITH {_CLIPS} SELECT (SELECT count(*) FROM cl WHERE NOT coalesce(intensity < 5, false))::BIGINT AS inserted, 2 * (SELECT count(*) FROM cl) - (SELECT count(*) FROM cl WHERE NOT coalesce(intensity < 5, false))::BIGINT AS conflicts")
+@query(
+    f"WITH {_CLIPS} SELECT (SELECT count(*) FROM cl WHERE NOT coalesce(intensity < 5, false))::BIGINT AS inserted, 2 * (SELECT count(*) FROM cl) - (SELECT count(*) FROM cl WHERE NOT coalesce(intensity < 5, false))::BIGINT AS conflicts"
+)
 def insert_report(spark, sf_dir):
     rows = clip_rows(spark, sf_dir)
     return clips.insert_counts(rows.unionByName(rows), rows.filter("intensity < 5"))
 
 
-@query(f"WITH {_CLIPS}, {_STREAMERS} SELECT streamer_id, streamer_login, CASE WHEN streamer_id IN (SELECT broadcaster_id FROM cl WHERE intensity >= 11) THEN false ELSE allows_clipping END AS allows_clipping FROM sr")
+@query(
+    f"WITH {_CLIPS}, {_STREAMERS} SELECT streamer_id, streamer_login, CASE WHEN streamer_id IN (SELECT broadcaster_id FROM cl WHERE intensity >= 11) THEN false ELSE allows_clipping END AS allows_clipping FROM sr"
+)
 def clipping_flag(spark, sf_dir):
     high = clip_rows(spark, sf_dir).filter("intensity >= 11").select(F.col("broadcaster_id").alias("streamer_id"))
     return clips.disable_clipping(streamers(spark, sf_dir), high)
@@ -425,12 +573,16 @@ def poll_rank(spark, sf_dir):
     return _ranks(spark, sf_dir).select("poll_ms", "streamer_id", "rank")
 
 
-@query(f"WITH {_ROSTER} SELECT streamer_id, poll_ms, rank::INTEGER AS rank, joined FROM (SELECT *, lag(rank) OVER (PARTITION BY streamer_id ORDER BY poll_ms) AS before FROM ro) WHERE rank IS NOT NULL OR before IS NOT NULL")
+@query(
+    f"WITH {_ROSTER} SELECT streamer_id, poll_ms, rank::INTEGER AS rank, joined FROM (SELECT *, lag(rank) OVER (PARTITION BY streamer_id ORDER BY poll_ms) AS before FROM ro) WHERE rank IS NOT NULL OR before IS NOT NULL"
+)
 def roster_state(spark, sf_dir):
     return _followed(spark, sf_dir)
 
 
-@query(f"WITH {_ROSTER} SELECT streamer_id, poll_ms, CASE WHEN joined THEN 'join' ELSE 'leave' END AS change, CASE WHEN NOT joined THEN CASE WHEN streamer_id IN (SELECT streamer_id FROM sr WHERE NOT allows_clipping) THEN 'disabled' ELSE 'exited' END END AS reason FROM pr WHERE joined <> was")
+@query(
+    f"WITH {_ROSTER} SELECT streamer_id, poll_ms, CASE WHEN joined THEN 'join' ELSE 'leave' END AS change, CASE WHEN NOT joined THEN CASE WHEN streamer_id IN (SELECT streamer_id FROM sr WHERE NOT allows_clipping) THEN 'disabled' ELSE 'exited' END END AS reason FROM pr WHERE joined <> was"
+)
 def roster_changes(spark, sf_dir):
     return roster.changes(_followed(spark, sf_dir), streamers(spark, sf_dir).filter("NOT allows_clipping"))
 
@@ -438,12 +590,16 @@ def roster_changes(spark, sf_dir):
 _DAY = 86_400_000
 
 
-@query(f"WITH {_RANKS}, g AS (SELECT *, lag(poll_ms) OVER (PARTITION BY streamer_id ORDER BY poll_ms) AS prev FROM rk) SELECT 'online' AS event_type, g.streamer_id AS broadcaster_id, streamer_login AS broadcaster_login, rank::INTEGER AS rank, poll_ms // 1000 AS timestamp FROM g LEFT JOIN sr ON sr.streamer_id = g.streamer_id WHERE (prev IS NULL OR poll_ms - prev >= {2 * _DAY}) AND rank <= 15")
+@query(
+    f"WITH {_RANKS}, g AS (SELECT *, lag(poll_ms) OVER (PARTITION BY streamer_id ORDER BY poll_ms) AS prev FROM rk) SELECT 'online' AS event_type, g.streamer_id AS broadcaster_id, streamer_login AS broadcaster_login, rank::INTEGER AS rank, poll_ms // 1000 AS timestamp FROM g LEFT JOIN sr ON sr.streamer_id = g.streamer_id WHERE (prev IS NULL OR poll_ms - prev >= {2 * _DAY}) AND rank <= 15"
+)
 def online_events(spark, sf_dir):
     return roster.online_events(_ranks(spark, sf_dir), ttl_ms=2 * _DAY)
 
 
-@query(f"WITH {_ROSTER} SELECT 'offline' AS event_type, streamer_id AS broadcaster_id, 0 AS rank, poll_ms // 1000 AS timestamp FROM pr WHERE was AND rank IS NULL AND poll_ms - seen >= {_DAY}")
+@query(
+    f"WITH {_ROSTER} SELECT 'offline' AS event_type, streamer_id AS broadcaster_id, 0 AS rank, poll_ms // 1000 AS timestamp FROM pr WHERE was AND rank IS NULL AND poll_ms - seen >= {_DAY}"
+)
 def offline_events(spark, sf_dir):
     return roster.offline_events(_followed(spark, sf_dir), ttl_ms=_DAY)
 
@@ -453,7 +609,9 @@ def active_gauge(spark, sf_dir):
     return roster.active_gauge(_followed(spark, sf_dir))
 
 
-@query(f"WITH {_POLLS}, s AS (SELECT streamer_id, max(poll_ms) AS hi, min(poll_ms) AS lo FROM po GROUP BY 1) SELECT coalesce(sr.streamer_id, s.streamer_id) AS streamer_id, streamer_login, coalesce(allows_clipping, true) AS allows_clipping, least(CASE WHEN sr.streamer_id IS NULL THEN lo ELSE 1704240000000 END, coalesce(lo, 1704240000000)) AS first_seen_ms, greatest(CASE WHEN sr.streamer_id IS NULL THEN hi ELSE 1704240000000 END, coalesce(hi, 1704240000000)) AS last_seen_ms FROM sr FULL JOIN s ON s.streamer_id = sr.streamer_id")
+@query(
+    f"WITH {_POLLS}, s AS (SELECT streamer_id, max(poll_ms) AS hi, min(poll_ms) AS lo FROM po GROUP BY 1) SELECT coalesce(sr.streamer_id, s.streamer_id) AS streamer_id, streamer_login, coalesce(allows_clipping, true) AS allows_clipping, least(CASE WHEN sr.streamer_id IS NULL THEN lo ELSE 1704240000000 END, coalesce(lo, 1704240000000)) AS first_seen_ms, greatest(CASE WHEN sr.streamer_id IS NULL THEN hi ELSE 1704240000000 END, coalesce(hi, 1704240000000)) AS last_seen_ms FROM sr FULL JOIN s ON s.streamer_id = sr.streamer_id"
+)
 def upsert_streamers(spark, sf_dir):
     stored = streamers(spark, sf_dir).withColumns({"first_seen_ms": F.lit(1_704_240_000_000), "last_seen_ms": F.lit(1_704_240_000_000)})
     return clips.upsert_streamers(stored, polls(spark, sf_dir).select("streamer_id", "login", F.col("poll_ms").alias("seen_ms")))
@@ -489,32 +647,48 @@ def sustained(spark, sf_dir):
     return monitors.sustained(monitors.steps(_counted(spark, sf_dir), _H, *_KINDS), F.col("view") > 1, 2 * _H)
 
 
-@query(f"WITH {_COUNTED}, q AS (SELECT *, sum(view) OVER (ORDER BY tick RANGE BETWEEN {2 * _H - 1} PRECEDING AND CURRENT ROW) AS vv FROM sp), " + _lasting("q", "vv = 0 AND purchase + error + signup > 0", 0))
+@query(
+    f"WITH {_COUNTED}, q AS (SELECT *, sum(view) OVER (ORDER BY tick RANGE BETWEEN {2 * _H - 1} PRECEDING AND CURRENT ROW) AS vv FROM sp), " + _lasting(
+        "q",
+        "vv = 0 AND purchase + error + signup > 0",
+        0,
+    )
+)
 def no_messages(spark, sf_dir):
     return monitors.no_messages(_counted(spark, sf_dir), _H, 2 * _H, 0, "view", F.col("purchase") + F.col("error") + F.col("signup") > 0)
 
 
-@query(f"WITH {_COUNTED}, q AS (SELECT tick, sum(error) OVER w AS f, sum(purchase) OVER w AS ok FROM sp WINDOW w AS (ORDER BY tick RANGE BETWEEN {6 * _H - 1} PRECEDING AND CURRENT ROW)) SELECT tick, round(f / (ok + f + 0.001::DOUBLE), 6) AS ratio FROM q")
+@query(
+    f"WITH {_COUNTED}, q AS (SELECT tick, sum(error) OVER w AS f, sum(purchase) OVER w AS ok FROM sp WINDOW w AS (ORDER BY tick RANGE BETWEEN {6 * _H - 1} PRECEDING AND CURRENT ROW)) SELECT tick, round(f / (ok + f + 0.001::DOUBLE), 6) AS ratio FROM q"
+)
 def failure_ratio(spark, sf_dir):
     return rounded(monitors.failure_ratio(_counted(spark, sf_dir), _H, 6 * _H, "error", "purchase"), "ratio")
 
 
-@query(f"WITH {_COUNTED}, q AS (SELECT tick, sum(signup) OVER w AS a, sum(view) OVER w AS m FROM sp WINDOW w AS (ORDER BY tick RANGE BETWEEN {_H - 1} PRECEDING AND CURRENT ROW)), " + _lasting("q", "a = 0 AND m > 0", 0))
+@query(
+    f"WITH {_COUNTED}, q AS (SELECT tick, sum(signup) OVER w AS a, sum(view) OVER w AS m FROM sp WINDOW w AS (ORDER BY tick RANGE BETWEEN {_H - 1} PRECEDING AND CURRENT ROW)), " + _lasting("q", "a = 0 AND m > 0", 0)
+)
 def stalled(spark, sf_dir):
     return monitors.stalled(_counted(spark, sf_dir), _H, _H, 0, "signup", "view")
 
 
-@query(f"WITH k AS (SELECT (floor((epoch_us(ts) // 1000) / 86400000.0)::BIGINT + 1) * 86400 AS tick, user_id, count(*) FILTER (WHERE event_type = 'signup') AS a, count(*) FILTER (WHERE event_type = 'purchase') AS p FROM events GROUP BY ALL) SELECT tick, count(*) AS firing, round(count(*) FILTER (WHERE p = 0) / count(*), 6) AS without_success FROM k WHERE a > 0 GROUP BY tick")
+@query(
+    f"WITH k AS (SELECT (floor((epoch_us(ts) // 1000) / 86400000.0)::BIGINT + 1) * 86400 AS tick, user_id, count(*) FILTER (WHERE event_type = 'signup') AS a, count(*) FILTER (WHERE event_type = 'purchase') AS p FROM events GROUP BY ALL) SELECT tick, count(*) AS firing, round(count(*) FILTER (WHERE p = 0) / count(*), 6) AS without_success FROM k WHERE a > 0 GROUP BY tick"
+)
 def success_share(spark, sf_dir):
     return rounded(monitors.success_share(_events(spark, sf_dir), 86_400, "signup", "purchase"), "without_success")
 
 
-@query("SELECT (floor((epoch_us(ts) // 1000) / 60000.0)::BIGINT + 1) * 60 AS tick, round(count(*) FILTER (WHERE event_type = 'view') / 60.0::DOUBLE, 6) AS rate FROM events GROUP BY 1")
+@query(
+    "SELECT (floor((epoch_us(ts) // 1000) / 60000.0)::BIGINT + 1) * 60 AS tick, round(count(*) FILTER (WHERE event_type = 'view') / 60.0::DOUBLE, 6) AS rate FROM events GROUP BY 1"
+)
 def rate_1m(spark, sf_dir):
     return rounded(monitors.rate(monitors.tumbling(_events(spark, sf_dir), 60, "view"), 60, "view"), "rate")
 
 
-@query("SELECT (floor((epoch_us(ts) // 1000) / 300000.0)::BIGINT + 1) * 300 AS tick, count(*) FILTER (WHERE event_type = 'signup') AS signup, count(*) FILTER (WHERE event_type = 'purchase') AS purchase, count(*) FILTER (WHERE event_type = 'error') AS error FROM events GROUP BY 1")
+@query(
+    "SELECT (floor((epoch_us(ts) // 1000) / 300000.0)::BIGINT + 1) * 300 AS tick, count(*) FILTER (WHERE event_type = 'signup') AS signup, count(*) FILTER (WHERE event_type = 'purchase') AS purchase, count(*) FILTER (WHERE event_type = 'error') AS error FROM events GROUP BY 1"
+)
 def series_5m(spark, sf_dir):
     return monitors.tumbling(_events(spark, sf_dir), 300, "signup", "purchase", "error")
 
@@ -525,7 +699,11 @@ _METRIC = f"me AS (SELECT event_type AS series, {_STEP} AS tick, count(*) AS val
 @query(f"WITH {_METRIC}, " + _lasting("me", "value > 3", _H, "series"))
 def metric_threshold(spark, sf_dir):
     step = (F.floor(F.col("tick") / _H) + 1) * _H
-    return monitors.threshold(_events(spark, sf_dir).groupBy(F.col("kind").alias("series"), step.alias("tick")).agg(F.count("*").alias("value")), F.col("value") > 3, _H)
+    return monitors.threshold(
+        _events(spark, sf_dir).groupBy(F.col("kind").alias("series"), step.alias("tick")).agg(F.count("*").alias("value")),
+        F.col("value") > 3,
+        _H,
+    )
 
 
 @query(f"""WITH a AS (SELECT user_id::VARCHAR AS name, CASE WHEN event_type = 'error' THEN 'critical' ELSE 'warning' END AS severity, {_STEP} AS tick FROM events WHERE event_type IN ('error', 'view')),
@@ -533,7 +711,11 @@ b AS (SELECT name, severity, tick, count(*) AS n FROM a WHERE severity = 'critic
 s AS (SELECT *, floor((tick - min(tick) OVER (PARTITION BY name, severity)) / CASE WHEN severity = 'critical' THEN 14400.0 ELSE 86400.0 END) AS slot FROM b),
 p AS (SELECT *, lag(slot) OVER (PARTITION BY name, severity ORDER BY tick) AS before FROM s) SELECT name, severity, tick, n FROM p WHERE before IS NULL OR before <> slot""")
 def alert_rollup(spark, sf_dir):
-    rows = _events(spark, sf_dir).filter("kind IN ('error', 'view')").select(F.col("key").cast("string").alias("name"), F.when(F.col("kind") == "error", "critical").otherwise("warning").alias("severity"), ((F.floor(F.col("tick") / _H) + 1) * _H).alias("tick"))
+    rows = _events(spark, sf_dir).filter("kind IN ('error', 'view')").select(
+        F.col("key").cast("string").alias("name"),
+        F.when(F.col("kind") == "error", "critical").otherwise("warning").alias("severity"),
+        ((F.floor(F.col("tick") / _H) + 1) * _H).alias("tick"),
+    )
     return monitors.roll_up(rows, {"critical": 14_400}, 86_400)
 
 
@@ -545,7 +727,11 @@ _LOG = """lo AS (SELECT DISTINCT l_orderkey AS anomaly_id, CASE WHEN l_linenumbe
 def _log(spark, sf_dir) -> DataFrame:
     status = F.when((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F"), 403).when(F.col("l_returnflag") == "R", 503).otherwise(200)
     clip = F.when(F.col("l_returnflag") == "A", F.concat(F.lit("clip-"), F.col("l_orderkey").cast("string")))
-    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("anomaly_id"), F.col("l_linenumber").alias("attempt_no")).agg(F.min(status).alias("status"), F.min(clip).alias("clip_id"), F.min("l_suppkey").alias("key"))
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("anomaly_id"), F.col("l_linenumber").alias("attempt_no")).agg(
+        F.min(status).alias("status"),
+        F.min(clip).alias("clip_id"),
+        F.min("l_suppkey").alias("key"),
+    )
     return rows.withColumn("phase", F.when(F.col("attempt_no") <= 3, "create").otherwise("metadata"))
 
 
@@ -561,13 +747,17 @@ def attempt_outcomes(spark, sf_dir):
     return attempts.outcomes(_log(spark, sf_dir))
 
 
-@query(_e() + ", s AS (SELECT * FROM (VALUES ('create', 1, 0), ('create', 2, 2), ('create', 3, 6), ('metadata', 1, 11), ('metadata', 2, 21), ('metadata', 3, 36), ('metadata', 4, 66)) t(phase, attempt_no, after)) SELECT key || '-' || fired_at AS anomaly_id, phase, attempt_no, fired_at + after AS planned_at FROM episodes, s")
+@query(
+    _e() + ", s AS (SELECT * FROM (VALUES ('create', 1, 0), ('create', 2, 2), ('create', 3, 6), ('metadata', 1, 11), ('metadata', 2, 21), ('metadata', 3, 36), ('metadata', 4, 66)) t(phase, attempt_no, after)) SELECT key || '-' || fired_at AS anomaly_id, phase, attempt_no, fired_at + after AS planned_at FROM episodes, s"
+)
 def attempt_schedule(spark, sf_dir):
     rows = found(spark, sf_dir).select(F.concat_ws("-", "key", F.col("fired_at").cast("string")).alias("anomaly_id"), F.col("fired_at").alias("at"))
     return attempts.schedule(rows)
 
 
-@query(f"WITH {_OUTCOMES}, k AS (SELECT anomaly_id, min(key) AS key FROM lo GROUP BY 1) SELECT key, coalesce(reason, 'success') AS outcome, count(*) AS n FROM ou JOIN k USING (anomaly_id) GROUP BY ALL")
+@query(
+    f"WITH {_OUTCOMES}, k AS (SELECT anomaly_id, min(key) AS key FROM lo GROUP BY 1) SELECT key, coalesce(reason, 'success') AS outcome, count(*) AS n FROM ou JOIN k USING (anomaly_id) GROUP BY ALL"
+)
 def outcome_apply(spark, sf_dir):
     log = _log(spark, sf_dir)
     return attempts.applied(attempts.outcomes(log), log.groupBy("anomaly_id").agg(F.min("key").alias("key")))[2]
@@ -610,10 +800,15 @@ def _drained_with_state(spark, stream: DataFrame, name: str) -> DataFrame:
 _PARTS = 5
 
 
-@query(_e() + f"SELECT count(*) AS episodes, 0::BIGINT AS only_stream, 0::BIGINT AS only_batch, 0::BIGINT AS other_peak FROM episodes WHERE fired_at <= {_CLOSED}")
+@query(
+    _e() + f"SELECT count(*) AS episodes, 0::BIGINT AS only_stream, 0::BIGINT AS only_batch, 0::BIGINT AS other_peak FROM episodes WHERE fired_at <= {_CLOSED}"
+)
 def stream_equals_batch(spark, sf_dir):
     """Episodes of a stream of several batches against those of the batch form; differences are counted."""
-    folder, rows = streams.shared_folder(spark), table(spark, sf_dir, "events").select("event_type", F.timestamp_millis(messages.epoch_ms(F.col("ts"))).alias("at"))
+    folder, rows = streams.shared_folder(spark), table(spark, sf_dir, "events").select(
+        "event_type",
+        F.timestamp_millis(messages.epoch_ms(F.col("ts"))).alias("at"),
+    )
     ends = rows.agg(F.min(F.unix_millis("at")), F.max(F.unix_millis("at"))).first()
     share = F.least(F.lit(_PARTS - 1), F.floor((F.unix_millis("at") - ends[0]) * _PARTS / (ends[1] - ends[0] + 1)))
     for part in range(_PARTS):  # one after another, as files are read by age
@@ -624,21 +819,35 @@ def stream_equals_batch(spark, sf_dir):
     whole = found(spark, sf_dir).filter(F.col("fired_at") <= closed)
     odd = episodes.parity(streamed, whole, 1e-9).select("side").unionByName(streamed.select(F.lit("any").alias("side")))
     count = lambda side: F.count_if(F.col("side") == side)
-    return odd.agg(count("any").alias("episodes"), count("left").alias("only_stream"), count("right").alias("only_batch"), count("both").alias("other_peak"))
+    return odd.agg(
+        count("any").alias("episodes"),
+        count("left").alias("only_stream"),
+        count("right").alias("only_batch"),
+        count("both").alias("other_peak"),
+    )
 
 
 # readings and reports as they are stored and told
 
 
-@query(_R + "SELECT key, second, observed, status, window_count, round(mean, 6) AS mean, round(std, 6) AS std, round(intensity, 6) AS intensity FROM readings")
+@query(
+    _R + "SELECT key, second, observed, status, window_count, round(mean, 6) AS mean, round(std, 6) AS std, round(intensity, 6) AS intensity FROM readings"
+)
 def readings_stored(spark, sf_dir):
     """Readings written by parts and read again."""
     path = streams.shared_folder(spark)
     streams.write_readings(read(spark, sf_dir), path)
-    return rounded(spark.read.parquet(path).select("key", "second", "observed", "status", "window_count", "mean", "std", "intensity"), "mean", "std", "intensity")
+    return rounded(
+        spark.read.parquet(path).select("key", "second", "observed", "status", "window_count", "mean", "std", "intensity"),
+        "mean",
+        "std",
+        "intensity",
+    )
 
 
-@query(_R + "SELECT key, second, observed, status, window_count, round(mean, 6) AS mean, round(std, 6) AS std, round(intensity, 6) AS intensity FROM readings")
+@query(
+    _R + "SELECT key, second, observed, status, window_count, round(mean, 6) AS mean, round(std, 6) AS std, round(intensity, 6) AS intensity FROM readings"
+)
 def readings_text(spark, sf_dir):
     """Readings written as tab-separated text and read again."""
     path = streams.shared_folder(spark)
@@ -657,7 +866,15 @@ FROM readings r LEFT JOIN episodes e ON e.key = r.key AND e.fired_at = r.second
 def replay_lines(spark, sf_dir):
     """A line for each evaluated bucket, by (second, key)."""
     own = read(spark, sf_dir)
-    reports = episodes.episodes(own, CFG).select("key", F.col("fired_at").alias("second"), "peak_at", "peak_count", "peak_mean", "peak_std", "peak_intensity")
+    reports = episodes.episodes(own, CFG).select(
+        "key",
+        F.col("fired_at").alias("second"),
+        "peak_at",
+        "peak_count",
+        "peak_mean",
+        "peak_std",
+        "peak_intensity",
+    )
     decided = own.select("key", "second").join(reports, ["key", "second"], "left")
     return messages.replay_lines(decided).select("second", "key", "line").orderBy("second", "key")
 
@@ -670,18 +887,32 @@ def lifecycle_payload(spark, sf_dir):
     return messages.keyed(roster.online_events(_ranks(spark, sf_dir), ttl_ms=2 * _DAY), "broadcaster_id")
 
 
-@query(_M + "SELECT event_id, event_id % 5 AS first, 2 + (ms % 3 = 0)::INTEGER AS n, event_id % 5 + ms % 11 + CASE WHEN ms % 3 = 0 THEN 7 ELSE 0 END AS total FROM m")
+@query(
+    _M + "SELECT event_id, event_id % 5 AS first, 2 + (ms % 3 = 0)::INTEGER AS n, event_id % 5 + ms % 11 + CASE WHEN ms % 3 = 0 THEN 7 ELSE 0 END AS total FROM m"
+)
 def delay_lists(spark, sf_dir):
     """Lists of delays with blanks, as text."""
     text = F.concat_ws(",", F.col("event_id") % 5, F.lit(" "), F.col("ms") % 11, F.when(F.col("ms") % 3 == 0, " 7 ").otherwise(""))
     delays = chat(spark, sf_dir).select("event_id", cards.delay_list(text).alias("d"))
-    return delays.select("event_id", F.col("d")[0].cast("long").alias("first"), F.size("d").alias("n"), F.aggregate("d", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+    return delays.select(
+        "event_id",
+        F.col("d")[0].cast("long").alias("first"),
+        F.size("d").alias("n"),
+        F.aggregate("d", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"),
+    )
 
 
-@query(f"WITH {_CLIPS}, {_STREAMERS} SELECT clip_id, coalesce(streamer_login, 'Unknown Streamer') AS login, coalesce(streamer_login, 'Unknown') AS short_login, CASE WHEN clip_id % 3 = 0 THEN 'https://img.example/' || clip_id ELSE '/static/none.svg' END AS thumbnail FROM cl LEFT JOIN sr ON broadcaster_id = streamer_id AND streamer_id % 2 = 0")
+@query(
+    f"WITH {_CLIPS}, {_STREAMERS} SELECT clip_id, coalesce(streamer_login, 'Unknown Streamer') AS login, coalesce(streamer_login, 'Unknown') AS short_login, CASE WHEN clip_id % 3 = 0 THEN 'https://img.example/' || clip_id ELSE '/static/none.svg' END AS thumbnail FROM cl LEFT JOIN sr ON broadcaster_id = streamer_id AND streamer_id % 2 = 0"
+)
 def card_defaults(spark, sf_dir):
     known = streamers(spark, sf_dir).filter("streamer_id % 2 = 0").withColumnRenamed("streamer_id", "broadcaster_id")
     rows = clip_rows(spark, sf_dir).join(known, "broadcaster_id", "left")
     url = F.when(F.col("clip_id") % 3 == 0, F.concat(F.lit("https://img.example/"), "clip_id")).when(F.col("clip_id") % 3 == 1, F.lit(" "))
     login = F.col("streamer_login")
-    return rows.select("clip_id", cards.card_login(login).alias("login"), cards.card_login(login, short=True).alias("short_login"), cards.card_thumbnail(url, "/static/none.svg").alias("thumbnail"))
+    return rows.select(
+        "clip_id",
+        cards.card_login(login).alias("login"),
+        cards.card_login(login, short=True).alias("short_login"),
+        cards.card_thumbnail(url, "/static/none.svg").alias("thumbnail"),
+    )

@@ -21,7 +21,21 @@ from pulsegrid.config import DetectorConfig
 from pulsegrid.operators.episodes import Hold, State, advance
 
 TOLERANCE = "5 seconds"
-EPISODE = T.StructType([T.StructField("key", T.StringType()), T.StructField("started_at", T.LongType()), T.StructField("fired_at", T.LongType()), T.StructField("peak_at", T.LongType()), T.StructField("peak_intensity", T.DoubleType()), T.StructField("peak_count", T.LongType()), T.StructField("peak_mean", T.DoubleType()), T.StructField("peak_std", T.DoubleType()), T.StructField("start_mean", T.DoubleType()), T.StructField("start_std", T.DoubleType()), T.StructField("capped", T.BooleanType())])
+EPISODE = T.StructType(
+    [
+        T.StructField("key", T.StringType()),
+        T.StructField("started_at", T.LongType()),
+        T.StructField("fired_at", T.LongType()),
+        T.StructField("peak_at", T.LongType()),
+        T.StructField("peak_intensity", T.DoubleType()),
+        T.StructField("peak_count", T.LongType()),
+        T.StructField("peak_mean", T.DoubleType()),
+        T.StructField("peak_std", T.DoubleType()),
+        T.StructField("start_mean", T.DoubleType()),
+        T.StructField("start_std", T.DoubleType()),
+        T.StructField("capped", T.BooleanType()),
+    ]
+)
 
 
 def bucket_counts(messages: DataFrame, key: str, ts: str, cfg: DetectorConfig, tolerance: str = TOLERANCE) -> DataFrame:
@@ -167,4 +181,9 @@ class _Walker(StatefulProcessor):
 def episodes(counted: DataFrame, cfg: DetectorConfig) -> DataFrame:
     """The reports of the state machine as a stream. Needs the RocksDB state store."""
     rows = counted.select("key", F.floor(F.unix_seconds("window.start") / cfg.bucket_seconds).alias("second"), "n", F.col("window.end").alias("_end"))
-    return rows.groupBy("key").transformWithStateInPandas(statefulProcessor=_Walker(cfg), outputStructType=EPISODE, outputMode="Append", timeMode="EventTime")
+    return rows.groupBy("key").transformWithStateInPandas(
+        statefulProcessor=_Walker(cfg),
+        outputStructType=EPISODE,
+        outputMode="Append",
+        timeMode="EventTime",
+    )

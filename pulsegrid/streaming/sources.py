@@ -34,7 +34,10 @@ def shared_folder(spark: SparkSession) -> str:
 def drained(stream: DataFrame, name: str) -> DataFrame:
     """What a stream gives for all input there is now, as a table in a shared folder."""
     spark, folder = stream.sparkSession, shared_folder(stream.sparkSession)
-    run = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).queryName(name).start()
+    run = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option(
+        "checkpointLocation",
+        f"{folder}/checkpoint",
+    ).outputMode("append").trigger(availableNow=True).queryName(name).start()
     run.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
@@ -55,7 +58,14 @@ def capture(messages: DataFrame, path: str, checkpoint: str):
 def capture_report(captured: DataFrame) -> DataFrame:
     """One row on what was captured."""
     seconds = (F.max("timestamp") - F.min("timestamp")) / 1000
-    return captured.agg(F.min("timestamp").alias("started_ms"), F.max("timestamp").alias("ended_ms"), F.count("*").alias("messages"), (F.count("*") / F.nullif(seconds, F.lit(0.0))).alias("per_second"), F.coalesce(F.bool_and(F.col("sent_at").isNotNull()), F.lit(False)).alias("has_sent_at"), F.count_distinct("broadcaster_id").alias("keys"))
+    return captured.agg(
+        F.min("timestamp").alias("started_ms"),
+        F.max("timestamp").alias("ended_ms"),
+        F.count("*").alias("messages"),
+        (F.count("*") / F.nullif(seconds, F.lit(0.0))).alias("per_second"),
+        F.coalesce(F.bool_and(F.col("sent_at").isNotNull()), F.lit(False)).alias("has_sent_at"),
+        F.count_distinct("broadcaster_id").alias("keys"),
+    )
 
 
 def insert_clips(stream: DataFrame, path: str, checkpoint: str):
