@@ -51,7 +51,10 @@ class Vocabulary:
     def _pairs(self) -> np.ndarray:
         """Every way to put a token together from two tokens, as (key of the pair, rank): adjacent parts merge if their bytes make a token."""
         ranks = self.ranks
-        made = ((ranks[a] * self.size + ranks[b], r) for t, r in ranks.items() for i in range(1, len(t)) if (a := t[:i]) in ranks and (b := t[i:]) in ranks)
+        made = (
+            (ranks[a] * self.size + ranks[b], r) for t,
+            r in ranks.items() for i in range(1, len(t)) if (a := t[:i]) in ranks and (b := t[i:]) in ranks
+        )
         return np.array(sorted(made), dtype=np.int64).reshape(-1, 2)
 
     def _hashed(self, keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -158,7 +161,12 @@ class Vocabulary:
         left = np.broadcast_to(np.arange(-1, width - 1, dtype=np.int32), (n, width)).copy().reshape(-1)
         tree = np.full((n, 2 * width), never, dtype=np.int32)
         fits = np.arange(width - 1) + 1 < lengths[:, None]
-        tree[:, width : 2 * width - 1][fits] = self._leaf(ids[:, :-1][fits], ids[:, 1:][fits], np.broadcast_to(np.arange(width - 1), fits.shape)[fits], width)
+        tree[:, width : 2 * width - 1][fits] = self._leaf(
+            ids[:, :-1][fits],
+            ids[:, 1:][fits],
+            np.broadcast_to(np.arange(width - 1), fits.shape)[fits],
+            width,
+        )
         level = width
         while level > 1:
             half = level >> 1

@@ -140,7 +140,10 @@ def add_columns(df: DataFrame, inputs: dict[str, Column | str], made: T.StructTy
     names = [c for c in (df.columns if keep is None else keep) if c.lower() not in {f.name.lower() for f in made}]
     kinds = {f.name: f for f in df.schema}
     own = {n: e for n, e in inputs.items() if not (isinstance(e, str) and e in names)}
-    feed = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(names)], *[(F.col(f"`{e}`") if isinstance(e, str) else e).alias(f"in_{n}") for n, e in own.items()])
+    feed = df.select(
+        *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(names)],
+        *[(F.col(f"`{e}`") if isinstance(e, str) else e).alias(f"in_{n}") for n, e in own.items()],
+    )
     schema = T.StructType([T.StructField(f"k{i}", kinds[c].dataType) for i, c in enumerate(names)] + list(made))
     width, wanted, seen_names = len(names), [f.name for f in made], list(inputs)
     places = [width + list(own).index(n) if n in own else names.index(e) for n, e in inputs.items()]

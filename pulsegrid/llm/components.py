@@ -32,7 +32,9 @@ def _mark(edges: DataFrame) -> tuple:
 
 def _large(edges: DataFrame) -> DataFrame:
     """Edges a > b: every neighbour above a node is hung under the node's smallest neighbour, or under the node if that is smaller."""
-    both = edges.select(F.col("b").alias("node"), F.col("a").alias("other")).unionByName(edges.select(F.col("a").alias("node"), F.col("b").alias("other")))
+    both = edges.select(F.col("b").alias("node"), F.col("a").alias("other")).unionByName(
+        edges.select(F.col("a").alias("node"), F.col("b").alias("other"))
+    )
     least = both.groupBy("node").agg(F.min("other").alias("low"))
     up = edges.select(F.col("b").alias("node"), F.col("a").alias("other"))
     return up.join(least, "node").select(F.col("other").alias("a"), F.least("node", "low").alias("b"))

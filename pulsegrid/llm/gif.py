@@ -31,9 +31,31 @@ MOST_PIXELS = 1 << 26
 FULL = 4096
 
 _STORED = T.StructType([T.StructField("media", T.BinaryType())])
-_READ = T.StructType([T.StructField("payload", T.BinaryType()), T.StructField("n_frames", T.LongType()), T.StructField("duration_ms", T.LongType()), T.StructField("histogram", T.ArrayType(T.LongType()))])
+_READ = T.StructType(
+    [
+        T.StructField("payload", T.BinaryType()),
+        T.StructField("n_frames", T.LongType()),
+        T.StructField("duration_ms", T.LongType()),
+        T.StructField("histogram", T.ArrayType(T.LongType())),
+    ]
+)
 _HIST = T.ArrayType(T.LongType())
-_FRAMES = T.StructType([T.StructField(n, t) for n, t in [("frame", T.IntegerType()), ("start_ms", T.LongType()), ("duration_ms", T.LongType()), ("width", T.IntegerType()), ("height", T.IntegerType()), ("rgb", T.BinaryType()), ("hist_red", _HIST), ("hist_green", _HIST), ("hist_blue", _HIST)]])
+_FRAMES = T.StructType(
+    [
+        T.StructField(n, t) for n,
+        t in [
+            ("frame", T.IntegerType()),
+            ("start_ms", T.LongType()),
+            ("duration_ms", T.LongType()),
+            ("width", T.IntegerType()),
+            ("height", T.IntegerType()),
+            ("rgb", T.BinaryType()),
+            ("hist_red", _HIST),
+            ("hist_green", _HIST),
+            ("hist_blue", _HIST),
+        ]
+    ]
+)
 
 
 class Frame(NamedTuple):
@@ -139,7 +161,15 @@ def write(payload: bytes) -> bytes:
     out = [b"GIF89a", struct.pack("<HHBBB", WIDTH, min(rows, HEIGHT), 0xF7, 0, 0), _GREY]
     for top in range(0, rows, HEIGHT):
         part = payload[top * WIDTH : (top + HEIGHT) * WIDTH]
-        out += [b"\x21\xf9\x04", struct.pack("<BHB", 1 << 2, DELAY, 0), b"\0", b"\x2c", struct.pack("<HHHHB", 0, 0, WIDTH, len(part) // WIDTH, 0), b"\x08", _blocks(lzw_pack(part))]
+        out += [
+            b"\x21\xf9\x04",
+            struct.pack("<BHB", 1 << 2, DELAY, 0),
+            b"\0",
+            b"\x2c",
+            struct.pack("<HHHHB", 0, 0, WIDTH, len(part) // WIDTH, 0),
+            b"\x08",
+            _blocks(lzw_pack(part)),
+        ]
     return b"".join([*out, b"\x3b"])
 
 
@@ -272,7 +302,15 @@ def frames(stored: DataFrame, key: str, media: str = "media") -> DataFrame:
                 for i, f in enumerate(read(data) if _sound(data) else ()):
                     height, width, _ = f.canvas.shape
                     hists = {f"hist_{c}": histogram(f.canvas[..., k]).tolist() for k, c in enumerate(("red", "green", "blue"))}
-                    row = {key: name.as_py(), "frame": i, "start_ms": start, "duration_ms": f.delay_ms, "width": width, "height": height, "rgb": f.canvas.tobytes()} | hists
+                    row = {
+                        key: name.as_py(),
+                        "frame": i,
+                        "start_ms": start,
+                        "duration_ms": f.delay_ms,
+                        "width": width,
+                        "height": height,
+                        "rgb": f.canvas.tobytes(),
+                    } | hists
                     start += f.delay_ms
                     yield pa.RecordBatch.from_pylist([row], schema=_arrow(batch.schema.field(0).type, key))
 
@@ -281,4 +319,17 @@ def frames(stored: DataFrame, key: str, media: str = "media") -> DataFrame:
 
 def _arrow(kind: pa.DataType, key: str) -> pa.Schema:
     hist = pa.list_(pa.int64())
-    return pa.schema([(key, kind), ("frame", pa.int32()), ("start_ms", pa.int64()), ("duration_ms", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("rgb", pa.binary()), ("hist_red", hist), ("hist_green", hist), ("hist_blue", hist)])
+    return pa.schema(
+        [
+            (key, kind),
+            ("frame", pa.int32()),
+            ("start_ms", pa.int64()),
+            ("duration_ms", pa.int64()),
+            ("width", pa.int32()),
+            ("height", pa.int32()),
+            ("rgb", pa.binary()),
+            ("hist_red", hist),
+            ("hist_green", hist),
+            ("hist_blue", hist),
+        ]
+    )

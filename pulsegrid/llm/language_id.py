@@ -39,7 +39,14 @@ MANY_LABELS = 10_000
 _seen = Remembered(30_000_000)
 _WORDS = regex.compile(r"\p{L}+").findall
 _MADE = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-_COUNTS = T.StructType([T.StructField("label", T.StringType()), T.StructField("gram_order", T.IntegerType()), T.StructField("gram", T.StringType()), T.StructField("n", T.LongType())])
+_COUNTS = T.StructType(
+    [
+        T.StructField("label", T.StringType()),
+        T.StructField("gram_order", T.IntegerType()),
+        T.StructField("gram", T.StringType()),
+        T.StructField("n", T.LongType()),
+    ]
+)
 
 
 def grams(word: str, order: int) -> list[str]:
@@ -117,12 +124,24 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for gram in grams(word, order):
                         counts[order][gram] += n
             for order, found in enumerate(counts):
-                yield pa.RecordBatch.from_arrays([pa.array([label] * len(found), pa.string()), pa.array([order] * len(found), pa.int32()), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=_COUNTS.names)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([label] * len(found), pa.string()),
+                        pa.array([order] * len(found), pa.int32()),
+                        pa.array(list(found), pa.string()),
+                        pa.array(list(found.values()), pa.int64()),
+                    ],
+                    names=_COUNTS.names,
+                )
 
 
 def fit(docs: DataFrame, learns: Column, label: str = "lang", text: str = "text", doc_id: str = "doc_id", per_label: int = 500) -> Model:
     """Fits a model on the rows of docs for which `learns` holds."""
-    training = docs.filter(learns & F.col(label).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(label).cast("string").alias("label"), F.col(text).alias("text"), F.col(doc_id).alias("doc_id"))
+    training = docs.filter(learns & F.col(label).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull()).select(
+        F.col(label).cast("string").alias("label"),
+        F.col(text).alias("text"),
+        F.col(doc_id).alias("doc_id"),
+    )
     small_batches(docs.sparkSession)
     counts = _sample(training, per_label, F.col("doc_id")).mapInArrow(_count, _COUNTS).groupBy("gram_order", "gram", "label").agg(F.sum("n").alias("n"))
     found = written(counts).toArrow()

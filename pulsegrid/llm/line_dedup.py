@@ -41,8 +41,22 @@ _UNSPACED = re.compile(f"[{_LETTERS}]")
 _LONG = 12
 _END = re.compile(f"[.!?\u3002\uff01\uff1f\uff61\u0964\u061f\u06d4]+[ \\t]*|(?<=[{_LETTERS}])[ \\t]+(?=[{_LETTERS}])")
 _Piece = tuple[bytes, int, int, int]
-_UNITS = T.StructType([T.StructField("rank", T.LongType()), T.StructField("same", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())])
-_MADE = T.StructType([T.StructField("left_text", T.StringType()), T.StructField("n_removed", T.LongType()), T.StructField("removed_spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())])))])
+_UNITS = T.StructType(
+    [
+        T.StructField("rank", T.LongType()),
+        T.StructField("same", T.LongType()),
+        T.StructField("digest", T.BinaryType()),
+        T.StructField("start", T.IntegerType()),
+        T.StructField("stop", T.IntegerType()),
+    ]
+)
+_MADE = T.StructType(
+    [
+        T.StructField("left_text", T.StringType()),
+        T.StructField("n_removed", T.LongType()),
+        T.StructField("removed_spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())]))),
+    ]
+)
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
 
@@ -134,7 +148,16 @@ def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 digest.append(d)
                 start.append(a)
                 stop.append(b)
-        yield pa.RecordBatch.from_arrays([pa.array(rank, pa.int64()), pa.array(same, pa.int64()), pa.array(digest, pa.binary()), pa.array(start, pa.int32()), pa.array(stop, pa.int32())], names=_UNITS.names)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(rank, pa.int64()),
+                pa.array(same, pa.int64()),
+                pa.array(digest, pa.binary()),
+                pa.array(start, pa.int32()),
+                pa.array(stop, pa.int32()),
+            ],
+            names=_UNITS.names,
+        )
 
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -40,7 +40,9 @@ MISS = 1e-6
 BLOCK = 256
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
-_SKETCH = T.StructType([T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("signature", T.BinaryType())])
+_SKETCH = T.StructType(
+    [T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("signature", T.BinaryType())]
+)
 _SET = T.StructType([T.StructField("shingles", T.BinaryType())])
 _PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
@@ -109,7 +111,11 @@ def sketch(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
         sets = [shingles(t) for t in batch.column(0).to_pylist()]
-        return [pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary())]
+        return [
+            pa.array([len(s) for s in sets], pa.int64()),
+            pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
+            pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary()),
+        ]
 
     return add_columns(docs, {"text": text}, _SKETCH, run, keep)
 
@@ -128,7 +134,11 @@ def _compared(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFra
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sa, sb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype="<u2").reshape(-1, HASHES) for i in (2, 3))
-            stay = _stay(lambda step, of: (sa[of, step * STEP : (step + 1) * STEP] == sb[of, step * STEP : (step + 1) * STEP]).sum(axis=1), len(sa), threshold)
+            stay = _stay(
+                lambda step, of: (sa[of, step * STEP : (step + 1) * STEP] == sb[of, step * STEP : (step + 1) * STEP]).sum(axis=1),
+                len(sa),
+                threshold,
+            )
             yield batch.select([0, 1]).take(pa.array(stay))
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, _PAIR)
@@ -165,7 +175,17 @@ def _block_links(members: DataFrame, threshold: float) -> DataFrame:
     blocks = F.ceil(F.col("n") / BLOCK)
     own = F.pmod(F.xxhash64("node", F.lit(7)), blocks)
     spread = members.withColumn("own", own).withColumn("far", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = spread.select("bucket", F.least("own", "far").alias("i"), F.greatest("own", "far").alias("j"), "own", "band", "node", "label", "signature", "shingles")
+    rows = spread.select(
+        "bucket",
+        F.least("own", "far").alias("i"),
+        F.greatest("own", "far").alias("j"),
+        "own",
+        "band",
+        "node",
+        "label",
+        "signature",
+        "shingles",
+    )
 
     def links_of(group: pa.Table) -> list[tuple[int, int]]:
         sig = np.frombuffer(b"".join(group.column("signature").to_pylist()), dtype="<u2").reshape(-1, HASHES)
@@ -178,7 +198,11 @@ def _block_links(members: DataFrame, threshold: float) -> DataFrame:
         if i == j:
             wanted &= node[a] > node[b]
         a, b = a[wanted], b[wanted]
-        stay = _stay(lambda step, of: (sig[a[of], step * STEP : (step + 1) * STEP] == sig[b[of], step * STEP : (step + 1) * STEP]).sum(axis=1), len(a), threshold)
+        stay = _stay(
+            lambda step, of: (sig[a[of], step * STEP : (step + 1) * STEP] == sig[b[of], step * STEP : (step + 1) * STEP]).sum(axis=1),
+            len(a),
+            threshold,
+        )
         a, b = a[stay], b[stay]
         parent, out = {k: k for k in label.tolist()}, []
 
@@ -227,7 +251,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
     def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = [_alike(*(np.frombuffer(z.as_buffer(), dtype=np.uint64) for z in pair), threshold) for pair in zip(batch.column(2), batch.column(3), strict=True)]
+            good = [
+                _alike(
+                    *(np.frombuffer(z.as_buffer(), dtype=np.uint64) for z in pair),
+                    threshold,
+                ) for pair in zip(batch.column(2), batch.column(3), strict=True)
+            ]
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     return pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(check, _PAIR)
@@ -252,10 +281,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     members = _marked(marked.select("bucket", "band", "n", "node"), links).join(classes.select("node", "signature"), "node").join(sets, "node")
     links = links.unionByName(_block_links(members, threshold))
     # rows of one document under several digests hold together by their doc_id; classes by their digest
-    of_class = whole.select("doc_id", "digest").join(classes.select("digest", "node"), "digest").filter("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    of_class = whole.select("doc_id", "digest").join(classes.select("digest", "node"), "digest").filter("doc_id != node").select(
+        F.col("doc_id").alias("a"),
+        F.col("node").alias("b"),
+    )
     found = components(links.unionByName(of_class))
     rows = sketched.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    return rows.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("component") == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return rows.select(
+        "doc_id",
+        "n_shingles",
+        F.coalesce("component", "doc_id").alias("component_id"),
+        F.coalesce(F.col("component") == F.col("doc_id"), F.lit(True)).alias("kept"),
+    )
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.75) -> DataFrame:

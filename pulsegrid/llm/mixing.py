@@ -43,10 +43,20 @@ def targets(sizes: DataFrame, most: float = MOST) -> DataFrame:
     before = by_level.rowsBetween(Window.unboundedPreceding, -1)
     after = by_level.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     weighed = sizes.withColumn("weight", ((F.row_number().over(by_name) - 1) % 3 + 1).cast("long")).withColumn("full", F.col("source_size") * most)
-    levels = weighed.withColumn("full_at", F.col("full") / F.col("weight")).withColumn("level", (F.sum("source_size").over(Window.partitionBy()) - F.coalesce(F.sum("full").over(before), F.lit(0.0))) / F.sum("weight").over(after))
+    levels = weighed.withColumn("full_at", F.col("full") / F.col("weight")).withColumn(
+        "level",
+        (F.sum("source_size").over(Window.partitionBy()) - F.coalesce(F.sum("full").over(before), F.lit(0.0))) / F.sum("weight").over(after),
+    )
     level = F.max(F.when(F.col("level") <= F.col("full_at"), F.col("level"))).over(Window.partitionBy())
-    filled = levels.withColumn("at", level).withColumn("target", F.when(F.col("at").isNull() | (F.col("full_at") < F.col("at")), F.col("full")).otherwise(F.col("weight") * F.col("at")))
-    offset = F.conv(F.substring(F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(F.col("source"), F.lit("")))), 1, 8), 16, 10).cast("double") / 4294967296.0
+    filled = levels.withColumn("at", level).withColumn(
+        "target",
+        F.when(F.col("at").isNull() | (F.col("full_at") < F.col("at")), F.col("full")).otherwise(F.col("weight") * F.col("at")),
+    )
+    offset = F.conv(
+        F.substring(F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(F.col("source"), F.lit("")))), 1, 8),
+        16,
+        10,
+    ).cast("double") / 4294967296.0
     return filled.select("source", "source_size", F.least("target", "full").alias("target"), offset.alias("offset"))
 
 
@@ -59,7 +69,12 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str
     """docs with size, source_size, target, copies and taken (copies x size)."""
     made = {"size", "source_size", "target", "copies", "taken"}
     kept = [c for c in docs.columns if c.lower() not in made]
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(kept)], _key(F.col(source).cast("string")).alias("source"), n_words(F.col(text)).alias("size"), F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).alias("digest"))
+    rows = docs.select(
+        *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(kept)],
+        _key(F.col(source).cast("string")).alias("source"),
+        n_words(F.col(text)).alias("size"),
+        F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).alias("digest"),
+    )
     rows = rows.withColumn("size_class", F.expr("length(bin(size)) * 8 + (shiftright(size, greatest(length(bin(size)) - 4, 0)) & 7)"))
     keyed = rows.select("source", "size", "size_class", "digest")
     counted = keyed.agg(F.count("*")).first()[0]
@@ -75,18 +90,31 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str
     named = sources.select(F.when(F.col("source") != "n", F.substring("source", 2, 1 << 30)).alias("source"), "source_size")
     goals = targets(named, most).withColumn("source", _key(F.col("source")))
     goals = starts.join(goals, "source")
-    placed = rows.withColumn("slice", piece).withColumn("place", F.row_number().over(Window.partitionBy("source", "size_class", "slice").orderBy("digest", "size")))
+    placed = rows.withColumn("slice", piece).withColumn(
+        "place",
+        F.row_number().over(Window.partitionBy("source", "size_class", "slice").orderBy("digest", "size")),
+    )
     joined = placed.join(goals, ["source", "size_class", "slice"])  # by what the rows are dealt out already
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     place = F.col("start") + F.col("place")
     crossed = F.floor(place * expected + F.col("offset")) - F.floor((place - 1) * expected + F.col("offset"))
     copies = F.least(crossed, F.lit(int(most))).cast("long")
-    return joined.withColumn("copies", copies).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(kept)], "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return joined.withColumn("copies", copies).select(
+        *[F.col(f"k{i}").alias(c) for i, c in enumerate(kept)],
+        "size",
+        "source_size",
+        "target",
+        "copies",
+        (F.col("copies") * F.col("size")).alias("taken"),
+    )
 
 
 def emit(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """Each row of mixed as often as it has copies, with these columns."""
-    return mixed.filter("copies > 0").withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[F.col(f"`{c}`") for c in columns])
+    return mixed.filter("copies > 0").withColumn(
+        "copies",
+        F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))),
+    ).select(*[F.col(f"`{c}`") for c in columns])
 
 
 ORACLE = rf"""

@@ -34,7 +34,15 @@ from pulsegrid.llm.groups import key_runs
 
 SAMPLE, APART, SHARED, BLOCK = 4096, 0.7, 2, 256
 
-_LISTED = T.StructType([T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("vector", T.BinaryType()), T.StructField("mask", T.BinaryType()), T.StructField("lists", T.ArrayType(T.IntegerType()))])
+_LISTED = T.StructType(
+    [
+        T.StructField("node", T.LongType()),
+        T.StructField("n", T.LongType()),
+        T.StructField("vector", T.BinaryType()),
+        T.StructField("mask", T.BinaryType()),
+        T.StructField("lists", T.ArrayType(T.IntegerType())),
+    ]
+)
 _FOUND = T.StructType([T.StructField("node", T.LongType()), T.StructField("links", T.LongType()), T.StructField("reaches", T.LongType())])
 
 
@@ -78,9 +86,21 @@ def _described(classes: DataFrame, pivots: np.ndarray, near: int) -> DataFrame:
             mask = np.zeros((len(vectors), words), dtype=np.uint64)
             for column in nearest.T:
                 mask[np.arange(len(vectors)), column >> 6] |= np.uint64(1) << (column & 63).astype(np.uint64)
-            two = [nearest[:, i] * len(shared.value) + nearest[:, j] for i, j in combinations(range(near), 2)] or [nearest[:, 0] * (len(shared.value) + 1)]
+            two = [
+                nearest[:, i] * len(shared.value) + nearest[:, j] for i,
+                j in combinations(range(near), 2)
+            ] or [nearest[:, 0] * (len(shared.value) + 1)]
             lists = np.stack(two, axis=1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([v.tobytes() for v in vectors], pa.binary()), pa.array([m.tobytes() for m in mask], pa.binary()), pa.array(lists.tolist(), pa.list_(pa.int32()))], names=_LISTED.names)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    batch.column(1),
+                    pa.array([v.tobytes() for v in vectors], pa.binary()),
+                    pa.array([m.tobytes() for m in mask], pa.binary()),
+                    pa.array(lists.tolist(), pa.list_(pa.int32())),
+                ],
+                names=_LISTED.names,
+            )
 
     return classes.mapInArrow(run, _LISTED)
 
@@ -138,7 +158,10 @@ def links(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
     """For each row: vec_id, n_links (other vectors at least that similar), component_id, kept (vec_id is its component's)."""
     small_batches(vectors.sparkSession)
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"))
-    good = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda v: F.coalesce(F.abs(v) < float("inf"), F.lit(False))) & F.exists("embedding", lambda v: v != 0)
+    good = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall(
+        "embedding",
+        lambda v: F.coalesce(F.abs(v) < float("inf"), F.lit(False)),
+    ) & F.exists("embedding", lambda v: v != 0)
     able = rows.filter(F.coalesce(good, F.lit(False)))
     classes = written(able.groupBy("embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("n")).select("node", "n", "embedding"))
     size = classes.count()
@@ -147,7 +170,9 @@ def links(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
     drawn = classes.filter(low).select("node", "embedding").limit(2 * SAMPLE).collect()
     drawn = drawn or classes.select("node", "embedding").limit(1).collect()
     sample = [np.array(r["embedding"]) for r in sorted(drawn, key=lambda r: r["node"])]
-    base = rows.join(classes.select("embedding", "node", "n"), "embedding", "left") if sample else rows.withColumns({"node": F.lit(None).cast("long"), "n": F.lit(None).cast("long")})
+    base = rows.join(classes.select("embedding", "node", "n"), "embedding", "left") if sample else rows.withColumns(
+        {"node": F.lit(None).cast("long"), "n": F.lit(None).cast("long")}
+    )
     base = base.withColumn("node", F.when(good, F.col("node"))).select("vec_id", "node", "n")
     if sample:
         pivots = choose(_unit(sample, max(map(len, sample))), many)
@@ -155,8 +180,20 @@ def links(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
         listed = written(_described(classes, pivots, near)).withColumn("list", F.explode("lists")).drop("lists")
         sizes = listed.groupBy("list").agg(F.count("*").alias("members")).filter("members > 1")
         blocks = F.ceil(F.col("members") / BLOCK)
-        spread = listed.join(sizes, "list").withColumn("own", F.pmod(F.xxhash64("node", F.lit(11)), blocks)).withColumn("far", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        dealt = spread.select("list", F.least("own", "far").alias("i"), F.greatest("own", "far").alias("j"), "own", "node", "n", "vector", "mask").repartition("list", "i", "j").sortWithinPartitions("list", "i", "j")
+        spread = listed.join(sizes, "list").withColumn(
+            "own",
+            F.pmod(F.xxhash64("node", F.lit(11)), blocks),
+        ).withColumn("far", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        dealt = spread.select(
+            "list",
+            F.least("own", "far").alias("i"),
+            F.greatest("own", "far").alias("j"),
+            "own",
+            "node",
+            "n",
+            "vector",
+            "mask",
+        ).repartition("list", "i", "j").sortWithinPartitions("list", "i", "j")
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for group in key_runs(batches, ["list", "i", "j"]):
@@ -170,4 +207,9 @@ def links(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
         base = base.withColumns({"links": F.lit(None).cast("long"), "component": F.lit(None).cast("long")})
     component = F.coalesce("component", "node", "vec_id")
     total = F.coalesce(F.col("n") - 1, F.lit(0)) + F.coalesce("links", F.lit(0))
-    return base.select("vec_id", total.cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
+    return base.select(
+        "vec_id",
+        total.cast("long").alias("n_links"),
+        component.alias("component_id"),
+        F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"),
+    )

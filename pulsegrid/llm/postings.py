@@ -65,7 +65,10 @@ class Block:
             return
         names = SCHEMA.names if counted is None else COUNTED.names
         none = [] if counted is None else [pa.array([0])]
-        yield pa.RecordBatch.from_arrays([pa.array([self.name]), pa.array([None], pa.string()), pa.array([np.array(self.head, dtype="<i8").tobytes()]), *none], names=names)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([self.name]), pa.array([None], pa.string()), pa.array([np.array(self.head, dtype="<i8").tobytes()]), *none],
+            names=names,
+        )
         code = np.array(self.code, dtype=np.int32)
         order = np.argsort(code, kind="stable")
         held = np.empty(len(code), dtype=POSTING)
@@ -82,14 +85,26 @@ class Block:
         for a in range(0, len(terms), ROWS):
             b = min(a + ROWS, len(terms))
             cuts = (ends[a : b + 1] - ends[a]) * POSTING.itemsize
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, self.name)), terms[a:b], _binary(cuts, held[ends[a] : ends[b]].tobytes()), *(pa.array(x[a:b]) for x in sums)], names=names)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(b - a, self.name)),
+                    terms[a:b],
+                    _binary(cuts, held[ends[a] : ends[b]].tobytes()),
+                    *(pa.array(x[a:b]) for x in sums),
+                ],
+                names=names,
+            )
 
 
 def _binary(ends: np.ndarray, data: bytes) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(data)])
 
 
-def gather(rows: DataFrame, read: Callable[[pa.RecordBatch], Iterable[tuple[tuple[int, ...], Iterable[tuple[str | bytes, int]], int]]], counted: int | None = None) -> DataFrame:
+def gather(
+    rows: DataFrame,
+    read: Callable[[pa.RecordBatch], Iterable[tuple[tuple[int, ...], Iterable[tuple[str | bytes, int]], int]]],
+    counted: int | None = None,
+) -> DataFrame:
     """Rows of SCHEMA (COUNTED, if a place in the heads is counted). read gives, for each row of a batch, its head, its terms with their frequencies, and its characters."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +143,13 @@ def value(postings: DataFrame, valued: Callable[[list[str]], list[float]]) -> Da
     return dealt.mapInArrow(run, VALUED)
 
 
-def total(valued: DataFrame, width: int, finish: Callable[[np.ndarray, list[np.ndarray]], list[pa.Array]], schema: T.StructType, sums: Callable[[np.ndarray, np.ndarray], list[np.ndarray]] | None = None) -> DataFrame:
+def total(
+    valued: DataFrame,
+    width: int,
+    finish: Callable[[np.ndarray, list[np.ndarray]], list[pa.Array]],
+    schema: T.StructType,
+    sums: Callable[[np.ndarray, np.ndarray], list[np.ndarray]] | None = None,
+) -> DataFrame:
     """A row a document. finish gets the heads (documents x width) and sums over each document's terms of times x value.
 
     sums(values, times): other things to sum, an array for each.

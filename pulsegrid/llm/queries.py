@@ -59,8 +59,24 @@ def op9_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = gif.store(docs.select("doc_id", F.octet_length(utf8).cast("long").alias("n_bytes"), payload.alias("bytes")), F.col("bytes"))
     back = gif.read_back(stored.drop("bytes"))
     size = F.octet_length("payload").cast("long")
-    feature = F.concat(F.lit("frames="), F.col("n_frames"), F.lit(";ms="), F.col("duration_ms"), F.lit(";hist="), F.array_join(F.col("histogram").cast("array<string>"), ","))
-    return back.select("doc_id", "n_bytes", size.alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"))
+    feature = F.concat(
+        F.lit("frames="),
+        F.col("n_frames"),
+        F.lit(";ms="),
+        F.col("duration_ms"),
+        F.lit(";hist="),
+        F.array_join(F.col("histogram").cast("array<string>"), ","),
+    )
+    return back.select(
+        "doc_id",
+        "n_bytes",
+        size.alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        feature.alias("feature"),
+    )
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

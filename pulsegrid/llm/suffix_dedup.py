@@ -44,17 +44,49 @@ _PLACE = np.uint64((1 << 27) - 1)
 #: Positions that are hashed at a time, so that what is made of them stays in a processor's cache.
 _PIECE = 1 << 15
 
-_LISTS = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("block", T.LongType()), T.StructField("once", T.BinaryType()), T.StructField("more", T.BinaryType())])
-_NOTES = T.StructType([T.StructField("block", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("hashes", T.BinaryType()), T.StructField("frequent", T.BinaryType()), T.StructField("doc_id", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType()), T.StructField("digest", T.StringType())])
+_LISTS = T.StructType(
+    [
+        T.StructField("part", T.IntegerType()),
+        T.StructField("block", T.LongType()),
+        T.StructField("once", T.BinaryType()),
+        T.StructField("more", T.BinaryType()),
+    ]
+)
+_NOTES = T.StructType(
+    [
+        T.StructField("block", T.LongType()),
+        T.StructField("part", T.IntegerType()),
+        T.StructField("hashes", T.BinaryType()),
+        T.StructField("frequent", T.BinaryType()),
+        T.StructField("doc_id", T.LongType()),
+        T.StructField("start", T.IntegerType()),
+        T.StructField("stop", T.IntegerType()),
+        T.StructField("digest", T.StringType()),
+    ]
+)
 #: A block's stretches for a shard: their bytes in a row, the length of each, how many places it has, and these.
-_STRETCH = T.StructType([T.StructField("shard", T.LongType()), *(T.StructField(n, T.BinaryType()) for n in ("bytes", "lengths", "copies", "docs", "starts"))])
+_STRETCH = T.StructType(
+    [T.StructField("shard", T.LongType()), *(T.StructField(n, T.BinaryType()) for n in ("bytes", "lengths", "copies", "docs", "starts"))]
+)
 _SPAN = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())])
-_RESULT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("kept", T.BinaryType())])
+_RESULT = T.StructType(
+    [
+        T.StructField("doc_id", T.LongType()),
+        T.StructField("n_bytes", T.LongType()),
+        T.StructField("n_removed", T.LongType()),
+        T.StructField("n_spans", T.LongType()),
+        T.StructField("spans", T.ArrayType(T.ArrayType(T.IntegerType()))),
+        T.StructField("kept", T.BinaryType()),
+    ]
+)
 
 
 def _rows(docs: pa.Table, notes: pa.Table) -> Iterator[tuple[int | None, bytes, bool]]:
     """doc_id, text and whether it is a whole copy of an earlier one, as the notes with a digest say."""
-    copies = {d: x for d, x in zip(notes.column("doc_id").to_pylist(), notes.column("digest").to_pylist(), strict=True) if x is not None} if notes.num_rows else {}
+    copies = {
+        d: x for d,
+        x in zip(notes.column("doc_id").to_pylist(), notes.column("digest").to_pylist(), strict=True) if x is not None
+    } if notes.num_rows else {}
     for d, text in zip(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist(), strict=True):
         digest = copies.get(d) if d is not None else None
         yield d, text, digest is not None and digest == hashlib.sha256(text).hexdigest()
@@ -158,7 +190,10 @@ def _lists(docs: pa.Table, notes: pa.Table, parts: int) -> pa.Table:
     low, part, several = h[order].astype(np.uint32), part[order], several[order]
     cuts = _edges(part).tolist()
     rows = [(int(part[a]), block, low[a:b][~several[a:b]].tobytes(), low[a:b][several[a:b]].tobytes()) for a, b in zip(cuts, cuts[1:], strict=False)]
-    return pa.Table.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=_LISTS.names)
+    return pa.Table.from_arrays(
+        [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary()))],
+        names=_LISTS.names,
+    )
 
 
 def _repeated(lists: pa.Table) -> pa.Table:
@@ -178,12 +213,24 @@ def _repeated(lists: pa.Table) -> pa.Table:
     cuts = _edges(own).tolist()
     rows = [(int(blocks[own[a]]), low[a:b].tobytes(), low[a:b][often[a:b]].tobytes()) for a, b in zip(cuts, cuts[1:], strict=False)]
     n = len(rows)
-    return pa.Table.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([part] * n, pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary()), *(pa.nulls(n, k) for k in (pa.int64(), pa.int32(), pa.int32(), pa.string()))], names=_NOTES.names)
+    return pa.Table.from_arrays(
+        [
+            pa.array([r[0] for r in rows], pa.int64()),
+            pa.array([part] * n, pa.int32()),
+            pa.array([r[1] for r in rows], pa.binary()),
+            pa.array([r[2] for r in rows], pa.binary()),
+            *(pa.nulls(n, k) for k in (pa.int64(), pa.int32(), pa.int32(), pa.string())),
+        ],
+        names=_NOTES.names,
+    )
 
 
 def _told(notes: pa.Table, column: str) -> np.ndarray:
     """The anchors that notes of all parts list in a column."""
-    every = [np.frombuffer(x, dtype=np.uint32).astype(np.uint64) | np.uint64(p << 32) for p, x in zip(notes.column("part").to_pylist(), notes.column(column).to_pylist(), strict=True) if p is not None]
+    every = [
+        np.frombuffer(x, dtype=np.uint32).astype(np.uint64) | np.uint64(p << 32) for p,
+        x in zip(notes.column("part").to_pylist(), notes.column(column).to_pylist(), strict=True) if p is not None
+    ]
     return np.concatenate(every) if every else np.zeros(0, dtype=np.uint64)
 
 
@@ -215,7 +262,16 @@ def _stretches(docs: pa.Table, notes: pa.Table, parts: int, shards: int) -> pa.T
         seen: dict[bytes, int] = {}
         own = np.array([seen.setdefault(whole[i:j], len(seen)) for i, j in zip(begin[a:b], stop[a:b], strict=True)])
         turn = np.argsort(own, kind="stable")
-        rows.append((int(shard[a]), b"".join(seen), np.array([len(t) for t in seen], dtype="<i4").tobytes(), np.bincount(own).astype("<i4").tobytes(), doc_ids[a:b][turn].tobytes(), starts[a:b][turn].tobytes()))
+        rows.append(
+            (
+                int(shard[a]),
+                b"".join(seen),
+                np.array([len(t) for t in seen], dtype="<i4").tobytes(),
+                np.bincount(own).astype("<i4").tobytes(),
+                doc_ids[a:b][turn].tobytes(),
+                starts[a:b][turn].tobytes(),
+            )
+        )
     return pa.Table.from_arrays([pa.array([r[i] for r in rows], pa.int64() if not i else pa.binary()) for i in range(6)], names=_STRETCH.names)
 
 
@@ -262,7 +318,14 @@ class _Shard:
         edge = np.flatnonzero(gone & np.concatenate([[True], ~gone[:-1] | (place[1:] != place[:-1])]))
         last = np.flatnonzero(gone & np.concatenate([~gone[1:] | (place[1:] != place[:-1]), [True]]))
         own = place[edge]
-        return pa.RecordBatch.from_arrays([pa.array(doc[own]), pa.array((start[own] + offset[edge]).astype(np.int32)), pa.array((start[own] + offset[last] + DEPTH).astype(np.int32))], names=_SPAN.names)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(doc[own]),
+                pa.array((start[own] + offset[edge]).astype(np.int32)),
+                pa.array((start[own] + offset[last] + DEPTH).astype(np.int32)),
+            ],
+            names=_SPAN.names,
+        )
 
 
 def _settled(shards: list[_Shard]) -> Iterator[pa.RecordBatch]:
@@ -326,12 +389,24 @@ def remove_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     blocks, parts = max(1, -(-total // BLOCK_BYTES)), max(1, -(-total // LIST_BYTES))
     shards = max(1, -(-total // SHARD_BYTES))
     block_of = lambda *c: F.pmod(F.xxhash64(*c), F.lit(blocks)).cast("long")
-    marks = rows.filter(f"doc_id IS NOT NULL AND octet_length(text) >= {DEPTH}").select(F.col("doc_id").alias("marked"), F.sha2("text", 256).alias("digest"))
-    first = marks.groupBy("digest").agg(F.min("marked").alias("first"), F.count("*").alias("n")).filter("n > 1").select(F.col("digest").alias("same"), "first")
+    marks = rows.filter(f"doc_id IS NOT NULL AND octet_length(text) >= {DEPTH}").select(
+        F.col("doc_id").alias("marked"),
+        F.sha2("text", 256).alias("digest"),
+    )
+    first = marks.groupBy("digest").agg(
+        F.min("marked").alias("first"),
+        F.count("*").alias("n"),
+    ).filter("n > 1").select(F.col("digest").alias("same"), "first")
     nothing = {"part": "int", "hashes": "binary", "frequent": "binary", "start": "int", "stop": "int", "digest": "string"}
     none = lambda *names: [F.lit(None).cast(nothing[n]).alias(n) for n in names]
     copies = marks.join(first, F.col("digest") == F.col("same")).filter("marked > first").select("marked", "same").distinct()
-    copied = copies.select(block_of("marked").alias("block"), *none("part", "hashes", "frequent"), F.col("marked").alias("doc_id"), *none("start", "stop"), F.col("same").alias("digest"))
+    copied = copies.select(
+        block_of("marked").alias("block"),
+        *none("part", "hashes", "frequent"),
+        F.col("marked").alias("doc_id"),
+        *none("start", "stop"),
+        F.col("same").alias("digest"),
+    )
     # texts without a doc_id are told nothing and may lie in any block
     texts = rows.select(F.when(F.col("doc_id").isNull(), block_of("text")).otherwise(block_of("doc_id")).alias("block"), "doc_id", "text")
 
