@@ -9,7 +9,8 @@ that is wrapped differently, or lies within other such text of a line, has no un
 Units are normalised (A-Z lower-cased, runs of white space made one space, ends trimmed) and digested, whatever their
 kind; digests are grouped globally. Of units with one digest, the first by (doc_id, text digest, offset) stays where it
 is unless it lies in another that goes; all others go. A unit that overlaps an earlier one of the same digest in its text
-is none. Text that is left is joined; removed_spans are character offsets in the original text.
+is none. Text that is left is joined; removed_spans are character offsets in the original text. With `least_words`, units
+that go and touch make a run, and only runs of so many words go, or a run that is all of its text.
 
 Only digests travel; a digest that is very frequent is counted where it is found before it travels, and where its
 occurrences meet its first one, adaptive execution splits them over tasks. A very long text is whole, in one task.
@@ -33,6 +34,8 @@ from pyspark.sql import types as T
 from pulsegrid.llm.common import add_columns, slices, small_batches, written
 
 LINE_WORDS, SENTENCE_WORDS = 5, 8
+#: Words of a run that goes, in the registered query and the pipeline: license lines, greetings and headings stay.
+RUN_WORDS = 20
 #: Scripts without spaces: those of about two characters a word, and those of about four, which part phrases by spaces.
 _IDEOGRAPHS = re.compile("[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 _LETTERS = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff"
@@ -172,7 +175,7 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     return gone.groupBy("rank", "same").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = 0) -> DataFrame:
     """docs with what is left of their text, n_removed (characters) and removed_spans."""
     gone = repeats(docs, doc_id, text).withColumnsRenamed({"rank": "_rank", "same": "_same", "spans": "_spans"})
     kept = [c for c in docs.columns if c.lower() not in ("n_removed", "removed_spans")]
@@ -182,6 +185,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         texts, spans, removed = [], [], []
         for string, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             cut = merged((s["start"], s["stop"]) for s in found or ())
+            if cut and least_words:
+                cut = [(a, b) for a, b in cut if _piece(string[a:b], a)[1] >= least_words or not (string[:a] + string[b:]).strip()]
             if cut:
                 ends = [0, *(x for span in cut for x in span), len(string)]
                 string = "".join(string[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))

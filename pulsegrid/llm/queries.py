@@ -43,7 +43,7 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the text that is left, and what went: characters, spans and their original offsets."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.remove_repeats(docs).select("doc_id", "text", "n_removed", F.size("removed_spans").alias("n_spans"), "removed_spans")
+    return line_dedup.remove_repeats(docs, least_words=line_dedup.RUN_WORDS).select("doc_id", "text", "n_removed", F.size("removed_spans").alias("n_spans"), "removed_spans")
 
 
 def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -269,6 +269,18 @@ def test_line_dedup_leaves_no_fifty_words_twice(spark):
     assert all(any(say_.split()[10:-10] == t[i : i + len(say_.split()) - 20] for r in left for t in [r["text"].split()] for i in range(len(t))) for say_ in passages if any(say_ in r[1] for r in rows))
 
 
+def test_line_dedup_leaves_short_runs(spark):
+    """A repeated line of ten words stays with least_words, one of thirty goes, and so do ten words that are the whole text."""
+    draw = random.Random(21)
+    say = lambda n: " ".join("".join(draw.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    short, long, whole = say(10), say(30), say(10)
+    rows = [(d, f"{say(9)}\n{short}\n{say(12)}\n{long}\n{say(9)}", None, None, 0) for d in range(4)] + [(d, whole, None, None, 0) for d in (8, 9)]
+    left = {r["doc_id"]: r["text"] for r in line_dedup.remove_repeats(frame(spark, rows), least_words=20).collect()}
+    assert all(short in left[d] and (long in left[d]) == (d == 0) for d in range(4)) and (left[8], left[9]) == (whole, "")
+    every = {r["doc_id"]: r["text"] for r in line_dedup.remove_repeats(frame(spark, rows)).collect()}
+    assert [d for d in range(4) if short in every[d]] == [0]
+
+
 def test_line_dedup_keeps_the_first_of_overlapping_repeats(spark):
     text = "Ha. " * 20
     got = line_dedup.remove_repeats(frame(spark, [(1, text, None, None, 0), (2, text, None, None, 0)])).collect()

@@ -21,7 +21,7 @@ def test_stages(spark, tmp_path):
     assert language.filter("text IS NULL OR NOT text RLIKE '\\\\p{L}'").count() == 0
     assert near.count() < language.count()
     assert sorted(map(repr, passages.collect())) != sorted(map(repr, near.collect()))
-    assert line_dedup.remove_repeats(passages).agg(F.sum("n_removed")).first()[0] == 0  # nothing is left to remove
+    assert line_dedup.remove_repeats(passages, least_words=line_dedup.RUN_WORDS).agg(F.sum("n_removed")).first()[0] == 0  # nothing is left to remove
     sizes = {r["source"]: r["n"] for r in passages.groupBy("source").agg(F.sum(mixing.n_words(F.col("text"))).alias("n")).collect()}
     assert set(sizes) >= {r["source"] for r in mix.select("source").distinct().collect()}
     assert ids.count() == mix.count() and ids.filter("NOT round_trip").count() == 0

@@ -134,7 +134,7 @@ def test_op4(spark, folder):
 
 
 def test_op5(spark, folder):
-    """What is left is the text without the spans, which do not touch, and holds no line of eight words twice."""
+    """What is left is the text without the spans, which do not touch, and holds no line of twenty words twice."""
     texts = Counter()
     for r in asked(spark, folder, "op5_line_dedup"):
         source = next(t for d, t, *_ in ROWS if d == r["doc_id"])
@@ -145,7 +145,7 @@ def test_op5(spark, folder):
         assert r["text"] == (None if source is None else "".join(source[a:b] for a, b in zip(cut[::2], cut[1::2], strict=True)))
         if (r["doc_id"], r["text"]) not in texts:
             texts[r["doc_id"], r["text"]] += 1
-    lines = Counter(n for (_, t) in texts for line in (t or "").split("\n") if len(n := tuple(words(line))) >= line_dedup.SENTENCE_WORDS)
+    lines = Counter(n for (_, t) in texts for line in (t or "").split("\n") if len(n := tuple(words(line))) >= line_dedup.RUN_WORDS)
     assert not [x for x, n in lines.items() if n > 1] and any(len((t or "").split("\n")) > 2 for _, t in texts)
 
 
