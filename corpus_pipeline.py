@@ -31,8 +31,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes repeated lines and sentences; a document of which nothing is left goes. n_chars follows the text."""
-    left = line_dedup.remove_repeats(docs)
+    """Removes runs of repeated lines and sentences that have 20 words or more; a document of which nothing is left goes. n_chars follows the text."""
+    left = line_dedup.remove_repeats(docs, least_words=line_dedup.RUN_WORDS)
     some = (F.col("n_removed") == 0) | F.col("text").isNull() | (F.trim("text") != "")
     return left.filter(some).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
