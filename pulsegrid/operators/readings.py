@@ -31,9 +31,15 @@ def dense_grid(counts: DataFrame, cfg: DetectorConfig, last: int | Column | None
 
     last: no bucket after it is evaluated.
     """
-    following = F.lead("second").over(Window.partitionBy("key").orderBy("second"))
-    until = F.least(F.coalesce(following - 1, F.col("second") + cfg.retained), F.col("second") + cfg.retained)
-    filled = counts.withColumn("_until", until).select("key", F.explode(F.sequence("second", "_until")).alias("_at"), "second", "n")
+    # within a stretch the next bucket follows by a window; after its last one comes the first of the next stretch
+    rows = counts.withColumn("_stretch", F.floor(F.col("second") / (STRETCH * cfg.retained)))
+    firsts = rows.groupBy("key", "_stretch").agg(F.min("second").alias("_first"))
+    onward = F.lead("_first").over(Window.partitionBy("key").orderBy("_stretch"))
+    inside = F.lead("second").over(Window.partitionBy("key", "_stretch").orderBy("second"))
+    rows = rows.withColumn("_inside", inside).join(firsts.select("key", "_stretch", onward.alias("_onward")), ["key", "_stretch"])
+    latest = F.col("second") + cfg.retained
+    until = F.least(F.coalesce(F.coalesce("_inside", "_onward") - 1, latest), latest)
+    filled = rows.withColumn("_until", until).select("key", F.explode(F.sequence("second", "_until")).alias("_at"), "second", "n")
     grid = filled.select("key", F.col("_at").alias("second"), F.when(F.col("_at") == F.col("second"), F.col("n")).otherwise(F.lit(0)).alias("n"))
     return grid if last is None else grid.filter(F.col("second") <= last)
 
