@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import byte_bpe, gif, language_id, line_dedup, lm_scoring, minhash, mixing, pivots, suffix_dedup, token_counts
+from pulsegrid.llm import byte_bpe, gif, language_id, line_dedup, lm_scoring, minhash, mixing, periodic_runs, pivots, suffix_dedup, token_counts
 from pulsegrid.llm.common import table
 
 
@@ -87,6 +87,23 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(rows, model, keep=["doc_id", "held_out"])
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    read = docs.select("doc_id", periodic_runs.repeating_tail(F.col("text"), F.col("doc_id")).alias("text"))
+    found = periodic_runs.periodic_runs(read, keep=["doc_id"]).withColumn("longest", periodic_runs.longest(F.col("runs")))
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), F.concat(r["period"].cast("string"), F.lit("\n"))))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "longest.start",
+        "longest.length",
+        "longest.period",
+        F.floor(F.col("longest.length") * 1000 / F.col("longest.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_token_counts": op2_token_counts,
@@ -98,6 +115,7 @@ QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_gif": op9_gif,
     "op10_language_id": op10_language_id,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.ORACLE}
