@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import byte_bpe, gif, language_id, line_dedup, lm_scoring, minhash, mixing, periodic_runs, pivots, suffix_dedup, token_counts
+from pulsegrid.llm import byte_bpe, gif, language_id, line_dedup, lm_scoring, minhash, mixing, periodic_runs, pivots, suffix_dedup, token_counts, whitening
 from pulsegrid.llm.common import table
 
 
@@ -87,6 +87,23 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(rows, model, keep=["doc_id", "held_out"])
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(vectors)
+    explained = [] if model is None else model.explained
+    values = whitening.whiten(vectors, model, keep=["vec_id"]).select("vec_id", "deviation", F.posexplode("whitened").alias("place", "whitened"))
+    share = F.element_at(F.array(*[F.lit(e).cast("double") for e in explained]), F.col("place") + 1) if explained else F.lit(None).cast("double")
+    return values.select(
+        "vec_id",
+        (F.col("place") + 1).alias("component"),
+        F.lit(model and model.n).cast("long").alias("n"),
+        "deviation",
+        "whitened",
+        share.alias("explained"),
+        F.lit(model and model.identity_error).cast("double").alias("identity_error"),
+    )
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     read = docs.select("doc_id", periodic_runs.repeating_tail(F.col("text"), F.col("doc_id")).alias("text"))
@@ -115,6 +132,7 @@ QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_gif": op9_gif,
     "op10_language_id": op10_language_id,
+    "op11_whitening": op11_whitening,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
