@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import byte_bpe, gif, language_id, line_dedup, lm_scoring, minhash, mixing, periodic_runs, pivots, suffix_dedup, token_counts, whitening
+from pulsegrid.llm import byte_bpe, gif, html_extraction, language_id, line_dedup, lm_scoring, minhash, mixing, periodic_runs, pivots, suffix_dedup, token_counts, whitening
 from pulsegrid.llm.common import table
 
 
@@ -104,6 +104,11 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_host_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extraction.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_words", "n_repeated")
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     read = docs.select("doc_id", periodic_runs.repeating_tail(F.col("text"), F.col("doc_id")).alias("text"))
@@ -133,6 +138,7 @@ QUERIES = {
     "op9_gif": op9_gif,
     "op10_language_id": op10_language_id,
     "op11_whitening": op11_whitening,
+    "op12_host_suffix_array": op12_host_suffix_array,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
