@@ -5,7 +5,8 @@
 2. A block concatenates the token streams of its pages (words, and a mark between blocks of text and at a page's ends) and
    sorts them to a suffix array, as deep as the shortest run that counts (`RUN` tokens). Strings that stand in pages of
    a host with different titles are repeated. Pages with one title are copies of one article, whose text is no boilerplate
-   for being there twice.
+   for being there twice. Strings that lie wholly in what the markup shows to be an article are not compared: they stay
+   however often quotations and copies repeat them.
 3. Hosts with several blocks are compared over all: each block lists the hashes of its strings (64 bits: the part of all
    lists it is looked up in, 40 bits of it, and 24 of the title), and is told which stand in other pages of the host too.
    A string is taken for repeated wrongly with a chance of about one in a million, as lists of a part are bounded.
@@ -77,12 +78,27 @@ class _Streams:
         self.host_names = list(places)
         mark = self.names.index(_MARK) if _MARK in self.names else -1
         self.is_word = self.ids != mark
+        #: Where a block of text begins: a word after a mark.
+        self.heads = np.flatnonzero(self.is_word & np.concatenate([[True], ~self.is_word[:-1]])[: len(self.ids)])
+
+    def _of_article(self) -> np.ndarray:
+        """Which tokens are words of article text, or marks with no other text beside them in their page."""
+        sure = np.array([b.verdict == ARTICLE for found in self.pages for b in found] + [True], dtype=bool)
+        page = np.append(self.page[self.heads], -1)
+        begun = np.zeros(len(self.ids), dtype=np.int64)
+        begun[self.heads] = 1
+        begun = np.cumsum(begun)
+        before, after = begun - 1, np.where(self.is_word, begun - 1, begun)
+        beside = lambda k: sure[k] | (page[k] != self.page)
+        return beside(before) & beside(after)
 
     def starts(self) -> np.ndarray:
-        """Which tokens have as many behind them in their page as a string has, and a host."""
+        """Where strings to be compared start: as many tokens follow in the page, which has a host, and some are of no article."""
         ends = self.begins[1:][self.page]
         none = np.array([h == "" for h in self.host_names], dtype=bool)
-        return (np.arange(len(self.ids)) + RUN <= ends) & ~none[self.host[self.page]]
+        others = np.concatenate([[0], np.cumsum(~self._of_article())])
+        upto = np.minimum(np.arange(len(self.ids)) + RUN, len(self.ids))
+        return (np.arange(len(self.ids)) + RUN <= ends) & ~none[self.host[self.page]] & (others[upto] > others[:-1])
 
     def hashes(self) -> np.ndarray:
         """A hash of the string at each token and of its host."""
@@ -99,10 +115,13 @@ class _Streams:
         """Which strings stand in pages of their host with different titles, by the suffix array."""
         out = np.zeros(len(self.ids), dtype=bool)
         good = self.starts()
-        # a place where no string starts has a rank of its own, and so has the end of a page
+        # a token of no string has a rank of its own, and strings are told apart by host
+        reached = np.zeros(len(self.ids) + 1, dtype=np.int64)
+        np.add.at(reached, np.flatnonzero(good), 1)
+        np.add.at(reached, np.flatnonzero(good) + RUN, -1)
         many = len(self.names)
-        ids = self.host[self.page] * many + self.ids if len(self.ids) else self.ids
-        ids = np.where(good | self._tail(), ids, (int(self.host.max(initial=0)) + 1) * many + np.arange(len(ids)))
+        own = (int(self.host.max(initial=0)) + 1) * many + np.arange(len(self.ids))
+        ids = np.where(np.cumsum(reached[:-1]) > 0, self.host[self.page] * many + self.ids, own)
         order, group = suffix_order(ids, RUN)
         keep = good[order]
         order, group = order[keep], group[keep]
@@ -114,10 +133,6 @@ class _Streams:
         out[order] = np.repeat(differ, np.diff(np.append(cuts, len(order))))
         return out
 
-    def _tail(self) -> np.ndarray:
-        """The last tokens of pages, which strings reach though none starts there."""
-        return np.arange(len(self.ids)) + RUN > self.begins[1:][self.page]
-
     def decided(self, gone: np.ndarray) -> tuple[list[str], list[int], list[int]]:
         """Text, words and repeated words of each page; gone: which strings are repeated."""
         cover = np.zeros(len(self.ids) + 1, dtype=np.int64)
@@ -125,10 +140,7 @@ class _Streams:
         np.add.at(cover, at, 1)
         np.add.at(cover, np.minimum(at + RUN, len(self.ids)), -1)
         under = (np.cumsum(cover[:-1]) > 0) & self.is_word
-        # blocks of text are runs of words between marks
-        starts = np.flatnonzero(self.is_word & np.concatenate([[True], ~self.is_word[:-1]])[: len(self.ids)])
-        n = np.add.reduceat(self.is_word, starts) if len(starts) else np.zeros(0, dtype=np.int64)
-        k = np.add.reduceat(under, starts) if len(starts) else np.zeros(0, dtype=np.int64)
+        n, k = (np.add.reduceat(x.astype(np.int64), self.heads) if len(self.heads) else np.zeros(0, dtype=np.int64) for x in (self.is_word, under))
         texts, size, covered = [], [], []
         place = 0
         n, k = n.tolist(), k.tolist()

@@ -90,20 +90,36 @@ def site(seed=1):
     return rows, want
 
 
+def lone(tokens, certain, i):
+    """Whether a mark among eight tokens lies beside a word of no article."""
+    for j in range(i, i + 8):
+        if tokens[j] == "\0":
+            before = next((k for k in range(j, -1, -1) if tokens[k] != "\0"), None)
+            after = next((k for k in range(j, len(tokens)) if tokens[k] != "\0"), None)
+            if any(k is not None and not certain[k] for k in (before, after)):
+                return True
+    return False
+
+
 def repeats(rows):
     """page -> number of words under strings of eight tokens that stand in pages of its host with different titles."""
     streams, titles = [], defaultdict(set)
     for _, url, html in rows:
         title, found = blocks(html or "")
-        inner = [x for b in found for x in ("\0", *b.text.split(" "))][1:]
+        inner, sure = [], []
+        for b in found:
+            sure += [True] * bool(inner) + [b.verdict == ARTICLE] * len(b.text.split(" "))
+            inner += ["\0"] * bool(inner) + b.text.split(" ")
         name = (url or "").split("://")[1].split("/")[0].split("@")[-1].split(":")[0].lower() if "://" in (url or "") else ""
         tokens = ["\0"] * 7 + inner + ["\0"] * 7 if found else []
-        streams.append((name, tokens))
-        for i in range(len(tokens) - 7):
+        certain = [True] * 7 + sure + [True] * 7
+        starts = [i for i in range(len(tokens) - 7) if any(t != "\0" and not c for t, c in zip(tokens[i : i + 8], certain[i : i + 8], strict=True)) or lone(tokens, certain, i)]
+        streams.append((name, tokens, starts))
+        for i in starts:
             titles[name, tuple(tokens[i : i + 8])].add(title or " ".join(inner))
     out = []
-    for name, tokens in streams:
-        under = {j for i in range(len(tokens) - 7) if name and len(titles[name, tuple(tokens[i : i + 8])]) > 1 for j in range(i, i + 8) if tokens[j] != "\0"}
+    for name, tokens, starts in streams:
+        under = {j for i in starts if name and len(titles[name, tuple(tokens[i : i + 8])]) > 1 for j in range(i, i + 8) if tokens[j] != "\0"}
         out.append((sum(t != "\0" for t in tokens), len(under)))
     return out
 
