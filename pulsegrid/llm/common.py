@@ -16,23 +16,24 @@ from pyspark.sql import types as T
 #: Words are runs of anything but ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ascii_lower(text: Column) -> Column:
-    """Lower-cases A-Z only, which needs no locale and no Unicode tables."""
-    return F.translate(text, UPPER, UPPER.lower())
-
-
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the shared folder that the cluster names; where none is set, as in tests, one in the warehouse, which is shared too."""
+    """Uses the shared folder that the cluster names; where none is set, as in tests, one in the warehouse, which is shared too.
+
+    A warehouse on a machine's own disk is refused unless Spark runs on that machine alone.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            warehouse = spark.conf.get("spark.sql.warehouse.dir")
+            if warehouse.startswith(("file:", "/")) and not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            folder = f"{warehouse}/_checkpoints"
+        context.setCheckpointDir(folder)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -54,27 +55,22 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def free_name(df: DataFrame, name: str) -> str:
-    """name, with underscores put before it until no column of df has it (whatever the case)."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name
-
-
-#: Setting, its default, and what texts want: bytes of a batch for Python, rows that a scan decodes at a time.
-_BATCHES = (("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "1m"), ("spark.sql.parquet.columnarReaderBatchSize", "4096", "256"))
+def drop_written(df: DataFrame) -> None:
+    """Deletes the table that `written` made, once nothing reads it any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/pulsegrid-" in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Has whole texts read and handed to Python about a megabyte at a time, where the session has Spark's defaults.
-
-    These suit narrow rows: with texts, a scan makes arrays of tens of megabytes and a batch holds 64, several at once
-    for each core, beside and within the heap.
-    """
-    for key, default, value in _BATCHES:
-        if spark.conf.get(key, None) == default:
-            spark.conf.set(key, value)
+def put_aside(df: DataFrame, **used: str) -> tuple[DataFrame, list[Column]]:
+    """df with the used columns under names of ours (name=column) and the others under names that nothing else has, and
+    what to select of it to have df's columns again."""
+    ours = {column: name for name, column in used.items()}
+    names = [ours.get(c, f"aside_{i}") for i, c in enumerate(df.columns)]
+    renamed = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, names, strict=True)])
+    return renamed, [F.col(n).alias(c) for c, n in zip(df.columns, names, strict=True)]
 
 
 class Remembered:
@@ -136,7 +132,6 @@ def add_columns(df: DataFrame, inputs: dict[str, Column | str], made: T.StructTy
     function gets batches with those columns and gives a list of Arrow arrays, one per field of `made`, as long as the
     batch. Columns of df with a made name give way. What workers remember is forgotten at each task's end.
     """
-    small_batches(df.sparkSession)
     names = [c for c in (df.columns if keep is None else keep) if c.lower() not in {f.name.lower() for f in made}]
     kinds = {f.name: f for f in df.schema}
     own = {n: e for n, e in inputs.items() if not (isinstance(e, str) and e in names)}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import written
+from pulsegrid.llm.common import drop_written, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -18,8 +18,9 @@ def components(links: DataFrame) -> DataFrame:
     edges = written(links.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = _mark(edges)
     while before[0]:
-        edges = written(_small(_large(edges)))
+        earlier, edges = edges, written(_small(_large(edges)))
         now = _mark(edges)
+        drop_written(earlier)
         if now == before:
             break
         before = now

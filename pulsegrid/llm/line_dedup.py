@@ -31,11 +31,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsegrid.llm.common import add_columns, slices, small_batches, written
+from pulsegrid.llm.common import add_columns, put_aside, slices, written
 
 LINE_WORDS, SENTENCE_WORDS = 5, 8
-#: Words of a run that goes, in the registered query and the pipeline: license lines, greetings and headings stay.
-RUN_WORDS = 20
 #: Scripts without spaces: those of about two characters a word, and those of about four, which part phrases by spaces.
 _IDEOGRAPHS = re.compile("[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 _LETTERS = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff"
@@ -138,7 +136,7 @@ def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _rank(doc_id: str) -> Column:
-    return F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1))
+    return F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(2**63 - 1))
 
 
 def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,8 +163,8 @@ def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """rank, same and spans of each document that has units to remove."""
-    small_batches(docs.sparkSession)
-    rows = docs.filter(F.col(text).isNotNull()).select(_rank(doc_id).alias("rank"), F.xxhash64(F.col(text)).alias("same"), F.col(text).alias("text"))
+    string = F.col(f"`{text}`")
+    rows = docs.filter(string.isNotNull()).select(_rank(doc_id).alias("rank"), F.xxhash64(string).alias("same"), string.alias("text"))
     found = rows.mapInArrow(_read, _UNITS)
     place = F.struct("rank", "same", "start")
     # as a table, so that both sides of the join are dealt for it alone and a very frequent digest's rows can be split
@@ -177,9 +175,10 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = 0) -> DataFrame:
     """docs with what is left of their text, n_removed (characters) and removed_spans."""
-    gone = repeats(docs, doc_id, text).withColumnsRenamed({"rank": "_rank", "same": "_same", "spans": "_spans"})
+    gone = repeats(docs, doc_id, text)
     kept = [c for c in docs.columns if c.lower() not in ("n_removed", "removed_spans")]
-    marked = docs.select(*kept).join(gone, (_rank(doc_id) == F.col("_rank")) & (F.xxhash64(F.col(text)) == F.col("_same")), "left")
+    rows, back = put_aside(docs.select(*[F.col(f"`{c}`") for c in kept]), doc_id=doc_id, text=text)
+    marked = rows.join(gone, (_rank("doc_id") == F.col("rank")) & (F.xxhash64(F.col("text")) == F.col("same")), "left")
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
         texts, spans, removed = [], [], []
@@ -195,5 +194,5 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             removed.append(sum(b - a for a, b in cut))
         return [pa.array(texts, pa.string()), pa.array(removed, pa.int64()), pa.array(spans, _SPANS)]
 
-    out = add_columns(marked, {"text": text, "spans": "_spans"}, _MADE, run, keep=[c for c in kept if c != text])
-    return out.select(*[F.col("left_text").alias(c) if c == text else F.col(f"`{c}`") for c in kept], "n_removed", "removed_spans")
+    out = add_columns(marked, {"text": "text", "spans": "spans"}, _MADE, run, keep=[c for c in rows.columns if c != "text"])
+    return out.withColumnRenamed("left_text", "text").select(*back, "n_removed", "removed_spans")

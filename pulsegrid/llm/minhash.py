@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsegrid.llm.common import Remembered, add_columns, small_batches, written
+from pulsegrid.llm.common import Remembered, add_columns, put_aside, written
 from pulsegrid.llm.components import components
 from pulsegrid.llm.groups import key_runs
 
@@ -264,7 +264,6 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.75) -> DataFrame:
     """For each row of docs: doc_id, n_shingles, component_id (smallest doc_id reached over links), kept (it is that one)."""
-    small_batches(docs.sparkSession)
     named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sketched = written(sketch(named, keep=["doc_id"]))
     whole = sketched.filter("digest IS NOT NULL AND doc_id IS NOT NULL")
@@ -296,6 +295,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.75) -> DataFrame:
-    """The rows of docs that are kept."""
-    gone = near_duplicates(docs, doc_id, text, threshold).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+    """The rows of docs that are kept, with all their columns, whatever these are called."""
+    gone = near_duplicates(docs, doc_id, text, threshold).filter("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
+    rows, back = put_aside(docs, doc_id=doc_id)
+    return rows.join(gone, F.col("doc_id") == F.col("gone"), "left_anti").select(*back)

@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsegrid.llm.common import small_batches, written
+from pulsegrid.llm.common import written
 from pulsegrid.llm.components import components
 from pulsegrid.llm.groups import key_runs
 
-SAMPLE, APART, SHARED, BLOCK = 4096, 0.7, 2, 256
+SAMPLE, APART, SHARED, BLOCK, NEAR = 4096, 0.7, 2, 256, 8
 
 _LISTED = T.StructType(
     [
@@ -49,8 +49,7 @@ _FOUND = T.StructType([T.StructField("node", T.LongType()), T.StructField("links
 def shape(rows: int) -> tuple[int, int]:
     """How many pivots there are for so many vectors, and how many describe a vector."""
     pivots = 2 ** round(math.log2(max(1.0, 0.6 * math.sqrt(rows))))
-    pivots = min(2048, max(64, pivots))
-    return pivots, 6 if pivots <= 128 else 8
+    return min(2048, max(64, pivots)), NEAR
 
 
 def choose(sample: np.ndarray, many: int) -> np.ndarray:
@@ -156,7 +155,6 @@ def _block_links(table: pa.Table, i: int, j: int, low: int, high: int, threshold
 
 def links(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = 0.95) -> DataFrame:
     """For each row: vec_id, n_links (other vectors at least that similar), component_id, kept (vec_id is its component's)."""
-    small_batches(vectors.sparkSession)
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"))
     good = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall(
         "embedding",

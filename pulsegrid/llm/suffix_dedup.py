@@ -18,7 +18,7 @@ A very long text makes a block by itself and is whole; places within it are 32-b
 
 Texts are bytes in UTF-8; matches never cross documents, overlaps count, and strings are judged on the input. Null text
 counts as empty. A null doc_id keeps all and removes nothing elsewhere. Rows that share a doc_id do not remove from each
-other. An empty table gives an empty table. Other columns are not read.
+other, and each loses only what its own text repeats. An empty table gives an empty table. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +33,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsegrid.llm.common import small_batches
 from pulsegrid.llm.suffix_array import DEPTH, least_by_string, load64, merge, strings
 
 PART, BLOCK_BYTES, LIST_BYTES, SHARD_BYTES = 16, 4_000_000, 12_000_000, 800_000
@@ -61,14 +60,18 @@ _NOTES = T.StructType(
         T.StructField("doc_id", T.LongType()),
         T.StructField("start", T.IntegerType()),
         T.StructField("stop", T.IntegerType()),
+        T.StructField("turn", T.IntegerType()),
         T.StructField("digest", T.StringType()),
     ]
 )
-#: A block's stretches for a shard: their bytes in a row, the length of each, how many places it has, and these.
+#: A block's stretches for a shard: their bytes in a row, the length of each, how many places it has, and these. A place has
+#: a document, which of that document's texts it is in (turns; empty if all are first ones), and where it starts.
 _STRETCH = T.StructType(
-    [T.StructField("shard", T.LongType()), *(T.StructField(n, T.BinaryType()) for n in ("bytes", "lengths", "copies", "docs", "starts"))]
+    [T.StructField("shard", T.LongType()), *(T.StructField(n, T.BinaryType()) for n in ("bytes", "lengths", "copies", "docs", "starts", "turns"))]
+)
+_SPAN = T.StructType(
+    [T.StructField("doc_id", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType()), T.StructField("turn", T.IntegerType())]
 )
-_SPAN = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())])
 _RESULT = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
@@ -81,24 +84,32 @@ _RESULT = T.StructType(
 )
 
 
-def _rows(docs: pa.Table, notes: pa.Table) -> Iterator[tuple[int | None, bytes, bool]]:
-    """doc_id, text and whether it is a whole copy of an earlier one, as the notes with a digest say."""
-    copies = {
-        d: x for d,
-        x in zip(notes.column("doc_id").to_pylist(), notes.column("digest").to_pylist(), strict=True) if x is not None
-    } if notes.num_rows else {}
-    for d, text in zip(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist(), strict=True):
-        digest = copies.get(d) if d is not None else None
-        yield d, text, digest is not None and digest == hashlib.sha256(text).hexdigest()
+def _rows(docs: pa.Table, notes: pa.Table) -> Iterator[tuple[int | None, bytes, bool, int]]:
+    """doc_id, text, whether it is a whole copy of an earlier one, as the notes with a digest say, and its turn among the
+    texts of its doc_id, which is the same whatever order they come in."""
+    copies: dict[int, set[str]] = {}
+    for d, x in zip(notes.column("doc_id").to_pylist(), notes.column("digest").to_pylist(), strict=True):
+        if x is not None:
+            copies.setdefault(d, set()).add(x)
+    ids, texts = docs.column("doc_id").to_pylist(), docs.column("text").to_pylist()
+    of: dict[int, set[bytes]] = {}
+    if len(set(ids)) < len(ids):
+        for d, text in zip(ids, texts, strict=True):
+            of.setdefault(d, set()).add(text)
+    turns = {d: {text: i for i, text in enumerate(sorted(found))} for d, found in of.items() if len(found) > 1}
+    for d, text in zip(ids, texts, strict=True):
+        digests = copies.get(d) if d is not None else None
+        yield d, text, digests is not None and hashlib.sha256(text).hexdigest() in digests, turns[d][text] if d in turns else 0
 
 
 class _Texts:
     """The texts of a block in a row, but for whole copies, with the anchor of each 50-byte string."""
 
     def __init__(self, docs: pa.Table, notes: pa.Table):
-        use = [(d, t) for d, t, copy in _rows(docs, notes) if d is not None and not copy and len(t) >= DEPTH]
-        raw = [t for _, t in use]
-        self.doc_ids = np.array([d for d, _ in use], dtype=np.int64)
+        use = [(d, t, turn) for d, t, copy, turn in _rows(docs, notes) if d is not None and not copy and len(t) >= DEPTH]
+        raw = [t for _, t, _ in use]
+        self.doc_ids = np.array([d for d, _, _ in use], dtype=np.int64)
+        self.turns = np.array([turn for _, _, turn in use], dtype=np.int32)
         self.ends = np.cumsum([len(t) for t in raw], dtype=np.int64)
         self.begins = self.ends - np.array([len(t) for t in raw], dtype=np.int64)
         self.data = np.frombuffer(b"".join(raw), dtype=np.uint8)
@@ -219,7 +230,7 @@ def _repeated(lists: pa.Table) -> pa.Table:
             pa.array([part] * n, pa.int32()),
             pa.array([r[1] for r in rows], pa.binary()),
             pa.array([r[2] for r in rows], pa.binary()),
-            *(pa.nulls(n, k) for k in (pa.int64(), pa.int32(), pa.int32(), pa.string())),
+            *(pa.nulls(n, k) for k in (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string())),
         ],
         names=_NOTES.names,
     )
@@ -255,7 +266,7 @@ def _stretches(docs: pa.Table, notes: pa.Table, parts: int, shards: int) -> pa.T
     shard = ((key >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
     order = np.argsort(shard, kind="stable")
     begin, stop, shard, doc = begin[order], stop[order], shard[order], doc[order]
-    doc_ids, starts = texts.doc_ids[doc].astype("<i8"), (begin - texts.begins[doc]).astype("<i4")
+    doc_ids, starts, turns = texts.doc_ids[doc].astype("<i8"), (begin - texts.begins[doc]).astype("<i4"), texts.turns[doc].astype("<i4")
     whole, rows, cuts = texts.data.tobytes(), [], _edges(shard).tolist()
     begin, stop = begin.tolist(), stop.tolist()
     for a, b in zip(cuts, cuts[1:], strict=False):
@@ -270,9 +281,10 @@ def _stretches(docs: pa.Table, notes: pa.Table, parts: int, shards: int) -> pa.T
                 np.bincount(own).astype("<i4").tobytes(),
                 doc_ids[a:b][turn].tobytes(),
                 starts[a:b][turn].tobytes(),
+                turns[a:b][turn].tobytes() if turns[a:b].any() else b"",
             )
         )
-    return pa.Table.from_arrays([pa.array([r[i] for r in rows], pa.int64() if not i else pa.binary()) for i in range(6)], names=_STRETCH.names)
+    return pa.Table.from_arrays([pa.array([r[i] for r in rows], pa.int64() if not i else pa.binary()) for i in range(len(_STRETCH))], names=_STRETCH.names)
 
 
 class _Shard:
@@ -280,21 +292,21 @@ class _Shard:
 
     def __init__(self) -> None:
         self.text: dict[bytes, int] = {}
-        self.places: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.places: list[tuple[np.ndarray, ...]] = []
         self.size = 0
 
-    def add(self, whole: bytes, lengths: np.ndarray, copies: np.ndarray, docs: np.ndarray, starts: np.ndarray) -> None:
+    def add(self, whole: bytes, lengths: np.ndarray, copies: np.ndarray, docs: np.ndarray, starts: np.ndarray, turns: np.ndarray) -> None:
         """The stretches of a row."""
         ends, text, before = np.cumsum(lengths).tolist(), self.text, len(self.text)
         own = np.array([text.setdefault(whole[a:b], len(text)) for a, b in zip([0, *ends[:-1]], ends, strict=True)])
-        self.places.append((np.repeat(own, copies), docs, starts))
+        self.places.append((np.repeat(own, copies), docs, starts, turns if len(turns) else np.zeros(len(docs), dtype=np.int32)))
         self.size += int(lengths[own >= before].sum()) + 4 * len(docs)
 
     def ready(self) -> None:
         self.data = np.frombuffer(b"".join(self.text), dtype=np.uint8)
         length = np.array([len(t) for t in self.text], dtype=np.int64)
         self.begin, self.many = np.cumsum(length) - length, length - DEPTH + 1
-        self.own, self.doc, self.start = (np.concatenate(x) for x in zip(*self.places, strict=True))
+        self.own, self.doc, self.start, self.turn = (np.concatenate(x) for x in zip(*self.places, strict=True))
         first = np.full(len(length), 2**63 - 1)
         np.minimum.at(first, self.own, self.doc)
         self.least, heads = least_by_string(self.data, self.begin, self.many, first)
@@ -323,6 +335,7 @@ class _Shard:
                 pa.array(doc[own]),
                 pa.array((start[own] + offset[edge]).astype(np.int32)),
                 pa.array((start[own] + offset[last] + DEPTH).astype(np.int32)),
+                pa.array(self.turn[own].astype(np.int32)),
             ],
             names=_SPAN.names,
         )
@@ -352,26 +365,26 @@ def _shards(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 open_, last = [_Shard()], shard
             elif open_[-1].size >= 2 * SHARD_BYTES:
                 open_.append(_Shard())
-            open_[-1].add(whole, *(np.frombuffer(x, dtype=kind) for x, kind in zip(numbers, ("<i4", "<i4", "<i8", "<i4"), strict=True)))
+            open_[-1].add(whole, *(np.frombuffer(x, dtype=kind) for x, kind in zip(numbers, ("<i4", "<i4", "<i8", "<i4", "<i4"), strict=True)))
     yield from _settled(open_)
 
 
 def _cut(docs: pa.Table, notes: pa.Table) -> pa.Table:
     """Each text without the bytes of its spans."""
     spans = notes.filter(pc.is_valid(notes.column("start")))
-    order = np.argsort(spans.column("doc_id").to_numpy(), kind="stable")
-    ids, start, stop = (spans.column(c).to_numpy()[order] for c in ("doc_id", "start", "stop"))
+    told: dict[tuple[int, int], list[int]] = {}
+    for i, key in enumerate(zip(spans.column("doc_id").to_pylist(), spans.column("turn").to_pylist(), strict=True)):
+        told.setdefault(key, []).append(i)
+    start, stop = (spans.column(c).to_numpy() for c in ("start", "stop"))
     rows = []
-    own = np.array([-1 if d is None else d for d in docs.column("doc_id").to_pylist()], dtype=np.int64)
-    low, high = np.searchsorted(ids, own, side="left").tolist(), np.searchsorted(ids, own, side="right").tolist()
-    for (d, text, copy), a, b in zip(_rows(docs, notes), low, high, strict=True):
+    for d, text, copy, turn in _rows(docs, notes):
         cover = np.zeros(len(text) + 1, dtype=np.int64)
         if copy and len(text) >= DEPTH:
             cover[0], cover[-1] = 1, -1
         elif d is not None:
-            fits = stop[a:b] <= len(text)
-            np.add.at(cover, start[a:b][fits], 1)
-            np.add.at(cover, stop[a:b][fits], -1)
+            at = told.get((d, turn), [])
+            np.add.at(cover, start[at], 1)
+            np.add.at(cover, stop[at], -1)
         gone = np.cumsum(cover[:-1]) > 0
         edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
         spans = edge.reshape(-1, 2)
@@ -383,7 +396,6 @@ def _cut(docs: pa.Table, notes: pa.Table) -> pa.Table:
 
 def remove_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, spans (pairs of byte offsets) and kept (bytes) of each row of docs."""
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks, parts = max(1, -(-total // BLOCK_BYTES)), max(1, -(-total // LIST_BYTES))
@@ -397,14 +409,14 @@ def remove_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         F.min("marked").alias("first"),
         F.count("*").alias("n"),
     ).filter("n > 1").select(F.col("digest").alias("same"), "first")
-    nothing = {"part": "int", "hashes": "binary", "frequent": "binary", "start": "int", "stop": "int", "digest": "string"}
+    nothing = {"part": "int", "hashes": "binary", "frequent": "binary", "start": "int", "stop": "int", "turn": "int", "digest": "string"}
     none = lambda *names: [F.lit(None).cast(nothing[n]).alias(n) for n in names]
     copies = marks.join(first, F.col("digest") == F.col("same")).filter("marked > first").select("marked", "same").distinct()
     copied = copies.select(
         block_of("marked").alias("block"),
         *none("part", "hashes", "frequent"),
         F.col("marked").alias("doc_id"),
-        *none("start", "stop"),
+        *none("start", "stop", "turn"),
         F.col("same").alias("digest"),
     )
     # texts without a doc_id are told nothing and may lie in any block
@@ -422,5 +434,5 @@ def remove_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     repeated = by_block(copied, lists, _LISTS).groupBy("part").applyInArrow(_repeated, _NOTES)
     found = by_block(repeated.unionByName(copied), stretches, _STRETCH)
     spans = found.repartition("shard").sortWithinPartitions("shard").mapInArrow(_shards, _SPAN)
-    told = spans.select(block_of("doc_id").alias("block"), *none("part", "hashes", "frequent"), "doc_id", "start", "stop", *none("digest"))
+    told = spans.select(block_of("doc_id").alias("block"), *none("part", "hashes", "frequent"), "doc_id", "start", "stop", "turn", *none("digest"))
     return by_block(told.unionByName(copied), _cut, _RESULT)

@@ -309,6 +309,16 @@ def brute_strings(rows):
     return out
 
 
+def test_suffix_dedup_of_texts_that_share_a_doc_id(spark):
+    """Each text loses what itself repeats, whatever else its doc_id has."""
+    draw = random.Random(8)
+    say = lambda: "".join(draw.choice("abcdefgh ") for _ in range(60))
+    p, q, r, s = say(), say(), say(), say()
+    rows = [(1, p), (2, p + q), (2, r), (3, s + r), (3, p), (3, q + s), (4, s), (4, s), (4, p + s)]
+    got = suffix_dedup.remove_repeated(spark.createDataFrame(rows * 2, "doc_id long, text string").repartition(3))
+    assert by_row([(x["doc_id"], x["n_bytes"], x["n_removed"], x["n_spans"], hashlib.sha256(x["kept"]).hexdigest()) for x in got.collect()]) == by_row(brute_strings(rows * 2))
+
+
 def test_suffix_dedup(spark):
     rows = [*ROWS, *[(700 + i, "Thh " * (10 + i), None, None, 1) for i in range(9)]]
     got = suffix_dedup.remove_repeated(frame(spark, rows, True)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
@@ -326,7 +336,7 @@ def test_suffix_dedup_splits_large_shards_and_frequent_anchors(monkeypatch, shar
     phrase, shared = "It was the phrase that all of them knew by heart.", [say(draw.randint(40, 200)) for _ in range(8)]
     docs = [(d, (say(draw.randint(0, 60)) + phrase + draw.choice(shared) + say(draw.randint(0, 40)) + "\0" * draw.randint(0, 80)).encode()) for d in range(60)]
     blocks = {b: pa.table({"block": [b] * 6, "doc_id": pa.array([d for d, _ in docs[6 * b : 6 * b + 6]], pa.int64()), "text": pa.array([t for _, t in docs[6 * b : 6 * b + 6]], pa.binary())}) for b in range(10)}
-    kinds = {"block": pa.int64(), "part": pa.int32(), "hashes": pa.binary(), "frequent": pa.binary(), "doc_id": pa.int64(), "start": pa.int32(), "stop": pa.int32(), "digest": pa.string()}
+    kinds = {"block": pa.int64(), "part": pa.int32(), "hashes": pa.binary(), "frequent": pa.binary(), "doc_id": pa.int64(), "start": pa.int32(), "stop": pa.int32(), "turn": pa.int32(), "digest": pa.string()}
     none = pa.table({k: pa.array([], v) for k, v in kinds.items()})
     lists = pa.concat_tables([suffix_dedup._lists(t, none, 3) for t in blocks.values()])
     notes = pa.concat_tables([suffix_dedup._repeated(lists.filter(pc.equal(lists["part"], p))) for p in range(3)])

@@ -14,7 +14,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from pulsegrid.llm import attention, bpe, gif, line_dedup, mixing
+from pulsegrid.llm import attention, bpe, gif, mixing
 from pulsegrid.llm.queries import QUERIES
 
 from .cases import components, documents, frame
@@ -82,6 +82,9 @@ def test_op1_scores_by_a_plain_loop():
     w = {k: (v + 0.3 * draw.normal(size=v.shape)).astype("f4") for k, v in attention.start(draw.random(attention.IDS)).items()}
     texts = [draw.integers(0, 4000, n) for n in (0, 1, 3, 31, 32, 33, 47, 150)]
     assert np.allclose(attention.Scorer(w).log10(texts), [plain_log10(w, t.tolist()) for t in texts], rtol=1e-4)
+    far = {k: v * np.float32(40 if k in ("group_bias", "place_bias", "query") else 1) - np.float32(200 if k == "group_bias" else 0) for k, v in w.items()}
+    got = attention.Scorer(far).log10(texts)
+    assert np.allclose(got, [plain_log10(far, t.tolist()) for t in texts], rtol=1e-3) and (got <= 0).all()
 
 
 def test_op1_learns_more_than_frequencies(spark):
@@ -133,20 +136,69 @@ def test_op4(spark, folder):
     assert by_row([(*r[:3], round(r[3], 6), r[4]) for r in got.collect()]) == by_row([(*r[:3], round(r[3], 6), r[4]) for r in duck.sql(f"SELECT {', '.join(got.columns)} FROM ({mixing.ORACLE})").fetchall()])
 
 
+def plain_units(text):
+    """Units of a text by the rules of the operator, written plainly: normal form -> places, first of overlapping ones only."""
+    size = lambda t: max(len(words(t)), len(t.strip()) // 12) if words(t) else 0
+    lines, pieces, sentences, open_ = [], [], [], None
+    at = 0
+    for line in text.split("\n"):
+        if size(line) >= 5:
+            lines.append((at, min(len(text), at + len(line) + 1), tuple(words(line))))
+        if not words(line):
+            open_ = None
+        ends = [m.end() for m in re.finditer(r"[.!?]+[ \t]*", line)]
+        for a, b in zip([0, *ends], [*ends, len(line)], strict=True):
+            if words(line[a:b]):
+                pieces.append((at + a, at + b, size(line[a:b]), tuple(words(line[a:b]))))
+                if open_ is None:
+                    open_ = []
+                    sentences.append(open_)
+                open_.append(pieces[-1])
+            if b in ends and words(line[a:b]):
+                open_ = None
+        at += len(line) + 1
+    whole = [(s[0][0], s[-1][1], sum(p[2] for p in s), sum((p[3] for p in s), ())) for s in sentences]
+    found = set(lines)
+    for row in (pieces, whole):
+        for i in range(len(row)):
+            for j in range(i, len(row)):
+                if sum(p[2] for p in row[i : j + 1]) >= 8:
+                    found.add((row[i][0], row[j][1], sum((p[3] for p in row[i : j + 1]), ())))
+                    break
+    out = {}
+    for start, stop, normal in sorted(found, key=lambda f: (f[0], -f[1])):
+        if not out.get(normal) or start >= out[normal][-1][1]:
+            out.setdefault(normal, []).append((start, stop))
+    return out
+
+
 def test_op5(spark, folder):
-    """What is left is the text without the spans, which do not touch, and holds no line of twenty words twice."""
-    texts = Counter()
-    for r in asked(spark, folder, "op5_line_dedup"):
-        source = next(t for d, t, *_ in ROWS if d == r["doc_id"])
-        spans = [(s["start"], s["stop"]) for s in r["removed_spans"]]
-        assert (r["n_spans"], r["n_removed"]) == (len(spans), sum(b - a for a, b in spans))
-        assert all(a < b for a, b in spans) and all(b < c for (_, b), (c, _) in zip(spans, spans[1:], strict=False))
-        cut = [0, *(x for s in spans for x in s), len(source or "")]
-        assert r["text"] == (None if source is None else "".join(source[a:b] for a, b in zip(cut[::2], cut[1::2], strict=True)))
-        if (r["doc_id"], r["text"]) not in texts:
-            texts[r["doc_id"], r["text"]] += 1
-    lines = Counter(n for (_, t) in texts for line in (t or "").split("\n") if len(n := tuple(words(line))) >= line_dedup.RUN_WORDS)
-    assert not [x for x, n in lines.items() if n > 1] and any(len((t or "").split("\n")) > 2 for _, t in texts)
+    """All of the result: every repeat of a unit but its first goes, and nothing else."""
+    units = {(2**63 - 1 if d is None else d, t): plain_units(t) for d, t, *_ in ROWS if t is not None}
+    every = {}
+    for (d, t), found in units.items():
+        for normal, places in found.items():
+            every.setdefault(normal, []).extend((d, start, t, stop) for start, stop in places)
+    assert len({d for d, _ in units}) == len(units)  # so ranks need no digest of the text
+    gone = {}
+    for places in every.values():
+        for d, start, t, stop in sorted(places, key=lambda p: p[:2])[1:]:
+            gone.setdefault((d, t), []).append((start, stop))
+    want = []
+    for d, t, *_ in ROWS:
+        spans = []
+        for start, stop in sorted(gone.get((2**63 - 1 if d is None else d, t), [])):
+            if spans and start <= spans[-1][1]:
+                spans[-1][1] = max(stop, spans[-1][1])
+            else:
+                spans.append([start, stop])
+        left, last = "", 0
+        for start, stop in spans:
+            left, last = left + t[last:start], stop
+        want.append((d, None if t is None else left + t[last:], sum(b - a for a, b in spans), len(spans), spans))
+    got = [(*r[:4], [[s["start"], s["stop"]] for s in r["removed_spans"]]) for r in asked(spark, folder, "op5_line_dedup")]
+    assert by_row(got) == by_row(want)
+    assert sum(len(w[4]) for w in want) >= 15
 
 
 def test_op6(spark, folder):
