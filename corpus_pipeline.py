@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import byte_bpe, language_id, line_dedup, minhash, mixing
-from pulsegrid.llm.common import table, written
+from pulsegrid.llm.common import put_aside, table, written
 
 #: Least posterior of a text's language.
 LEAST_SCORE = 0.5
@@ -21,8 +21,9 @@ LEAST_SCORE = 0.5
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and those whose language is unsure; learns from the labels of three quarters."""
     model = language_id.fit(docs, learns=F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
-    found = language_id.predict(docs, model)
-    return found.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+    rows, back = put_aside(docs, text="text")  # columns of docs may be called like those made on the way
+    found = language_id.predict(rows, model)
+    return found.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*back)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,15 +32,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes runs of repeated lines and sentences that have 20 words or more; a document of which nothing is left goes. n_chars follows the text."""
-    left = line_dedup.remove_repeats(docs, least_words=line_dedup.RUN_WORDS)
+    """Removes repeated lines and sentences; a document of which nothing is left goes. n_chars follows the text."""
+    rows, back = put_aside(docs, doc_id="doc_id", text="text", n_chars="n_chars")
+    left = line_dedup.remove_repeats(rows)
     some = (F.col("n_removed") == 0) | F.col("text").isNull() | (F.trim("text") != "")
-    return left.filter(some).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    return left.filter(some).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*back)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops or repeats documents until the sources hold their target shares."""
-    return mixing.emit(mixing.mix(docs), docs.columns)
+    rows, back = put_aside(docs, doc_id="doc_id", source="source", text="text")
+    return mixing.emit(mixing.mix(rows), rows.columns).select(*back)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
