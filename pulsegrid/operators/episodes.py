@@ -1,8 +1,10 @@
 """Episodes: the peak-hold state machine over readings, folded in parallel.
 
-Only edge rows matter: measured rows of intensity k or more, and the first measured row after one. A key's edges are cut
-into segments wherever the gap is longer than both the hold cap and the cooldown, since any hold is dropped and any
-cooldown over by then. Segments are independent, so a key of any length is folded by many tasks.
+Only edge rows matter: measured rows of intensity k or more, and the first measured row after one, if it comes within the
+hold cap. A key's edges are cut into segments wherever the gap is longer than both the hold cap and the cooldown, since any
+hold is dropped and any cooldown over by then. Segments are independent, so a key of any length is folded by many tasks.
+Edges and cuts look back no further than cap and cooldown, so they are found by stretches of a key with a lead-in; only
+rows of segments that go on from one stretch to the next meet along the whole key.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulsegrid.config import DetectorConfig
+from pulsegrid.operators import scans
 
 PARAMS = ["k", "cap", "cooldown"]
 _FIELDS = [
@@ -93,10 +96,12 @@ def sweep(read: DataFrame, params: DataFrame) -> DataFrame:
     names = [*PARAMS, *(["gate"] if has_gate else [])]
     measured = read.filter(F.col("intensity").isNotNull())
     # a few settings for each reading, not a product of two large sides
-    settings = F.array(
-        *[F.struct(*[F.lit(r[n]).cast("double" if n == "k" else "long").alias(n) for n in names]) for r in params.select(*names).distinct().collect()]
-    )
-    rows = measured.withColumn("_p", F.explode(settings)).select(
+    chosen = params.select(*names).distinct().collect()
+    settings = F.array(*[F.struct(*[F.lit(r[n]).cast("double" if n == "k" else "long").alias(n) for n in names]) for r in chosen])
+    cap, quiet = (max([0, *(r[n] for r in chosen)]) for n in ("cap", "cooldown"))
+    # the row before an edge and the edge before that
+    read_back = scans.led_in(measured, "second", cap + max(cap, quiet) + 2)
+    rows = read_back.withColumn("_p", F.explode(settings)).select(
         "key",
         "second",
         "observed",
@@ -104,15 +109,26 @@ def sweep(read: DataFrame, params: DataFrame) -> DataFrame:
         "mean",
         "std",
         "intensity",
+        "_part",
+        "_own",
         *[F.col(f"_p.{n}").alias(n) for n in names],
     )
     if has_gate:
         rows = rows.filter(F.col("observed") >= F.col("gate"))
-    line = Window.partitionBy("key", *names).orderBy("second")
+    line = Window.partitionBy("key", *names, "_part").orderBy("second")
     high = F.col("intensity") >= F.col("k")
-    edges = rows.withColumn("_high", high).withColumn("_was", F.coalesce(F.lag("_high").over(line), F.lit(False))).filter("_high OR _was")
+    before = F.col("second") - F.lag("second").over(line)
+    was = F.coalesce(F.lag("_high").over(line) & (before <= F.col("cap")), F.lit(False))
+    edges = rows.withColumn("_high", high).withColumn("_was", was).filter("_high OR _was")
     far = F.coalesce(F.col("second") - F.lag("second").over(line) > F.greatest("cap", "cooldown"), F.lit(True))
-    segments = edges.withColumn("segment", F.sum(far.cast("int")).over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    own = edges.withColumn("_cut", F.when(far, F.col("second"))).filter(F.col("_part") == F.col("_own"))
+    # a segment is told by its first row; rows before the first cut of a stretch find it among the last cuts of all stretches
+    whole, so_far = Window.partitionBy("key", *names, "_part"), lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    known = own.withColumn("_first", F.max("_cut").over(so_far(line))).withColumn("_last", F.max("_cut").over(whole))
+    crossing = F.col("_first").isNull() | (F.col("_cut") == F.col("_last"))
+    laned = known.withColumn("_lane", F.when(~F.coalesce(crossing, F.lit(False)), F.col("_part")))
+    lane = Window.partitionBy("key", *names, "_lane").orderBy("second")
+    segments = laned.withColumn("segment", F.coalesce("_first", F.max("_first").over(so_far(lane))))
     kept = segments.select("key", *names, "segment", "second", F.col("window_count").cast("long").alias("window_count"), "mean", "std", "intensity")
     schema = T.StructType([kept.schema["key"], *[kept.schema[n] for n in names], *[T.StructField(n, t) for n, t in _FIELDS]])
 

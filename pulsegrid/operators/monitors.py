@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulsegrid.operators import scans
+
 
 def tumbling(events: DataFrame, width: int, *kinds: str) -> DataFrame:
     """tick (a multiple of width, the end of a step) and the count of each kind in the step, for every step with rows."""
@@ -16,43 +18,45 @@ def tumbling(events: DataFrame, width: int, *kinds: str) -> DataFrame:
 
 
 def steps(counted: DataFrame, width: int, *kinds: str) -> DataFrame:
-    """counted with rows of zeros for the steps between first and last that have none; steps are made by many tasks."""
-    first, last = counted.agg(F.min("tick"), F.max("tick")).first()
-    every = counted.sparkSession.range(first or 0, 0 if last is None else last + 1, width).withColumnRenamed("id", "tick")
+    """counted with rows of zeros for the steps between first and last that have none.
+
+    Steps are made a block at a time, by many tasks; counted is read once more for its ends.
+    """
+    many = width * scans.WIDTH
+    ends = counted.agg(F.min("tick").alias("first"), F.max("tick").alias("last")).filter("first IS NOT NULL")
+    blocks = ends.select("first", "last", F.explode(F.sequence("first", "last", F.lit(many))).alias("begin")).repartition("begin")
+    every = blocks.select(F.explode(F.sequence("begin", F.least(F.col("begin") + many - width, F.col("last")), F.lit(width))).alias("tick"))
     return every.join(counted, "tick", "left").select("tick", *[F.coalesce(k, F.lit(0)).alias(k) for k in kinds])
 
 
-def over(column: str, width: int) -> Column:
-    """The sum of a count over the last `width` up to each step. Runs over steps, of which there are as many as time has."""
-    return F.sum(column).over(Window.orderBy("tick").rangeBetween(-(width - 1), 0))
+def sustained(series: DataFrame, condition: Column, lasts: int, *by: str, width: int = 60) -> DataFrame:
+    """Runs of steps in which the condition holds, of a duration of `lasts` or more: by, start, end. A step where it does
+    not hold ends a run; by: the columns that tell series apart; width: about how long a step is."""
+    found = scans.lasting(series, condition, *by, width=width * scans.WIDTH)
+    return found.filter(F.col("end") - F.col("start") >= lasts)
 
 
-def sustained(series: DataFrame, condition: Column, lasts: int, *by: str) -> DataFrame:
-    """Runs of steps in which the condition holds, of a duration of `lasts` or more: by, start, end. A step where it does
-    not hold ends a run; by: the columns that tell series apart."""
-    line = Window.partitionBy(*by).orderBy("tick")
-    rows = series.withColumn("_holds", F.coalesce(condition, F.lit(False)))
-    rows = rows.withColumn("_run", F.row_number().over(line) - F.row_number().over(Window.partitionBy(*by, "_holds").orderBy("tick")))
-    runs = rows.filter("_holds").groupBy(*by, "_run").agg(F.min("tick").alias("start"), F.max("tick").alias("end")).drop("_run")
-    return runs.filter(F.col("end") - F.col("start") >= lasts)
+def _block(width: int, window: int) -> int:
+    """Time that is summed in one task."""
+    return max(width * scans.WIDTH, 16 * window)
 
 
 def no_messages(counted: DataFrame, width: int, window: int, lasts: int, message: str, active: Column) -> DataFrame:
     """No message in the window while something is active."""
-    rows = steps(counted, width, *[c for c in counted.columns if c != "tick"]).withColumn("_n", over(message, window))
-    return sustained(rows, (F.col("_n") == 0) & active, lasts)
+    rows = scans.rolling(steps(counted, width, *[c for c in counted.columns if c != "tick"]), window, width=_block(width, window), _n=message)
+    return sustained(rows, (F.col("_n") == 0) & active, lasts, width=width)
 
 
 def failure_ratio(counted: DataFrame, width: int, window: int, failed: str, ok: str) -> DataFrame:
     """tick and ratio: failures of all outcomes in the window."""
-    rows = steps(counted, width, failed, ok).withColumn("_f", over(failed, window)).withColumn("_o", over(ok, window))
+    rows = scans.rolling(steps(counted, width, failed, ok), window, width=_block(width, window), _f=failed, _o=ok)
     return rows.select("tick", (F.col("_f") / (F.col("_o") + F.col("_f") + 0.001)).alias("ratio"))
 
 
 def stalled(counted: DataFrame, width: int, window: int, lasts: int, anomaly: str, message: str) -> DataFrame:
     """No anomaly in the window while messages come."""
-    rows = steps(counted, width, anomaly, message).withColumn("_a", over(anomaly, window)).withColumn("_m", over(message, window))
-    return sustained(rows, (F.col("_a") == 0) & (F.col("_m") > 0), lasts)
+    rows = scans.rolling(steps(counted, width, anomaly, message), window, width=_block(width, window), _a=anomaly, _m=message)
+    return sustained(rows, (F.col("_a") == 0) & (F.col("_m") > 0), lasts, width=width)
 
 
 def success_share(events: DataFrame, width: int, anomaly: str, ok: str) -> DataFrame:

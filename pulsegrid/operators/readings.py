@@ -1,9 +1,9 @@
 """Per-bucket readings: how far a short window stands above a trailing baseline that it never overlaps.
 
 Counts are integers, and so are the sums of counts and of their squares over a baseline; mean, spread and the test for no
-spread at all follow from them exactly. Sums come from running totals along the dense grid, so their cost does not depend
-on the width of the baseline. The grid is cut into stretches that carry a lead-in of one retained span, so that a key that
-is never silent is spread over tasks as well.
+spread at all follow from them exactly. Sums come from running totals along the dense grid, so their cost depends neither
+on the width of the baseline nor on the length of a stretch. The grid is cut into stretches that carry a lead-in of one
+retained span, so that a key that is never silent is spread over tasks as well.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.config import DetectorConfig
+from pulsegrid.operators import scans
 from pulsegrid.operators.messages import bucket
 
 #: Length of a stretch in retained spans; the lead-in adds one.
@@ -60,12 +61,10 @@ def moments(counts: DataFrame, cfg: DetectorConfig, last: int | Column | None =
     spread = grid.withColumn("_part", F.explode(F.when(own == next_, F.array(own)).otherwise(F.array(own, next_)))).withColumn("_own", own)
     line = Window.partitionBy("key", "_part").orderBy("second")
     so_far = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    to_come = line.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # from the last bucket back: a frame that ends at the partition's end would be gone through anew for each row
+    to_come = Window.partitionBy("key", "_part").orderBy(F.desc("second")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     base = spread.withColumn("_c", F.sum("n").over(so_far)).withColumn("_q", F.sum(F.col("n") * F.col("n")).over(so_far))
-    base = base.withColumn("_place", F.row_number().over(line)).withColumn(
-        "_filled",
-        F.first(F.when(F.col("n") > 0, F.col("second")), ignorenulls=True).over(to_come),
-    )
+    base = base.withColumn("_filled", F.min(F.when(F.col("n") > 0, F.col("second"))).over(to_come))
 
     def total(column: str, back: int) -> Column:
         """The running total `back` buckets ago. Buckets are rows within an appearance; between appearances nothing that is
@@ -156,24 +155,21 @@ def span(read: DataFrame, bucket_seconds: int = 1) -> DataFrame:
 
 
 def islands(rows: DataFrame, *extra: str) -> DataFrame:
-    """Adds island: the first second of the unbroken run (of key and extra columns) that a row lies in."""
+    """Adds _run, the same for the rows of an unbroken run of seconds (of key and extra columns), where such a group of rows
+    is short; `scans` has forms for long ones."""
     place = F.row_number().over(Window.partitionBy("key", *extra).orderBy("second"))
     return rows.withColumn("_run", F.col("second") - place)
 
 
 def appearances(read: DataFrame) -> DataFrame:
     """key, start, end of each run of evaluated buckets."""
-    return islands(read.select("key", "second")).groupBy("key", "_run").agg(F.min("second").alias("start"), F.max("second").alias("end")).drop("_run")
+    return scans.runs(read.select("key", "second"), "key")
 
 
 def elevated_runs(read: DataFrame, k: float) -> DataFrame:
     """key, start, end, peak of each run of measured buckets of intensity k or more; an unmeasured bucket ends a run."""
     high = read.filter(F.col("intensity") >= k).select("key", "second", "intensity")
-    return islands(high).groupBy("key", "_run").agg(
-        F.min("second").alias("start"),
-        F.max("second").alias("end"),
-        F.max("intensity").alias("peak"),
-    ).drop("_run")
+    return scans.runs(high, "key", largest={"peak": "intensity"})
 
 
 def quantiles(rows: DataFrame, value: Column, points: dict[str, float], *by: str) -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.config import DetectorConfig
+from pulsegrid.operators import scans
 from pulsegrid.operators.episodes import isolated, sweep
-from pulsegrid.operators.readings import appearances, elevated_runs, islands, quantiles
+from pulsegrid.operators.readings import islands, quantiles
 
 
 def params(spark, cfg: DetectorConfig, **lists: list) -> DataFrame:
@@ -55,8 +56,8 @@ def cap_sweep(read: DataFrame, cfg: DetectorConfig, caps: list[int]) -> DataFram
     """For each cap: episodes, those that it ended, their share, and what their report missed of the peak of the elevated
     run they lie in, as median and 95th percentile of (run's peak - reported peak) / run's peak."""
     found = sweep(read, params(read.sparkSession, cfg, cap=caps))
-    runs = islands(read.filter(F.col("intensity") >= cfg.k).select("key", "second", "intensity"))
-    later = Window.partitionBy("key", "_run").orderBy("second").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    runs = scans.islands(read.filter(F.col("intensity") >= cfg.k).select("key", "second", "intensity"), "key")
+    later = Window.partitionBy("key", "_lane", "_run").orderBy(F.desc("second")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     onward = runs.select("key", F.col("second").alias("started_at"), F.max("intensity").over(later).alias("full_peak"))
     joined = found.join(onward, ["key", "started_at"], "left")
     loss = F.when(F.col("capped"), (F.col("full_peak") - F.col("peak_intensity")) / F.col("full_peak"))
@@ -144,7 +145,7 @@ def gate_sweep(read: DataFrame, cfg: DetectorConfig, fractions: list[float]) ->
     """For each fraction: its gate, evaluated buckets that it blocks and their share, appearances that never pass it,
     episodes, and the largest peak."""
     gates = {f: int(cfg.baseline * f) for f in fractions}
-    long = islands(read.select("key", "second", "observed")).groupBy("key", "_run").agg(F.max("observed").alias("most"))
+    long = scans.runs(read.select("key", "second", "observed"), "key", largest={"most": "observed"})
     low = read.agg(F.count("*").alias("n"), *[F.count_if(F.col("observed") < g).alias(f"b{i}") for i, g in enumerate(gates.values())])
     never = long.agg(*[F.count_if(F.col("most") < g).alias(f"a{i}") for i, g in enumerate(gates.values())])
     rows = F.explode(
