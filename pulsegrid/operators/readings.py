@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pulsegrid.config import DetectorConfig
 from pulsegrid.operators import scans
 from pulsegrid.operators.messages import bucket
+from pulsegrid.sources.tables import written
 
 #: Length of a stretch in retained spans; the lead-in adds one.
 STRETCH = 64
@@ -173,11 +174,52 @@ def elevated_runs(read: DataFrame, k: float) -> DataFrame:
 
 
 def quantiles(rows: DataFrame, value: Column, points: dict[str, float], *by: str) -> DataFrame:
-    """Exact quantiles with linear interpolation, a column each."""
-    return rows.groupBy(*by).agg(
-        F.percentile(value, F.array(*[F.lit(p) for p in points.values()])).alias("_q"),
-        F.count("*").alias("n"),
-    ).select(*by, "n", *[F.col("_q")[i].alias(name) for i, name in enumerate(points)])
+    """by, n (rows) and exact quantiles of the values that are not null, with linear interpolation, a column each.
+
+    Distinct values are counted, dealt out by ranges and written; ranks follow from the counts of the ranges, and the two
+    neighbours of each quantile are looked up. So no task holds the values of a group, however few groups there are.
+    """
+    keys = by or ("_one",)
+    rows = rows if by else rows.withColumn("_one", F.lit(0))
+    counted = rows.groupBy(*keys, value.alias("_v")).agg(F.count("*").alias("_n"))
+    dealt = written(counted.repartitionByRange(*keys, "_v").withColumn("_range", F.spark_partition_id()))
+    some = dealt.filter("_v IS NOT NULL")
+    so_far = lambda *c: Window.partitionBy(*keys, *c[:-1]).orderBy(c[-1]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranges = some.groupBy(*keys, "_range").agg(F.sum("_n").alias("_m")).select(
+        *keys,
+        "_range",
+        "_m",
+        (F.sum("_m").over(so_far("_range")) - F.col("_m")).alias("_before"),
+        F.sum("_m").over(Window.partitionBy(*keys)).alias("_all"),
+    )
+    at = F.col("_all") - 1
+    rank = lambda p, side: (F.floor if side == "low" else F.ceil)(F.lit(float(p)) * at)
+    wanted = F.array(*[F.struct(F.lit(n).alias("_name"), F.lit(s).alias("_side"), rank(p, s).alias("rank")) for n, p in points.items() for s in ("low", "high")])
+    asked = ranges.withColumn("_w", F.explode(wanted)).select(*keys, "_range", "_m", "_all", "_w._name", "_w._side", (F.col("_w.rank") - F.col("_before")).alias("_place"))
+    asked = asked.filter((F.col("_place") >= 0) & (F.col("_place") < F.col("_m")))
+    renamed = [F.col(c).alias(f"_b{i}") for i, c in enumerate(keys)]
+    ends = some.select(*renamed, F.col("_range").alias("_r"), "_v", "_n", F.sum("_n").over(so_far("_range", "_v")).alias("_end"))
+    hit = (F.col("_place") >= F.col("_end") - F.col("_n")) & (F.col("_place") < F.col("_end"))
+    picked = asked.join(ends, _same(keys) & (F.col("_range") == F.col("_r")) & hit)
+    pick = lambda name, side: F.max(F.when((F.col("_name") == name) & (F.col("_side") == side), F.col("_v")))
+    sides = picked.groupBy(*keys).agg(F.max("_all").alias("_all"), *[pick(n, s).alias(f"{n}_{s}") for n in points for s in ("low", "high")])
+
+    def between(name: str, p: float) -> Column:
+        low, high, exact = rank(p, "low"), rank(p, "high"), F.lit(float(p)) * at
+        return F.when(low == high, F.col(f"{name}_low")).otherwise((high - exact) * F.col(f"{name}_low") + (exact - low) * F.col(f"{name}_high"))
+
+    found = sides.select(*renamed, *[between(n, p).alias(n) for n, p in points.items()])
+    # without groups there is one row, whatever there is
+    totals = (dealt.groupBy(*by) if by else dealt).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"))
+    return (totals if by else totals.withColumn("_one", F.lit(0))).join(found, _same(keys), "left").select(*by, "n", *points)
+
+
+def _same(by: tuple[str, ...]) -> Column:
+    """That columns are equal to those of the same place called _b0, _b1 and so on; nulls are equal."""
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_b{i}"))
+    return same
 
 
 RUN_POINTS = {"min": 0.0, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99, "max": 1.0}

@@ -9,6 +9,7 @@ from pulsegrid.config import DetectorConfig
 from pulsegrid.operators import scans
 from pulsegrid.operators.episodes import isolated, sweep
 from pulsegrid.operators.readings import islands, quantiles
+from pulsegrid.sources.tables import written
 
 
 def params(spark, cfg: DetectorConfig, **lists: list) -> DataFrame:
@@ -23,7 +24,7 @@ def trigger_sweep(read: DataFrame, cfg: DetectorConfig, ks: list[float]) -> Data
     """For each k: the share of evaluated buckets at or above it, episodes (also by key-hour and by day), the median burst
     over the resting level, the share of keys that fire, and the busiest key's share of the episodes."""
     spark = read.sparkSession
-    found = sweep(read, params(spark, cfg, k=ks))
+    found = written(sweep(read, params(spark, cfg, k=ks)))
     hours = F.lit(cfg.bucket_seconds / 3600.0)
     whole = read.agg(
         F.count("*").alias("_rows"),
@@ -37,7 +38,7 @@ def trigger_sweep(read: DataFrame, cfg: DetectorConfig, ks: list[float]) -> Data
     )
     busiest = found.groupBy("k", "key").agg(F.count("*").alias("_n")).groupBy("k").agg(F.max("_n").alias("_most"), F.count("*").alias("firing_keys"))
     ratio = F.when(F.col("start_mean") > 0, (F.col("peak_count") / cfg.window) / F.col("start_mean"))
-    totals = found.groupBy("k").agg(F.count("*").alias("episodes"), F.percentile(ratio, F.lit(0.5)).alias("median_ratio"))
+    totals = quantiles(found, ratio, {"median_ratio": 0.5}, "k").withColumnRenamed("n", "episodes")
     out = by_k.join(totals, "k", "left").join(busiest, "k", "left").withColumn("episodes", F.coalesce("episodes", F.lit(0)))
     span = F.col("_width") * hours
     return out.select(
@@ -59,15 +60,16 @@ def cap_sweep(read: DataFrame, cfg: DetectorConfig, caps: list[int]) -> DataFram
     runs = scans.islands(read.filter(F.col("intensity") >= cfg.k).select("key", "second", "intensity"), "key")
     later = Window.partitionBy("key", "_lane", "_run").orderBy(F.desc("second")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     onward = runs.select("key", F.col("second").alias("started_at"), F.max("intensity").over(later).alias("full_peak"))
-    joined = found.join(onward, ["key", "started_at"], "left")
+    joined = written(found.join(onward, ["key", "started_at"], "left"))
     loss = F.when(F.col("capped"), (F.col("full_peak") - F.col("peak_intensity")) / F.col("full_peak"))
-    return joined.groupBy("cap").agg(F.count("*").alias("episodes"), F.count_if("capped").alias("capped"), F.percentile(loss, F.array(F.lit(0.5), F.lit(0.95))).alias("_q")).select(
+    counted = joined.groupBy("cap").agg(F.count("*").alias("episodes"), F.count_if("capped").alias("capped"))
+    return counted.join(quantiles(joined, loss, {"median_loss": 0.5, "p95_loss": 0.95}, "cap"), "cap").select(
         "cap",
         "episodes",
         "capped",
         (F.col("capped") / F.col("episodes")).alias("capped_share"),
-        F.col("_q")[0].alias("median_loss"),
-        F.col("_q")[1].alias("p95_loss"),
+        "median_loss",
+        "p95_loss",
     )
 
 
@@ -97,15 +99,11 @@ def recovery_curve(read: DataFrame, found: DataFrame, cfg: DetectorConfig, offse
         ((F.col("std") / F.nullif("mean", F.lit(0.0))) / F.nullif(F.col("start_std") / F.nullif("start_mean", F.lit(0.0)), F.lit(0.0))).alias("r"),
         (F.col("start_std") / F.col("std")).alias("t"),
     )
-    half = lambda c, p=0.5: F.percentile(c, F.lit(p))
-    return rows.groupBy("offset").agg(
-        F.count("*").alias("n"),
-        half("m").alias("mean_ratio"),
-        half("s").alias("std_ratio"),
-        half("r").alias("spread_ratio"),
-        half("t").alias("sensitivity"),
-        half("t", 0.1).alias("sensitivity_p10"),
-    )
+    named = {"m": "mean_ratio", "s": "std_ratio", "r": "spread_ratio", "t": "sensitivity"}
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).alias("value")) for c, n in named.items()]))
+    found_ = quantiles(rows.select("offset", each.alias("_e")).select("offset", "_e.*"), F.col("value"), {"p50": 0.5, "p10": 0.1}, "offset", "name")
+    of = lambda name, point: F.max(F.when(F.col("name") == name, F.col(point)))
+    return found_.groupBy("offset").agg(F.max("n").alias("n"), *[of(n, "p50").alias(n) for n in named.values()], of("sensitivity", "p10").alias("sensitivity_p10"))
 
 
 def swallowed(read: DataFrame, found: DataFrame, cfg: DetectorConfig) -> DataFrame:
@@ -200,8 +198,6 @@ def clip_coverage(found: DataFrame, delays: list[float], bucket_seconds: int = 1
     rows = found.withColumn("delay", F.explode(F.array(*[F.lit(float(d)) for d in delays])))
     peak = F.col("peak_at") * bucket_seconds
     inside = contained(peak, F.col("fired_at") * bucket_seconds, F.col("delay"), **clip)
-    return rows.groupBy("delay").agg(
-        F.count("*").alias("episodes"),
-        (F.count_if(inside) / F.count("*")).alias("share"),
-        F.percentile((peak - (call - before)) / (before + after), F.lit(0.5)).alias("median_position"),
-    )
+    rows = written(rows.select("delay", inside.alias("inside"), ((peak - (call - before)) / (before + after)).alias("position")))
+    counted = rows.groupBy("delay").agg(F.count("*").alias("episodes"), (F.count_if("inside") / F.count("*")).alias("share"))
+    return counted.join(quantiles(rows, F.col("position"), {"median_position": 0.5}, "delay").drop("n"), "delay")

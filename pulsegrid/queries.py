@@ -340,12 +340,9 @@ _BAND = "CASE " + " ".join(
 )
 def episode_gaps(spark, sf_dir):
     none = episodes.sweep(read(spark, sf_dir), study.params(spark, CFG, cooldown=[0]))
-    return episodes.gaps(none).groupBy("band").agg(
-        F.count("*").alias("n"),
-        F.min("gap").alias("shortest"),
-        F.max("gap").alias("longest"),
-        F.round(F.percentile(F.col("gap").cast("double"), F.lit(0.5)), 6).alias("median"),
-    )
+    points = {"shortest": 0.0, "longest": 1.0, "median": 0.5}
+    bands = readings.quantiles(episodes.gaps(none), F.col("gap").cast("double"), points, "band")
+    return rounded(bands.withColumns({c: F.col(c).cast("long") for c in ("shortest", "longest")}), "median")
 
 
 _ALONE = ", nx AS (SELECT *, lead(started_at) OVER (PARTITION BY key ORDER BY started_at) AS nxt FROM episodes), alone AS (SELECT * FROM nx WHERE (nxt IS NULL OR nxt > fired_at + {h}) AND start_std > 0)"

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.operators.clips import new_clips
 from pulsegrid.operators.messages import MESSAGE
+from pulsegrid.sources.tables import shared_folder
 
 
 def kafka_lines(spark: SparkSession, servers: str, topic: str, group: str) -> DataFrame:
@@ -25,12 +25,6 @@ def json_messages(spark: SparkSession, path: str, files_per_batch: int | None =
     return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).json(path)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, or below the warehouse where that is not set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base}/stream-{uuid.uuid4().hex}"
-
-
 def drained(stream: DataFrame, name: str) -> DataFrame:
     """What a stream gives for all input there is now, as a table in a shared folder."""
     spark, folder = stream.sparkSession, shared_folder(stream.sparkSession)

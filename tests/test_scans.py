@@ -135,3 +135,18 @@ def test_readings_grow_in_proportion(spark):
     took(1000)
     short, long = took(50_000), took(200_000)
     assert long < 8 * short + 2
+
+
+@pytest.mark.parametrize("by", [(), ("key",)])
+def test_quantiles_equal_the_exact_function(spark, by):
+    draw = random.Random(5)
+    rows = [(draw.choice(["a", None, "b"]), draw.choice([None, 1.0, 2.5, draw.random()]), 0) for _ in range(500)] + [("none", None, 1), ("one", 7.0, 2)]
+    rows += [("ties", 3.0, 3)] * 400 + [("ties", float(i), 3) for i in range(5)]
+    df = spark.createDataFrame(rows, "key string, v double, i long").repartition(5)
+    points = {"low": 0.0, "q": 0.123, "half": 0.5, "p99": 0.99, "high": 1.0}
+    got = readings.quantiles(df, F.col("v"), points, *by)
+    want = df.groupBy(*by).agg(F.count("*").alias("n"), *[F.percentile("v", F.lit(p)).alias(n) for n, p in points.items()]).select(*by, "n", *points)
+    near = lambda r: tuple(round(x, 12) if isinstance(x, float) else x for x in r)
+    assert got.columns == want.columns and sorted(map(repr, map(near, got.collect()))) == sorted(map(repr, map(near, want.collect())))
+    none = readings.quantiles(df.limit(0), F.col("v"), points, *by).collect()
+    assert none == [] if by else tuple(none[0]) == (0, None, None, None, None, None)
