@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from pulsegrid.config import DetectorConfig
 from pulsegrid.functions import cards
 from pulsegrid.operators import attempts, clips, episodes, messages, monitors, readings, roster, study
 from pulsegrid.sources import contract, logs
-from pulsegrid.streaming import detector
+from pulsegrid.streaming import detector, late
 from pulsegrid.streaming import sources as streams
 
 CFG = DetectorConfig(window=o.W, baseline=o.B, k=o.K, hold_cap=o.CAP, cooldown=o.COOLDOWN, fraction=o.FRACTION, bucket_seconds=o.HOUR)
@@ -780,16 +781,18 @@ def stream_counts(spark, sf_dir):
 @query(_e() + f"SELECT {_EPISODE} FROM episodes WHERE fired_at <= {_CLOSED}")
 def stream_anomalies(spark, sf_dir):
     rows = detector.episodes(detector.bucket_counts(_stream(spark, sf_dir), "event_type", "at", CFG), CFG)
-    return rounded(_drained_with_state(spark, rows, "stream_anomalies"), *_DOUBLES)
+    with _keyed_state(spark):
+        return rounded(streams.drained(rows, "stream_anomalies"), *_DOUBLES)
 
 
-def _drained_with_state(spark, stream: DataFrame, name: str) -> DataFrame:
-    """drained(), with the state store that keyed state needs."""
+@contextmanager
+def _keyed_state(spark):
+    """The state store that keyed state needs, for as long as a stream runs."""
     store = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(store, None)
     spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        return streams.drained(stream, name)
+        yield
     finally:
         spark.conf.set(store, before) if before else spark.conf.unset(store)
 
@@ -802,16 +805,11 @@ _PARTS = 5
 )
 def stream_equals_batch(spark, sf_dir):
     """Episodes of a stream of several batches against those of the batch form; differences are counted."""
-    folder, rows = streams.shared_folder(spark), table(spark, sf_dir, "events").select(
-        "event_type",
-        F.timestamp_millis(messages.epoch_ms(F.col("ts"))).alias("at"),
-    )
+    rows = table(spark, sf_dir, "events").select("event_type", F.timestamp_millis(messages.epoch_ms(F.col("ts"))).alias("at"))
     ends = rows.agg(F.min(F.unix_millis("at")), F.max(F.unix_millis("at"))).first()
     share = F.least(F.lit(_PARTS - 1), F.floor((F.unix_millis("at") - ends[0]) * _PARTS / (ends[1] - ends[0] + 1)))
-    for part in range(_PARTS):  # one after another, as files are read by age
-        rows.filter(share == part).coalesce(1).write.mode("append").parquet(folder)
-    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    streamed = _drained_with_state(spark, detector.episodes(detector.bucket_counts(arriving, "event_type", "at", CFG), CFG), "stream_equals_batch")
+    with _keyed_state(spark):
+        streamed = streams.fed(rows, share, _PARTS, lambda s: detector.episodes(detector.bucket_counts(s, "event_type", "at", CFG), CFG), "stream_equals_batch")
     closed = F.floor((F.lit(ends[1]) - 5000) / (o.HOUR * 1000)) - 1
     whole = found(spark, sf_dir).filter(F.col("fired_at") <= closed)
     odd = episodes.parity(streamed, whole, 1e-9).select("side").unionByName(streamed.select(F.lit("any").alias("side")))
@@ -824,6 +822,20 @@ def stream_equals_batch(spark, sf_dir):
     )
 
 
+_LATE = "event_id % 97 = 0"
+
+
+@query(f"""WITH n AS (SELECT event_type AS key, floor((epoch_us(ts) // 1000) / {o.HOUR * 1000}.0)::BIGINT AS second, event_id FROM events),
+w AS (SELECT floor((max(epoch_us(ts)) // 1000 - 5000) / {o.HOUR * 1000}.0)::BIGINT - 1 AS due FROM events WHERE NOT ({_LATE}))
+SELECT key, second, count(*) AS n FROM n, w WHERE {_LATE} AND second <= due GROUP BY ALL""")
+def late_counted(spark, sf_dir):
+    """Rows that come after all others, as the detector on raw rows counts them in their buckets."""
+    rows = table(spark, sf_dir, "events").select("event_type", "event_id", F.timestamp_millis(messages.epoch_ms(F.col("ts"))).alias("at"))
+    with _keyed_state(spark):
+        decided = streams.fed(rows, F.when(F.expr(_LATE), 1).otherwise(0), 2, lambda s: late.decisions(s, "event_type", "at", CFG), "late_counted")
+    return decided.filter("kind = 'late'").select("key", "second", "n")
+
+
 # readings and reports as they are stored and told
 
 

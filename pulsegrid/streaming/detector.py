@@ -130,12 +130,18 @@ class _Walk:
                     break
                 k = high[nth]
             measured = (int(window[k]), float(mean[k]), float(std[k]), float(level[k])) if ok[k] else (int(window[k]), 0.0, 0.0, None)
+            before = self.state.regressed
             self.state, report = advance(self.state, first + k, *measured, cfg.k, cfg.hold_cap, cfg.cooldown)
             if report:
                 out.append(report)
+            if self.state.regressed > before:
+                self._saw(first + k)
             k += 1
         return out
 
+    def _saw(self, second: int) -> None:
+        """A bucket before the peak of the hold was evaluated."""
+
     def over(self, due: int, cfg: DetectorConfig) -> bool:
         """Whether nothing that is kept can matter any more."""
         last, fire = max(self.counts, default=None), self.state.last_fire
@@ -164,9 +170,12 @@ class _Walker(StatefulProcessor):
     def _load(self) -> _Walk:
         return _Walk(tuple(self.value.get()) if self.value.exists() else None)
 
+    def _due(self, timerValues) -> int:
+        """The last bucket that the watermark has passed."""
+        return timerValues.getCurrentWatermarkInMs() // (self.cfg.bucket_seconds * 1000) - 1
+
     def _walk(self, key, walk: _Walk, timerValues) -> pd.DataFrame:
-        cfg, width = self.cfg, self.cfg.bucket_seconds * 1000
-        due = timerValues.getCurrentWatermarkInMs() // width - 1
+        cfg, width, due = self.cfg, self.cfg.bucket_seconds * 1000, self._due(timerValues)
         out = [(str(key[0]), *report) for report in walk.to(due, cfg)]
         if walk.over(due, cfg):
             self.value.clear()

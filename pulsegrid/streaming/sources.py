@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.operators.clips import new_clips
@@ -25,9 +26,9 @@ def json_messages(spark: SparkSession, path: str, files_per_batch: int | None =
     return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).json(path)
 
 
-def drained(stream: DataFrame, name: str) -> DataFrame:
-    """What a stream gives for all input there is now, as a table in a shared folder."""
-    spark, folder = stream.sparkSession, shared_folder(stream.sparkSession)
+def drained(stream: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """What a stream gives for all input there is now, as a table in a shared folder; called again with its folder, it goes on."""
+    spark, folder = stream.sparkSession, folder or shared_folder(stream.sparkSession)
     run = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option(
         "checkpointLocation",
         f"{folder}/checkpoint",
@@ -36,6 +37,25 @@ def drained(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
+def fed(rows: DataFrame, part: Column, parts: int, built: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """What the stream `built` gives if rows arrive part by part (numbers from 0), each part closed before the next one.
+
+    Rows are written once, by many tasks; a part is then moved into the folder that the stream reads.
+    """
+    spark, folder = rows.sparkSession, shared_folder(rows.sparkSession)
+    rows.withColumn("_part", part.cast("int")).write.partitionBy("_part").parquet(f"{folder}/waiting")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path(f"{folder}/in"))
+    found = None
+    for k in range(parts):
+        if fs.exists(path(f"{folder}/waiting/_part={k}")):
+            fs.rename(path(f"{folder}/waiting/_part={k}"), path(f"{folder}/in/{k}"))
+        arriving = spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).parquet(f"{folder}/in")
+        found = drained(built(arriving), f"{name}_{k}", f"{folder}/out")
+    return found
+
+
 def late_rows(query) -> int:
     """Of a stream that has run: rows that came behind the watermark and were dropped, as its progress counts them.
 
