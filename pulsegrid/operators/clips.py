@@ -38,6 +38,32 @@ def clip_page(clips: DataFrame, streamers: DataFrame, min_intensity=None, limit=
     return page.join(logins, "broadcaster_id", "left")
 
 
+def cursor(page: DataFrame) -> tuple[int | None, int] | None:
+    """Where a page ends: (detected_at, clip_id) of its last clip; None of an empty page."""
+    last = page.orderBy(F.asc_nulls_first("detected_at"), "clip_id").select("detected_at", "clip_id").first()
+    return tuple(last) if last else None
+
+
+def next_page(clips: DataFrame, streamers: DataFrame, after: tuple[int | None, int] | None = None, min_intensity=None, limit=None) -> DataFrame:
+    """The page behind a cursor (the first one without), in the order of clip_page.
+
+    Clips before the cursor are left out by filters that reach the scan, however far in it lies, and clips that are added
+    at the front meanwhile move nothing.
+    """
+    least, limit, _ = page_arguments(min_intensity, limit)
+    rows = at_least(clips, least)
+    if after is not None:
+        at, clip_id = after
+        if at is None:
+            rows = rows.filter(F.col("detected_at").isNull() & (F.col("clip_id") < clip_id))
+        else:
+            rows = rows.filter(F.col("detected_at").isNull() | (F.col("detected_at") <= at))
+            rows = rows.filter(F.col("detected_at").isNull() | (F.col("detected_at") < at) | (F.col("clip_id") < clip_id))
+    page = rows.orderBy(F.desc("detected_at"), F.desc("clip_id")).limit(limit)
+    logins = streamers.select(F.col("streamer_id").alias("broadcaster_id"), "streamer_login")
+    return page.join(logins, "broadcaster_id", "left")
+
+
 def page_summary(clips: DataFrame, min_intensity=None, limit=None, offset=None) -> DataFrame:
     """count of the page, total_count, has_more, in one row."""
     least, limit, offset = page_arguments(min_intensity, limit, offset)

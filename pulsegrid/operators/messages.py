@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pulsegrid.sources.tables import written
+
 #: Fixed value: what a command looks like.
 COMMAND = "^![a-zA-Z0-9]+"
 TOLERANCE_MS = 5000
@@ -70,9 +72,9 @@ def time_slice(messages: DataFrame, start: datetime, end: datetime, sent_at: str
     return messages.filter((F.col(sent_at) >= low) & (F.col(sent_at) < high))
 
 
-def head_slice(messages: DataFrame, arrival: str, n: int) -> DataFrame:
+def head_slice(messages: DataFrame, arrival: str | list[str], n: int) -> DataFrame:
     """The first n messages to arrive."""
-    return messages.orderBy(arrival).limit(n)
+    return messages.orderBy(*([arrival] if isinstance(arrival, str) else arrival)).limit(n)
 
 
 def enrich(messages: DataFrame, channels: DataFrame, login: str = "login") -> DataFrame:
@@ -114,24 +116,18 @@ def ingest_lag(messages: DataFrame) -> DataFrame:
     return messages.withColumn("lag_ms", F.col("timestamp") - F.col("sent_at"))
 
 
-def arrival_chunk(messages: DataFrame, arrival: str, least: int = 1000) -> Column:
-    """A number for stretches of arrival numbers, about as many as a stretch has rows: both grow as the root of the rows."""
-    rows, low, high = messages.agg(F.count("*"), F.min(arrival), F.max(arrival)).first()
-    stretches = max(1, int((rows / max(least, rows**0.5)) + 0.5))
-    width = max(1.0, ((high or 0) - (low or 0) + 1) / stretches)
-    return F.floor((F.col(arrival) - (low or 0)) / F.lit(float(width)))
-
-
-def late_rows(messages: DataFrame, arrival: str, event_ms: str, chunk: Column, tolerance_ms: int = TOLERANCE_MS) -> DataFrame:
+def late_rows(messages: DataFrame, arrival: str | list[str], event_ms: str, tolerance_ms: int = TOLERANCE_MS, ranges: int | None = None) -> DataFrame:
     """Adds watermark_ms and late: the largest event time that came before, less the tolerance and 1 ms.
 
-    chunk: a number that grows with arrival, in which rows are numerous but fit a task. Running maxima are taken within
-    chunks; those of whole chunks, a row each, are taken over all.
+    Rows are dealt out by ranges of their arrival, which hold about as many each however arrival numbers lie, and written.
+    Running maxima are taken within ranges; those of whole ranges, a row each, are taken over all.
     """
-    rows = messages.withColumn("_chunk", chunk)
+    order = [arrival] if isinstance(arrival, str) else arrival
+    dealt = messages.repartitionByRange(ranges, *order) if ranges else messages.repartitionByRange(*order)
+    rows = written(dealt.withColumn("_chunk", F.spark_partition_id()))
     before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     tops = rows.groupBy("_chunk").agg(F.max(event_ms).alias("_top")).withColumn("_earlier", F.max("_top").over(before)).drop("_top")
-    inside = Window.partitionBy("_chunk").orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     run = rows.withColumn("_run", F.max(event_ms).over(inside)).join(tops, "_chunk")
     mark = F.greatest("_run", "_earlier") - tolerance_ms - 1
     return run.withColumn("watermark_ms", mark).withColumn(

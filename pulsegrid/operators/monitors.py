@@ -5,10 +5,13 @@ events: tick (integer time), kind, and key where it is needed. Counts are exact
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.operators import scans
+from pulsegrid.sources.tables import written
 
 
 def tumbling(events: DataFrame, width: int, *kinds: str) -> DataFrame:
@@ -79,20 +82,64 @@ def threshold(metrics: DataFrame, above: Column, lasts: int) -> DataFrame:
     return sustained(metrics, above, lasts, "series")
 
 
+#: Repeat intervals in a block of a group's alerts.
+BLOCK = 64
+
+
 def roll_up(alerts: DataFrame, repeat: dict[str, int], default: int) -> DataFrame:
-    """alerts: name, severity, tick. One notice for each name, severity and time that is not within the repeat interval of
-    the group's run of notices; a warning is left out where a critical alert of its name fires at that time."""
+    """alerts: name, severity, tick. The notices that are sent: a group's (name, severity) first alert, and then the first one
+    that comes its repeat interval or more after the last notice; n: alerts at that time. A warning is left out where a
+    critical alert of its name fires at that time.
+
+    Which alerts are sent depends on all before, so a group is cut into blocks: for each alert that can be the first to be
+    sent in a block, the block tells the last one that is sent then; these few rows are followed along the group, which gives
+    each block its first notice; and the blocks send theirs.
+    """
     critical = alerts.filter("severity = 'critical'").select("name", "tick").distinct().withColumn("_critical", F.lit(True))
     left = alerts.join(critical, ["name", "tick"], "left").filter("severity = 'critical' OR _critical IS NULL").select("name", "severity", "tick")
-    each = left.groupBy("name", "severity", "tick").agg(F.count("*").alias("n"))
     wait = F.lit(default)
     for severity, seconds in repeat.items():
         wait = F.when(F.col("severity") == severity, seconds).otherwise(wait)
-    line = Window.partitionBy("name", "severity").orderBy("tick")
-    # time is dealt into repeat intervals from the group's first alert on; the first alert of an interval is sent
-    first = F.min("tick").over(Window.partitionBy("name", "severity"))
-    slot = F.floor((F.col("tick") - first) / wait)
-    return each.withColumn("_slot", slot).withColumn(
-        "_new",
-        F.coalesce(F.lag("_slot").over(line) != F.col("_slot"), F.lit(True)),
-    ).filter("_new").select("name", "severity", "tick", "n")
+    each = left.groupBy("name", "severity", "tick").agg(F.count("*").alias("n")).withColumn("_wait", wait.cast("long"))
+    each = written(each.withColumn("_block", F.floor(F.col("tick") / (F.col("_wait") * BLOCK))))
+
+    def following(ticks: np.ndarray, wait: int) -> np.ndarray:
+        return np.searchsorted(ticks, ticks + wait)
+
+    def exits(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("tick")
+        ticks, wait = block["tick"].to_numpy(), int(block["_wait"].iloc[0])
+        after, last = following(ticks, wait), ticks.copy()
+        for i in range(len(ticks) - 1, -1, -1):
+            if after[i] < len(ticks):
+                last[i] = last[after[i]]
+        begin = int(block["_block"].iloc[0]) * wait * BLOCK
+        some = np.arange(len(ticks)) <= np.searchsorted(ticks, begin + wait)  # a notice before the block bars no more than one interval of it
+        return block.assign(last=last)[some][["name", "severity", "_wait", "_block", "tick", "last"]]
+
+    def entries(group: pd.DataFrame) -> pd.DataFrame:
+        group, out, free = group.sort_values(["_block", "tick"]), [], None
+        for block, rows in group.groupby("_block", sort=True):
+            ticks = rows["tick"].to_numpy()
+            i = 0 if free is None else int(np.searchsorted(ticks, free))
+            if i < len(ticks):
+                out.append((block, ticks[i]))
+                free = int(rows["last"].iloc[i]) + int(rows["_wait"].iloc[i])
+        return pd.DataFrame({"name": group["name"].iloc[0], "severity": group["severity"].iloc[0], "_block": [b for b, _ in out], "entry": [t for _, t in out]})
+
+    def sent(block: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("tick")
+        ticks, out = block["tick"].to_numpy(), []
+        if len(ticks) and len(entry):
+            after, i = following(ticks, int(block["_wait"].iloc[0])), int(np.searchsorted(ticks, entry["entry"].iloc[0]))
+            while i < len(ticks):
+                out.append(i)
+                i = after[i]
+        return block.iloc[out][["name", "severity", "tick", "n"]]
+
+    kinds = {f.name: f.dataType.simpleString() for f in each.schema}
+    group = f"name {kinds['name']}, severity {kinds['severity']}"
+    candidates = each.groupBy("name", "severity", "_block").applyInPandas(exits, f"{group}, _wait long, _block long, tick long, last long")
+    firsts = candidates.groupBy("name", "severity").applyInPandas(entries, f"{group}, _block long, entry long")
+    keys = ["name", "severity", "_block"]
+    return each.groupBy(*keys).cogroup(firsts.groupBy(*keys)).applyInPandas(sent, f"{group}, tick long, n long")

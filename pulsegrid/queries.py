@@ -6,14 +6,15 @@ from collections.abc import Callable
 from contextlib import contextmanager
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulsegrid import oracle as o
 from pulsegrid.config import DetectorConfig
 from pulsegrid.functions import cards
 from pulsegrid.operators import attempts, clips, episodes, messages, monitors, readings, roster, study
-from pulsegrid.sources import contract, logs
+from pulsegrid.sources import contract, logs, versioned
+from pulsegrid.sources import lines as lines_
 from pulsegrid.streaming import detector, late
 from pulsegrid.streaming import sources as streams
 
@@ -296,15 +297,56 @@ def run_quantiles(spark, sf_dir):
 _LATE_MS = "CASE WHEN event_type = 'click' THEN ms - 7200000 ELSE ms END"
 
 
-@query(
+_AUDIT = (
     _M + f", e AS (SELECT event_id, {_LATE_MS} AS event_ms FROM m), w AS (SELECT *, max(event_ms) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 5001 AS watermark_ms FROM e) SELECT event_id, event_ms, watermark_ms, coalesce(event_ms <= watermark_ms, false) AS late FROM w"
 )
+
+
+@query(_AUDIT)
 def late_audit(spark, sf_dir):
     rows = chat(spark, sf_dir).select(
         "event_id",
         F.when(F.col("event_type") == "click", F.col("ms") - 7_200_000).otherwise(F.col("ms")).alias("event_ms"),
     )
-    return messages.late_rows(rows, "event_id", "event_ms", messages.arrival_chunk(rows, "event_id"))
+    return messages.late_rows(rows, "event_id", "event_ms")
+
+
+def _as_files(spark, rows: DataFrame, order: str, value: str) -> str:
+    """A folder of text files that hold the rows' lines in order."""
+    folder = streams.shared_folder(spark)
+    rows.repartitionByRange(4, order).sortWithinPartitions(order).select(value).write.text(folder)
+    return folder
+
+
+@query(_AUDIT)
+def late_audit_lines(spark, sf_dir):
+    """The audit of lines of text files, in the order they were written."""
+    rows = chat(spark, sf_dir).select("event_id", F.to_json(F.struct("event_id", "event_type", "ms")).alias("line"))
+    read_ = lines_.numbered_lines(spark, _as_files(spark, rows, "event_id", "line"))
+    event = F.from_json("line", "event_id long, event_type string, ms long")
+    rows = read_.select("file", "line_no", event.alias("e")).select("file", "line_no", "e.*")
+    rows = rows.select("file", "line_no", "event_id", F.when(F.col("event_type") == "click", F.col("ms") - 7_200_000).otherwise(F.col("ms")).alias("event_ms"))
+    return messages.late_rows(rows, ["file", "line_no"], "event_ms").drop("file", "line_no")
+
+
+@query(_M + "SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS place FROM m ORDER BY event_id LIMIT 500")
+def head_lines(spark, sf_dir):
+    """The first lines of text files."""
+    rows = chat(spark, sf_dir).select("event_id", F.col("event_id").cast("string").alias("line"))
+    read_ = lines_.numbered_lines(spark, _as_files(spark, rows, "event_id", "line"))
+    first = messages.head_slice(read_, ["file", "line_no"], 500)
+    place = F.row_number().over(Window.orderBy("file", "line_no")) - 1  # of 500 rows
+    return first.select(F.col("line").cast("long").alias("event_id"), place.cast("long").alias("place"))
+
+
+@query(_M + """, l AS (SELECT event_id, user_id, ms + event_id % 7 AS t FROM m WHERE event_id % 50 <> 0)
+SELECT min(t) AS started_ms, max(t) AS ended_ms, (max(t) - min(t)) / 1000.0::DOUBLE AS seconds, count(*) AS messages, (SELECT count(*) FROM m WHERE event_id % 50 = 0) AS errors,
+round(count(*) / greatest((max(t) - min(t)) / 1000.0::DOUBLE, 1.0), 2) AS per_second, true AS has_sent_at, count(DISTINCT user_id) AS keys, 'broadcaster_id,message_id,sent_at,text,timestamp,user_name' AS sample_keys, true AS completed FROM l""")
+def capture_meta(spark, sf_dir):
+    """What is told of a capture in which some lines are cut off."""
+    line = F.when(F.col("event_id") % 50 == 0, F.substring("line", 1, 9)).otherwise(F.col("line"))
+    captured = lines(spark, sf_dir).select(F.from_json(line, messages.MESSAGE).alias("m")).select("m.*")
+    return streams.capture_report(captured, 3600.0).drop("bytes").withColumn("sample_keys", F.array_join("sample_keys", ","))
 
 
 # episodes and studies
@@ -458,13 +500,23 @@ _CLIPS = "cl AS (SELECT event_id AS clip_id, user_id AS broadcaster_id, (epoch_u
 _STREAMERS = "sr AS (SELECT c_custkey AS streamer_id, c_name AS streamer_login, c_acctbal >= 0 AS allows_clipping FROM customer)"
 
 
-@query(
+_SECOND_PAGE = (
     f"WITH {_CLIPS}, {_STREAMERS}, p AS (SELECT * FROM cl WHERE intensity >= 9.0 ORDER BY detected_at DESC, clip_id DESC LIMIT 24 OFFSET 24) SELECT clip_id, broadcaster_id, detected_at, round(intensity, 6) AS intensity, streamer_login FROM p LEFT JOIN sr ON broadcaster_id = streamer_id"
 )
+
+
+@query(_SECOND_PAGE)
 def clip_page(spark, sf_dir):
     return rounded(clips.clip_page(clip_rows(spark, sf_dir), streamers(spark, sf_dir), offset=24), "intensity")
 
 
+@query(_SECOND_PAGE)
+def clip_next_page(spark, sf_dir):
+    """The second page by the cursor of the first."""
+    rows, channels = clip_rows(spark, sf_dir), streamers(spark, sf_dir)
+    return rounded(clips.next_page(rows, channels, clips.cursor(clips.next_page(rows, channels))), "intensity")
+
+
 @query(
     f"WITH {_CLIPS} SELECT greatest(0, least(24, count(*) - 24))::BIGINT AS count, count(*) AS total_count, 24 + greatest(0, least(24, count(*) - 24)) < count(*) AS has_more FROM cl WHERE intensity >= 9.0"
 )
@@ -607,9 +659,12 @@ def active_gauge(spark, sf_dir):
     return roster.active_gauge(_followed(spark, sf_dir))
 
 
-@query(
+_UPSERT = (
     f"WITH {_POLLS}, s AS (SELECT streamer_id, max(poll_ms) AS hi, min(poll_ms) AS lo FROM po GROUP BY 1) SELECT coalesce(sr.streamer_id, s.streamer_id) AS streamer_id, streamer_login, coalesce(allows_clipping, true) AS allows_clipping, least(CASE WHEN sr.streamer_id IS NULL THEN lo ELSE 1704240000000 END, coalesce(lo, 1704240000000)) AS first_seen_ms, greatest(CASE WHEN sr.streamer_id IS NULL THEN hi ELSE 1704240000000 END, coalesce(hi, 1704240000000)) AS last_seen_ms FROM sr FULL JOIN s ON s.streamer_id = sr.streamer_id"
 )
+
+
+@query(_UPSERT)
 def upsert_streamers(spark, sf_dir):
     stored = streamers(spark, sf_dir).withColumns({"first_seen_ms": F.lit(1_704_240_000_000), "last_seen_ms": F.lit(1_704_240_000_000)})
     return clips.upsert_streamers(stored, polls(spark, sf_dir).select("streamer_id", "login", F.col("poll_ms").alias("seen_ms")))
@@ -704,10 +759,11 @@ def metric_threshold(spark, sf_dir):
     )
 
 
-@query(f"""WITH a AS (SELECT user_id::VARCHAR AS name, CASE WHEN event_type = 'error' THEN 'critical' ELSE 'warning' END AS severity, {_STEP} AS tick FROM events WHERE event_type IN ('error', 'view')),
+@query(f"""WITH RECURSIVE a AS (SELECT user_id::VARCHAR AS name, CASE WHEN event_type = 'error' THEN 'critical' ELSE 'warning' END AS severity, {_STEP} AS tick FROM events WHERE event_type IN ('error', 'view')),
 b AS (SELECT name, severity, tick, count(*) AS n FROM a WHERE severity = 'critical' OR (name, tick) NOT IN (SELECT (name, tick) FROM a WHERE severity = 'critical') GROUP BY ALL),
-s AS (SELECT *, floor((tick - min(tick) OVER (PARTITION BY name, severity)) / CASE WHEN severity = 'critical' THEN 14400.0 ELSE 86400.0 END) AS slot FROM b),
-p AS (SELECT *, lag(slot) OVER (PARTITION BY name, severity ORDER BY tick) AS before FROM s) SELECT name, severity, tick, n FROM p WHERE before IS NULL OR before <> slot""")
+sent(name, severity, tick) AS (SELECT name, severity, min(tick) FROM b GROUP BY ALL UNION ALL
+  SELECT s.name, s.severity, min(b.tick) FROM sent s JOIN b ON b.name = s.name AND b.severity = s.severity AND b.tick >= s.tick + CASE WHEN s.severity = 'critical' THEN 14400 ELSE 86400 END GROUP BY s.name, s.severity, s.tick)
+SELECT b.* FROM b JOIN sent USING (name, severity, tick)""")
 def alert_rollup(spark, sf_dir):
     rows = _events(spark, sf_dir).filter("kind IN ('error', 'view')").select(
         F.col("key").cast("string").alias("name"),
@@ -757,8 +813,25 @@ def attempt_schedule(spark, sf_dir):
     f"WITH {_OUTCOMES}, k AS (SELECT anomaly_id, min(key) AS key FROM lo GROUP BY 1) SELECT key, coalesce(reason, 'success') AS outcome, count(*) AS n FROM ou JOIN k USING (anomaly_id) GROUP BY ALL"
 )
 def outcome_apply(spark, sf_dir):
+    return _applied(spark, sf_dir)[2]
+
+
+_KEYED = f"{_OUTCOMES}, k AS (SELECT anomaly_id, min(key) AS key FROM lo GROUP BY 1)"
+
+
+@query(f"WITH {_KEYED} SELECT clip_id, key AS broadcaster_id FROM ou JOIN k USING (anomaly_id) WHERE found")
+def outcome_clips(spark, sf_dir):
+    return _applied(spark, sf_dir)[0]
+
+
+@query(f"WITH {_KEYED} SELECT DISTINCT key AS streamer_id FROM ou JOIN k USING (anomaly_id) WHERE disabled")
+def outcome_flags(spark, sf_dir):
+    return _applied(spark, sf_dir)[1]
+
+
+def _applied(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     log = _log(spark, sf_dir)
-    return attempts.applied(attempts.outcomes(log), log.groupBy("anomaly_id").agg(F.min("key").alias("key")))[2]
+    return attempts.applied(attempts.outcomes(log), log.groupBy("anomaly_id").agg(F.min("key").alias("key")))
 
 
 # streams, run over all input there is
@@ -822,6 +895,36 @@ def stream_equals_batch(spark, sf_dir):
     )
 
 
+def _thirds(by: str):
+    """Deals rows to three parts of a stream."""
+    return F.pmod(F.xxhash64(by), F.lit(3))
+
+
+@query(_UPSERT)
+def upsert_stored(spark, sf_dir):
+    """Streamers as a stream of sightings in three batches upserts them in a stored table; each batch comes twice."""
+    stored = streamers(spark, sf_dir).withColumns({"first_seen_ms": F.lit(1_704_240_000_000), "last_seen_ms": F.lit(1_704_240_000_000)})
+    schema = "streamer_id long, streamer_login string, allows_clipping boolean, first_seen_ms long, last_seen_ms long"
+    kept = versioned.VersionedTable(spark, f"{streams.shared_folder(spark)}/streamers", schema, ["streamer_id"])
+    kept.merge(stored, lambda old, new: new, "load", 0)
+    seen = polls(spark, sf_dir).select("streamer_id", "login", F.col("poll_ms").alias("seen_ms"))
+    for k, (stream, folder) in enumerate(streams.arriving(seen, _thirds("seen_ms"), 3)):
+        for again in (f"{folder}/checkpoint", f"{folder}/again-{k}"):  # a lost checkpoint makes the batches come again
+            streams.merge_stream(stream, kept, clips.upsert_streamers, "sightings" if again.endswith("checkpoint") else f"again-{k}", again).awaitTermination()
+    return kept.read()
+
+
+@query("SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL")
+def key_counters_stored(spark, sf_dir):
+    """Running totals of a stream in three batches, of which changed ones are put into a stored table."""
+    kept = versioned.VersionedTable(spark, f"{streams.shared_folder(spark)}/counters", "user_id long, event_type string, n long", ["user_id", "event_type"])
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("user_id").cast("long").alias("user_id"), "event_type")
+    for stream, folder in streams.arriving(rows, _thirds("event_id"), 3):
+        counted = clips.key_counters(stream, "user_id", "event_type")
+        streams.merge_stream(counted, kept, versioned.replaced(kept.key), "counters", f"{folder}/checkpoint", "update").awaitTermination()
+    return kept.read()
+
+
 _LATE = "event_id % 97 = 0"
 
 
@@ -854,6 +957,14 @@ def readings_stored(spark, sf_dir):
     )
 
 
+@query(_R + "," + o.RUNS + """ SELECT key, start, "end", round(peak, 6) AS peak FROM runs""")
+def runs_of_stored(spark, sf_dir):
+    """Elevated runs of readings that are stored by key, which are found without an exchange."""
+    path = streams.shared_folder(spark)
+    stored = streams.store_readings(read(spark, sf_dir), f"readings_{path.rsplit('-', 1)[1]}", path)
+    return rounded(readings.elevated_runs(stored, CFG.k), "peak")
+
+
 @query(
     _R + "SELECT key, second, observed, status, window_count, round(mean, 6) AS mean, round(std, 6) AS std, round(intensity, 6) AS intensity FROM readings"
 )

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pulsegrid.operators.clips import new_clips
 from pulsegrid.operators.messages import MESSAGE
 from pulsegrid.sources.tables import shared_folder
+from pulsegrid.sources.versioned import VersionedTable
 
 
 def kafka_lines(spark: SparkSession, servers: str, topic: str, group: str) -> DataFrame:
@@ -37,8 +38,8 @@ def drained(stream: DataFrame, name: str, folder: str | None = None) -> DataFram
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
-def fed(rows: DataFrame, part: Column, parts: int, built: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
-    """What the stream `built` gives if rows arrive part by part (numbers from 0), each part closed before the next one.
+def arriving(rows: DataFrame, part: Column, parts: int) -> Iterator[tuple[DataFrame, str]]:
+    """For each part (numbers from 0) in turn, a stream of all rows up to it, and a folder that is the same for all.
 
     Rows are written once, by many tasks; a part is then moved into the folder that the stream reads.
     """
@@ -47,12 +48,17 @@ def fed(rows: DataFrame, part: Column, parts: int, built: Callable[[DataFrame],
     path = spark._jvm.org.apache.hadoop.fs.Path
     fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
     fs.mkdirs(path(f"{folder}/in"))
-    found = None
     for k in range(parts):
         if fs.exists(path(f"{folder}/waiting/_part={k}")):
             fs.rename(path(f"{folder}/waiting/_part={k}"), path(f"{folder}/in/{k}"))
-        arriving = spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).parquet(f"{folder}/in")
-        found = drained(built(arriving), f"{name}_{k}", f"{folder}/out")
+        yield spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).parquet(f"{folder}/in"), folder
+
+
+def fed(rows: DataFrame, part: Column, parts: int, built: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """What the stream `built` gives if rows arrive part by part, each part closed before the next one."""
+    found = None
+    for k, (stream, folder) in enumerate(arriving(rows, part, parts)):
+        found = drained(built(stream), f"{name}_{k}", f"{folder}/out")
     return found
 
 
@@ -69,16 +75,31 @@ def capture(messages: DataFrame, path: str, checkpoint: str):
     return messages.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
-def capture_report(captured: DataFrame) -> DataFrame:
-    """One row on what was captured."""
-    seconds = (F.max("timestamp") - F.min("timestamp")) / 1000
+def capture_report(captured: DataFrame, requested_seconds: float | None = None, path: str | None = None) -> DataFrame:
+    """One row on what was captured: first and last arrival and the seconds between, messages, errors (rows without a
+    broadcaster, as lines that are no message give), messages a second, whether all have a source time, keys, the
+    fields that the first message has, bytes of the files below `path`, and whether it lasted as long as was asked for."""
+    good = F.col("broadcaster_id").isNotNull()
+    of = lambda c: F.when(good, F.col(c))
+    seconds = (F.max(of("timestamp")) - F.min(of("timestamp"))) / 1000
+    fields = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.lit(c)) for c in sorted(captured.columns)]))
+    size = F.lit(None).cast("long")
+    if path is not None:
+        spark = captured.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        size = F.lit(folder.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()).cast("long")
     return captured.agg(
-        F.min("timestamp").alias("started_ms"),
-        F.max("timestamp").alias("ended_ms"),
-        F.count("*").alias("messages"),
-        (F.count("*") / F.nullif(seconds, F.lit(0.0))).alias("per_second"),
-        F.coalesce(F.bool_and(F.col("sent_at").isNotNull()), F.lit(False)).alias("has_sent_at"),
-        F.count_distinct("broadcaster_id").alias("keys"),
+        F.min(of("timestamp")).alias("started_ms"),
+        F.max(of("timestamp")).alias("ended_ms"),
+        seconds.alias("seconds"),
+        F.count_if(good).alias("messages"),
+        F.count_if(~good).alias("errors"),
+        F.round(F.count_if(good) / F.greatest(seconds, F.lit(1.0)), 2).alias("per_second"),
+        F.coalesce(F.bool_and(F.when(good, F.col("sent_at").isNotNull())), F.lit(False)).alias("has_sent_at"),
+        F.count_distinct(of("broadcaster_id")).alias("keys"),
+        F.min_by(F.when(good, fields), F.when(good, F.struct("timestamp", "message_id"))).alias("sample_keys"),
+        size.alias("bytes"),
+        (seconds >= F.lit(requested_seconds).cast("double")).alias("completed"),
     )
 
 
@@ -92,11 +113,29 @@ def insert_clips(stream: DataFrame, path: str, checkpoint: str):
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def merge_stream(stream: DataFrame, table: VersionedTable, combined: Callable[[DataFrame, DataFrame], DataFrame], writer: str, checkpoint: str, mode: str = "append"):
+    """Merges each batch of a stream into a versioned table; batches that come again after a failure change nothing.
+
+    writer: a name that stays the same as long as the checkpoint does.
+    """
+
+    def merge(batch: DataFrame, number: int) -> None:
+        table.merge(batch, combined, writer, number)
+
+    return stream.writeStream.foreachBatch(merge).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def write_readings(read: DataFrame, path: str, parts: int = 16) -> None:
     """Readings as a table, partitioned by a hash of the key."""
     read.withColumn("part", F.pmod(F.hash("key"), F.lit(parts))).write.partitionBy("part").mode("overwrite").parquet(path)
 
 
+def store_readings(read: DataFrame, name: str, path: str, buckets: int = 16) -> DataFrame:
+    """Readings as a table in the catalog, bucketed by key and sorted, so that windows by key need no exchange."""
+    read.repartition(buckets, "key").write.bucketBy(buckets, "key").sortBy("key", "second").option("path", path).saveAsTable(name)
+    return read.sparkSession.table(name)
+
+
 def write_readings_text(read: DataFrame, path: str, settings: dict) -> None:
     """Readings as tab-separated text: the settings as JSON in a '#' line, a header, and a row for each bucket.
 
