@@ -6,6 +6,7 @@ import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import pyarrow as pa
@@ -55,6 +56,27 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Setting, its default, and what texts want: bytes of a batch for Python, rows that a scan decodes at a time.
+_BATCHES = (("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"), ("spark.sql.parquet.columnarReaderBatchSize", "4096", "512"))
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """While tables are written: whole texts are read and handed to Python a few megabytes at a time, where the session has
+    Spark's defaults, which suit narrow rows. Afterwards the session's settings are as they were.
+
+    What is returned without having been made is not concerned: whoever makes it chooses its settings.
+    """
+    asked = [(key, value) for key, default, value in _BATCHES if spark.conf.get(key) == default]
+    try:
+        for key, value in asked:
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, _ in asked:
+            spark.conf.unset(key)
+
+
 def drop_written(df: DataFrame) -> None:
     """Deletes the table that `written` made, once nothing reads it any more."""
     spark = df.sparkSession

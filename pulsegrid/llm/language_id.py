@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulsegrid.llm.bpe import portions
-from pulsegrid.llm.common import Remembered, add_columns, at_task_end, written
+from pulsegrid.llm.common import Remembered, add_columns, at_task_end, small_batches, written
 
 UNKNOWN = "und"
 MAX_ORDER = 5
@@ -143,7 +143,8 @@ def fit(docs: DataFrame, learns: Column, label: str = "lang", text: str = "text"
         F.col(doc_id).alias("doc_id"),
     )
     counts = _sample(training, per_label, F.col("doc_id")).mapInArrow(_count, _COUNTS).groupBy("gram_order", "gram", "label").agg(F.sum("n").alias("n"))
-    found = written(counts).toArrow()
+    with small_batches(docs.sparkSession):
+        found = written(counts).toArrow()
     order, label, n = found["gram_order"].to_numpy(), found["label"].combine_chunks().dictionary_encode(), found["n"].to_numpy()
     names = label.dictionary.to_pylist()
     labels = sorted(names)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsegrid.llm.common import Remembered, add_columns, put_aside, written
+from pulsegrid.llm.common import Remembered, add_columns, put_aside, small_batches, written
 from pulsegrid.llm.components import components
 from pulsegrid.llm.groups import key_runs
 
@@ -264,27 +264,29 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.75) -> DataFrame:
     """For each row of docs: doc_id, n_shingles, component_id (smallest doc_id reached over links), kept (it is that one)."""
-    named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sketched = written(sketch(named, keep=["doc_id"]))
-    whole = sketched.filter("digest IS NOT NULL AND doc_id IS NOT NULL")
-    classes = written(whole.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature")))
-    bands = _band_rows(classes)
-    shared = written(bands.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1"))
-    inside = written(bands.join(shared, "bucket"))
-    with_first = inside.filter("node != first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
-    sets = _sets(named.filter("doc_id IS NOT NULL"), inside.select("node").distinct())
-    links = written(_verified(_compared(with_first, classes, threshold), sets, threshold))
-    inside = inside.filter("n > 2").select("bucket", "band", "n", "node")  # pairs are done
-    marked = _marked(inside, links)
-    links = written(links.unionByName(_verified(_compared(_to_hubs(marked, links), classes, threshold), sets, threshold)))
-    members = _marked(marked.select("bucket", "band", "n", "node"), links).join(classes.select("node", "signature"), "node").join(sets, "node")
-    links = links.unionByName(_block_links(members, threshold))
+    with small_batches(docs.sparkSession):
+        named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+        sketched = written(sketch(named, keep=["doc_id"]))
+        whole = sketched.filter("digest IS NOT NULL AND doc_id IS NOT NULL")
+        classes = written(whole.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature")))
+        bands = _band_rows(classes)
+        shared = written(bands.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1"))
+        inside = written(bands.join(shared, "bucket"))
+        with_first = inside.filter("node != first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
+        sets = _sets(named.filter("doc_id IS NOT NULL"), inside.select("node").distinct())
+        links = written(_verified(_compared(with_first, classes, threshold), sets, threshold))
+        inside = inside.filter("n > 2").select("bucket", "band", "n", "node")  # pairs are done
+        marked = _marked(inside, links)
+        links = written(links.unionByName(_verified(_compared(_to_hubs(marked, links), classes, threshold), sets, threshold)))
+        members = _marked(marked.select("bucket", "band", "n", "node"), links).join(classes.select("node", "signature"), "node").join(sets, "node")
+        links = links.unionByName(_block_links(members, threshold))
     # rows of one document under several digests hold together by their doc_id; classes by their digest
     of_class = whole.select("doc_id", "digest").join(classes.select("digest", "node"), "digest").filter("doc_id != node").select(
         F.col("doc_id").alias("a"),
         F.col("node").alias("b"),
     )
-    found = components(links.unionByName(of_class))
+    with small_batches(docs.sparkSession):
+        found = components(links.unionByName(of_class))
     rows = sketched.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return rows.select(
         "doc_id",

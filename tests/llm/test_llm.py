@@ -27,6 +27,33 @@ def by_row(rows, key=repr):
     return sorted(map(tuple, rows), key=key)
 
 
+def test_settings_hold_while_tables_are_written_and_are_back_afterwards(spark):
+    from pulsegrid.llm import common
+
+    keys = [k for k, *_ in common._BATCHES]
+    before = [spark.conf.get(k) for k in keys]
+    with common.small_batches(spark):
+        assert [spark.conf.get(k) for k in keys] == [v for *_, v in common._BATCHES]
+    assert [spark.conf.get(k) for k in keys] == before == [d for _, d, _ in common._BATCHES]
+    seen = []
+    asked = common.written
+
+    def spy(df, *a):
+        seen.append([df.sparkSession.conf.get(k) for k in keys])
+        return asked(df, *a)
+
+    minhash.written = spy
+    try:
+        minhash.near_duplicates(frame(spark, ROWS)).count()
+    finally:
+        minhash.written = asked
+    assert seen and all(s == [v for *_, v in common._BATCHES] for s in seen)
+    spark.conf.set(keys[0], "8m")  # a choice of the caller's stays
+    with common.small_batches(spark):
+        assert spark.conf.get(keys[0]) == "8m"
+    spark.conf.unset(keys[0])
+
+
 # 1
 
 
