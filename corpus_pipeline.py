@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import byte_bpe, language_id, line_dedup, minhash, mixing
-from pulsegrid.llm.common import put_aside, table, written
+from pulsegrid.llm.common import put_aside, small_batches, table, written
 
 #: Least posterior of a text's language.
 LEAST_SCORE = 0.5
@@ -23,7 +23,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.fit(docs, learns=F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
     rows, back = put_aside(docs, text="text")  # columns of docs may be called like those made on the way
     found = language_id.predict(rows, model)
-    return found.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*back)
+    kept = found.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*back)
+    with small_batches(spark):
+        return written(kept)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
