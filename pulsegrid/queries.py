@@ -851,6 +851,23 @@ def stream_counts(spark, sf_dir):
     return streams.drained(closed.select("key", F.floor(F.unix_seconds("window.start") / o.HOUR).alias("second"), "n"), "stream_counts")
 
 
+@query(_R + f"SELECT key, second, n FROM c WHERE key <> 'error' AND second <= {_CLOSED}")
+def stream_commands(spark, sf_dir):
+    """Counts of a stream in which commands are not counted but move the watermark."""
+    rows = _stream(spark, sf_dir).withColumn("counted", F.col("event_type") != "error")
+    closed = detector.bucket_counts(rows, "event_type", "at", CFG)
+    return streams.drained(closed.select("key", F.floor(F.unix_seconds("window.start") / o.HOUR).alias("second"), "n"), "stream_commands")
+
+
+@query(_M + "SELECT user_id AS broadcaster_id, ms + event_id % 7 AS timestamp, ms AS sent_at, event_id::VARCHAR AS message_id, text FROM m")
+def capture_stored(spark, sf_dir):
+    """Messages that a stream appends to files, in two runs."""
+    rows = messages.parse(lines(spark, sf_dir).drop("event_id"))
+    for stream, folder in streams.arriving(rows, F.pmod(F.xxhash64("message_id"), F.lit(2)), 2):
+        streams.capture(stream, f"{folder}/captured", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.schema(messages.MESSAGE).json(f"{folder}/captured").select("broadcaster_id", "timestamp", "sent_at", "message_id", "text")
+
+
 @query(_e() + f"SELECT {_EPISODE} FROM episodes WHERE fired_at <= {_CLOSED}")
 def stream_anomalies(spark, sf_dir):
     rows = detector.episodes(detector.bucket_counts(_stream(spark, sf_dir), "event_type", "at", CFG), CFG)
@@ -914,6 +931,28 @@ def upsert_stored(spark, sf_dir):
     return kept.read()
 
 
+@query(f"WITH {_CLIPS} SELECT clip_id, broadcaster_id, detected_at FROM cl")
+def clips_stored(spark, sf_dir):
+    """Clips of a stream in three batches, each twice, put into a stored table that has some of them."""
+    rows = clip_rows(spark, sf_dir)
+    kept = versioned.VersionedTable(spark, f"{streams.shared_folder(spark)}/clips", "clip_id long, broadcaster_id long, detected_at long", ["clip_id"])
+    some = rows.filter("intensity < 5").select(*kept.schema.names)
+    kept.merge(some, lambda old, new: new, "load", 0)
+    twice = rows.unionByName(rows).select(F.col("clip_id").cast("long").alias("clip_id"), F.col("broadcaster_id").cast("long").alias("broadcaster_id"), "detected_at")
+    for stream, folder in streams.arriving(twice, _thirds("detected_at"), 3):
+        streams.merge_stream(stream, kept, lambda old, new: old.unionByName(clips.new_clips(new, old)), "clips", f"{folder}/checkpoint").awaitTermination()
+    return kept.read()
+
+
+@query(f"WITH {_KEYED}, {_STREAMERS} SELECT streamer_id, streamer_login, CASE WHEN streamer_id IN (SELECT key FROM ou JOIN k USING (anomaly_id) WHERE disabled) THEN false ELSE allows_clipping END AS allows_clipping FROM sr")
+def flags_stored(spark, sf_dir):
+    """Channels of a stored table after the flags that follow from outcomes."""
+    kept = versioned.VersionedTable(spark, f"{streams.shared_folder(spark)}/streamers", "streamer_id long, streamer_login string, allows_clipping boolean", ["streamer_id"])
+    kept.merge(streamers(spark, sf_dir), lambda old, new: new, "load", 0)
+    kept.merge(_applied(spark, sf_dir)[1], clips.disable_clipping, "outcomes", 0)
+    return kept.read()
+
+
 @query("SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL")
 def key_counters_stored(spark, sf_dir):
     """Running totals of a stream in three batches, of which changed ones are put into a stored table."""
