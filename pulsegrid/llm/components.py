@@ -32,17 +32,21 @@ def _mark(edges: DataFrame) -> tuple:
 
 
 def _large(edges: DataFrame) -> DataFrame:
-    """Edges a > b: every neighbour above a node is hung under the node's smallest neighbour, or under the node if that is smaller."""
+    """Edges a > b: every neighbour above a node is hung under the node's smallest neighbour, or under the node if that is smaller.
+
+    Only nodes with a smaller neighbour hand their larger ones on; the centre of a star has none, so its many edges meet
+    a table that it is not in, and which gets small as rounds go on.
+    """
     both = edges.select(F.col("b").alias("node"), F.col("a").alias("other")).unionByName(
         edges.select(F.col("a").alias("node"), F.col("b").alias("other"))
     )
-    least = both.groupBy("node").agg(F.min("other").alias("low"))
+    least = both.groupBy("node").agg(F.min("other").alias("low")).filter("low < node")
     up = edges.select(F.col("b").alias("node"), F.col("a").alias("other"))
-    return up.join(least, "node").select(F.col("other").alias("a"), F.least("node", "low").alias("b"))
+    return up.join(least, "node", "left").select(F.col("other").alias("a"), F.coalesce("low", "node").alias("b"))
 
 
 def _small(edges: DataFrame) -> DataFrame:
-    """Edges a > b: a and its smaller neighbours are hung under the smallest of them."""
-    least = edges.groupBy("a").agg(F.min("b").alias("low"))
-    moved = edges.join(least, "a").filter("b != low").select(F.col("b").alias("a"), F.col("low").alias("b"))
+    """Edges a > b: a and its smaller neighbours are hung under the smallest of them; with one there is nothing to do."""
+    least = edges.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high"))
+    moved = edges.join(least.filter("low < high").select("a", "low"), "a").filter("b != low").select(F.col("b").alias("a"), F.col("low").alias("b"))
     return moved.unionByName(least.select("a", F.col("low").alias("b"))).distinct()

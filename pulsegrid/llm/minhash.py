@@ -158,7 +158,7 @@ def _to_hubs(marked: DataFrame, links: DataFrame) -> DataFrame:
     known = marked.join(degree, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
     best = known.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("node")).alias("minus"), "label")).alias("hub"))
     far = known.join(best, "bucket").filter("label != hub.label").withColumn("hub_node", -F.col("hub.minus"))
-    return far.select(F.greatest("node", "hub_node").alias("a"), F.least("node", "hub_node").alias("b")).distinct()
+    return far.select(F.col("node").alias("a"), F.col("hub_node").alias("b")).distinct()
 
 
 def _alike(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
@@ -246,20 +246,33 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose full sets have at least the threshold's similarity."""
-    left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
+    """The pairs (a, b) whose full sets have at least the threshold's similarity.
+
+    b may be in very many pairs: they are dealt out in blocks of about `BLOCK`, and its set travels once for each block.
+    """
+    blocks = pairs.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    dealt = pairs.join(blocks, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("blocks")).alias("block"))
+    members = dealt.join(sets.withColumnRenamed("node", "a"), "a").select("b", "block", "a", "shingles")
+    own = blocks.join(sets.withColumnRenamed("node", "b"), "b").select(
+        "b",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"),
+        F.lit(None).cast("long").alias("a"),  # sorts before the members
+        "shingles",
+    )
 
     def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, base = None, np.zeros(0, dtype=np.uint64)
         for batch in batches:
-            good = [
-                _alike(
-                    *(np.frombuffer(z.as_buffer(), dtype=np.uint64) for z in pair),
-                    threshold,
-                ) for pair in zip(batch.column(2), batch.column(3), strict=True)
-            ]
-            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
-
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(check, _PAIR)
+            found = []
+            for b, block, a, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if a is None:
+                    now, base = (b, block), np.frombuffer(raw, dtype=np.uint64)
+                elif now == (b, block) and _alike(np.frombuffer(raw, dtype=np.uint64), base, threshold):
+                    found.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    rows = members.unionByName(own).repartition("b", "block").sortWithinPartitions("b", "block", "a")
+    return rows.mapInArrow(check, _PAIR)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.75) -> DataFrame:

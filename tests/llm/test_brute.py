@@ -170,3 +170,25 @@ def test_op3_of_the_largest_given_table(spark):
         counts += ((some / np.linalg.norm(some, axis=1)[:, None]) @ asked.T >= 0.95).sum(axis=0)
     got = {r["vec_id"]: r["n_links"] for r in QUERIES["op3_pivots"](spark, folder).filter("vec_id % 100 = 0").collect()}
     assert [got[i] for i, _ in rows] == (counts - 1).tolist()
+
+
+def test_op8_of_one_text_that_is_like_a_third_of_all(spark):
+    """A hub with hundreds of near copies, which are not near to each other; pairs of the hub are dealt to blocks."""
+    import random
+
+    from pulsegrid.llm import minhash
+
+    draw = random.Random(9)
+    say = lambda n: [draw.choice("abcdefghijklmnopqrstuvwxyz") + str(draw.randint(0, 999)) for _ in range(n)]
+    base = say(80)
+    rows = [(1, " ".join(base), None, None, 0)]
+    for d in range(2, 420):
+        text = list(base)
+        at = draw.randint(0, 70)
+        text[at : at + 4] = say(4)
+        rows.append((d, " ".join(text) if d % 3 else " ".join(say(80)), None, None, 0))
+    got = minhash.near_duplicates(frame(spark, rows).repartition(4))
+    sets = {d: {tuple(w[i : i + 5]) for w in [t.split()] for i in range(len(w) - 4)} for d, t, *_ in rows}
+    linked = {d for d in sets if d == 1 or 100 * len(sets[1] & sets[d]) >= 75 * len(sets[1] | sets[d])}
+    assert len(linked) > 2 * minhash.BLOCK // 2
+    assert {r["doc_id"] for r in got.filter("component_id = 1").collect()} == linked
