@@ -32,7 +32,15 @@ _HEAD_WORDS = frozenset(["header"])
 _NEGATED = frozenset("has no with without".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An element that begins closes an open one of these, up to the nearest of the second set.
-_CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select", "datalist"})}
+_CLOSES = {
+    "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
+    "dt": ({"dt", "dd"}, {"dl"}),
+    "dd": ({"dt", "dd"}, {"dl"}),
+    "tr": ({"tr"}, {"table"}),
+    "td": ({"td", "th"}, {"tr", "table"}),
+    "th": ({"td", "th"}, {"tr", "table"}),
+    "option": ({"option"}, {"select", "datalist"}),
+}
 _P_STAYS = frozenset("html body td th caption button object".split())
 
 _TAG = re.compile(

@@ -241,8 +241,10 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame
     size = F.coalesce(F.octet_length(F.col(f"`{html}`")), F.lit(0)).cast("long")
     rows = pages.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(kept)], host(F.col(f"`{url}`")).alias("host"), F.col(f"`{html}`").alias("html"), size.alias("size"))
     hosts = written(rows.groupBy("host").agg(F.sum("size").alias("size")))
-    large = hosts.filter((F.col("size") > BLOCK_BYTES) & (F.col("host") != "")).select(F.col("host").alias("split_host"), F.ceil(F.col("size") / BLOCK_BYTES).cast("int").alias("slices"))
-    total, split, many = hosts.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum(F.when((F.col("size") > BLOCK_BYTES) & (F.col("host") != ""), F.col("size"))), F.lit(0)), F.count_if((F.col("size") > BLOCK_BYTES) & (F.col("host") != ""))).first()
+    splits = (F.col("size") > BLOCK_BYTES) & (F.col("host") != "")
+    large = hosts.filter(splits).select(F.col("host").alias("split_host"), F.ceil(F.col("size") / BLOCK_BYTES).cast("int").alias("slices"))
+    sum_of = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    total, split, many = hosts.agg(sum_of(F.col("size")), sum_of(F.when(splits, F.col("size"))), F.count_if(splits)).first()
     bins, parts = max(1, -(-(total - split) // BLOCK_BYTES)), max(1, -(-2 * split // LIST_BYTES))
     dealt = rows.join(F.broadcast(large) if many <= FEW_HOSTS else large, F.col("host") == F.col("split_host"), "left")
     whole = F.xxhash64("html", *[f"k{i}" for i, c in enumerate(kept) if c == url])

@@ -122,10 +122,14 @@ WITH d AS (SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '')) AS digest,
 c AS (SELECT *, length(bin(size)) * 8 + ((size >> greatest(length(bin(size)) - 4, 0)) & 7) AS size_class FROM d),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM c GROUP BY source),
 w AS (SELECT source, source_size, ((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::BIGINT AS weight, source_size * 3.0::DOUBLE AS full_size FROM s),
-l AS (SELECT *, full_size / weight AS full_at, ((sum(source_size) OVER ())::BIGINT - coalesce(sum(full_size) OVER (ORDER BY full_size / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)) / (sum(weight) OVER (ORDER BY full_size / weight, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS level FROM w),
+l AS (SELECT *, full_size / weight AS full_at, ((sum(source_size) OVER ())::BIGINT - coalesce(sum(full_size) OVER (ORDER BY full_size / weight, source
+IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)) / (sum(weight) OVER (ORDER BY full_size / weight, source IS NULL, source ROWS
+BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS level FROM w),
 a AS (SELECT *, max(CASE WHEN level <= full_at THEN level END) OVER () AS at_level FROM l),
-t AS (SELECT source, source_size, least(full_size, CASE WHEN at_level IS NULL OR full_at < at_level THEN full_size ELSE weight * at_level END) AS target, ('0x' || substr(md5('{SEED}:' || coalesce(source, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS random_offset FROM a),
+t AS (SELECT source, source_size, least(full_size, CASE WHEN at_level IS NULL OR full_at < at_level THEN full_size ELSE weight * at_level END) AS
+target, ('0x' || substr(md5('{SEED}:' || coalesce(source, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS random_offset FROM a),
 p AS (SELECT doc_id, source, size, row_number() OVER (PARTITION BY source ORDER BY size_class, digest, size) AS place FROM c),
-e AS (SELECT p.doc_id, p.size, p.place, t.source_size, t.target, t.random_offset, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS expected FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source)
+e AS (SELECT p.doc_id, p.size, p.place, t.source_size, t.target, t.random_offset, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0
+END AS expected FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, (least(floor(place * expected + random_offset) - floor((place - 1) * expected + random_offset), 3) * size)::BIGINT AS taken FROM e
 """

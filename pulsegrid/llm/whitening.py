@@ -123,7 +123,8 @@ def _summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             totals[width] = [a + b for a, b in zip(totals.get(width, [0] * (width + 1)), now, strict=True)]
     for width, values in totals.items():
         n = len(values)
-        yield pa.RecordBatch.from_arrays([pa.array([width] * n, pa.int32()), pa.array(range(-1, n - 1), pa.int32()), pa.array([0] * n, pa.int32()), _exact(values)], names=_SUMS.names)
+        columns = [pa.array(x, pa.int32()) for x in ([width] * n, range(-1, n - 1), [0] * n)]
+        yield pa.RecordBatch.from_arrays([*columns, _exact(values)], names=_SUMS.names)
 
 
 def _products(x: np.ndarray) -> np.ndarray:
@@ -149,8 +150,9 @@ def _moments(fit: DataFrame, width: int, means: np.ndarray) -> list[list[int]]:
             now = _products(_matrix(batch.column(0), width) - means)
             total = now if total is None else total + now
         if total is not None:
-            i, j = np.triu_indices(width)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), width, dtype=np.int32)), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), _exact(total[i, j].tolist())], names=_SUMS.names)
+            i, j = (x.astype(np.int32) for x in np.triu_indices(width))
+            columns = [pa.array(np.full(len(i), width, dtype=np.int32)), pa.array(i), pa.array(j), _exact(total[i, j].tolist())]
+            yield pa.RecordBatch.from_arrays(columns, names=_SUMS.names)
 
     out = [[0] * width for _ in range(width)]
     for r in fit.mapInArrow(run, _SUMS).groupBy("i", "j").agg(F.sum("value").alias("value")).collect():
