@@ -32,7 +32,8 @@ def relative_time(then_ms: Column, now_ms: Column | int) -> Column:
     hours, days = F.floor(minutes / 60), F.floor(minutes / 1440)
     ago = lambda n, unit: F.concat(n.cast("string"), F.lit(f" {unit}"), F.when(n == 1, "").otherwise("s"), F.lit(" ago"))
     date = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(then_ms / 86_400_000).cast("int")).cast("string")
-    return F.when(then_ms.isNull(), "Unknown time").when(minutes < 1, "Just now").when(minutes < 60, ago(minutes, "minute")).when(hours < 24, ago(hours, "hour")).when(days < 7, ago(days, "day")).otherwise(date)
+    words = F.when(then_ms.isNull(), "Unknown time").when(minutes < 1, "Just now").when(minutes < 60, ago(minutes, "minute"))
+    return words.when(hours < 24, ago(hours, "hour")).when(days < 7, ago(days, "day")).otherwise(date)
 
 
 def count_label(n: Column, level: Column, top: float = LEVELS[0][0]) -> Column:

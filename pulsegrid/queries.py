@@ -178,7 +178,8 @@ def ingest_lag(spark, sf_dir):
 
 
 @query(
-    _M + "SELECT count(*) AS rows_read, 0.0::DOUBLE AS unparsed_share, 0.0::DOUBLE AS no_sent_at_share, min(event_id % 7)::BIGINT AS lag_min, quantile_cont(event_id % 7, 0.5)::DOUBLE AS lag_p50, max(event_id % 7)::BIGINT AS lag_max FROM m"
+    _M + "SELECT count(*) AS rows_read, 0.0::DOUBLE AS unparsed_share, 0.0::DOUBLE AS no_sent_at_share, min(event_id % 7)::BIGINT AS lag_min, "
+    "quantile_cont(event_id % 7, 0.5)::DOUBLE AS lag_p50, max(event_id % 7)::BIGINT AS lag_max FROM m"
 )
 def source_contract(spark, sf_dir):
     return contract.report(lines(spark, sf_dir), "line")
@@ -262,7 +263,8 @@ def reading_status(spark, sf_dir):
 
 
 @query(
-    _R + f"SELECT round((max(second) - min(second)) * {o.HOUR} / 3600.0, 6) AS hours, round(count(*) * {o.HOUR} / 3600.0, 6) AS key_hours, count(DISTINCT key) AS keys FROM readings"
+    _R + f"SELECT round((max(second) - min(second)) * {o.HOUR} / 3600.0, 6) AS hours, round(count(*) * {o.HOUR} / 3600.0, 6) AS key_hours, count(DISTINCT key) AS "
+    f"keys FROM readings"
 )
 def span_hours(spark, sf_dir):
     return rounded(
@@ -298,7 +300,8 @@ _LATE_MS = "CASE WHEN event_type = 'click' THEN ms - 7200000 ELSE ms END"
 
 
 _AUDIT = (
-    _M + f", e AS (SELECT event_id, {_LATE_MS} AS event_ms FROM m), w AS (SELECT *, max(event_ms) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 5001 AS watermark_ms FROM e) SELECT event_id, event_ms, watermark_ms, coalesce(event_ms <= watermark_ms, false) AS late FROM w"
+    _M + f", e AS (SELECT event_id, {_LATE_MS} AS event_ms FROM m), w AS (SELECT *, max(event_ms) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 "
+    f"PRECEDING) - 5001 AS watermark_ms FROM e) SELECT event_id, event_ms, watermark_ms, coalesce(event_ms <= watermark_ms, false) AS late FROM w"
 )
 
 
@@ -341,7 +344,8 @@ def head_lines(spark, sf_dir):
 
 @query(_M + """, l AS (SELECT event_id, user_id, ms + event_id % 7 AS t FROM m WHERE event_id % 50 <> 0)
 SELECT min(t) AS started_ms, max(t) AS ended_ms, (max(t) - min(t)) / 1000.0::DOUBLE AS seconds, count(*) AS messages, (SELECT count(*) FROM m WHERE event_id % 50 = 0) AS errors,
-round(count(*) / greatest((max(t) - min(t)) / 1000.0::DOUBLE, 1.0), 2) AS per_second, true AS has_sent_at, count(DISTINCT user_id) AS keys, 'broadcaster_id,message_id,sent_at,text,timestamp,user_name' AS sample_keys, true AS completed FROM l""")
+round(count(*) / greatest((max(t) - min(t)) / 1000.0::DOUBLE, 1.0), 2) AS per_second, true AS has_sent_at, count(DISTINCT user_id) AS keys,
+'broadcaster_id,message_id,sent_at,text,timestamp,user_name' AS sample_keys, true AS completed FROM l""")
 def capture_meta(spark, sf_dir):
     """What is told of a capture in which some lines are cut off."""
     line = F.when(F.col("event_id") % 50 == 0, F.substring("line", 1, 9)).otherwise(F.col("line"))
@@ -356,7 +360,10 @@ def _e(**lists) -> str:
     return f"WITH RECURSIVE {o.episodes(**lists)} "
 
 
-_EPISODE = "key, started_at, fired_at, peak_at, round(peak_intensity, 6) AS peak_intensity, peak_count, round(peak_mean, 6) AS peak_mean, round(peak_std, 6) AS peak_std, round(start_mean, 6) AS start_mean, round(start_std, 6) AS start_std, capped"
+_EPISODE = (
+    "key, started_at, fired_at, peak_at, round(peak_intensity, 6) AS peak_intensity, peak_count, round(peak_mean, 6) AS peak_mean, round(peak_std, 6) AS "
+    "peak_std, round(start_mean, 6) AS start_mean, round(start_std, 6) AS start_std, capped"
+)
 _DOUBLES = ("peak_intensity", "peak_mean", "peak_std", "start_mean", "start_std")
 
 
@@ -366,7 +373,8 @@ def episode_table(spark, sf_dir):
 
 
 @query(
-    _e() + f"SELECT key, peak_at * {o.HOUR * 1000} AS detected_at, peak_count AS message_count, round(peak_mean, 6) AS baseline_mean, round(peak_std, 6) AS baseline_std, round(peak_intensity, 6) AS intensity FROM episodes"
+    _e() + f"SELECT key, peak_at * {o.HOUR * 1000} AS detected_at, peak_count AS message_count, round(peak_mean, 6) AS baseline_mean, round(peak_std, 6) AS "
+    f"baseline_std, round(peak_intensity, 6) AS intensity FROM episodes"
 )
 def anomalies(spark, sf_dir):
     return rounded(episodes.anomalies(found(spark, sf_dir), o.HOUR), "baseline_mean", "baseline_std", "intensity")
@@ -379,7 +387,8 @@ _BAND = "CASE " + " ".join(
 
 
 @query(
-    _e(cooldown=(0,)) + f", ga AS (SELECT lead(started_at) OVER (PARTITION BY key ORDER BY started_at) - fired_at AS gap FROM episodes) SELECT {_BAND} AS band, count(*) AS n, min(gap) AS shortest, max(gap) AS longest, round(quantile_cont(gap::DOUBLE, 0.5), 6) AS median FROM ga WHERE gap IS NOT NULL GROUP BY band"
+    _e(cooldown=(0,)) + f", ga AS (SELECT lead(started_at) OVER (PARTITION BY key ORDER BY started_at) - fired_at AS gap FROM episodes) SELECT {_BAND} AS band, count(*) AS n, "
+    f"min(gap) AS shortest, max(gap) AS longest, round(quantile_cont(gap::DOUBLE, 0.5), 6) AS median FROM ga WHERE gap IS NOT NULL GROUP BY band"
 )
 def episode_gaps(spark, sf_dir):
     none = episodes.sweep(read(spark, sf_dir), study.params(spark, CFG, cooldown=[0]))
@@ -388,7 +397,10 @@ def episode_gaps(spark, sf_dir):
     return rounded(bands.withColumns({c: F.col(c).cast("long") for c in ("shortest", "longest")}), "median")
 
 
-_ALONE = ", nx AS (SELECT *, lead(started_at) OVER (PARTITION BY key ORDER BY started_at) AS nxt FROM episodes), alone AS (SELECT * FROM nx WHERE (nxt IS NULL OR nxt > fired_at + {h}) AND start_std > 0)"
+_ALONE = (
+    ", nx AS (SELECT *, lead(started_at) OVER (PARTITION BY key ORDER BY started_at) AS nxt FROM episodes), alone AS (SELECT * FROM nx WHERE (nxt IS NULL "
+    "OR nxt > fired_at + {h}) AND start_std > 0)"
+)
 
 
 @query(_e() + _ALONE.format(h=24) + " SELECT key, started_at, fired_at FROM alone")
@@ -397,7 +409,10 @@ def isolated_episodes(spark, sf_dir):
 
 
 @query(
-    _e(k=(o.K, 1.7)) + ", a AS (SELECT * FROM episodes WHERE k = 1.5), b AS (SELECT * FROM episodes WHERE k = 1.7) SELECT CASE WHEN b.key IS NULL THEN 'left' WHEN a.key IS NULL THEN 'right' ELSE 'both' END AS side, coalesce(a.key, b.key) AS key, coalesce(a.fired_at, b.fired_at) AS fired_at, coalesce(a.peak_at, b.peak_at) AS peak_at, round(a.peak_intensity - b.peak_intensity, 6) AS difference FROM a FULL JOIN b ON a.key = b.key AND a.fired_at = b.fired_at AND a.peak_at = b.peak_at WHERE a.key IS NULL OR b.key IS NULL OR abs(a.peak_intensity - b.peak_intensity) > 0.001"
+    _e(k=(o.K, 1.7)) + ", a AS (SELECT * FROM episodes WHERE k = 1.5), b AS (SELECT * FROM episodes WHERE k = 1.7) SELECT CASE WHEN b.key IS NULL THEN 'left' WHEN a.key IS "
+    "NULL THEN 'right' ELSE 'both' END AS side, coalesce(a.key, b.key) AS key, coalesce(a.fired_at, b.fired_at) AS fired_at, coalesce(a.peak_at, b.peak_at) "
+    "AS peak_at, round(a.peak_intensity - b.peak_intensity, 6) AS difference FROM a FULL JOIN b ON a.key = b.key AND a.fired_at = b.fired_at AND a.peak_at "
+    "= b.peak_at WHERE a.key IS NULL OR b.key IS NULL OR abs(a.peak_intensity - b.peak_intensity) > 0.001"
 )
 def parity_diff(spark, sf_dir):
     both = episodes.sweep(read(spark, sf_dir), study.params(spark, CFG, k=[o.K, 1.7]))
@@ -411,7 +426,9 @@ _KS = (1.0, 1.5, 2.0)
 h AS (SELECT s.k, count(*) FILTER (WHERE intensity >= s.k) AS high FROM readings, settings s GROUP BY s.k),
 e AS (SELECT k, count(*) AS episodes, quantile_cont(CASE WHEN start_mean > 0 THEN peak_count / {o.W}.0::DOUBLE / start_mean END, 0.5) AS ratio FROM episodes GROUP BY k),
 b AS (SELECT k, max(n) AS most, count(*) AS firing FROM (SELECT k, key, count(*) AS n FROM episodes GROUP BY k, key) GROUP BY k)
-SELECT h.k, round(high / n, 6) AS share, coalesce(episodes, 0) AS episodes, round(coalesce(episodes, 0) / n::DOUBLE, 6) AS per_key_hour, round(coalesce(episodes, 0) / width::DOUBLE * 24, 6) AS per_day, round(ratio, 6) AS median_ratio, round(coalesce(firing, 0) / keys, 6) AS firing_share, round(most / episodes, 6) AS busiest_share FROM h CROSS JOIN t LEFT JOIN e ON e.k = h.k LEFT JOIN b ON b.k = h.k""")
+SELECT h.k, round(high / n, 6) AS share, coalesce(episodes, 0) AS episodes, round(coalesce(episodes, 0) / n::DOUBLE, 6) AS per_key_hour,
+round(coalesce(episodes, 0) / width::DOUBLE * 24, 6) AS per_day, round(ratio, 6) AS median_ratio, round(coalesce(firing, 0) / keys, 6) AS
+firing_share, round(most / episodes, 6) AS busiest_share FROM h CROSS JOIN t LEFT JOIN e ON e.k = h.k LEFT JOIN b ON b.k = h.k""")
 def trigger_sweep(spark, sf_dir):
     return rounded(
         study.trigger_sweep(read(spark, sf_dir), CFG, list(_KS)),
@@ -430,13 +447,16 @@ _CAPS = (0, 2, 4, 8)
 @query(_e(cap=_CAPS) + f""", u AS (SELECT key, second, intensity, second - row_number() OVER (PARTITION BY key ORDER BY second) AS run FROM readings WHERE intensity >= {o.K}),
 v AS (SELECT key, second, max(intensity) OVER (PARTITION BY key, run ORDER BY second ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS full_peak FROM u),
 j AS (SELECT e.*, CASE WHEN capped THEN (full_peak - peak_intensity) / full_peak END AS loss FROM episodes e LEFT JOIN v ON v.key = e.key AND v.second = e.started_at)
-SELECT cap::BIGINT AS cap, count(*) AS episodes, count(*) FILTER (WHERE capped) AS capped, round(count(*) FILTER (WHERE capped) / count(*), 6) AS capped_share, round(quantile_cont(loss, 0.5), 6) AS median_loss, round(quantile_cont(loss, 0.95), 6) AS p95_loss FROM j GROUP BY cap""")
+SELECT cap::BIGINT AS cap, count(*) AS episodes, count(*) FILTER (WHERE capped) AS capped, round(count(*) FILTER (WHERE capped) / count(*), 6) AS
+capped_share, round(quantile_cont(loss, 0.5), 6) AS median_loss, round(quantile_cont(loss, 0.95), 6) AS p95_loss FROM j GROUP BY cap""")
 def cap_sweep(spark, sf_dir):
     return rounded(study.cap_sweep(read(spark, sf_dir), CFG, list(_CAPS)), "capped_share", "median_loss", "p95_loss")
 
 
 @query(
-    _e(cooldown=(0, 3, 6, 24)) + ", n AS (SELECT cooldown::BIGINT AS cooldown, count(*) AS episodes FROM episodes GROUP BY cooldown) SELECT cooldown, episodes, (SELECT episodes FROM n WHERE cooldown = 0) - episodes AS suppressed, round(((SELECT episodes FROM n WHERE cooldown = 0) - episodes) / (SELECT episodes FROM n WHERE cooldown = 0), 6) AS share FROM n"
+    _e(cooldown=(0, 3, 6, 24)) + ", n AS (SELECT cooldown::BIGINT AS cooldown, count(*) AS episodes FROM episodes GROUP BY cooldown) SELECT cooldown, episodes, (SELECT episodes FROM n "
+    "WHERE cooldown = 0) - episodes AS suppressed, round(((SELECT episodes FROM n WHERE cooldown = 0) - episodes) / (SELECT episodes FROM n WHERE cooldown "
+    "= 0), 6) AS share FROM n"
 )
 def cooldown_sweep(spark, sf_dir):
     return rounded(study.cooldown_sweep(read(spark, sf_dir), CFG, [3, 6, 24]), "share")
@@ -445,8 +465,12 @@ def cooldown_sweep(spark, sf_dir):
 _OFFSETS = (6, 12, 24, 48)
 
 
-@query(_e() + _ALONE.format(h=max(_OFFSETS)) + f""", w AS (SELECT "offset", a.start_mean, a.start_std, r.mean, r.std FROM alone a, (VALUES {", ".join(f"({x})" for x in _OFFSETS)}) t("offset"), readings r WHERE r.key = a.key AND r.second = a.fired_at + "offset" AND r.intensity IS NOT NULL)
-SELECT "offset", count(*) AS n, round(quantile_cont(mean / nullif(start_mean, 0), 0.5), 6) AS mean_ratio, round(quantile_cont(std / start_std, 0.5), 6) AS std_ratio, round(quantile_cont((std / nullif(mean, 0)) / nullif(start_std / nullif(start_mean, 0), 0), 0.5), 6) AS spread_ratio, round(quantile_cont(start_std / std, 0.5), 6) AS sensitivity, round(quantile_cont(start_std / std, 0.1), 6) AS sensitivity_p10 FROM w GROUP BY "offset" """)
+@query(_e() + _ALONE.format(h=max(_OFFSETS)) + f""", w AS (SELECT "offset", a.start_mean, a.start_std, r.mean, r.std FROM alone a, (VALUES {", ".join(f"({x})" for x in _OFFSETS)}) t("offset"), readings
+r WHERE r.key = a.key AND r.second = a.fired_at + "offset" AND r.intensity IS NOT NULL)
+SELECT "offset", count(*) AS n, round(quantile_cont(mean / nullif(start_mean, 0), 0.5), 6) AS mean_ratio, round(quantile_cont(std / start_std, 0.5),
+6) AS std_ratio, round(quantile_cont((std / nullif(mean, 0)) / nullif(start_std / nullif(start_mean, 0), 0), 0.5), 6) AS spread_ratio,
+round(quantile_cont(start_std / std, 0.5), 6) AS sensitivity, round(quantile_cont(start_std / std, 0.1), 6) AS sensitivity_p10 FROM w GROUP BY
+"offset" """)
 def recovery_curve(spark, sf_dir):
     rows = read(spark, sf_dir)
     return rounded(
@@ -459,8 +483,11 @@ def recovery_curve(spark, sf_dir):
     )
 
 
-@query(_e() + _ALONE.format(h=o.RETAINED) + f""", w AS (SELECT a.key, a.fired_at, r.second, r.intensity, r.window_count / {o.W}.0::DOUBLE AS level, r.mean, a.start_mean, a.start_std FROM alone a JOIN readings r ON r.key = a.key AND r.second > a.fired_at + {o.COOLDOWN} AND r.second <= a.fired_at + {o.RETAINED} WHERE r.intensity < {o.K}),
-v AS (SELECT key, fired_at, second, 'frozen' AS variant, (level - start_mean) / start_std AS x FROM w UNION ALL SELECT key, fired_at, second, 'spread', (level - mean) / start_std FROM w UNION ALL SELECT key, fired_at, second, 'excess', CASE WHEN start_mean > 0 THEN (level - mean) / nullif(start_std * mean / start_mean, 0) END FROM w),
+@query(_e() + _ALONE.format(h=o.RETAINED) + f""", w AS (SELECT a.key, a.fired_at, r.second, r.intensity, r.window_count / {o.W}.0::DOUBLE AS level, r.mean, a.start_mean, a.start_std FROM alone a
+JOIN readings r ON r.key = a.key AND r.second > a.fired_at + {o.COOLDOWN} AND r.second <= a.fired_at + {o.RETAINED} WHERE r.intensity < {o.K}),
+v AS (SELECT key, fired_at, second, 'frozen' AS variant, (level - start_mean) / start_std AS x FROM w UNION ALL SELECT key, fired_at, second,
+'spread', (level - mean) / start_std FROM w UNION ALL SELECT key, fired_at, second, 'excess', CASE WHEN start_mean > 0 THEN (level - mean) /
+nullif(start_std * mean / start_mean, 0) END FROM w),
 i AS (SELECT *, second - row_number() OVER (PARTITION BY key, fired_at, variant ORDER BY second) AS run FROM v WHERE x >= {o.K})
 SELECT variant, count(*) AS seconds, count(DISTINCT (key, fired_at, run)) AS runs FROM i GROUP BY variant""")
 def swallowed(spark, sf_dir):
@@ -473,13 +500,16 @@ _FRACTIONS = (0.8, 0.9, 0.95)
 
 @query(_e(gate=tuple(int(o.B * f) for f in _FRACTIONS)) + f""", f AS (SELECT * FROM (VALUES {", ".join(f"({x}::DOUBLE, {int(o.B * x)}::BIGINT)" for x in _FRACTIONS)}) t(fraction, gate)),
 a AS (SELECT max(observed) AS most FROM (SELECT *, second - row_number() OVER (PARTITION BY key ORDER BY second) AS run FROM readings) GROUP BY key, run)
-SELECT fraction, gate, (SELECT count(*) FROM readings WHERE observed < f.gate) AS blocked, round((SELECT count(*) FROM readings WHERE observed < f.gate) / (SELECT count(*) FROM readings), 6) AS blocked_share, (SELECT count(*) FROM a WHERE most < f.gate) AS never_clear, (SELECT count(*) FROM episodes e WHERE e.gate = f.gate) AS episodes, round((SELECT max(peak_intensity) FROM episodes e WHERE e.gate = f.gate), 6) AS max_peak FROM f""")
+SELECT fraction, gate, (SELECT count(*) FROM readings WHERE observed < f.gate) AS blocked, round((SELECT count(*) FROM readings WHERE observed <
+f.gate) / (SELECT count(*) FROM readings), 6) AS blocked_share, (SELECT count(*) FROM a WHERE most < f.gate) AS never_clear, (SELECT count(*) FROM
+episodes e WHERE e.gate = f.gate) AS episodes, round((SELECT max(peak_intensity) FROM episodes e WHERE e.gate = f.gate), 6) AS max_peak FROM f""")
 def gate_sweep(spark, sf_dir):
     return rounded(study.gate_sweep(read(spark, sf_dir), CFG, list(_FRACTIONS)), "blocked_share", "max_peak")
 
 
 @query(
-    _R + f"SELECT count(*) AS n, round(quantile_cont(intensity, 0.5), 6) AS p50, round(quantile_cont(intensity, 0.999), 6) AS p999, round(max(intensity), 6) AS max FROM readings WHERE status = 'ok' AND observed >= {o.GATE} AND observed < 45"
+    _R + f"SELECT count(*) AS n, round(quantile_cont(intensity, 0.5), 6) AS p50, round(quantile_cont(intensity, 0.999), 6) AS p999, round(max(intensity), 6) AS "
+    f"max FROM readings WHERE status = 'ok' AND observed >= {o.GATE} AND observed < 45"
 )
 def admitted_profile(spark, sf_dir):
     return rounded(study.admitted_profile(read(spark, sf_dir), o.GATE, 45), "p50", "p999", "max")
@@ -489,7 +519,8 @@ _CLIP = {"watermark": 5.0, "transport": 0.1, "before": 7200.0, "after": 60.0}
 
 
 @query(_e() + f""", d AS (SELECT delay, peak_at * {o.HOUR} - (fired_at * {o.HOUR} + 5.1 + delay) AS away FROM episodes, (VALUES (0.0::DOUBLE), (10.0), (3600.0)) t(delay))
-SELECT delay, count(*) AS episodes, round(count(*) FILTER (WHERE away BETWEEN -7200 AND 60) / count(*), 6) AS share, round(quantile_cont((away + 7200) / 7260.0, 0.5), 6) AS median_position FROM d GROUP BY delay""")
+SELECT delay, count(*) AS episodes, round(count(*) FILTER (WHERE away BETWEEN -7200 AND 60) / count(*), 6) AS share, round(quantile_cont((away + 7200)
+/ 7260.0, 0.5), 6) AS median_position FROM d GROUP BY delay""")
 def clip_coverage(spark, sf_dir):
     return rounded(study.clip_coverage(found(spark, sf_dir), [0.0, 10.0, 3600.0], o.HOUR, **_CLIP), "share", "median_position")
 
@@ -501,7 +532,8 @@ _STREAMERS = "sr AS (SELECT c_custkey AS streamer_id, c_name AS streamer_login,
 
 
 _SECOND_PAGE = (
-    f"WITH {_CLIPS}, {_STREAMERS}, p AS (SELECT * FROM cl WHERE intensity >= 9.0 ORDER BY detected_at DESC, clip_id DESC LIMIT 24 OFFSET 24) SELECT clip_id, broadcaster_id, detected_at, round(intensity, 6) AS intensity, streamer_login FROM p LEFT JOIN sr ON broadcaster_id = streamer_id"
+    f"WITH {_CLIPS}, {_STREAMERS}, p AS (SELECT * FROM cl WHERE intensity >= 9.0 ORDER BY detected_at DESC, clip_id DESC LIMIT 24 OFFSET 24) SELECT clip_id, "
+    f"broadcaster_id, detected_at, round(intensity, 6) AS intensity, streamer_login FROM p LEFT JOIN sr ON broadcaster_id = streamer_id"
 )
 
 
@@ -518,7 +550,8 @@ def clip_next_page(spark, sf_dir):
 
 
 @query(
-    f"WITH {_CLIPS} SELECT greatest(0, least(24, count(*) - 24))::BIGINT AS count, count(*) AS total_count, 24 + greatest(0, least(24, count(*) - 24)) < count(*) AS has_more FROM cl WHERE intensity >= 9.0"
+    f"WITH {_CLIPS} SELECT greatest(0, least(24, count(*) - 24))::BIGINT AS count, count(*) AS total_count, 24 + greatest(0, least(24, count(*) - 24)) < "
+    f"count(*) AS has_more FROM cl WHERE intensity >= 9.0"
 )
 def clip_page_summary(spark, sf_dir):
     return clips.page_summary(clip_rows(spark, sf_dir), offset=24)
@@ -536,9 +569,12 @@ _NOW = 1_706_659_200_000
 t AS (SELECT *, floor(mi / 60.0)::BIGINT AS ho, floor(mi / 1440.0)::BIGINT AS da FROM a)
 SELECT clip_id, CASE WHEN intensity >= 11 THEN 'Legendary' WHEN intensity >= 9 THEN 'Unhinged' WHEN intensity >= 7 THEN 'Popping Off' ELSE 'Unknown' END AS label,
 CASE WHEN intensity >= 11 THEN 11.0::DOUBLE WHEN intensity >= 9 THEN 9.0 WHEN intensity >= 7 THEN 7.0 ELSE 0.0 END AS threshold,
-CASE WHEN mi < 1 THEN 'Just now' WHEN mi < 60 THEN mi || ' minute' || CASE WHEN mi = 1 THEN '' ELSE 's' END || ' ago' WHEN ho < 24 THEN ho || ' hour' || CASE WHEN ho = 1 THEN '' ELSE 's' END || ' ago' WHEN da < 7 THEN da || ' day' || CASE WHEN da = 1 THEN '' ELSE 's' END || ' ago' ELSE strftime(make_timestamp(detected_at * 1000), '%Y-%m-%d') END AS age,
+CASE WHEN mi < 1 THEN 'Just now' WHEN mi < 60 THEN mi || ' minute' || CASE WHEN mi = 1 THEN '' ELSE 's' END || ' ago' WHEN ho < 24 THEN ho || ' hour'
+|| CASE WHEN ho = 1 THEN '' ELSE 's' END || ' ago' WHEN da < 7 THEN da || ' day' || CASE WHEN da = 1 THEN '' ELSE 's' END || ' ago' ELSE
+strftime(make_timestamp(detected_at * 1000), '%Y-%m-%d') END AS age,
 coalesce(streamer_login, 'Unknown Streamer') AS login, 'https://clips.example/' || clip_id || '?v=1&parent=localhost' AS embed,
-'&lt;b&gt;' || clip_id || '&lt;/b&gt;' AS escaped, strftime(make_timestamp(detected_at * 1000), '%Y-%m-%dT%H:%M:%S') || CASE WHEN detected_at % 1000 <> 0 THEN '.' || lpad((detected_at % 1000)::VARCHAR, 3, '0') || '000' ELSE '' END || '+00:00' AS detected FROM t""")
+'&lt;b&gt;' || clip_id || '&lt;/b&gt;' AS escaped, strftime(make_timestamp(detected_at * 1000), '%Y-%m-%dT%H:%M:%S') || CASE WHEN detected_at % 1000
+<> 0 THEN '.' || lpad((detected_at % 1000)::VARCHAR, 3, '0') || '000' ELSE '' END || '+00:00' AS detected FROM t""")
 def clip_cards(spark, sf_dir):
     rows = clip_rows(spark, sf_dir).join(streamers(spark, sf_dir).withColumnRenamed("streamer_id", "broadcaster_id"), "broadcaster_id", "left")
     text = F.col("clip_id").cast("string")
@@ -555,7 +591,8 @@ def clip_cards(spark, sf_dir):
 
 
 @query(
-    f"WITH {_CLIPS} SELECT level, n, n || CASE WHEN n = 1 THEN ' clip at ' ELSE ' clips at ' END || level::INTEGER || CASE WHEN level < 11 THEN ' or higher' ELSE '' END AS label FROM (SELECT level, (SELECT count(*) FROM cl WHERE intensity >= level) AS n FROM (VALUES (11.0::DOUBLE), (9.0), (7.0)) t(level))"
+    f"WITH {_CLIPS} SELECT level, n, n || CASE WHEN n = 1 THEN ' clip at ' ELSE ' clips at ' END || level::INTEGER || CASE WHEN level < 11 THEN ' or higher' "
+    f"ELSE '' END AS label FROM (SELECT level, (SELECT count(*) FROM cl WHERE intensity >= level) AS n FROM (VALUES (11.0::DOUBLE), (9.0), (7.0)) t(level))"
 )
 def count_labels(spark, sf_dir):
     return clips.level_counts(clip_rows(spark, sf_dir)).withColumn("label", cards.count_label(F.col("n"), F.col("level")))
@@ -570,7 +607,8 @@ def insert_absent(spark, sf_dir):
 
 
 @query(
-    f"WITH {_CLIPS} SELECT (SELECT count(*) FROM cl WHERE NOT coalesce(intensity < 5, false))::BIGINT AS inserted, 2 * (SELECT count(*) FROM cl) - (SELECT count(*) FROM cl WHERE NOT coalesce(intensity < 5, false))::BIGINT AS conflicts"
+    f"WITH {_CLIPS} SELECT (SELECT count(*) FROM cl WHERE NOT coalesce(intensity < 5, false))::BIGINT AS inserted, 2 * (SELECT count(*) FROM cl) - (SELECT "
+    f"count(*) FROM cl WHERE NOT coalesce(intensity < 5, false))::BIGINT AS conflicts"
 )
 def insert_report(spark, sf_dir):
     rows = clip_rows(spark, sf_dir)
@@ -578,7 +616,8 @@ def insert_report(spark, sf_dir):
 
 
 @query(
-    f"WITH {_CLIPS}, {_STREAMERS} SELECT streamer_id, streamer_login, CASE WHEN streamer_id IN (SELECT broadcaster_id FROM cl WHERE intensity >= 11) THEN false ELSE allows_clipping END AS allows_clipping FROM sr"
+    f"WITH {_CLIPS}, {_STREAMERS} SELECT streamer_id, streamer_login, CASE WHEN streamer_id IN (SELECT broadcaster_id FROM cl WHERE intensity >= 11) THEN "
+    f"false ELSE allows_clipping END AS allows_clipping FROM sr"
 )
 def clipping_flag(spark, sf_dir):
     high = clip_rows(spark, sf_dir).filter("intensity >= 11").select(F.col("broadcaster_id").alias("streamer_id"))
@@ -597,12 +636,20 @@ def key_counters(spark, sf_dir):
 
 # roster
 
-_POLLS = f"{_STREAMERS}, po AS (SELECT floor((epoch_us(ts) // 1000) / 86400000.0)::BIGINT * 86400000 AS poll_ms, user_id AS streamer_id, sum(round(value * 100)::BIGINT)::BIGINT AS viewers FROM events GROUP BY ALL)"
-_RANKS = f"{_POLLS}, el AS (SELECT * FROM po WHERE streamer_id NOT IN (SELECT streamer_id FROM sr WHERE NOT allows_clipping)), rk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY poll_ms ORDER BY viewers DESC, streamer_id) AS rank FROM el) WHERE rank <= 30)"
-_ROSTER = f"""{_RANKS}, gr AS (SELECT f.streamer_id, t.poll_ms FROM (SELECT streamer_id, min(poll_ms) AS first FROM rk GROUP BY streamer_id) f JOIN (SELECT DISTINCT poll_ms FROM po) t ON t.poll_ms >= f.first),
+_POLLS = (
+    f"{_STREAMERS}, po AS (SELECT floor((epoch_us(ts) // 1000) / 86400000.0)::BIGINT * 86400000 AS poll_ms, user_id AS streamer_id, sum(round(value * "
+    f"100)::BIGINT)::BIGINT AS viewers FROM events GROUP BY ALL)"
+)
+_RANKS = (
+    f"{_POLLS}, el AS (SELECT * FROM po WHERE streamer_id NOT IN (SELECT streamer_id FROM sr WHERE NOT allows_clipping)), rk AS (SELECT * FROM (SELECT *, "
+    f"row_number() OVER (PARTITION BY poll_ms ORDER BY viewers DESC, streamer_id) AS rank FROM el) WHERE rank <= 30)"
+)
+_ROSTER = f"""{_RANKS}, gr AS (SELECT f.streamer_id, t.poll_ms FROM (SELECT streamer_id, min(poll_ms) AS first FROM rk GROUP BY streamer_id) f JOIN (SELECT DISTINCT
+poll_ms FROM po) t ON t.poll_ms >= f.first),
 sg AS (SELECT gr.*, rk.rank, CASE WHEN rank <= 15 THEN 1 WHEN rank IS NULL THEN 0 END AS signal FROM gr LEFT JOIN rk USING (streamer_id, poll_ms)),
 ro AS (SELECT streamer_id, poll_ms, rank, coalesce(last_value(signal IGNORE NULLS) OVER (PARTITION BY streamer_id ORDER BY poll_ms), 0) = 1 AS joined FROM sg),
-pr AS (SELECT *, coalesce(lag(joined) OVER (PARTITION BY streamer_id ORDER BY poll_ms), false) AS was, max(CASE WHEN rank IS NOT NULL THEN poll_ms END) OVER (PARTITION BY streamer_id ORDER BY poll_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM ro)"""
+pr AS (SELECT *, coalesce(lag(joined) OVER (PARTITION BY streamer_id ORDER BY poll_ms), false) AS was, max(CASE WHEN rank IS NOT NULL THEN poll_ms
+END) OVER (PARTITION BY streamer_id ORDER BY poll_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM ro)"""
 
 
 def _ranks(spark, sf_dir) -> DataFrame:
@@ -624,14 +671,16 @@ def poll_rank(spark, sf_dir):
 
 
 @query(
-    f"WITH {_ROSTER} SELECT streamer_id, poll_ms, rank::INTEGER AS rank, joined FROM (SELECT *, lag(rank) OVER (PARTITION BY streamer_id ORDER BY poll_ms) AS before FROM ro) WHERE rank IS NOT NULL OR before IS NOT NULL"
+    f"WITH {_ROSTER} SELECT streamer_id, poll_ms, rank::INTEGER AS rank, joined FROM (SELECT *, lag(rank) OVER (PARTITION BY streamer_id ORDER BY poll_ms) "
+    f"AS before FROM ro) WHERE rank IS NOT NULL OR before IS NOT NULL"
 )
 def roster_state(spark, sf_dir):
     return _followed(spark, sf_dir)
 
 
 @query(
-    f"WITH {_ROSTER} SELECT streamer_id, poll_ms, CASE WHEN joined THEN 'join' ELSE 'leave' END AS change, CASE WHEN NOT joined THEN CASE WHEN streamer_id IN (SELECT streamer_id FROM sr WHERE NOT allows_clipping) THEN 'disabled' ELSE 'exited' END END AS reason FROM pr WHERE joined <> was"
+    f"WITH {_ROSTER} SELECT streamer_id, poll_ms, CASE WHEN joined THEN 'join' ELSE 'leave' END AS change, CASE WHEN NOT joined THEN CASE WHEN streamer_id "
+    f"IN (SELECT streamer_id FROM sr WHERE NOT allows_clipping) THEN 'disabled' ELSE 'exited' END END AS reason FROM pr WHERE joined <> was"
 )
 def roster_changes(spark, sf_dir):
     return roster.changes(_followed(spark, sf_dir), streamers(spark, sf_dir).filter("NOT allows_clipping"))
@@ -641,14 +690,17 @@ _DAY = 86_400_000
 
 
 @query(
-    f"WITH {_RANKS}, g AS (SELECT *, lag(poll_ms) OVER (PARTITION BY streamer_id ORDER BY poll_ms) AS prev FROM rk) SELECT 'online' AS event_type, g.streamer_id AS broadcaster_id, streamer_login AS broadcaster_login, rank::INTEGER AS rank, poll_ms // 1000 AS timestamp FROM g LEFT JOIN sr ON sr.streamer_id = g.streamer_id WHERE (prev IS NULL OR poll_ms - prev >= {2 * _DAY}) AND rank <= 15"
+    f"WITH {_RANKS}, g AS (SELECT *, lag(poll_ms) OVER (PARTITION BY streamer_id ORDER BY poll_ms) AS prev FROM rk) SELECT 'online' AS event_type, "
+    f"g.streamer_id AS broadcaster_id, streamer_login AS broadcaster_login, rank::INTEGER AS rank, poll_ms // 1000 AS timestamp FROM g LEFT JOIN sr ON "
+    f"sr.streamer_id = g.streamer_id WHERE (prev IS NULL OR poll_ms - prev >= {2 * _DAY}) AND rank <= 15"
 )
 def online_events(spark, sf_dir):
     return roster.online_events(_ranks(spark, sf_dir), ttl_ms=2 * _DAY)
 
 
 @query(
-    f"WITH {_ROSTER} SELECT 'offline' AS event_type, streamer_id AS broadcaster_id, 0 AS rank, poll_ms // 1000 AS timestamp FROM pr WHERE was AND rank IS NULL AND poll_ms - seen >= {_DAY}"
+    f"WITH {_ROSTER} SELECT 'offline' AS event_type, streamer_id AS broadcaster_id, 0 AS rank, poll_ms // 1000 AS timestamp FROM pr WHERE was AND rank IS "
+    f"NULL AND poll_ms - seen >= {_DAY}"
 )
 def offline_events(spark, sf_dir):
     return roster.offline_events(_followed(spark, sf_dir), ttl_ms=_DAY)
@@ -660,7 +712,10 @@ def active_gauge(spark, sf_dir):
 
 
 _UPSERT = (
-    f"WITH {_POLLS}, s AS (SELECT streamer_id, max(poll_ms) AS hi, min(poll_ms) AS lo FROM po GROUP BY 1) SELECT coalesce(sr.streamer_id, s.streamer_id) AS streamer_id, streamer_login, coalesce(allows_clipping, true) AS allows_clipping, least(CASE WHEN sr.streamer_id IS NULL THEN lo ELSE 1704240000000 END, coalesce(lo, 1704240000000)) AS first_seen_ms, greatest(CASE WHEN sr.streamer_id IS NULL THEN hi ELSE 1704240000000 END, coalesce(hi, 1704240000000)) AS last_seen_ms FROM sr FULL JOIN s ON s.streamer_id = sr.streamer_id"
+    f"WITH {_POLLS}, s AS (SELECT streamer_id, max(poll_ms) AS hi, min(poll_ms) AS lo FROM po GROUP BY 1) SELECT coalesce(sr.streamer_id, s.streamer_id) AS "
+    f"streamer_id, streamer_login, coalesce(allows_clipping, true) AS allows_clipping, least(CASE WHEN sr.streamer_id IS NULL THEN lo ELSE 1704240000000 "
+    f"END, coalesce(lo, 1704240000000)) AS first_seen_ms, greatest(CASE WHEN sr.streamer_id IS NULL THEN hi ELSE 1704240000000 END, coalesce(hi, "
+    f"1704240000000)) AS last_seen_ms FROM sr FULL JOIN s ON s.streamer_id = sr.streamer_id"
 )
 
 
@@ -691,7 +746,8 @@ def _counted(spark, sf_dir) -> DataFrame:
 def _lasting(rows: str, condition: str, lasts: int, by: str = "") -> str:
     part = f"PARTITION BY {by}" if by else ""
     more = f", {by}" if by else ""
-    return f"""h AS (SELECT *, coalesce({condition}, false) AS holds FROM {rows}), ru AS (SELECT *, row_number() OVER ({part} ORDER BY tick) - row_number() OVER (PARTITION BY holds{more} ORDER BY tick) AS run FROM h)
+    return f"""h AS (SELECT *, coalesce({condition}, false) AS holds FROM {rows}), ru AS (SELECT *, row_number() OVER ({part} ORDER BY tick) - row_number() OVER
+(PARTITION BY holds{more} ORDER BY tick) AS run FROM h)
 SELECT {by + ", " if by else ""}min(tick) AS start, max(tick) AS "end" FROM ru WHERE holds GROUP BY run{more} HAVING max(tick) - min(tick) >= {lasts}"""
 
 
@@ -712,7 +768,8 @@ def no_messages(spark, sf_dir):
 
 
 @query(
-    f"WITH {_COUNTED}, q AS (SELECT tick, sum(error) OVER w AS f, sum(purchase) OVER w AS ok FROM sp WINDOW w AS (ORDER BY tick RANGE BETWEEN {6 * _H - 1} PRECEDING AND CURRENT ROW)) SELECT tick, round(f / (ok + f + 0.001::DOUBLE), 6) AS ratio FROM q"
+    f"WITH {_COUNTED}, q AS (SELECT tick, sum(error) OVER w AS f, sum(purchase) OVER w AS ok FROM sp WINDOW w AS (ORDER BY tick RANGE BETWEEN {6 * _H - 1} "
+    f"PRECEDING AND CURRENT ROW)) SELECT tick, round(f / (ok + f + 0.001::DOUBLE), 6) AS ratio FROM q"
 )
 def failure_ratio(spark, sf_dir):
     return rounded(monitors.failure_ratio(_counted(spark, sf_dir), _H, 6 * _H, "error", "purchase"), "ratio")
@@ -726,7 +783,9 @@ def stalled(spark, sf_dir):
 
 
 @query(
-    f"WITH k AS (SELECT (floor((epoch_us(ts) // 1000) / 86400000.0)::BIGINT + 1) * 86400 AS tick, user_id, count(*) FILTER (WHERE event_type = 'signup') AS a, count(*) FILTER (WHERE event_type = 'purchase') AS p FROM events GROUP BY ALL) SELECT tick, count(*) AS firing, round(count(*) FILTER (WHERE p = 0) / count(*), 6) AS without_success FROM k WHERE a > 0 GROUP BY tick"
+    f"WITH k AS (SELECT (floor((epoch_us(ts) // 1000) / 86400000.0)::BIGINT + 1) * 86400 AS tick, user_id, count(*) FILTER (WHERE event_type = 'signup') AS "
+    f"a, count(*) FILTER (WHERE event_type = 'purchase') AS p FROM events GROUP BY ALL) SELECT tick, count(*) AS firing, round(count(*) FILTER (WHERE p = 0) "
+    f"/ count(*), 6) AS without_success FROM k WHERE a > 0 GROUP BY tick"
 )
 def success_share(spark, sf_dir):
     return rounded(monitors.success_share(_events(spark, sf_dir), 86_400, "signup", "purchase"), "without_success")
@@ -740,7 +799,8 @@ def rate_1m(spark, sf_dir):
 
 
 @query(
-    "SELECT (floor((epoch_us(ts) // 1000) / 300000.0)::BIGINT + 1) * 300 AS tick, count(*) FILTER (WHERE event_type = 'signup') AS signup, count(*) FILTER (WHERE event_type = 'purchase') AS purchase, count(*) FILTER (WHERE event_type = 'error') AS error FROM events GROUP BY 1"
+    "SELECT (floor((epoch_us(ts) // 1000) / 300000.0)::BIGINT + 1) * 300 AS tick, count(*) FILTER (WHERE event_type = 'signup') AS signup, count(*) FILTER "
+    "(WHERE event_type = 'purchase') AS purchase, count(*) FILTER (WHERE event_type = 'error') AS error FROM events GROUP BY 1"
 )
 def series_5m(spark, sf_dir):
     return monitors.tumbling(_events(spark, sf_dir), 300, "signup", "purchase", "error")
@@ -759,10 +819,12 @@ def metric_threshold(spark, sf_dir):
     )
 
 
-@query(f"""WITH RECURSIVE a AS (SELECT user_id::VARCHAR AS name, CASE WHEN event_type = 'error' THEN 'critical' ELSE 'warning' END AS severity, {_STEP} AS tick FROM events WHERE event_type IN ('error', 'view')),
+@query(f"""WITH RECURSIVE a AS (SELECT user_id::VARCHAR AS name, CASE WHEN event_type = 'error' THEN 'critical' ELSE 'warning' END AS severity, {_STEP} AS tick
+FROM events WHERE event_type IN ('error', 'view')),
 b AS (SELECT name, severity, tick, count(*) AS n FROM a WHERE severity = 'critical' OR (name, tick) NOT IN (SELECT (name, tick) FROM a WHERE severity = 'critical') GROUP BY ALL),
 sent(name, severity, tick) AS (SELECT name, severity, min(tick) FROM b GROUP BY ALL UNION ALL
-  SELECT s.name, s.severity, min(b.tick) FROM sent s JOIN b ON b.name = s.name AND b.severity = s.severity AND b.tick >= s.tick + CASE WHEN s.severity = 'critical' THEN 14400 ELSE 86400 END GROUP BY s.name, s.severity, s.tick)
+  SELECT s.name, s.severity, min(b.tick) FROM sent s JOIN b ON b.name = s.name AND b.severity = s.severity AND b.tick >= s.tick + CASE WHEN s.severity
+= 'critical' THEN 14400 ELSE 86400 END GROUP BY s.name, s.severity, s.tick)
 SELECT b.* FROM b JOIN sent USING (name, severity, tick)""")
 def alert_rollup(spark, sf_dir):
     rows = _events(spark, sf_dir).filter("kind IN ('error', 'view')").select(
@@ -789,11 +851,15 @@ def _log(spark, sf_dir) -> DataFrame:
     return rows.withColumn("phase", F.when(F.col("attempt_no") <= 3, "create").otherwise("metadata"))
 
 
-_OUTCOMES = f"""{_LOG}, x AS (SELECT *, status >= 400 OR status = 0 AS failed, NOT (status >= 400 OR status = 0) AND clip_id IS NOT NULL AS made, status IN (0, 408, 429, 500, 502, 503, 504) AS again FROM lo),
+_OUTCOMES = f"""{_LOG}, x AS (SELECT *, status >= 400 OR status = 0 AS failed, NOT (status >= 400 OR status = 0) AND clip_id IS NOT NULL AS made, status IN (0, 408,
+429, 500, 502, 503, 504) AS again FROM lo),
 y AS (SELECT anomaly_id, min(attempt_no) FILTER (WHERE phase = 'create' AND (made OR (failed AND NOT again))) AS stop FROM x GROUP BY 1),
 z AS (SELECT x.*, phase = 'create' AND (stop IS NULL OR attempt_no <= stop) AS counted FROM x JOIN y USING (anomaly_id)),
-oc AS (SELECT anomaly_id, min_by(clip_id, attempt_no) FILTER (WHERE counted AND made) AS clip_id, coalesce(bool_or(counted AND failed), false) AS err, max_by(status, attempt_no) FILTER (WHERE counted AND failed) AS lst, coalesce(bool_or(phase = 'metadata' AND made), false) AS meta FROM z GROUP BY 1),
-ou AS (SELECT anomaly_id, clip_id, clip_id IS NOT NULL AND meta AS found, CASE WHEN clip_id IS NOT NULL AND NOT meta THEN 'metadata_fetch' WHEN clip_id IS NULL THEN CASE WHEN err THEN 'api_error' ELSE 'max_retries' END END AS reason, clip_id IS NULL AND coalesce(lst = 403, false) AS disabled FROM oc)"""
+oc AS (SELECT anomaly_id, min_by(clip_id, attempt_no) FILTER (WHERE counted AND made) AS clip_id, coalesce(bool_or(counted AND failed), false) AS err,
+max_by(status, attempt_no) FILTER (WHERE counted AND failed) AS lst, coalesce(bool_or(phase = 'metadata' AND made), false) AS meta FROM z GROUP BY 1),
+ou AS (SELECT anomaly_id, clip_id, clip_id IS NOT NULL AND meta AS found, CASE WHEN clip_id IS NOT NULL AND NOT meta THEN 'metadata_fetch' WHEN
+clip_id IS NULL THEN CASE WHEN err THEN 'api_error' ELSE 'max_retries' END END AS reason, clip_id IS NULL AND coalesce(lst = 403, false) AS disabled
+FROM oc)"""
 
 
 @query(f"WITH {_OUTCOMES} SELECT * FROM ou")
@@ -802,7 +868,9 @@ def attempt_outcomes(spark, sf_dir):
 
 
 @query(
-    _e() + ", s AS (SELECT * FROM (VALUES ('create', 1, 0), ('create', 2, 2), ('create', 3, 6), ('metadata', 1, 11), ('metadata', 2, 21), ('metadata', 3, 36), ('metadata', 4, 66)) t(phase, attempt_no, after)) SELECT key || '-' || fired_at AS anomaly_id, phase, attempt_no, fired_at + after AS planned_at FROM episodes, s"
+    _e() + ", s AS (SELECT * FROM (VALUES ('create', 1, 0), ('create', 2, 2), ('create', 3, 6), ('metadata', 1, 11), ('metadata', 2, 21), ('metadata', 3, 36), "
+    "('metadata', 4, 66)) t(phase, attempt_no, after)) SELECT key || '-' || fired_at AS anomaly_id, phase, attempt_no, fired_at + after AS planned_at FROM "
+    "episodes, s"
 )
 def attempt_schedule(spark, sf_dir):
     rows = found(spark, sf_dir).select(F.concat_ws("-", "key", F.col("fired_at").cast("string")).alias("anomaly_id"), F.col("fired_at").alias("at"))
@@ -810,7 +878,8 @@ def attempt_schedule(spark, sf_dir):
 
 
 @query(
-    f"WITH {_OUTCOMES}, k AS (SELECT anomaly_id, min(key) AS key FROM lo GROUP BY 1) SELECT key, coalesce(reason, 'success') AS outcome, count(*) AS n FROM ou JOIN k USING (anomaly_id) GROUP BY ALL"
+    f"WITH {_OUTCOMES}, k AS (SELECT anomaly_id, min(key) AS key FROM lo GROUP BY 1) SELECT key, coalesce(reason, 'success') AS outcome, count(*) AS n FROM "
+    f"ou JOIN k USING (anomaly_id) GROUP BY ALL"
 )
 def outcome_apply(spark, sf_dir):
     return _applied(spark, sf_dir)[2]
@@ -1020,7 +1089,8 @@ def gate_again(spark, sf_dir):
 
 
 @query(_e() + """SELECT r.second, r.key, CASE WHEN e.key IS NULL THEN r.second || ' ' || r.key || ' no-spike'
-ELSE r.second || ' ' || r.key || ' SPIKE peak_at=' || e.peak_at || ' count=' || e.peak_count || printf(' mean=%.4f std=%.4f intensity=%.4f', e.peak_mean, e.peak_std, e.peak_intensity) END AS line
+ELSE r.second || ' ' || r.key || ' SPIKE peak_at=' || e.peak_at || ' count=' || e.peak_count || printf(' mean=%.4f std=%.4f intensity=%.4f',
+e.peak_mean, e.peak_std, e.peak_intensity) END AS line
 FROM readings r LEFT JOIN episodes e ON e.key = r.key AND e.fired_at = r.second ORDER BY r.second, r.key""")
 def replay_lines(spark, sf_dir):
     """A line for each evaluated bucket, by (second, key)."""
@@ -1039,7 +1109,9 @@ def replay_lines(spark, sf_dir):
 
 
 @query(f"""WITH {_RANKS}, g AS (SELECT *, lag(poll_ms) OVER (PARTITION BY streamer_id ORDER BY poll_ms) AS prev FROM rk)
-SELECT g.streamer_id::VARCHAR AS key, '{{"event_type":"online","broadcaster_id":' || g.streamer_id || CASE WHEN streamer_login IS NULL THEN '' ELSE ',"broadcaster_login":"' || streamer_login || '"' END || ',"rank":' || rank || ',"timestamp":' || poll_ms // 1000 || '}}' AS value
+SELECT g.streamer_id::VARCHAR AS key,
+'{{"event_type":"online","broadcaster_id":' || g.streamer_id || CASE WHEN streamer_login IS NULL THEN '' ELSE ',"broadcaster_login":"' || streamer_login || '"' END || ',"rank":' || rank || ',"timestamp":' || poll_ms // 1000 || '}}'
+AS value
 FROM g LEFT JOIN sr ON sr.streamer_id = g.streamer_id WHERE (prev IS NULL OR poll_ms - prev >= {2 * _DAY}) AND rank <= 15""")
 def lifecycle_payload(spark, sf_dir):
     """Online events as a keyed sink takes them."""
@@ -1062,7 +1134,9 @@ def delay_lists(spark, sf_dir):
 
 
 @query(
-    f"WITH {_CLIPS}, {_STREAMERS} SELECT clip_id, coalesce(streamer_login, 'Unknown Streamer') AS login, coalesce(streamer_login, 'Unknown') AS short_login, CASE WHEN clip_id % 3 = 0 THEN 'https://img.example/' || clip_id ELSE '/static/none.svg' END AS thumbnail FROM cl LEFT JOIN sr ON broadcaster_id = streamer_id AND streamer_id % 2 = 0"
+    f"WITH {_CLIPS}, {_STREAMERS} SELECT clip_id, coalesce(streamer_login, 'Unknown Streamer') AS login, coalesce(streamer_login, 'Unknown') AS short_login, "
+    f"CASE WHEN clip_id % 3 = 0 THEN 'https://img.example/' || clip_id ELSE '/static/none.svg' END AS thumbnail FROM cl LEFT JOIN sr ON broadcaster_id = "
+    f"streamer_id AND streamer_id % 2 = 0"
 )
 def card_defaults(spark, sf_dir):
     known = streamers(spark, sf_dir).filter("streamer_id % 2 = 0").withColumnRenamed("streamer_id", "broadcaster_id")
