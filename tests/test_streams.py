@@ -141,3 +141,33 @@ def test_walk_in_steps_equals_a_plain_fold():
         assert walk.over(end + 40, cfg) or walk.state.hold
         total += len(want)
     assert total > 50
+
+
+def test_kafka_options(spark):
+    """The options of the connector, which is not here: servers, topic, group and where to begin."""
+
+    class Reader:
+        def __init__(self):
+            self.options = {}
+
+        def format(self, kind):
+            self.kind = kind
+            return self
+
+        def option(self, key, value):
+            self.options[key] = value
+            return self
+
+        def load(self):
+            return self
+
+        def select(self, *columns):
+            self.columns = columns
+            return self
+
+    class Session:
+        readStream = Reader()
+
+    found = sources.kafka_lines(Session(), "a:9092,b:9092", "chat", "burst")
+    assert (found.kind, len(found.columns)) == ("kafka", 4)
+    assert found.options == {"kafka.bootstrap.servers": "a:9092,b:9092", "subscribe": "chat", "kafka.group.id": "burst", "startingOffsets": "latest"}
