@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsegrid.llm.common import add_columns, put_aside, slices, written
+from pulsegrid.llm.common import add_columns, put_aside, slices, small_batches, written
 
 LINE_WORDS, SENTENCE_WORDS = 5, 8
 #: Scripts without spaces: those of about two characters a word, and those of about four, which part phrases by spaces.
@@ -165,9 +165,11 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     """rank, same and spans of each document that has units to remove."""
     string = F.col(f"`{text}`")
     rows = docs.filter(string.isNotNull()).select(_rank(doc_id).alias("rank"), F.xxhash64(string).alias("same"), string.alias("text"))
-    found = rows.mapInArrow(_read, _UNITS)
     place = F.struct("rank", "same", "start")
-    # as a table, so that both sides of the join are dealt for it alone and a very frequent digest's rows can be split
+    # as tables, so that texts are cut once, both sides of the join are dealt for it alone, and a very frequent digest's
+    # rows can be split
+    with small_batches(docs.sparkSession):
+        found = written(rows.mapInArrow(_read, _UNITS))
     repeated = written(found.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first"))
     gone = found.join(repeated, "digest").filter(place != F.col("first"))
     return gone.groupBy("rank", "same").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
