@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsegrid.llm.common import add_columns, put_aside, slices, small_batches, written
+from pulsegrid.llm.common import add_columns, drop_written, put_aside, slices, small_batches, written
 
 LINE_WORDS, SENTENCE_WORDS = 5, 8
 #: Scripts without spaces: those of about two characters a word, and those of about four, which part phrases by spaces.
@@ -172,7 +172,10 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
         found = written(rows.mapInArrow(_read, _UNITS))
     repeated = written(found.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first"))
     gone = found.join(repeated, "digest").filter(place != F.col("first"))
-    return gone.groupBy("rank", "same").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    spans = written(gone.groupBy("rank", "same").agg(F.collect_set(F.struct("start", "stop")).alias("spans")))
+    drop_written(found)
+    drop_written(repeated)
+    return spans
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = 0) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsegrid.llm.common import Remembered, add_columns, put_aside, small_batches, written
+from pulsegrid.llm.common import Remembered, add_columns, drop_written, put_aside, small_batches, written
 from pulsegrid.llm.components import components
 from pulsegrid.llm.groups import key_runs
 
@@ -148,8 +148,11 @@ def _marked(inside: DataFrame, links: DataFrame) -> DataFrame:
     """The members of buckets that hold several components so far, each with its component as label."""
     found = components(links)
     labelled = written(inside.join(found, "node", "left").select("bucket", "band", "n", "node", F.coalesce("component", "node").alias("label")))
+    drop_written(found)
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("bucket")
-    return written(labelled.join(mixed, "bucket", "left_semi"))
+    out = written(labelled.join(mixed, "bucket", "left_semi"))
+    drop_written(labelled)
+    return out
 
 
 def _to_hubs(marked: DataFrame, links: DataFrame) -> DataFrame:
@@ -287,12 +290,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         inside = written(bands.join(shared, "bucket"))
         with_first = inside.filter("node != first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
         sets = _sets(named.filter("doc_id IS NOT NULL"), inside.select("node").distinct())
-        links = written(_verified(_compared(with_first, classes, threshold), sets, threshold))
-        inside = inside.filter("n > 2").select("bucket", "band", "n", "node")  # pairs are done
-        marked = _marked(inside, links)
-        links = written(links.unionByName(_verified(_compared(_to_hubs(marked, links), classes, threshold), sets, threshold)))
-        members = _marked(marked.select("bucket", "band", "n", "node"), links).join(classes.select("node", "signature"), "node").join(sets, "node")
-        links = links.unionByName(_block_links(members, threshold))
+        of_first = written(_verified(_compared(with_first, classes, threshold), sets, threshold))
+        # pairs are done
+        marked = _marked(inside.filter("n > 2").select("bucket", "band", "n", "node"), of_first)
+        of_hubs = written(of_first.unionByName(_verified(_compared(_to_hubs(marked, of_first), classes, threshold), sets, threshold)))
+        left = _marked(marked.select("bucket", "band", "n", "node"), of_hubs)
+        members = left.join(classes.select("node", "signature"), "node").join(sets, "node")
+        links = of_hubs.unionByName(_block_links(members, threshold))
     # rows of one document under several digests hold together by their doc_id; classes by their digest
     of_class = whole.select("doc_id", "digest").join(classes.select("digest", "node"), "digest").filter("doc_id != node").select(
         F.col("doc_id").alias("a"),
@@ -300,6 +304,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     )
     with small_batches(docs.sparkSession):
         found = components(links.unionByName(of_class))
+    for done in (classes, shared, inside, sets, of_first, marked, of_hubs, left):
+        drop_written(done)
     rows = sketched.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return rows.select(
         "doc_id",
