@@ -5,10 +5,13 @@ events: tick (integer time), kind, and key where it is needed. Counts are exact
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from pulsegrid.operators import scans
 from pulsegrid.sources.tables import written
@@ -103,43 +106,81 @@ def roll_up(alerts: DataFrame, repeat: dict[str, int], default: int) -> DataFram
     each = left.groupBy("name", "severity", "tick").agg(F.count("*").alias("n")).withColumn("_wait", wait.cast("long"))
     each = written(each.withColumn("_block", F.floor(F.col("tick") / (F.col("_wait") * BLOCK))))
 
-    def following(ticks: np.ndarray, wait: int) -> np.ndarray:
-        return np.searchsorted(ticks, ticks + wait)
-
-    def exits(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values("tick")
-        ticks, wait = block["tick"].to_numpy(), int(block["_wait"].iloc[0])
-        after, last = following(ticks, wait), ticks.copy()
-        for i in range(len(ticks) - 1, -1, -1):
-            if after[i] < len(ticks):
-                last[i] = last[after[i]]
-        begin = int(block["_block"].iloc[0]) * wait * BLOCK
-        some = np.arange(len(ticks)) <= np.searchsorted(ticks, begin + wait)  # a notice before the block bars no more than one interval of it
-        return block.assign(last=last)[some][["name", "severity", "_wait", "_block", "tick", "last"]]
-
-    def entries(group: pd.DataFrame) -> pd.DataFrame:
-        group, out, free = group.sort_values(["_block", "tick"]), [], None
-        for block, rows in group.groupby("_block", sort=True):
-            ticks = rows["tick"].to_numpy()
-            i = 0 if free is None else int(np.searchsorted(ticks, free))
-            if i < len(ticks):
-                out.append((block, ticks[i]))
-                free = int(rows["last"].iloc[i]) + int(rows["_wait"].iloc[i])
-        return pd.DataFrame({"name": group["name"].iloc[0], "severity": group["severity"].iloc[0], "_block": [b for b, _ in out], "entry": [t for _, t in out]})
-
-    def sent(block: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values("tick")
-        ticks, out = block["tick"].to_numpy(), []
-        if len(ticks) and len(entry):
-            after, i = following(ticks, int(block["_wait"].iloc[0])), int(np.searchsorted(ticks, entry["entry"].iloc[0]))
-            while i < len(ticks):
-                out.append(i)
-                i = after[i]
-        return block.iloc[out][["name", "severity", "tick", "n"]]
-
+    key = ["name", "severity", "_block"]
     kinds = {f.name: f.dataType.simpleString() for f in each.schema}
-    group = f"name {kinds['name']}, severity {kinds['severity']}"
-    candidates = each.groupBy("name", "severity", "_block").applyInPandas(exits, f"{group}, _wait long, _block long, tick long, last long")
-    firsts = candidates.groupBy("name", "severity").applyInPandas(entries, f"{group}, _block long, entry long")
-    keys = ["name", "severity", "_block"]
-    return each.groupBy(*keys).cogroup(firsts.groupBy(*keys)).applyInPandas(sent, f"{group}, tick long, n long")
+    group = f"name {kinds['name']}, severity {kinds['severity']}, _block long"
+    in_order = lambda df, by, *then: df.repartition(*by).sortWithinPartitions(*by, *then)
+
+    def exits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each block, alerts that can be its first notice, and the last one that is sent then."""
+        out: list[tuple] = []
+        for block, rows in _groups(batches, 3):
+            wait, ticks = rows[0][0], [t for _, t in rows]
+            last = list(ticks)
+            for i in range(len(ticks) - 1, -1, -1):
+                after = bisect_left(ticks, ticks[i] + wait, i)
+                if after < len(ticks):
+                    last[i] = last[after]
+            # a notice before the block bars no more than the first interval of it
+            many = bisect_left(ticks, (block[2] * BLOCK + 1) * wait) + 1
+            out += [(*block, wait, t, x) for t, x in zip(ticks[:many], last, strict=False)]
+            if len(out) > 10_000:
+                yield _batch(out, exits_schema)
+                out = []
+        yield _batch(out, exits_schema)
+
+    def entries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The first notice of each block, along each group."""
+        of, block, free = None, None, None
+        for batch in batches:
+            out = []
+            for name, severity, at, wait, tick, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if of != (name, severity):
+                    of, block, free = (name, severity), None, None
+                if at != block and (free is None or tick >= free):
+                    out.append((name, severity, at, tick))
+                    block, free = at, last + wait
+            yield _batch(out, entries_schema)
+
+    def sent(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Alerts of each block from its first notice on; n is null in the row that tells of that."""
+        of, free = None, None
+        for batch in batches:
+            out = []
+            for name, severity, block, n, wait, tick in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if n is None:
+                    of, free = (name, severity, block), tick
+                elif of == (name, severity, block) and tick >= free:
+                    out.append((name, severity, tick, n))
+                    free = tick + wait
+            yield _batch(out, sent_schema)
+
+    arrow = {f.name: f.type for f in to_arrow_schema(each.schema)}
+    fixed = [arrow["name"], arrow["severity"]]
+    exits_schema = pa.schema(list(zip(["name", "severity", "_block", "_wait", "tick", "last"], [*fixed, *[pa.int64()] * 4], strict=True)))
+    entries_schema = pa.schema(list(zip(["name", "severity", "_block", "tick"], [*fixed, *[pa.int64()] * 2], strict=True)))
+    sent_schema = pa.schema(list(zip(["name", "severity", "tick", "n"], [*fixed, *[pa.int64()] * 2], strict=True)))
+    candidates = in_order(each.select(*key, "_wait", "tick"), key, "tick").mapInArrow(exits, f"{group}, _wait long, tick long, last long")
+    firsts = in_order(candidates, ["name", "severity"], "_block", "tick").mapInArrow(entries, f"{group}, tick long")
+    told = firsts.select(*key, F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("_wait"), "tick")
+    rows = each.select(*key, "n", "_wait", F.col("tick").cast("long").alias("tick")).unionByName(told)
+    marked = in_order(rows.withColumn("_first", F.col("n").isNotNull()), key, "_first", "tick").drop("_first")
+    return marked.mapInArrow(sent, f"name {kinds['name']}, severity {kinds['severity']}, tick long, n long")
+
+
+def _groups(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Rows in a row that agree in their first `width` columns, and what else they hold; over batches."""
+    key, rows = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:width] != key:
+                if rows:
+                    yield key, rows
+                key, rows = row[:width], []
+            rows.append(row[width:])
+    if rows:
+        yield key, rows
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
