@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,13 +28,31 @@ def json_messages(spark: SparkSession, path: str, files_per_batch: int | None =
     return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).json(path)
 
 
+@contextmanager
+def _states_by_cores(spark: SparkSession) -> Iterator[None]:
+    """While a stream starts: a state partition for each core, where the session has more shuffle partitions than cores.
+
+    Each batch opens and commits the state of every partition, whether it has rows or not, which costs more than the rows of
+    a few keys. A checkpoint keeps the number that it began with.
+    """
+    key = "spark.sql.shuffle.partitions"
+    before = int(spark.conf.get(key))
+    spark.conf.set(key, min(before, spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def drained(stream: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """What a stream gives for all input there is now, as a table in a shared folder; called again with its folder, it goes on."""
     spark, folder = stream.sparkSession, folder or shared_folder(stream.sparkSession)
-    run = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option(
+    sink = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option(
         "checkpointLocation",
         f"{folder}/checkpoint",
-    ).outputMode("append").trigger(availableNow=True).queryName(name).start()
+    ).outputMode("append").trigger(availableNow=True).queryName(name)
+    with _states_by_cores(spark):
+        run = sink.start()
     run.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 

@@ -171,3 +171,18 @@ def test_kafka_options(spark):
     found = sources.kafka_lines(Session(), "a:9092,b:9092", "chat", "burst")
     assert (found.kind, len(found.columns)) == ("kafka", 4)
     assert found.options == {"kafka.bootstrap.servers": "a:9092,b:9092", "subscribe": "chat", "kafka.group.id": "burst", "startingOffsets": "latest"}
+
+
+def test_states_are_no_more_than_cores(spark, tmp_path):
+    """A drained stream keeps a state partition for each core, whatever the session's shuffle partitions, which are restored."""
+    before, key = spark.conf.get("spark.sql.shuffle.partitions"), "spark.sql.shuffle.partitions"
+    spark.conf.set(key, "23")
+    try:
+        counted = detector.bucket_counts(arriving(spark, f"{tmp_path}/in", [[("a", 100, True), ("b", 100, True)], [("a", 150, True)], [("a", 151, True)]]), "key", "at", CFG)
+        found = sources.drained(counted.select("key", F.unix_seconds("window.start").alias("second"), "n"), "by_cores", str(tmp_path))
+        assert sorted(map(tuple, found.collect())) == [("a", 100, 1), ("b", 100, 1)]
+        assert spark.conf.get(key) == "23"
+    finally:
+        spark.conf.set(key, before)
+    states = [p for p in (tmp_path / "checkpoint" / "state" / "0").iterdir() if p.name.isdigit()]
+    assert 0 < len(states) <= spark.sparkContext.defaultParallelism
