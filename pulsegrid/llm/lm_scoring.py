@@ -4,12 +4,11 @@ Words are lower-cased (A-Z) runs of anything but ASCII white space. The model's
 below 4,095, within words that keep the space before them; the last id is the end of a text.
 
 Learning: every training document is cut into windows of 48 subwords, whose scored parts hold each of its subwords and
-its end once. The driver starts the model on about `START` windows (those with a low hash, of a share of the documents),
-each seen `EPOCHS` times at most; then every task goes on from there with one window in `ONE_IN` of each text of its
-part, by a hash, mixed within pools, and the weights are averaged in proportion to their windows. So what is learned grows
-with the number of texts and with their length. Windows are made where they are learned and do not travel. As each task
-learns its own part, the weights, and so the scores, depend a little on how the table is dealt to tasks. Word counts are
-taken over all training documents.
+its end once. The driver finds where to begin on about `START` windows (those with a low hash, of a share of the documents),
+each seen `EPOCHS` times at most; then every task goes on from there with all windows of all texts of its part, mixed
+within pools, and the weights are averaged in proportion to their windows. So every subword of every training text is
+learned. Windows are made where they are learned and do not travel. As each task learns its own part, the weights, and so
+the scores, depend a little on how the table is dealt to tasks. Word counts are taken over all training documents.
 
 Scoring: texts are cut into overlapping windows, each subword is scored once (see `attention`). The base joins the
 corpus's word counts to the documents' word frequencies by way of `postings`.
@@ -37,7 +36,7 @@ from pulsegrid.llm.bpe import portions, read_ranks
 from pulsegrid.llm.common import Remembered, at_task_end, slices, written
 
 START, STEPS, EPOCHS, BATCH, RATE = 24_576, 2000, 8, 96, 0.02
-LATER_RATE, ONE_IN = 0.004, 8
+LATER_RATE = 0.004
 #: Windows that a task mixes before it learns from them.
 POOL = 64 * BATCH
 CHUNK = 64
@@ -192,7 +191,7 @@ def started(some: tuple[np.ndarray, np.ndarray, np.ndarray], steps: int = STEPS)
 
 
 def learn(training: DataFrame, ranks_path: str, many: int, size: int, steps: int = STEPS) -> attention.Weights:
-    """training: order, text of `many` rows with `size` bytes."""
+    """training: order, text of `many` rows with `size` bytes. All of it is learned; what the driver starts on only says from where."""
     share = min(1.0, START / max(1, many))
     some = training.filter(F.col("order") <= int(2**62 * share)) if share < 1 else training
     # a subword has two bytes or more, mostly, so this is a little more than there are
@@ -207,7 +206,7 @@ def learn(training: DataFrame, ranks_path: str, many: int, size: int, steps: int
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trainer, n = attention.Trainer(attention.unflat(shared.value), LATER_RATE), 0
-        for inputs, before, targets in all_lessons(batches, ranks_path, ONE_IN):
+        for inputs, before, targets in all_lessons(batches, ranks_path):
             trainer.step(inputs, before, targets, LATER_RATE * len(inputs) / BATCH)
             n += len(inputs)
         if n:

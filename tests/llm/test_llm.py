@@ -124,6 +124,22 @@ def test_lm_learns_all_of_a_long_text(spark):
     assert sum(map(len, share)) >= attention.SCORED * ((marks % 8 == 0).sum() - 3) > 0
 
 
+def test_lm_learns_every_text(spark, monkeypatch):
+    """A text that the driver does not start on counts, whatever its hash: with another in its place the weights are others."""
+    monkeypatch.setattr(lm_scoring, "START", 4)
+    orders = [int(x) for x in np.random.default_rng(5).integers(0, 2**62, 40)]
+    mark = {d: int(lm_scoring._marks(d, 1)[0]) for d in orders}
+    late = [d for d in orders if d > 2**61 and mark[d] > 2**62 and mark[d] % 8]
+
+    def weights(swapped):
+        rows = [(d, "some other words" if d == swapped else "a few plain word") for d in orders]
+        training = spark.createDataFrame(rows, "order long, text string").repartition(1)
+        return attention.flat(lm_scoring.learn(training, MULTI, len(rows), 16 * len(rows), steps=1))
+
+    plain = weights(None)
+    assert len(late) > 2 and all(np.abs(weights(d) - plain).max() > 1e-4 for d in late[:2])
+
+
 def test_lm_subwords_of_words_together():
     """Words that are encoded together have the ids that each has alone."""
     words = [t.encode().lower() for t in ("the", "th\u00e8\u00e0tre", "\u00a0x", "\u3042\u3044", "!", "a" * 300, "the")]
