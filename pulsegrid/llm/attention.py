@@ -10,6 +10,7 @@ scored once, in the window in which it is not context. Windows of many texts go
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +41,7 @@ SHAPES = {
 }
 _FAR = np.subtract.outer(np.arange(SCORED) + CONTEXT, np.arange(SPAN))
 _LATER = _FAR < 0
-_ONES = np.ones(SIDE, dtype=np.float32)
+_PAST = np.maximum(_FAR, 0)
 Weights = dict[str, np.ndarray]
 
 
@@ -82,35 +83,71 @@ def _cut(inputs: np.ndarray, begin: np.ndarray, at: np.ndarray) -> tuple[np.ndar
     return ids, before
 
 
+def _near(w: Weights) -> np.ndarray:
+    """What distance adds to attention; what comes later is ruled out."""
+    kind = w["distance"].dtype.type
+    return np.where(_LATER, kind(-1e9), w["distance"][_PAST])
+
+
+#: Numbers no larger need no shift before exp: sums of rows stay well within 32-bit floats.
+SAFE = 40
+
+
+def _norm(x: np.ndarray) -> float:
+    """The largest length of a row, so products of rows of x and y are not above _norm(x) * _norm(y)."""
+    return float(np.sqrt(np.einsum("ij,ij->i", x, x).max(initial=0)))
+
+
+def _exponents(x: np.ndarray, most: float) -> np.ndarray:
+    """exp in place, along the last axis, and its sums. Where numbers may exceed SAFE, rows are first moved to have 0 as their largest."""
+    if not most < SAFE:
+        x -= x.max(axis=-1, keepdims=True)
+    np.exp(x, out=x)
+    return (x.reshape(-1, x.shape[-1]) @ np.ones(x.shape[-1], dtype=x.dtype)).reshape(x.shape[:-1])
+
+
+def _attended(near: np.ndarray, before: np.ndarray, levels: np.ndarray, most: float) -> np.ndarray:
+    """Levels become weights of attention, not yet divided by their sums, which are returned. most: of levels and distance."""
+    levels += near
+    early = np.flatnonzero(before[:, 0])
+    if len(early):
+        levels[early] += np.where(before[early], near.dtype.type(-1e9), near.dtype.type(0))[:, None, :]
+    return _exponents(levels, most)
+
+
+def _logits(w: Weights, heads: np.ndarray, state: np.ndarray, group: np.ndarray, room: Room) -> tuple[np.ndarray, float]:
+    """Of groups and of places in the wanted group, and what none of them exceeds."""
+    n = len(state)
+    out = np.matmul(state, heads, out=room("logits", 2, n, SIDE))
+    out[0] += w["group_bias"]
+    out[1] += w["place_bias"].take(group, axis=0, out=room("bias", n, SIDE), mode="clip")
+    return out, _norm(state) * _norm(np.concatenate(list(heads), axis=1).T) + max(np.abs(w["group_bias"]).max(), np.abs(w["place_bias"]).max())
+
+
+class Room:
+    """Arrays by name, whose memory is kept from batch to batch: fresh memory for each would cost more than the sums."""
+
+    def __init__(self, kind: np.dtype):
+        self._kind, self._made = kind, {}
+
+    def __call__(self, name: str, *shape: int) -> np.ndarray:
+        size, held = math.prod(shape), self._made.get(name)
+        if held is None or len(held) < size:
+            held = self._made[name] = np.empty(size, dtype=self._kind)
+        return held[:size].reshape(shape)
+
+
 class Scorer:
     """Weights with what follows from them for each id, which saves products by position."""
 
     def __init__(self, w: Weights):
         self.w = w
         self.query = w["embed"] @ w["query"] / np.float32(np.sqrt(DIM))
-        self.key = w["embed"] @ w["key"]
-        self.value = np.concatenate([w["embed"] @ w["value"], np.ones((IDS, 1), dtype=np.float32)], axis=1)
+        self.key, self.value = w["embed"] @ w["key"], w["embed"] @ w["value"]
         self.own = w["embed"] @ w["own"] + w["bias"]
         self.last, self.second = w["embed"] @ w["last"], w["embed"] @ w["second"]
-        self.near = np.where(_LATER, np.float32(-1e9), w["distance"][np.maximum(_FAR, 0)]).astype(np.float32)
-        self.heads = np.concatenate([w["group"], w["place"]], axis=1)
-
-    def _room(self, batch: int) -> dict[str, np.ndarray]:
-        """Arrays for a batch of windows, made once: fresh memory for each would cost more than the sums."""
-        n = batch * SCORED
-        shapes = {
-            "query": (batch, SCORED, DIM),
-            "key": (batch, SPAN, DIM),
-            "value": (batch, SPAN, DIM + 1),
-            "attend": (batch, SCORED, SPAN),
-            "seen": (batch, SCORED, DIM + 1),
-            "mean": (n, DIM),
-            "state": (n, HIDDEN),
-            "more": (n, HIDDEN),
-            "logits": (n, 2 * SIDE),
-            "bias": (n, SIDE),
-        }
-        return {k: np.empty(v, dtype=np.float32) for k, v in shapes.items()}
+        self.near, self.heads = _near(w), np.stack([w["group"], w["place"]])
+        self.most = _norm(self.query) * _norm(self.key) + np.abs(w["distance"]).max()
 
     def log10(self, texts: list[np.ndarray], batch: int = 64) -> np.ndarray:
         """The log10 probability of each text with its end."""
@@ -119,24 +156,19 @@ class Scorer:
         inputs, targets, at, text = windows(texts)
         begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
         out = np.zeros(len(targets), dtype=np.float32)
-        whole = self._room(min(batch, len(at)))
+        room = Room(np.dtype(np.float32))
         for k in range(0, len(at), batch):
             where, of = at[k : k + batch], text[k : k + batch]
-            room = {name: x[: len(where) * len(x) // min(batch, len(at))] for name, x in whole.items()}
+            many, n = len(where), len(where) * SCORED
             keys, before = _cut(inputs, begins[of], where)
-            self.query.take(keys[:, CONTEXT:], axis=0, out=room["query"], mode="clip")
-            self.key.take(keys, axis=0, out=room["key"], mode="clip")
-            self.value.take(keys, axis=0, out=room["value"], mode="clip")
-            attend = np.matmul(room["query"], room["key"].transpose(0, 2, 1), out=room["attend"])
-            attend += self.near
-            early = np.flatnonzero(before[:, 0])
-            if len(early):
-                attend[early] += np.where(before[early], np.float32(-1e9), np.float32(0))[:, None, :]
-            attend -= attend.max(axis=2, keepdims=True)
-            np.exp(attend, out=attend)
-            seen = np.matmul(attend, room["value"], out=room["seen"]).reshape(-1, DIM + 1)
-            np.divide(seen[:, :DIM], seen[:, DIM:], out=room["mean"])
-            state, more = np.matmul(room["mean"], self.w["mix"], out=room["state"]), room["more"]
+            query = self.query.take(keys[:, CONTEXT:], axis=0, out=room("query", many, SCORED, DIM), mode="clip")
+            key = self.key.take(keys, axis=0, out=room("key", many, SPAN, DIM), mode="clip")
+            value = self.value.take(keys, axis=0, out=room("value", many, SPAN, DIM), mode="clip")
+            attend = np.matmul(query, key.transpose(0, 2, 1), out=room("attend", many, SCORED, SPAN))
+            shares = _attended(self.near, before, attend, self.most)
+            seen = np.matmul(attend, value, out=room("seen", many, SCORED, DIM))
+            seen /= shares[:, :, None]
+            state, more = np.matmul(seen.reshape(-1, DIM), self.w["mix"], out=room("state", n, HIDDEN)), room("more", n, HIDDEN)
             for table, back in ((self.own, 0), (self.last, 1), (self.second, 2)):
                 state += table.take(keys[:, CONTEXT - back : SPAN - back].ravel(), axis=0, out=more, mode="clip")
             np.maximum(state, 0, out=state)
@@ -145,100 +177,141 @@ class Scorer:
             inside = np.flatnonzero(spots < np.repeat(begins[of + 1], SCORED))
             aims = targets.take(spots, mode="clip")
             group, place = aims >> SIDE_BITS, aims & (SIDE - 1)
-            logits = np.matmul(state, self.heads, out=room["logits"])
-            logits[:, :SIDE] += self.w["group_bias"]
-            logits[:, SIDE:] += self.w["place_bias"].take(group, axis=0, out=room["bias"], mode="clip")
-            for half in (logits[:, :SIDE], logits[:, SIDE:]):
-                half -= half.max(axis=1, keepdims=True)
-            flat, line = logits.reshape(-1), np.arange(len(spots)) * (2 * SIDE)
-            hit = flat.take(line + group) + flat.take(line + (SIDE + place))
-            np.exp(logits, out=logits)
-            hit -= np.log(logits[:, :SIDE] @ _ONES * (logits[:, SIDE:] @ _ONES))
+            logits, most = _logits(self.w, self.heads, state, group, room)
+            if not most < SAFE:
+                logits -= logits.max(axis=2, keepdims=True)
+            flat, line = logits.reshape(-1), np.arange(0, n * SIDE, SIDE)
+            hit = flat.take(line + group) + flat.take(line + (n * SIDE + place))
+            hit -= np.log(_exponents(logits, 0)).sum(axis=0)
             out[spots[inside]] = hit[inside]
         return np.add.reduceat(out.astype(np.float64), begins[:-1]) / np.log(10)
 
 
-def gradients(w: Weights, inputs: np.ndarray, before: np.ndarray, targets: np.ndarray) -> tuple[float, Weights]:
-    """Mean loss over windows (inputs: windows x SPAN, targets: windows x SCORED, negative where there is none) and its gradient."""
-    wanted = targets >= 0
+def gradients(w: Weights, inputs: np.ndarray, before: np.ndarray, targets: np.ndarray, room: Room | None = None) -> tuple[float, Weights]:
+    """Mean loss over windows (inputs: windows x SPAN, targets: windows x SCORED, negative where there is none) and its gradient.
+
+    What depends on an id alone is worked out once for each id among the inputs, as in `Scorer`.
+    """
+    kind, many = w["embed"].dtype, len(inputs)
+    total, room = many * SCORED, room or Room(kind)
+    wanted = (targets >= 0).ravel()
     n = max(1, int(wanted.sum()))
-    e_key = w["embed"][inputs]
-    e_own = e_key[:, CONTEXT:]
-    scale = np.float32(1 / np.sqrt(DIM))
-    query, key, value = e_own @ w["query"] * scale, e_key @ w["key"], e_key @ w["value"]
-    attend = query @ key.transpose(0, 2, 1) + w["distance"][np.maximum(_FAR, 0)]
-    attend = np.where(_LATER | before[:, None, :], np.float32(-1e9), attend)
-    attend = np.exp(attend - attend.max(axis=2, keepdims=True))
-    attend /= attend.sum(axis=2, keepdims=True)
-    seen = attend @ value
-    e_last, e_second = e_key[:, CONTEXT - 1 : -1], e_key[:, CONTEXT - 2 : -2]
-    state = np.maximum(seen @ w["mix"] + e_own @ w["own"] + e_last @ w["last"] + e_second @ w["second"] + w["bias"], 0)
-    flat = state[wanted]
-    group, place = np.divmod(targets[wanted], SIDE)
-    rows = np.arange(len(flat))
-
-    def softmax(x: np.ndarray) -> np.ndarray:
-        x = np.exp(x - x.max(axis=1, keepdims=True))
-        return x / x.sum(axis=1, keepdims=True)
-
-    p, q = softmax(flat @ w["group"] + w["group_bias"]), softmax(flat @ w["place"] + w["place_bias"][group])
-    loss = -float(np.log(p[rows, group] + 1e-30).sum() + np.log(q[rows, place] + 1e-30).sum()) / n
-    p[rows, group] -= 1
-    q[rows, place] -= 1
-    p, q = p / n, q / n
-    one_hot = np.zeros((len(flat), SIDE), dtype=np.float32)
-    one_hot[rows, group] = 1
-    d_state = np.zeros_like(state)
-    d_state[wanted] = p @ w["group"].T + q @ w["place"].T
-    d_state *= state > 0
-    d_seen = d_state @ w["mix"].T
-    d_attend = d_seen @ value.transpose(0, 2, 1)
-    d_attend = attend * (d_attend - (d_attend * attend).sum(axis=2, keepdims=True))
-    d_query, d_key, d_value = d_attend @ key * scale, d_attend.transpose(0, 2, 1) @ query, attend.transpose(0, 2, 1) @ d_seen
+    ones = np.ones(total, dtype=kind)
     two = lambda x: x.reshape(-1, x.shape[-1])
-    d_embed = d_key @ w["key"].T + d_value @ w["value"].T
-    d_embed[:, CONTEXT:] += d_state @ w["own"].T + d_query @ w["query"].T
-    d_embed[:, CONTEXT - 1 : -1] += d_state @ w["last"].T
-    d_embed[:, CONTEXT - 2 : -2] += d_state @ w["second"].T
-    whole = np.zeros(SHAPES["embed"], dtype=np.float32)
-    order = np.argsort(inputs.ravel(), kind="stable")
-    ids = inputs.ravel()[order]
-    firsts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-    whole[ids[firsts]] = np.add.reduceat(two(d_embed)[order], firsts, axis=0)
-    far = np.bincount(np.maximum(_FAR, 0).ravel(), weights=np.where(_LATER, 0, d_attend.sum(axis=0)).ravel(), minlength=SPAN)
+
+    there = np.zeros(IDS, dtype=bool)
+    there[inputs] = True
+    ids, nth = np.flatnonzero(there), np.empty(IDS, dtype=np.int64)
+    nth[ids] = np.arange(len(ids))
+    at = nth[inputs]
+    embed, scale = w["embed"][ids], kind.type(1 / np.sqrt(DIM))
+    queries, keys = embed @ (w["query"] * scale), embed @ w["key"]
+    query = queries.take(at[:, CONTEXT:], axis=0, out=room("query", many, SCORED, DIM), mode="clip")
+    key = keys.take(at, axis=0, out=room("key", many, SPAN, DIM), mode="clip")
+    value = (embed @ w["value"]).take(at, axis=0, out=room("value", many, SPAN, DIM), mode="clip")
+    attend = np.matmul(query, key.transpose(0, 2, 1), out=room("attend", many, SCORED, SPAN))
+    attend /= _attended(_near(w), before, attend, _norm(queries) * _norm(keys) + np.abs(w["distance"]).max())[:, :, None]
+    seen = np.matmul(attend, value, out=room("seen", many, SCORED, DIM))
+    state, more = np.matmul(two(seen), w["mix"], out=room("state", total, HIDDEN)), room("more", total, HIDDEN)
+    for back, name in enumerate(("own", "last", "second")):
+        table = embed @ w[name] if back else embed @ w[name] + w["bias"]
+        state += table.take(at[:, CONTEXT - back : SPAN - back].reshape(-1), axis=0, out=more, mode="clip")
+    np.maximum(state, 0, out=state)
+
+    aims = np.maximum(targets.reshape(-1), 0)
+    group, place = aims >> SIDE_BITS, aims & (SIDE - 1)
+    p, most = _logits(w, np.stack([w["group"], w["place"]]), state, group, room)
+    flat, line = p.reshape(-1), np.arange(0, total * SIDE, SIDE)
+    sums = _exponents(p, most)
+    hits, share = (line + group, line + (total * SIDE + place)), wanted.astype(kind) / kind.type(n)
+    loss = -sum(float(np.log(flat[hit] / s + 1e-30) @ wanted) for s, hit in zip(sums, hits, strict=True)) / n
+    # positions without a target have no share
+    p *= (share / sums)[:, :, None]
+    for hit in hits:
+        flat[hit] -= share
+
+    in_group = room("in_group", total, SIDE)
+    in_group[:] = 0
+    in_group.reshape(-1)[line + group] = 1
+    d_heads = state.T @ p
+    d_state = np.matmul(p[0], np.ascontiguousarray(w["group"].T), out=more)
+    d_state += np.matmul(p[1], np.ascontiguousarray(w["place"].T), out=room("d_place", total, HIDDEN))
+    d_state *= state > 0
+
+    # the vectors of a position and of the two before it, side by side
+    e_key, three = embed.take(at, axis=0, out=room("embed", many, SPAN, DIM), mode="clip"), room("three", many, SCORED, 3 * DIM)
+    for back in range(3):
+        three[:, :, back * DIM : (back + 1) * DIM] = e_key[:, CONTEXT - back : SPAN - back]
+    d_three, d_mix = (d_state.T @ two(three)).T, (d_state.T @ two(seen)).T
+    d_seen = np.matmul(d_state, w["mix"].T, out=room("d_seen", total, DIM)).reshape(many, SCORED, DIM)
+    d_attend = np.matmul(d_seen, value.transpose(0, 2, 1), out=room("d_attend", many, SCORED, SPAN))
+    d_attend -= np.einsum("bid,bid->bi", d_seen, seen)[:, :, None]
+    d_attend *= attend
+    d_query, d_key = np.matmul(d_attend, key, out=room("d_query", many, SCORED, DIM)), room("d_key", many, SPAN, 2 * DIM)
+    d_query *= scale
+    np.matmul(d_attend.transpose(0, 2, 1), query, out=d_key[:, :, :DIM])
+    np.matmul(attend.transpose(0, 2, 1), d_seen, out=d_key[:, :, DIM:])
+    e_own = two(three)[:, :DIM]
+    d_both = two(e_key).T @ two(d_key)
+    pair = np.concatenate([w["key"], w["value"]], axis=1)
+    d_embed = np.matmul(two(d_key), pair.T, out=room("d_embed", many * SPAN, DIM)).reshape(many, SPAN, DIM)
+    d_embed[:, CONTEXT:] += (two(d_query) @ w["query"].T).reshape(many, SCORED, DIM)
+    backward = np.concatenate([w["own"], w["last"], w["second"]]).T
+    d_back = np.matmul(d_state, backward, out=room("d_back", total, 3 * DIM)).reshape(many, SCORED, 3 * DIM)
+    for back in range(3):
+        d_embed[:, CONTEXT - back : SPAN - back] += d_back[:, :, back * DIM : (back + 1) * DIM]
+    order = np.argsort(at.ravel().astype(np.uint16), kind="stable")
+    firsts = np.cumsum(np.bincount(at.ravel(), minlength=len(ids))[:-1])
+    whole = np.zeros(SHAPES["embed"], dtype=kind)
+    rows = two(d_embed).take(order, axis=0, out=two(e_key), mode="clip")
+    whole[ids] = np.add.reduceat(rows, np.concatenate([[0], firsts]), axis=0)
+    far = np.where(_LATER, 0, (ones[:many] @ d_attend.reshape(many, -1)).reshape(SCORED, SPAN))
     return loss, {
         "embed": whole,
-        "query": two(e_own).T @ two(d_query),
-        "key": two(e_key).T @ two(d_key),
-        "value": two(e_key).T @ two(d_value),
-        "mix": two(seen).T @ two(d_state),
-        "own": two(e_own).T @ two(d_state),
-        "last": two(e_last).T @ two(d_state),
-        "second": two(e_second).T @ two(d_state),
-        "bias": two(d_state).sum(axis=0),
-        "distance": far.astype(np.float32),
-        "group": flat.T @ p,
-        "group_bias": p.sum(axis=0),
-        "place": flat.T @ q,
-        "place_bias": one_hot.T @ q,
+        "query": e_own.T @ two(d_query),
+        "key": d_both[:, :DIM],
+        "value": d_both[:, DIM:],
+        "mix": d_mix,
+        "own": d_three[:DIM],
+        "last": d_three[DIM : 2 * DIM],
+        "second": d_three[2 * DIM :],
+        "bias": ones @ d_state,
+        "distance": np.bincount(_PAST.ravel(), weights=far.ravel(), minlength=SPAN).astype(kind),
+        "group": d_heads[0],
+        "group_bias": ones @ p[0],
+        "place": d_heads[1],
+        "place_bias": in_group.T @ p[1],
     }
 
 
 class Trainer:
-    """Adam over windows."""
+    """Adam over windows. The weights lie in one row, and their averages beside it, so a step goes through each once."""
 
     def __init__(self, w: Weights, rate: float):
-        self.w, self.rate, self.steps = {k: v.copy() for k, v in w.items()}, rate, 0
-        self._mean, self._square = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
+        self._row, self.rate, self.steps = flat(w), rate, 0
+        self._mean, self._square, self._found, self._more = (np.zeros_like(self._row) for _ in range(4))
+        self.w, self._by_name = _views(self._row), _views(self._found)
+        self._room = Room(self._row.dtype)
 
     def step(self, inputs: np.ndarray, before: np.ndarray, targets: np.ndarray, rate: float | None = None) -> float:
-        loss, found = gradients(self.w, inputs, before, targets)
+        loss, found = gradients(self.w, inputs, before, targets, self._room)
+        for k, g in found.items():
+            self._by_name[k][...] = g
         self.steps += 1
         at = (rate or self.rate) * np.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps)
-        for k, g in found.items():
-            self._mean[k] += np.float32(0.1) * (g - self._mean[k])
-            self._square[k] += np.float32(0.01) * (g * g - self._square[k])
-            self.w[k] -= np.float32(at) * self._mean[k] / (np.sqrt(self._square[k]) + np.float32(1e-8))
+        g, more = self._found, self._more
+        np.subtract(g, self._mean, out=more)
+        more *= np.float32(0.1)
+        self._mean += more
+        np.multiply(g, g, out=more)
+        more -= self._square
+        more *= np.float32(0.01)
+        self._square += more
+        np.sqrt(self._square, out=more)
+        more += np.float32(1e-8)
+        np.divide(self._mean, more, out=more)
+        more *= np.float32(at)
+        self._row -= more
         return loss
 
 
@@ -261,10 +334,14 @@ def flat(w: Weights) -> np.ndarray:
     return np.concatenate([w[k].ravel() for k in SHAPES]).astype(np.float32)
 
 
-def unflat(values: np.ndarray) -> Weights:
+def _views(values: np.ndarray) -> Weights:
     out, at = {}, 0
     for k, s in SHAPES.items():
         size = int(np.prod(s))
-        out[k] = values[at : at + size].reshape(s).astype(np.float32)
+        out[k] = values[at : at + size].reshape(s)
         at += size
     return out
+
+
+def unflat(values: np.ndarray) -> Weights:
+    return {k: v.astype(np.float32) for k, v in _views(values).items()}

@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from pulsegrid.llm import attention, postings
 from pulsegrid.llm.bpe import portions, read_ranks
-from pulsegrid.llm.common import Remembered, at_task_end, slices, written
+from pulsegrid.llm.common import at_task_end, slices, written
 
 START, STEPS, EPOCHS, BATCH, RATE = 24_576, 2000, 8, 96, 0.02
 LATER_RATE = 0.004
@@ -67,24 +67,15 @@ _CHUNK = T.StructType(
 
 
 class Subwords:
-    """Ids of words, of which it remembers those it has seen."""
+    """Ids of words. A text's are encoded together, as only a word's first subword holds a space: to look words up among
+    those seen before costs more, as many are new."""
 
     def __init__(self, ranks_path: str):
         ranks = {t: r for t, r in read_ranks(ranks_path).items() if r < attention.END}
         self._encode = tiktoken.Encoding("below", pat_str=r" [^ ]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self._opens = np.zeros(attention.IDS, dtype=bool)
-        self._opens[[r for t, r in ranks.items() if t.startswith(b" ")]] = True
-        self._seen = Remembered()
-
-    def _new(self, words: list[bytes]) -> list[bytes]:
-        """The ids of words as 16-bit numbers; all are encoded together, as only a word's first subword holds a space."""
-        ids = np.array(self._encode((b" " + b" ".join(words)).decode()), dtype="<u2")
-        packed, begins = ids.tobytes(), (2 * np.flatnonzero(self._opens[ids])).tolist()
-        return [packed[a:b] for a, b in zip(begins, [*begins[1:], len(packed)], strict=True)]
 
     def ids(self, words: list[bytes]) -> np.ndarray:
-        get = self._seen.filled(set(words), self._new).__getitem__
-        return np.frombuffer(b"".join(map(get, words)), dtype="<u2").astype(np.int64)
+        return np.array(self._encode((b" " + b" ".join(words)).decode()), dtype=np.int64)
 
 
 @lru_cache(maxsize=2)

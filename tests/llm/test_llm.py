@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import struct
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -72,6 +73,36 @@ def test_lm_gradients():
         assert (up - down) / 2e-5 == pytest.approx(found[k][at], rel=1e-3, abs=1e-8)
 
 
+def test_lm_steps_take_no_fresh_memory():
+    """Steps after the first work in the memory of the first, and give what gradients by themselves give, whatever the sizes."""
+    draw = np.random.default_rng(8)
+    w = attention.start(draw.random(attention.IDS))
+    lessons = []
+    for n in (96, 96, 5, 40):
+        before = np.arange(attention.SPAN) < draw.integers(0, attention.CONTEXT + 1, (n, 1)) * draw.integers(0, 2, (n, 1))
+        targets = np.where(np.arange(attention.SCORED) < draw.integers(1, 40, (n, 1)), draw.integers(0, attention.IDS, (n, attention.SCORED)), -1)
+        lessons.append((draw.integers(0, attention.IDS, (n, attention.SPAN)), before, targets))
+    trainer = attention.Trainer(w, 1e-9)
+    trainer.step(*lessons[0])
+    tracemalloc.start()
+    try:
+        for some in lessons[1:]:
+            tracemalloc.reset_peak()
+            held = tracemalloc.get_traced_memory()[0]
+            loss = trainer.step(*some)
+            assert tracemalloc.get_traced_memory()[1] - held < 5_000_000
+            want = attention.gradients({k: v.astype("f8") for k, v in w.items()}, *some)[0]
+            assert loss == pytest.approx(want, rel=1e-4)
+    finally:
+        tracemalloc.stop()
+    # levels and logits that exp alone could not take
+    far = {k: v * np.float32(300 if k in ("query", "group", "place") else 1) for k, v in w.items()}
+    loss, found = attention.gradients(far, *lessons[3])
+    want, exact = attention.gradients({k: v.astype("f8") for k, v in far.items()}, *lessons[3])
+    assert loss == pytest.approx(want, rel=1e-3) and all(np.isfinite(g).all() for g in found.values())
+    assert all(np.abs(found[k] - g).max() <= 0.01 * np.abs(g).max() for k, g in exact.items())
+
+
 def test_lm_windows_score_each_subword_once():
     """Windows of any batch size give the same score, and next-subword chances sum to one."""
     scorer = attention.Scorer(attention.start(np.random.default_rng(1).random(attention.IDS)))
